@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -158,3 +159,19 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     delta[starts] += 1
     delta[starts + width] -= 1
     return np.cumsum(delta[:n]) > 0
+
+
+def word_hashes(data: np.ndarray, found: Words) -> np.ndarray:
+    """A 64-bit hash per word that depends on its bytes only; each distinct word of the slice is hashed once."""
+    ids, distinct = dictionary(data, found.start, found.end)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
+    return hashes[ids]
+
+
+def runs(starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of every maximal run of consecutive positions in one document; positions ascend per document."""
+    if len(starts) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lead = np.r_[True, (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])]
+    first = np.flatnonzero(lead)
+    return first, np.r_[first[1:], len(starts)] - 1

@@ -1,0 +1,29 @@
+"""Connected components of an edge table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .stable import settled
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of edges (a, b): the smallest node it can reach.
+
+    Each round takes the smallest label among neighbours, then follows labels one
+    step; rounds are checkpointed and stop when nothing changes.  Neighbours'
+    labels are pre-aggregated, and joins on a hub are left to skew-join splitting.
+    """
+    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
+    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
+        told = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("now"))
+        roots = labels.select(F.col("node").alias("root"), F.col("component").alias("above"))
+        new = told.join(roots, told["now"] == roots["root"], "left").select("node", "was", F.least("now", F.coalesce("above", "now")).alias("component"))
+        new = settled(new)
+        changed = new.filter("was != component").limit(1).count()
+        labels = new.select("node", "component")
+        if not changed:
+            return labels

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, url_rules
+from . import mixing, near_dups, packing, quality, sharding, suffix_dedup, url_rules
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 SHARDS = 40
@@ -29,6 +29,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -39,7 +47,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_best_fit_packing, op8_sharding, op10_source_mixing)
+    f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_best_fit_packing, op5_suffix_dedup, op6_near_duplicates, op8_sharding, op10_source_mixing)
 }
 
 
@@ -117,4 +125,14 @@ SELECT r0.doc_id, r0.size, r0.source_size, r0.target, (r0.size * (r0.copies + co
 FROM r0 LEFT JOIN {last} ON r0.source IS NOT DISTINCT FROM {last}.source AND r0.u = {last}.u AND r0.size = {last}.size"""
 
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op2_url_filter": _url_sql(), "op10_source_mixing": _mixing_sql()}
+_NEAR_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(len(ws) - 3), lambda k: array_to_string(ws[k + 1:k + 4], ' ')) WHEN len(ws) > 0 THEN ['short ' || array_to_string(ws, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT d.doc_id, count(g) AS n_shingles FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n_shingles + nb.n_shingles - k)),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT n.doc_id, n_shingles, min(c) AS component_id, n.doc_id = min(c) AS kept FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n_shingles"""
+
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op2_url_filter": _url_sql(), "op6_near_duplicates": _NEAR_SQL, "op10_source_mixing": _mixing_sql()}

@@ -1,19 +1,48 @@
-"""Cutting lineage into storage that every executor can read."""
+"""Cutting lineage into storage that every executor can read, and stable row numbers."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset, as in local tests, a temporary one is used.
-    """
+def shared_folder(df: DataFrame) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, as in local tests."""
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, for small tables that are read several times."""
+    shared_folder(df)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A Parquet table in the shared folder, for larger ones: compressed, and later reads choose columns."""
+    path = f"{shared_folder(df).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "ord") -> DataFrame:
+    """Add a unique long ``name`` that ascends with the id.
+
+    Where ids are unique and not null it is the id itself.  Otherwise rows are
+    numbered in the order of id (null first) and a hash of the text, and stored,
+    so that later reads agree.
+    """
+    ids = docs.select(F.col(f"`{id_col}`").alias("id"))
+    odd = ids.groupBy("id").count().filter("id IS NULL OR count > 1")
+    if odd.limit(1).count() == 0:
+        return docs.withColumn(name, F.col(f"`{id_col}`").cast("long"))
+    ordered = docs.orderBy(F.col(f"`{id_col}`").asc_nulls_first(), F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    return stored(ordered.withColumn(name, F.monotonically_increasing_id()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dups, packing, quality, sharding, suffix_dedup, url_rules
+from . import html_text, mixing, near_dups, packing, quality, sharding, suffix_dedup, url_rules
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 SHARDS = 40
@@ -41,13 +41,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_best_fit_packing, op5_suffix_dedup, op6_near_duplicates, op8_sharding, op10_source_mixing)
+    f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_best_fit_packing, op5_suffix_dedup, op6_near_duplicates, op8_sharding, op9_html_extraction, op10_source_mixing)
 }
 
 

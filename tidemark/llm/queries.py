@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, near_dups, packing, quality, sharding, suffix_dedup, url_rules
+from . import html_text, mixing, near_dups, packing, quality, sharding, suffix_dedup, url_rules, version_sketch
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 SHARDS = 40
@@ -37,6 +37,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_sketch.compare_versions(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -51,7 +55,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_best_fit_packing, op5_suffix_dedup, op6_near_duplicates, op8_sharding, op9_html_extraction, op10_source_mixing)
+    f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_best_fit_packing, op5_suffix_dedup, op6_near_duplicates, op7_document_fingerprints, op8_sharding, op9_html_extraction, op10_source_mixing)
 }
 
 

@@ -16,7 +16,7 @@ from .stable import settled
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranks are first summed in this many buckets per source; only the bucket in which a source fills up is ordered row by row.
 RANK_BUCKETS = 4096
-#: Rounds that add the one document whose size comes nearest to what is left of a source's target.
+#: Documents of different sizes that may be added to a source, each the nearest to what is left of its target.
 CLOSINGS = 4
 #: Tables with one row per source are broadcast up to this many sources.
 BROADCAST_SOURCES = 20_000
@@ -47,69 +47,71 @@ def targets(sizes: DataFrame, weights: list[int], share_percent: int, ceiling: i
     rest = filling.rowsBetween(0, Window.unboundedFollowing)
     t = t.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(stopped), F.lit(0.0))) / F.sum("w").over(rest))
     t = t.withColumn("water", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct((F.col("cap") / F.col("w")).alias("ratio"), F.col("level")))).over(everything)["level"])
-    return t.select("source", "source_size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("water") * F.col("w"))).alias("target"))
+    return t.select(*sizes.columns, F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("water") * F.col("w"))).alias("target"))
 
 
-def _same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def _on_source(rows: DataFrame, table: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Join a table of one row per source; broadcast while there are few sources."""
+    named = table.withColumnRenamed("source", "__s")
+    return rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("__s")), how).drop("__s")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a table of one row, or CLOSINGS rows, per source while there are few sources."""
-    return F.broadcast(df) if df.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else df
+def _closing(candidates: Column, left: Column) -> Column:
+    """Up to CLOSINGS units of different sizes, each the nearest to what is left once the ones before it are taken."""
+    item = "struct<miss:double,rank:double,u:double,size:bigint,weight:double,words:bigint>"
+    start = F.struct(left.cast("double").alias("left"), F.array().cast(f"array<{item}>").alias("chosen"))
 
+    def step(acc: Column, _: Column) -> Column:
+        usable = F.filter(candidates, lambda c: (F.abs(acc["left"] - c["words"]) < acc["left"]) & ~F.exists(acc["chosen"], lambda x: x["words"] == c["words"]))
+        best = F.array_min(F.transform(usable, lambda c: F.struct(F.abs(acc["left"] - c["words"]).alias("miss"), c["rank"].alias("rank"), c["u"].alias("u"), c["size"].alias("size"), c["weight"].alias("weight"), c["words"].alias("words"))))
+        return F.struct(F.when(best.isNull(), acc["left"]).otherwise(acc["left"] - best["words"]).alias("left"), F.when(best.isNull(), acc["chosen"]).otherwise(F.concat(acc["chosen"], F.array(best))).alias("chosen"))
 
-def plan(sized: DataFrame, weights: list[int], share_percent: int, ceiling: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Targets, cut and closing tables of (source, size, u, weight) rows.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(CLOSINGS)), start, step, lambda acc: acc["chosen"])
 
-    Rows that agree in all four are one unit: they get the same decision.
+
+def plan(sized: DataFrame, weights: list[int], share_percent: int, ceiling: int) -> tuple[DataFrame, bool]:
+    """One row per source: target, rate, edge, last and closing; and whether there are few sources.
+
+    Rows of (source, u, size, weight) that agree in all four are one unit: they
+    get the same decision.
     """
     units = settled(sized.groupBy("source", "u", "size", "weight").agg(F.count("*").alias("n")))
-    total = F.sum(F.col("n") * F.col("size"))
-    sizes = units.groupBy("source").agg(total.cast("long").alias("source_size"), F.sum(F.col("n") * F.col("size") * F.col("weight")).alias("weighed"))
-    sizes = settled(sizes)
-    goal = targets(sizes.select("source", "source_size"), weights, share_percent, ceiling)
-    goal = goal.join(sizes.select(F.col("source").alias("s"), "weighed"), _same(F.col("source"), F.col("s"))).drop("s")
-    # expected copies = target / weighed words, for each unit of weight
+    sizes = settled(units.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size"), F.sum(F.col("n") * F.col("size") * F.col("weight")).alias("weighed")))
+    few = sizes.count() <= BROADCAST_SOURCES
+    goal = targets(sizes, weights, share_percent, ceiling)
+    # expected copies for each unit of weight = target / weighed words
     goal = settled(goal.withColumn("rate", F.when(F.col("weighed") > 0, F.col("target") / F.col("weighed")).otherwise(0.0)))
-    ranked = units.join(_small(goal.withColumnRenamed("source", "s")), _same(F.col("source"), F.col("s"))).drop("s")
-    ranked = _ranked(ranked, ceiling).withColumn("words", F.col("n") * F.col("size"))
-    certain = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("words") * F.col("copies"))).alias("room"))
-    certain = settled(certain)
-    ranked = ranked.join(_small(certain.withColumnRenamed("source", "s")), _same(F.col("source"), F.col("s"))).drop("s").filter((F.col("rank").isNotNull()) & (F.col("words") > 0))
-    ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * RANK_BUCKETS).cast("int"), F.lit(RANK_BUCKETS - 1)))
-
-    sums = ranked.groupBy("source", "bucket").agg(F.sum("words").alias("words"), F.first("room").alias("room"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    over = sums.withColumn("upto", F.sum("words").over(upto)).filter(F.col("upto") > F.col("room"))
-    edge = settled(over.groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("e")).select(F.col("source").alias("s"), F.col("e.bucket").alias("edge"), F.col("e.before").alias("before")))
-    at_edge = ranked.join(_small(edge), _same(F.col("source"), F.col("s")) & (F.col("bucket") == F.col("edge"))).drop("s")
+    ranked = _ranked(_on_source(units, goal, few), ceiling).withColumn("words", F.col("n") * F.col("size"))
+
+    # words and certain words per source and bucket of ranks; units that are not ranked have a null bucket
+    sums = ranked.groupBy("source", "bucket").agg(F.sum("words").alias("words"), F.sum(F.col("words") * F.col("copies")).alias("certain"), F.first("target").alias("target"))
+    room = F.col("target") - F.sum("certain").over(Window.partitionBy("source"))
+    upto = F.sum(F.when(F.col("bucket").isNotNull(), F.col("words")).otherwise(0)).over(Window.partitionBy("source").orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumn("room", room).withColumn("upto", upto)
+    over = F.col("bucket").isNotNull() & (F.col("upto") > F.col("room"))
+    edge = settled(sums.groupBy("source").agg(F.first("room").alias("room"), F.min(F.when(over, F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))).alias("e"), F.max("upto").alias("all")).select("source", "room", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"), "all"))
+    ranked = _on_source(ranked, edge, few).filter(F.col("rank").isNotNull() & (F.col("words") > 0))
+
     inside = Window.partitionBy("source").orderBy("rank", "u", "size", "weight").rowsBetween(Window.unboundedPreceding, 0)
-    last = at_edge.withColumn("upto", F.col("before") + F.sum("words").over(inside)).filter(F.col("upto") <= F.col("room"))
-    last = last.groupBy("source").agg(F.max(F.struct("rank", "u", "size", "weight")).alias("last")).select(F.col("source").alias("s2"), "last")
+    last = ranked.filter("bucket = edge").withColumn("upto", F.col("before") + F.sum("words").over(inside)).filter(F.col("upto") <= F.col("room"))
+    last = last.groupBy("source").agg(F.max(F.struct("rank", "u", "size", "weight")).alias("last"), F.max("upto").alias("reached"))
     # below the edge bucket all are taken, inside it those up to `last`
-    cut = settled(edge.join(last, _same(F.col("s"), F.col("s2")), "left").select("s", "edge", "last"))
-
-    closing = None
-    state = ranked.join(_small(cut), _same(F.col("source"), F.col("s")), "left").drop("s").withColumn("picked", _taken())
-    for _ in range(CLOSINGS):
-        now = state
-        if closing is not None:
-            now = _with_closing(now, closing)
-        left = settled(now.groupBy("source").agg((F.first("room") - F.sum(F.when(F.col("picked"), F.col("words")).otherwise(0))).alias("left")).withColumnRenamed("source", "s"))
-        near = now.filter(~F.col("picked")).join(_small(left), _same(F.col("source"), F.col("s"))).drop("s")
-        near = near.withColumn("miss", F.abs(F.col("left") - F.col("words"))).filter(F.col("miss") < F.col("left"))
-        best = near.groupBy("source").agg(F.min(F.struct("miss", "rank", "u", "size", "weight")).alias("b")).select(F.col("source").alias("s"), F.col("b.u").alias("cu"), F.col("b.size").alias("csize"), F.col("b.weight").alias("cweight"))
-        closing = settled(best if closing is None else closing.unionByName(best))
-    return goal, cut, closing
+    cut = settled(_on_source(edge, last, few, "left").withColumn("left", F.col("room") - F.coalesce("reached", "before", "all")).select("source", "edge", "last", "left"))
+
+    # one candidate for each size: at most as many as the longest document has words
+    rest = _on_source(ranked.drop("edge"), cut, few).filter(~_taken()).groupBy("source", "words").agg(F.min(F.struct("rank", "u", "size", "weight")).alias("r"), F.first("left").alias("left"))
+    rest = rest.groupBy("source").agg(F.first("left").alias("left"), F.collect_list(F.struct("words", "r.rank", "r.u", "r.size", "r.weight")).alias("candidates"))
+    closing = rest.select("source", _closing(F.col("candidates"), F.col("left")).alias("closing"))
+    return settled(_on_source(_on_source(goal, cut, few, "left"), closing, few, "left").drop("weighed", "left")), few
 
 
 def _ranked(rows: DataFrame, ceiling: int) -> DataFrame:
-    """Certain copies, and the Pareto rank where a fraction of a copy is left."""
+    """Certain copies, and the Pareto rank and its bucket where a fraction of a copy is left."""
     rows = rows.withColumn("expected", F.least(F.col("rate") * F.col("weight"), F.lit(float(ceiling))))
     rows = rows.withColumn("copies", F.floor("expected").cast("int"))
     p = F.col("expected") - F.col("copies")
-    return rows.withColumn("rank", F.when(p > 0, (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))))
+    rows = rows.withColumn("rank", F.when(p > 0, (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))))
+    return rows.withColumn("bucket", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * RANK_BUCKETS).cast("int"), F.when(F.col("rank").isNotNull(), F.lit(RANK_BUCKETS - 1))))
 
 
 def _taken() -> Column:
@@ -117,11 +119,6 @@ def _taken() -> Column:
     return below | F.coalesce((F.col("bucket") == F.col("edge")) & (F.struct("rank", "u", "size", "weight") <= F.col("last")), F.lit(False))
 
 
-def _with_closing(rows: DataFrame, closing: DataFrame) -> DataFrame:
-    on = _same(F.col("source"), F.col("s")) & (F.col("u") == F.col("cu")) & (F.col("size") == F.col("csize")) & (F.col("weight") == F.col("cweight"))
-    return rows.join(_small(closing), on, "left").withColumn("picked", F.col("picked") | F.col("cu").isNotNull()).drop("s", "cu", "csize", "cweight")
-
-
 def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share_percent: int = 150, ceiling: int = 2, seed: int = 20240607, weight_col: str | None = None) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target and copies (0 to ``ceiling``).
 
@@ -143,11 +140,8 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share_percent: int = 15
         uniform(F.col("doc_id"), text, seed).alias("u"),
         weight.alias("weight"),
     )
-    goal, cut, closing = plan(sized.drop("doc"), list(weights), share_percent, ceiling)
-    rows = sized.join(_small(goal.withColumnRenamed("source", "s")), _same(F.col("source"), F.col("s"))).drop("s")
-    rows = _ranked(rows, ceiling)
-    rows = rows.withColumn("bucket", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * RANK_BUCKETS).cast("int"), F.lit(RANK_BUCKETS - 1)))
-    rows = rows.join(_small(cut), _same(F.col("source"), F.col("s")), "left").drop("s").withColumn("picked", F.col("rank").isNotNull() & (F.col("size") > 0) & _taken())
-    rows = _with_closing(rows, closing)
-    copies = (F.col("copies") + F.col("picked").cast("int")).alias("copies")
-    return rows.select("doc.*", "size", "source_size", "target", copies)
+    table, few = plan(sized.drop("doc"), list(weights), share_percent, ceiling)
+    rows = _ranked(_on_source(sized, table, few), ceiling)
+    closing = F.exists(F.coalesce("closing", F.array().cast("array<struct<miss:double,rank:double,u:double,size:bigint,weight:double,words:bigint>>")), lambda c: (c["u"] == F.col("u")) & (c["size"] == F.col("size")) & (c["weight"] == F.col("weight")))
+    picked = F.col("rank").isNotNull() & (F.col("size") > 0) & (_taken() | closing)
+    return rows.select("doc.*", "size", "source_size", "target", (F.col("copies") + F.coalesce(picked, F.lit(False)).cast("int")).alias("copies"))

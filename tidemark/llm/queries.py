@@ -122,10 +122,11 @@ un AS (SELECT source, rank, u, size, room, count(*) * size AS words FROM r0 WHER
 k0 AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY rank, u, size ROWS UNBOUNDED PRECEDING) <= room AS picked FROM un)"""
     for i in range(1, mixing.CLOSINGS + 1):
         k = f"k{i - 1}"
+        used = "".join(f" AND NOT EXISTS (FROM b{h} WHERE {k}.source IS NOT DISTINCT FROM b{h}.source AND {k}.words = b{h}.b.words)" for h in range(1, i))
         sql += f""",
 l{i} AS (SELECT source, any_value(room) - sum(CASE WHEN picked THEN words ELSE 0 END) AS l FROM {k} GROUP BY source),
-b{i} AS (SELECT {k}.source, first(struct_pack(u := u, size := size) ORDER BY abs(l - words), rank, u, size) AS b FROM {k} JOIN l{i} ON {k}.source IS NOT DISTINCT FROM l{i}.source
-  WHERE NOT picked AND abs(l - words) < l GROUP BY {k}.source),
+b{i} AS (SELECT {k}.source, first(struct_pack(u := u, size := size, words := words) ORDER BY abs(l - words), rank, u, size) AS b FROM {k} JOIN l{i} ON {k}.source IS NOT DISTINCT FROM l{i}.source
+  WHERE NOT picked AND abs(l - words) < l{used} GROUP BY {k}.source),
 k{i} AS (SELECT {k}.* REPLACE (picked OR b.b IS NOT NULL AS picked) FROM {k} LEFT JOIN b{i} AS b ON {k}.source IS NOT DISTINCT FROM b.source AND {k}.u = b.b.u AND {k}.size = b.b.size)"""
     last = f"k{mixing.CLOSINGS}"
     return sql + f"""

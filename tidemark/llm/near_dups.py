@@ -199,6 +199,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     is lost and a large group of near copies costs a comparison per member.
     """
     rows = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    return _with_ids(_linked(rows, size, percent, miss), rows)
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
+    """The rows of ``docs`` but for those that ``near_duplicates`` does not keep, with all their columns."""
+    rows = numbered(docs, name="__ord")
+    linked = _linked(rows.select(F.col("__ord").alias("ord"), F.col("text").cast("string").alias("text")), size, percent, miss)
+    return rows.join(linked.filter("ord != component").select(F.col("ord").alias("__ord")), "__ord", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _linked(rows: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+    """(ord, n_shingles, component) of every row of (ord, text)."""
     base = stored(sketches(rows, size))
     some = base.filter("n_shingles > 0")
     sets = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("ord", "signature")).alias("m"), F.count("*").alias("copies"))
@@ -234,8 +246,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     # a set of one row that is its own component needs no lookup
     named = settled(named.filter("copies > 1 OR component != ord").select("set_a", "set_b", "n_shingles", "component"))
     told = base.select("ord", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
-    out = told.select("ord", "n_shingles", F.coalesce("component", "ord").alias("component"))
-    return _with_ids(out, rows)
+    return told.select("ord", "n_shingles", F.coalesce("component", "ord").alias("component"))
 
 
 def _with_ids(out: DataFrame, rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, near_dups, packing, quality, sharding, suffix_dedup, url_rules, version_sketch
+from . import html_text, mixing, near_dups, packing, quality, sharding, suffix_dedup, toxicity, url_rules, version_sketch
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 SHARDS = 40
@@ -25,6 +25,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.decide(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES), ["page_id"])
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), F.to_json("spans").alias("spans"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
@@ -55,7 +61,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_best_fit_packing, op5_suffix_dedup, op6_near_duplicates, op7_document_fingerprints, op8_sharding, op9_html_extraction, op10_source_mixing)
+    f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_toxicity, op4_best_fit_packing, op5_suffix_dedup, op6_near_duplicates, op7_document_fingerprints, op8_sharding, op9_html_extraction, op10_source_mixing)
 }
 
 

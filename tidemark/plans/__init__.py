@@ -1,4 +1,6 @@
 """Registered queries over the flood-change operators."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import pixel_queries
+
+QUERIES: dict = {**pixel_queries.QUERIES}
+ORACLES: dict = {**pixel_queries.ORACLES}

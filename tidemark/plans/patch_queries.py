@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit, candidates, components, patches, polygons, resample, terrain, water
+from tidemark.operators.graph import settled
 
 from . import fixtures as fx
-from .pixel_queries import LABELS_SQL, labels, rounded
+from .pixel_queries import LABELS_SQL, rounded
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -47,8 +48,8 @@ def slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate points with cleanup flag, patch, band values, elevation, slope and occurrence."""
-    chosen = candidates.selected(fx.pixels(spark, sf_dir))
-    lab = labels(spark, sf_dir)
+    chosen = settled(candidates.selected(fx.pixels(spark, sf_dir)))  # few pixels, read several times
+    lab = settled(components.labelled(chosen, 64))
     sized = components.component_sizes(lab)
     named = components.ranked(sized.filter(F.col("pixels") >= LEAST)).select("pair_id", "label", "patch_id")
     base = chosen.join(lab, ["pair_id", "row", "col"]).join(sized, ["pair_id", "label"]).join(named, ["pair_id", "label"], "left")

@@ -28,9 +28,9 @@ def bilinear(targets: DataFrame, cells: DataFrame, x: Column, y: Column, value:
     px, py = x - 0.5, y - 0.5
     base = targets.select(*key, *carry, F.floor(px).alias("c0"), F.floor(py).alias("r0"), (px - F.floor(px)).alias("fx"), (py - F.floor(py)).alias("fy"))
     corners = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (0, 1) for c in (0, 1)])
-    wx = F.when(F.col("k.dc") == 1, F.col("fx")).otherwise(1 - F.col("fx"))
-    wy = F.when(F.col("k.dr") == 1, F.col("fy")).otherwise(1 - F.col("fy"))
-    four = base.withColumn("k", F.explode(corners)).select(*key, *carry, (F.col("r0") + F.col("k.dr")).cast("int").alias("__r"), (F.col("c0") + F.col("k.dc")).cast("int").alias("__c"), (wx * wy).alias("w"))
+    wx = F.when(F.col("__k.dc") == 1, F.col("fx")).otherwise(1 - F.col("fx"))
+    wy = F.when(F.col("__k.dr") == 1, F.col("fy")).otherwise(1 - F.col("fy"))
+    four = base.withColumn("__k", F.explode(corners)).select(*key, *carry, (F.col("r0") + F.col("__k.dr")).cast("int").alias("__r"), (F.col("c0") + F.col("__k.dc")).cast("int").alias("__c"), (wx * wy).alias("w"))
     met = four.join(cells.filter(F.col(value).isNotNull()).select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).cast("double").alias("__v")), ["__r", "__c"], "left")
     weight = F.when(F.col("__v").isNotNull(), F.col("w"))
     out = met.groupBy(*key, *carry).agg(F.sum(weight * F.col("__v")).alias("__s"), F.sum(weight).alias("__w"))

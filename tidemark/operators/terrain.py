@@ -20,7 +20,7 @@ def horn_slope(cells: DataFrame, spacing: float = 30.0, value: str = "elevation"
     """
     parts = F.array(*[F.struct(F.lit(-r).alias("dr"), F.lit(-c).alias("dc"), F.lit(float(wx)).alias("wx"), F.lit(float(wy)).alias("wy")) for r, c, wx, wy in _HORN])
     z = F.col(value).cast("double")
-    sent = cells.filter(z.isNotNull()).withColumn("k", F.explode(parts)).select(*keys, (F.col("row") + F.col("k.dr")).alias("row"), (F.col("col") + F.col("k.dc")).alias("col"), (F.col("k.wx") * z).alias("gx"), (F.col("k.wy") * z).alias("gy"))
+    sent = cells.filter(z.isNotNull()).withColumn("__k", F.explode(parts)).select(*keys, (F.col("row") + F.col("__k.dr")).alias("row"), (F.col("col") + F.col("__k.dc")).alias("col"), (F.col("__k.wx") * z).alias("gx"), (F.col("__k.wy") * z).alias("gy"))
     sums = sent.groupBy(*keys, "row", "col").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"), F.count("*").alias("n"))
     whole = sums.filter("n = 9").select(*keys, "row", "col", slope_degrees(F.col("gx") / (8 * spacing), F.col("gy") / (8 * spacing)).alias("slope"))
     return cells.select(*keys, "row", "col").join(whole, [*keys, "row", "col"], "left")

@@ -8,8 +8,10 @@ are 64-bit hashes of the bytes they stand for, so that all tasks agree on them.
 Only few positions travel.  In each window of 100 bytes one 32-gram, chosen by
 its bucket identifier alone, is the anchor; windows can only be equal if their
 anchors are.  Anchors, with a bucket identifier of all the bytes their windows
-cover, are shuffled first; whole runs of windows are settled there.  Only where
-one anchor bucket holds different surroundings are single windows compared.
+cover, are shuffled first; whole runs of windows are settled there.  Where one
+anchor bucket holds different surroundings, its windows are compared in blocks
+of eight, keyed by the bytes that all eight share, and only where those are
+mixed again one by one.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ LENGTH = 100
 GRAM = 32
 SLICE_BYTES = 2 << 20
 
+#: Windows in a block of the second round.
+BLOCK = 8
 #: Row kinds: a run of repeated windows; windows that must be compared one by one; an anchor to compare; the same, of a bucket known to be mixed.
 REPEATED, OPEN, ANCHOR, MIXED = 0, 1, 2, 3
 
@@ -107,15 +111,21 @@ def _surroundings(bucket: np.ndarray, anchor: np.ndarray, start: np.ndarray, end
     return _deepened(x, bucket[stop], _STEP[4])
 
 
-def _packed(first: np.ndarray, last: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
-    """First window, number of windows less one, and kind in one long."""
-    return (first << np.int64(31) | (last - first)) << np.int64(2) | kind
+def _packed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A repeated run: first window and number of windows less one in one long."""
+    return (first << np.int64(31) | (last - first)) << np.int64(2) | REPEATED
 
 
-def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    span = packed >> np.int64(2)
-    first = span >> np.int64(31)
-    return first, first + (span & np.int64((1 << 31) - 1)), packed & np.int64(3)
+def _anchored(first: np.ndarray, last: np.ndarray, anchor: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    """A short run with the distance of its anchor from its first window."""
+    return (first << np.int64(31) | (anchor - first) << np.int64(8) | (last - first)) << np.int64(2) | kind
+
+
+def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window, anchor (meaningless for repeated runs) and kind."""
+    span, kind = packed >> np.int64(2), packed & np.int64(3)
+    first, rest = span >> np.int64(31), span & np.int64((1 << 31) - 1)
+    return first, first + np.where(kind == REPEATED, rest, rest & np.int64(255)), first + (rest >> np.int64(8)), kind
 
 
 def _in_order(part: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.RecordBatch]:
@@ -142,8 +152,22 @@ def _batch(bucket: np.ndarray, around: np.ndarray, ids: np.ndarray, packed: np.n
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in (bucket, around, ids, packed)], _NAMES)
 
 
+def _settled_here(bucket, around, row, first, last, anchor, ids) -> Iterator[pa.RecordBatch]:
+    """Rows for the shuffle, less what this slice settles; runs come in the order of rows and positions."""
+    fresh = at.first_of(_deepened(bucket, around, _STEP[1]))
+    again = np.flatnonzero(~fresh)
+    r, a, b = _merged(row[again], first[again], last[again])
+    yield _batch(at.mix(r.astype(np.uint64)), r * 0, ids[r], _packed(a, b))
+    keep = np.flatnonzero(fresh)
+    mixed = at.repeated(bucket[keep])
+    kind = np.where(~mixed, ANCHOR, np.where(at.first_of(bucket[keep]), MIXED, OPEN))
+    # a bucket that this slice knows to be mixed sends one row to its bucket and the others anywhere
+    keys = np.where(kind == OPEN, at.mix(bucket[keep] ^ around[keep]), bucket[keep])
+    yield _batch(keys, around[keep], ids[row[keep]], _anchored(first[keep], last[keep], anchor[keep], kind))
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of every slice, less what the slice settles by itself."""
+    """Anchors and the windows they serve."""
     for part in at.slices(batches, "text", SLICE_BYTES):
         ids, text, _ = _in_order(part)
         data, offsets = at.flat(text)
@@ -152,18 +176,33 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(anchor) == 0:
             continue
         around = _surroundings(bucket, anchor, first, last)
-        bucket = bucket[anchor]
-        local = first - offsets[row]
-        fresh = at.first_of(_deepened(bucket, around, _STEP[1]))  # anchors ascend by row and position, so the first is the earliest
-        again = np.flatnonzero(~fresh)
-        r, a, b = _merged(row[again], local[again], local[again] + (last - first)[again])
-        yield _batch(at.mix(r.astype(np.uint64)), r * 0, ids[r], _packed(a, b, REPEATED))
-        keep = np.flatnonzero(fresh)
-        mixed = at.repeated(bucket[keep])
-        lead = at.first_of(bucket[keep])
-        kind = np.where(~mixed, ANCHOR, np.where(lead, MIXED, OPEN))
-        keys = np.where(kind == OPEN, at.mix(bucket[keep] ^ around[keep]), bucket[keep])
-        yield _batch(keys, around[keep], ids[row[keep]], _packed(local[keep], local[keep] + (last - first)[keep], kind))
+        base = offsets[row]
+        yield from _settled_here(bucket[anchor], around, row, first - base, last - base, anchor - base, ids)
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the open runs.  A block is bounded by the distance to the anchor, so equal windows fall into equal blocks."""
+    for part in at.slices(batches, "text", SLICE_BYTES):
+        ids, text, part = _in_order(part)
+        data, offsets = at.flat(text)
+        bucket = gram_buckets(data)
+        row, packed = _lists(part, "runs")
+        first, last, anchor, _ = _unpacked(packed)
+        # distances anchor - window, from `far` down to `near`; block k holds those of 8k to 8k + 7
+        far, near = (anchor - first) // BLOCK, (anchor - last) // BLOCK
+        run, k = _spread(near, far)
+        row, first, last, anchor = row[run], np.maximum(first[run], anchor[run] - BLOCK * k - BLOCK + 1), np.minimum(last[run], anchor[run] - BLOCK * k), anchor[run]
+        order = np.lexsort((first, row))
+        row, first, last, anchor, k = row[order], first[order], last[order], anchor[order], k[order]
+        base = offsets[row]
+        # the bytes that all windows of a whole block share; a block that its run cuts short covers them too
+        core = base + anchor - BLOCK * k
+        x = at.mix(k.astype(np.uint64) + np.uint64(0xB10C))
+        stop = core + LENGTH - BLOCK + 1 - GRAM
+        for j in range(LENGTH // GRAM):
+            x = _deepened(x, bucket[np.minimum(core + j * GRAM, stop)], _STEP[j])
+        around = _surroundings(bucket, base + anchor, base + first, base + last)
+        yield from _settled_here(x, around, row, first, last, anchor, ids)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
@@ -173,10 +212,10 @@ def _gathered(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.nd
     return [np.concatenate([p[i] for p in parts]) for i in range(len(names))]
 
 
-def _settle_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In one partition of anchor buckets: later equal surroundings are repeated, first ones of mixed buckets stay open."""
+def _settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In one partition of buckets: later equal surroundings are repeated, first ones of mixed buckets stay open."""
     bucket, around, ids, packed = _gathered(batches, _NAMES)
-    first, last, kind = _unpacked(packed)
+    first, last, _, kind = _unpacked(packed)
     out = [(ids[kind <= OPEN], packed[kind <= OPEN])]
     pick = np.flatnonzero(kind >= ANCHOR)
     order = pick[np.lexsort((first[pick], ids[pick], around[pick], bucket[pick]))]
@@ -187,9 +226,9 @@ def _settle_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         group = np.cumsum(new_g) - 1
         mixed = (np.bincount(group, new_c) > 1) | (np.bincount(group, known) > 0)
         later = order[~new_c]
-        out.append((ids[later], _packed(first[later], last[later], REPEATED)))
+        out.append((ids[later], _packed(first[later], last[later])))
         still = order[new_c & mixed[group]]
-        out.append((ids[still], _packed(first[still], last[still], OPEN)))
+        out.append((ids[still], packed[still] >> np.int64(2) << np.int64(2) | OPEN))
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], ["ord", "packed"])
 
 
@@ -214,7 +253,7 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         data, offsets = at.flat(text)
         bucket = gram_buckets(data)
         row, packed = _lists(part, "runs")
-        first, last, _ = _unpacked(packed)
+        first, last, _, _ = _unpacked(packed)
         order = np.lexsort((first, row))
         run, local = _spread(first[order], last[order])
         row = row[order][run]
@@ -222,22 +261,22 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         fresh = at.first_of(key)
         old = np.flatnonzero(~fresh)
         a, b = at.runs(local[old], row[old])
-        yield _batch(at.mix(row[old][a].astype(np.uint64)), a * 0, ids[row[old][a]], _packed(local[old][a], local[old][b], REPEATED))
+        yield _batch(at.mix(row[old][a].astype(np.uint64)), a * 0, ids[row[old][a]], _packed(local[old][a], local[old][b]))
         new = np.flatnonzero(fresh)
-        yield _batch(key[new], new * 0, ids[row[new]], _packed(local[new], local[new], OPEN))
+        yield _batch(key[new], new * 0, ids[row[new]], _anchored(local[new], local[new], local[new], OPEN))
 
 
 def _settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In one partition of depth-100 buckets: all windows but the earliest of a bucket are repeated."""
     key, _, ids, packed = _gathered(batches, _NAMES)
-    first, last, kind = _unpacked(packed)
+    first, last, _, kind = _unpacked(packed)
     done = kind == REPEATED
     pick = np.flatnonzero(~done)
     order = pick[np.lexsort((first[pick], ids[pick], key[pick]))]
     later = order[np.r_[False, key[order][1:] == key[order][:-1]]] if len(order) else order
     later = later[np.lexsort((first[later], ids[later]))]
     r, a, b = _merged(ids[later], first[later], last[later])
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[done], r])), pa.array(np.concatenate([packed[done], _packed(a, b, REPEATED)]))], ["ord", "packed"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[done], r])), pa.array(np.concatenate([packed[done], _packed(a, b)]))], ["ord", "packed"])
 
 
 def _per_partition(df: DataFrame, settle: Callable, key: str) -> DataFrame:
@@ -246,21 +285,25 @@ def _per_partition(df: DataFrame, settle: Callable, key: str) -> DataFrame:
 
 def repeated_runs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ord, runs): per row of ``rows`` (ord, text) the packed runs of repeated window starts; and the partitioned rows."""
-    anchors = rows.select("ord", "text").mapInArrow(_anchor_rows, _SCHEMA)
-    settled = stored(_per_partition(anchors, _settle_anchors, "bucket"))
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = rows.repartition(n, "ord")  # one exchange of the texts serves both joins
+    placed = rows.repartition(n, "ord")  # one exchange of the texts serves the joins of a query
     kind = F.col("packed").bitwiseAND(F.lit(3))
-    todo = settled.filter(kind == OPEN).groupBy("ord").agg(F.collect_list("packed").alias("runs"))
-    open_rows = placed.select("ord", "text").join(todo.hint("shuffle_merge"), "ord")
-    windows = _per_partition(open_rows.mapInArrow(_open_windows, _SCHEMA), _settle_windows, "bucket")
-    found = settled.filter(kind == REPEATED).unionByName(windows)
+
+    def still_open(runs: DataFrame) -> DataFrame:
+        todo = runs.filter(kind == OPEN).groupBy("ord").agg(F.collect_list("packed").alias("runs"))
+        return placed.select("ord", "text").join(todo.hint("shuffle_merge"), "ord")
+
+    anchors = stored(_per_partition(rows.select("ord", "text").mapInArrow(_anchor_rows, _SCHEMA), _settle_runs, "bucket"))
+    # read twice below from one exchange, as the texts are, so that neither is shuffled again
+    blocks = _per_partition(still_open(anchors).mapInArrow(_block_rows, _SCHEMA), _settle_runs, "bucket")
+    windows = _per_partition(still_open(blocks).mapInArrow(_open_windows, _SCHEMA), _settle_windows, "bucket")
+    found = anchors.filter(kind == REPEATED).unionByName(blocks.filter(kind == REPEATED)).unionByName(windows)
     return found.groupBy("ord").agg(F.collect_list("packed").alias("runs")), placed
 
 
 def _removed(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Mask of the bytes inside a repeated window."""
-    first, last, _ = _unpacked(packed)
+    first, last, _, _ = _unpacked(packed)
     delta = np.zeros(len(data) + 1, np.int64)
     np.add.at(delta, offsets[row] + first, 1)
     np.add.at(delta, offsets[row] + last + LENGTH, -1)

@@ -67,6 +67,23 @@ def rebalanced(assignment: dict[int, int], weights: dict[int, int], shards: int)
         out[slot] = to
         held[to].append((w, slot))
         load[to] += w
+    _evened(out, held, load, shards)
+    heaviest = max((w for items in held for w, _ in items), default=0)
+    if shards and max(load) > 1.005 * max(mean, heaviest):
+        # a slot as heavy as a shard stands in the way: deal all slots anew, the heaviest first
+        items = sorted((item for h in held for item in h), reverse=True)
+        held[:], load[:] = [[] for _ in range(shards)], [0] * shards
+        for w, slot in items:
+            to = min(range(shards), key=load.__getitem__)
+            out[slot] = to
+            held[to].append((w, slot))
+            load[to] += w
+        _evened(out, held, load, shards)
+    return out
+
+
+def _evened(out: dict[int, int], held: list[list[tuple[int, int]]], load: list[int], shards: int) -> None:
+    """Narrow the widest gap by one move or exchange at a time; changes its arguments."""
     for _ in range(shards * 8):
         top, low = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
         gap = load[top] - load[low]
@@ -89,7 +106,6 @@ def rebalanced(assignment: dict[int, int], weights: dict[int, int], shards: int)
             held[top].append((v, other))
         load[top] += v - w
         load[low] += w - v
-    return out
 
 
 def map_table(spark: SparkSession, versions: dict[int, dict[int, int]]) -> DataFrame:

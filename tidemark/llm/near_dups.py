@@ -14,11 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import components
+
 from . import arrowtext as at
-from .linking import components
 from .stable import numbered, settled, stored
 
 #: 32 bands of 5 rows miss a pair of similarity 0.8 with a chance of 3 in a million.
@@ -27,6 +28,9 @@ HASHES = BANDS * BAND_ROWS
 #: Signature values compared between two looks at the posterior.
 BATCH = 32
 MISS = 1e-6
+#: Hubs, one per bucket and turn, of which every member is compared with the likeliest.
+TURNS = 2
+BITS = ("bits0", "bits1", "bits2")
 
 _RNG = np.random.default_rng(812)
 _MUL = (_RNG.integers(0, 1 << 32, HASHES, np.uint64) | 1).astype(np.uint32)
@@ -87,7 +91,11 @@ def _blobs(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(ord, n_shingles, set_a, set_b, signature) of every row; an empty set has a null signature."""
+    """Set fingerprint, band keys and compact signature of every row; an empty set has none of the latter two.
+
+    Band keys use whole hash values.  The signature keeps their low bytes, and
+    ``bits`` the bit above as three longs, for a quick look inside joins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in at.slices(batches, "text"):
@@ -95,17 +103,35 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             counts = np.diff(offsets)
             some = np.flatnonzero(counts)
             a, b = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
-            signature = np.zeros((0, HASHES), np.uint32)
+            values = np.zeros((0, HASHES), np.uint32)
             if len(some):
                 tight = np.r_[offsets[some], offsets[-1]]
                 a[some] = np.add.reduceat(at.mix(hashes ^ np.uint64(0xA)), tight[:-1])
                 b[some] = np.bitwise_xor.reduceat(at.mix(hashes ^ np.uint64(0xB)), tight[:-1])
-                signature = _signatures(hashes, tight)
-            width = np.where(counts > 0, 1, 0)
-            blob = _blobs(signature, np.r_[0, np.cumsum(width)])
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("ord")), pa.array(counts, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), blob.cast(pa.binary())], ["ord", "n_shingles", "set_a", "set_b", "signature"])
-
-    return docs.select("ord", "text").mapInArrow(run, "ord long, n_shingles long, set_a long, set_b long, signature binary")
+                values = _signatures(hashes, tight)
+            ends = np.r_[0, np.cumsum(counts > 0)]
+            bands = np.zeros((len(values), BANDS), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(BAND_ROWS):
+                    bands = at.mix(bands + np.arange(BANDS, dtype=np.uint64)) ^ values[:, k::BAND_ROWS][:, :BANDS].astype(np.uint64)
+                bands = at.mix(bands)
+            flags = np.zeros((len(counts), 192), np.uint8)
+            flags[some, :HASHES] = (values >> np.uint32(8)) & 1
+            words = np.packbits(flags, axis=1).view(np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(part.schema.get_field_index("ord")),
+                    pa.array(counts, pa.int64()),
+                    pa.array(a.view(np.int64)),
+                    pa.array(b.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array((ends * BANDS).astype(np.int32)), pa.array(bands.reshape(-1).view(np.int64))),
+                    _blobs(values.astype(np.uint8), ends).cast(pa.binary()),
+                    *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(3)),
+                ],
+                ["ord", "n_shingles", "set_a", "set_b", "bands", "signature", *BITS],
+            )
+
+    return docs.select("ord", "text").mapInArrow(run, "ord long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary, bits0 long, bits1 long, bits2 long")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -123,15 +149,16 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 def least_matches(percent: int, miss: float, batch: int = BATCH) -> tuple[int, ...]:
     """Fewest matches after each batch at which P(similarity >= percent) still exceeds ``miss``.
 
-    The prior over similarity is uniform, so the posterior after m matches in n
-    values is Beta(m + 1, n - m + 1).
+    The prior over similarity is uniform; the posterior after m matches in n
+    values is taken on a grid.
     """
     grid = (np.arange(200_000) + 0.5) / 200_000
     upper = grid >= percent / 100
+    match = grid + (1 - grid) / 256  # equal low bytes of different values included
     out = []
     for n in range(batch, HASHES + 1, batch):
         for m in range(n + 1):
-            log = m * np.log(grid) + (n - m) * np.log1p(-grid)
+            log = m * np.log(match) + (n - m) * np.log1p(-match)
             p = np.exp(log - log.max())
             if p[upper].sum() / p.sum() >= miss:
                 out.append(m)
@@ -139,15 +166,33 @@ def least_matches(percent: int, miss: float, batch: int = BATCH) -> tuple[int, .
     return tuple(out)
 
 
+@lru_cache(maxsize=16)
+def most_flips(percent: int, miss: float) -> int:
+    """Most differing bits that a pair of the given similarity has but for a chance of ``miss``."""
+    p, chance, tail = (1 - percent / 100) / 2, (1 - (1 - percent / 100) / 2) ** HASHES, 0.0
+    for n in range(HASHES + 1):
+        tail += chance
+        if 1 - tail < miss:
+            return n
+        chance *= (HASHES - n) / (n + 1) * p / (1 - p)
+    return HASHES
+
+
+def flips(other: str) -> Column:
+    """Differing bits of the columns ``bits*`` and those with the suffix ``other``."""
+    parts = [F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}{other}"))) for b in BITS]
+    return parts[0] + parts[1] + parts[2]
+
+
 def bayes_prune(pairs: DataFrame, sketch: DataFrame, percent: int, miss: float) -> DataFrame:
-    """The (a, b) of ``pairs`` that no batch rules out, with the estimated similarity."""
+    """The (a, b) of ``pairs`` that no batch rules out."""
     bounds = least_matches(percent, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if part.num_rows == 0:
                 continue
-            left, right = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint32).reshape(part.num_rows, HASHES) for i in (2, 3))
+            left, right = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, HASHES) for i in (2, 3))
             alive = np.arange(part.num_rows)
             matches = np.zeros(part.num_rows, np.int64)
             for k, least in enumerate(bounds):
@@ -155,11 +200,11 @@ def bayes_prune(pairs: DataFrame, sketch: DataFrame, percent: int, miss: float)
                 matches[alive] += (left[alive, span] == right[alive, span]).sum(1)
                 alive = alive[matches[alive] >= least]
             keep = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), pa.array(matches[alive] / HASHES)], ["a", "b", "likeness"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep)], ["a", "b"])
 
     one = sketch.select(F.col("ord").alias("a"), F.col("signature").alias("left"))
     two = sketch.select(F.col("ord").alias("b"), F.col("signature").alias("right"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long, likeness double")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,6 +228,36 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def _tagged(members: DataFrame, label: DataFrame) -> DataFrame:
+    return members.join(label, members["ord"] == label["node"], "left").select(*members.columns, F.coalesce("component", "ord").alias("component"))
+
+
+def _alike(percent: int, miss: float) -> Column:
+    """Sizes that allow the similarity, and no more differing bits than it has but for the miss probability."""
+    return (100 * F.least("n_shingles", "n_shingles_b") >= percent * F.greatest("n_shingles", "n_shingles_b")) & (flips("_b") <= most_flips(percent, miss))
+
+
+def _likeliest_hubs(members: DataFrame, percent: int, miss: float) -> DataFrame:
+    """(a, b): each member with the likeliest of its buckets' hubs, once for every turn.
+
+    The hub of a bucket is its member with the smallest hash, another one each turn.
+    """
+
+    def hub(turn: int) -> Column:
+        return F.min(F.struct(F.xxhash64(F.lit(turn), "ord").alias("h"), F.col("ord").alias("ord_b"), F.col("n_shingles").alias("n_shingles_b"), *[F.col(b).alias(f"{b}_b") for b in BITS])).alias("hub")
+
+    picks = []
+    for turn in range(TURNS):
+        hubs = members.groupBy("band").agg(hub(turn)).select("band", "hub.*")
+        met = members.join(hubs, "band").filter((F.col("ord") != F.col("ord_b")) & _alike(percent, miss))
+        best = met.groupBy("ord").agg(F.min(F.struct(flips("_b").alias("flips"), F.col("ord_b"))).alias("m"))
+        picks.append(best.select(F.col("ord").alias("a"), F.col("m.ord_b").alias("b")))
+    pairs = picks[0]
+    for more in picks[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -193,10 +268,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     (null first) and a hash of the text; exactly one row of a component is kept.
     An empty table gives an empty result; other columns are ignored.
 
-    Buckets are first compared with their smallest member only.  Components of
-    those links are then found, and the pairs of a bucket that are still in
-    different components are all compared, so no link between banded candidates
-    is lost and a large group of near copies costs a comparison per member.
+    Every member is first compared with the likeliest hub of its buckets, once for
+    each of ``TURNS`` choices of hubs, and the components of the links are found.  Then the pairs of a bucket that are
+    still in different components and look alike are compared, so no link between
+    banded candidates is lost, and a large group of near copies mostly costs a
+    comparison per member and turn.
     """
     rows = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     return _with_ids(_linked(rows, size, percent, miss), rows)
@@ -213,34 +289,26 @@ def _linked(rows: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
     """(ord, n_shingles, component) of every row of (ord, text)."""
     base = stored(sketches(rows, size))
     some = base.filter("n_shingles > 0")
-    sets = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("ord", "signature")).alias("m"), F.count("*").alias("copies"))
-    reps = stored(sets.select("set_a", "set_b", "n_shingles", F.col("m.ord").alias("ord"), F.col("m.signature").alias("signature"), "copies"))
-
-    width = BAND_ROWS * 4
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 1 + i * width, width)) for i in range(BANDS)])
-    bands = reps.select("ord", "n_shingles", F.explode(keys).alias("band"))
-    hubs = settled(bands.groupBy("band").agg(F.min("ord").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub"))
-    members = stored(bands.join(hubs, "band"))
-
-    involved = members.select("ord").distinct()
-    full = stored(shingle_sets(rows.join(involved, "ord", "left_semi"), size))
-
-    star = members.filter("ord != hub").select(F.col("ord").alias("a"), F.col("hub").alias("b")).distinct()
-    tested = stored(bayes_prune(star, reps, percent, miss))
-    # the likeliest hub of each member first: most near copies are linked by one confirmation each
-    likeliest = tested.groupBy("a").agg(F.max_by("b", F.struct("likeness", "b")).alias("b"))
-    first = settled(confirm(likeliest, full, percent))
-    label = components(first)
-
-    tagged = members.join(label, members["ord"] == label["node"], "left").select("band", "ord", "n_shingles", F.coalesce("component", "ord").alias("component"))
+    sets = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("ord", "bands", "signature", *BITS)).alias("m"), F.count("*").alias("copies"))
+    reps = stored(sets.select("set_a", "set_b", "n_shingles", "m.*", "copies"))
+
+    banded = reps.select("ord", "n_shingles", *BITS, F.explode("bands").alias("band"))
+    crowded = settled(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"))
+    members = stored(banded.join(crowded, "band"))
+    full = stored(shingle_sets(rows.join(members.select("ord").distinct(), "ord", "left_semi"), size))
+
+    links = settled(confirm(bayes_prune(_likeliest_hubs(members, percent, miss), reps, percent, miss), full, percent))
+    label = components(links)
+
+    # what is left: pairs of one bucket in different components
+    tagged = _tagged(members, label)
     mixed = tagged.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
     apart = stored(tagged.join(mixed, "band", "left_semi"))
-    x = apart.select("band", F.col("ord").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
-    y = apart.select("band", F.col("ord").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"))
-    fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b"))
-    rest = x.join(y, "band").filter(fits).select("a", "b").distinct()
-    second = settled(confirm(bayes_prune(rest, reps, percent, miss).select("a", "b"), full, percent))
-    final = components(first.unionByName(second))
+    other = apart.select("band", *[F.col(c).alias(f"{c}_b") for c in ("ord", "n_shingles", "component", *BITS)])
+    rest = apart.join(other, "band").filter((F.col("ord") > F.col("ord_b")) & (F.col("component") != F.col("component_b")) & _alike(percent, miss))
+    rest = stored(rest.select(F.col("ord").alias("a"), F.col("ord_b").alias("b")).distinct())
+    last = settled(confirm(bayes_prune(rest, reps, percent, miss), full, percent))
+    final = components(links.unionByName(last))
 
     named = reps.join(final, reps["ord"] == final["node"], "left").withColumn("component", F.coalesce("component", "ord"))
     # a set of one row that is its own component needs no lookup

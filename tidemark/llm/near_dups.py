@@ -232,9 +232,33 @@ def _tagged(members: DataFrame, label: DataFrame) -> DataFrame:
     return members.join(label, members["ord"] == label["node"], "left").select(*members.columns, F.coalesce("component", "ord").alias("component"))
 
 
+def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Add ``common``, the number of shingles that some other candidate has too, and drop rows that it leaves unlinkable.
+
+    A row shares at most its common shingles with any other, and a union is no
+    smaller than the row, so too many shingles of its own rule every link out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            got = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+            for at_ in range(0, len(got), 200):
+                some = got[at_ : at_ + 200]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.array(np.repeat(ids[at_ : at_ + 200], [len(x) for x in some]))], ["shingle", "ord"])
+
+    listed = sets.select("ord", "shingles").mapInArrow(run, "shingle long, ord long")
+    own = listed.groupBy("shingle").agg(F.min("ord").alias("own_ord"), F.count("*").alias("n")).filter("n = 1").groupBy("own_ord").agg(F.count("*").alias("own"))
+    counted = members.join(own, members["ord"] == own["own_ord"], "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own_ord", "own")
+    return counted.filter(100 * F.col("common") >= percent * F.col("n_shingles"))
+
+
 def _alike(percent: int, miss: float) -> Column:
-    """Sizes that allow the similarity, and no more differing bits than it has but for the miss probability."""
-    return (100 * F.least("n_shingles", "n_shingles_b") >= percent * F.greatest("n_shingles", "n_shingles_b")) & (flips("_b") <= most_flips(percent, miss))
+    """Sizes and common shingles that allow the similarity, and no more differing bits than it has but for the miss probability."""
+    sizes = 100 * F.least("n_shingles", "n_shingles_b") >= percent * F.greatest("n_shingles", "n_shingles_b")
+    shared = F.least("common", "common_b")
+    room = 100 * shared >= percent * (F.col("n_shingles") + F.col("n_shingles_b") - shared)
+    return sizes & room & (flips("_b") <= most_flips(percent, miss))
 
 
 def _likeliest_hubs(members: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -244,7 +268,7 @@ def _likeliest_hubs(members: DataFrame, percent: int, miss: float) -> DataFrame:
     """
 
     def hub(turn: int) -> Column:
-        return F.min(F.struct(F.xxhash64(F.lit(turn), "ord").alias("h"), F.col("ord").alias("ord_b"), F.col("n_shingles").alias("n_shingles_b"), *[F.col(b).alias(f"{b}_b") for b in BITS])).alias("hub")
+        return F.min(F.struct(F.xxhash64(F.lit(turn), "ord").alias("h"), F.col("ord").alias("ord_b"), F.col("n_shingles").alias("n_shingles_b"), F.col("common").alias("common_b"), *[F.col(b).alias(f"{b}_b") for b in BITS])).alias("hub")
 
     picks = []
     for turn in range(TURNS):
@@ -272,7 +296,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     each of ``TURNS`` choices of hubs, and the components of the links are found.  Then the pairs of a bucket that are
     still in different components and look alike are compared, so no link between
     banded candidates is lost, and a large group of near copies mostly costs a
-    comparison per member and turn.
+    comparison per member and turn.  Rows with too many shingles of their own take
+    no part.
     """
     rows = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     return _with_ids(_linked(rows, size, percent, miss), rows)
@@ -297,6 +322,7 @@ def _linked(rows: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
     members = stored(banded.join(crowded, "band"))
     full = stored(shingle_sets(rows.join(members.select("ord").distinct(), "ord", "left_semi"), size))
 
+    members = stored(_linkable(members, full, percent))
     links = settled(confirm(bayes_prune(_likeliest_hubs(members, percent, miss), reps, percent, miss), full, percent))
     label = components(links)
 
@@ -304,7 +330,7 @@ def _linked(rows: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
     tagged = _tagged(members, label)
     mixed = tagged.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
     apart = stored(tagged.join(mixed, "band", "left_semi"))
-    other = apart.select("band", *[F.col(c).alias(f"{c}_b") for c in ("ord", "n_shingles", "component", *BITS)])
+    other = apart.select("band", *[F.col(c).alias(f"{c}_b") for c in ("ord", "n_shingles", "common", "component", *BITS)])
     rest = apart.join(other, "band").filter((F.col("ord") > F.col("ord_b")) & (F.col("component") != F.col("component_b")) & _alike(percent, miss))
     rest = stored(rest.select(F.col("ord").alias("a"), F.col("ord_b").alias("b")).distinct())
     last = settled(confirm(bayes_prune(rest, reps, percent, miss), full, percent))

@@ -208,6 +208,28 @@ def test_spans_and_scores(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_disjoint_toxic_vocabularies(spark):
+    # ten groups of toxic texts share no toxic word; the last one's words share only a beginning
+    rows, toxic = [], []
+    for i in range(600):
+        words = [f"{chr(97 + (i * 7 + k * 3) % 26)}{(i * 7919 + k * k * 31 + k) % 100003}" for k in range(40)]
+        toxic.append(int(i % 5 == 0))
+        if toxic[-1]:
+            group = i // 5 % 10
+            for n in range(2):
+                words.insert((i + 17 * n) % 37 + 1, f"foul{'abcdefghi'[group]}" if group < 9 else f"zorgul{i}{n}")
+        rows.append(" ".join(words))
+    df = docs(spark, rows)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    kept = {r.doc_id for r in df.filter(~toxicity.held_out(F.col("doc_id"))).collect()}
+    got = {r.doc_id: r for r in toxicity.score(df, toxicity.fit(df, labels)).collect()}
+    unseen = [i for i in range(600) if i not in kept]
+    assert {i // 5 % 10 for i in unseen if toxic[i]} == set(range(10))
+    assert [i for i in unseen if got[i].predicted != toxic[i]] == []
+    found = next(got[i] for i in unseen if toxic[i] and i // 5 % 10 == 9)
+    assert any(rows[found.doc_id][s.start : s.end].startswith("zorgul") for s in found.spans)
+
+
 PAGE = '<html><head><title>t</title></head><body><nav>menu</nav><div class="ad-box">buy</div><article><h1>Head &amp; {0}</h1><p>First <b>bold<br>line {0}<p>Second  &lt;x&gt;&nbsp;{0}<div class="promo">join</div><section id="comments"><p>no</p></section></article><footer>f</footer><script>var a="</p>";</script>'
 
 

@@ -1,14 +1,16 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
 Token labels are distilled from document labels: a word is offending where toxic
-training documents use it in many different contexts and clean ones hardly use
-it.  The chain learns weights of a word, its neighbours and the transitions;
+training documents use it in several contexts, significantly more often than
+clean ones; so is a beginning or ending that several such words share.  The chain
+learns weights of a word, its affix, its neighbours and the transitions;
 forward-backward gives each token's marginal probability, from which offending
 offsets and a calibrated document score follow.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,17 +26,22 @@ from . import arrowtext as at
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 600, 900, 200_000
 #: Words with weights of their own: those in at least this many training documents, the most frequent first.
 MIN_DOCS, VOCABULARY = 5, 5_000
-#: A word is offending in training if it is in this share of toxic documents and this many times likelier there.
-SEED_SHARE, SEED_ODDS = 0.12, 15
+#: A word is offending in training if it is in this many toxic documents, this many times likelier there than in clean
+#: ones, and passes a G-test with this expected share of false words (Benjamini and Hochberg).
+SEED_DOCS, SEED_ODDS, SEED_FALSE = 3, 15, 0.05
+#: Affixes of these many code points stand for words beside whole ones, if in this many different words.
+AFFIX_SIZES, AFFIX_WORDS = range(3, 9), 3
 #: Tokens of one chain; a longer sentence or text continues in another chain.
 CHAIN = 64
 FLAG = 0.5
 EPOCHS, RATE = 40, 0.2
 #: Penalties on the squared weights of a word itself and of its neighbours.
 PENALTY = np.array([[0.05], [2.0], [2.0]])
+AFFIX_PENALTY = 0.05
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+_BYTE = at.mix(np.arange(256))
 
 
 def held_out(id_col: Column) -> Column:
@@ -42,26 +49,76 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def tokens(text: pa.Array) -> tuple[np.ndarray, at.Words, np.ndarray, np.ndarray]:
-    """Hash per token of the lower-cased (A-Z) word without ASCII punctuation; the words; bytes and offsets."""
+def tokens(text: pa.Array) -> tuple[np.ndarray, at.Words, np.ndarray, np.ndarray, np.ndarray, at.Words]:
+    """Hash per token of the lower-cased (A-Z) word without ASCII punctuation; the words; bytes and offsets; bare bytes and their words."""
     data, offsets = at.flat(text)
     found = at.words(data, offsets)
     use = ~(at.space_mask(data) | _PUNCTUATION[data])
     total = np.r_[0, np.cumsum(use)]
     bare = at.lower_ascii(data)[use]
     spans = at.Words(total[found.start], total[found.end], found.doc, found.first)
-    return at.word_hashes(bare, spans) if len(found.start) else np.zeros(0, np.uint64), found, data, offsets
+    return at.word_hashes(bare, spans) if len(found.start) else np.zeros(0, np.uint64), found, data, offsets, bare, spans
+
+
+class _Affixes:
+    """Hashes of the beginnings and endings of all words, by differences of one running sum over the bytes."""
+
+    def __init__(self, bare: np.ndarray, spans: at.Words):
+        with np.errstate(over="ignore"):
+            self.total = np.r_[np.uint64(0), np.cumsum(_BYTE[bare] * _powers(0x9E3779B97F4A7C15, len(bare)), dtype=np.uint64)]
+        lead = (bare & 0xC0) != 0x80
+        self.place = np.r_[np.flatnonzero(lead), len(bare)]
+        before = np.r_[0, np.cumsum(lead)]
+        self.start, self.end = spans.start, spans.end
+        self.first, self.last = before[spans.start], before[spans.end]
+        self.back = _powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64), len(bare) + 1)
+
+    def hashes(self, size: int, ending: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Words longer than ``size`` code points, and the hashes of their affixes."""
+        long = np.flatnonzero(self.last - self.first > size)
+        start = self.place[self.last[long] - size] if ending else self.start[long]
+        end = self.end[long] if ending else self.place[self.first[long] + size]
+        with np.errstate(over="ignore"):
+            value = (self.total[end] - self.total[start]) * self.back[start]
+            return long, at.mix(value * np.uint64(32) + np.uint64(2 * size + ending))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    out = np.ones(max(n, 1), np.uint64)
+    done = 1
+    with np.errstate(over="ignore"):
+        while done < n:
+            step = min(done, n - done)
+            out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
+            done += step
+    return out[:n]
+
+
+def _affix_ids(affixes: np.ndarray, bare: np.ndarray, spans: at.Words) -> np.ndarray:
+    """Index of the longest known affix of every word, of equal ones the beginning; len(affixes) where none is known."""
+    out = np.full(len(spans.start), len(affixes))
+    if len(affixes) and len(out):
+        cut = _Affixes(bare, spans)
+        for size in AFFIX_SIZES:
+            for ending in (True, False):
+                long, h = cut.hashes(size, ending)
+                ids = _ids(affixes, h)
+                out[long[ids < len(affixes)]] = ids[ids < len(affixes)]
+    return out
 
 
 @dataclass
 class Model:
-    """Vocabulary hashes, sorted; weights of offending for word, word before and word after; transitions; calibration."""
+    """Vocabulary and affix hashes, sorted; weights of offending for word, word before, word after and affix; transitions; calibration."""
 
     words: np.ndarray
     weight: np.ndarray  # (3, len(words) + 1); the last column stands for unknown words
     bias: float
     transition: np.ndarray  # (2, 2) log weights from state to state
     calibration: np.ndarray  # constant, best marginal, log of expected offending tokens
+    affixes: np.ndarray
+    affix_weight: np.ndarray  # len(affixes) + 1; the last one stands for no known affix
 
 
 def _ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -140,36 +197,68 @@ def _document_features(p: np.ndarray, doc_first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(docs), best, np.log1p(np.bincount(doc, np.where(p > 0.05, p, 0), docs))], 1)
 
 
-def _offending_words(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Hashes of the words that stand for toxicity in the training documents."""
+def _significant(there: np.ndarray, elsewhere: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+    """Mask of the units that toxic documents hold so much more often that, by a G-test over all units, few are so by chance."""
+    tested = there + elsewhere >= SEED_DOCS
+    share = (n_bad + n_good) / (there[tested] + elsewhere[tested])
+    g = np.zeros(len(share))
+    for part, n in ((there, n_bad), (elsewhere, n_good)):
+        for k, all_k in ((part[tested], 1 / share), (n - part[tested], 1 - 1 / share)):
+            g += 2 * np.where(k > 0, k * np.log(np.maximum(k, 1) / np.maximum(n * all_k, 1e-300)), 0)
+    odds = ((there + 0.5) / (n_bad + 1)) / ((elsewhere + 0.5) / (n_good + 1))
+    p = np.array([math.erfc(math.sqrt(max(x, 0) / 2)) / 2 for x in g])
+    p[odds[tested] <= 1] = 1
+    ordered = np.sort(p)
+    good = np.flatnonzero(ordered <= SEED_FALSE * np.arange(1, len(p) + 1) / max(1, len(p)))
+    limit = ordered[good[-1]] if len(good) else -1.0
+    out = np.zeros(len(there), bool)
+    out[tested] = p <= limit
+    return out & (there >= SEED_DOCS) & (odds >= SEED_ODDS)
+
+
+def _offending(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray, bare: np.ndarray, spans: at.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and of the affixes of other words, that stand for toxicity in the training documents."""
     same = doc[1:] == doc[:-1]
     before, after = np.zeros_like(hashes), np.zeros_like(hashes)
     before[1:], after[:-1] = np.where(same, hashes[:-1], 0), np.where(same, hashes[1:], 0)
-    words, ids = np.unique(hashes, return_inverse=True)
-
-    def distinct(key: np.ndarray, use: np.ndarray) -> np.ndarray:
-        pair = np.unique(np.stack([ids[use].astype(np.uint64), key[use]], 1), axis=0)
-        return np.bincount(pair[:, 0].astype(np.int64), minlength=len(words))
-
     bad = toxic[doc] == 1
     with np.errstate(over="ignore"):
         context = at.mix(before * np.uint64(3) + at.mix(after))
-    # near copies of one document repeat a word in one context; such repetition is no evidence
-    there = np.minimum(distinct(doc.astype(np.uint64), bad), distinct(context, bad))
-    elsewhere = distinct(doc.astype(np.uint64), ~bad)
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
-    odds = ((there + 0.5) / (n_bad + 1)) / ((elsewhere + 0.5) / (n_good + 1))
-    return words[(there >= max(2, SEED_SHARE * n_bad)) & (odds >= SEED_ODDS)]
+
+    def seeds(units: np.ndarray, at_token: np.ndarray, least: int) -> np.ndarray:
+        words, ids = np.unique(units, return_inverse=True)
+
+        def distinct(key: np.ndarray, use: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                one = at.first_of(at.mix(at.mix(key[at_token][use]) + units[use]))
+            return np.bincount(ids[use][one], minlength=len(words))
+
+        # near copies of one document repeat a word in one context; such repetition is no evidence
+        there = np.minimum(distinct(doc, bad[at_token]), distinct(context, bad[at_token]))
+        use = _significant(there, distinct(doc, ~bad[at_token]), n_bad, n_good)
+        return words[use & (distinct(hashes, bad[at_token]) >= least)]
+
+    whole = seeds(hashes, np.arange(len(hashes)), 1)
+    rest = ~np.isin(hashes, whole)
+    cut = _Affixes(bare, spans)
+    affixes = [np.zeros(0, np.uint64)]
+    for size in AFFIX_SIZES:
+        for ending in (True, False):
+            long, h = cut.hashes(size, ending)
+            use = rest[long]
+            affixes.append(seeds(h[use], long[use], AFFIX_WORDS))
+    return whole, np.unique(np.concatenate(affixes))
 
 
 def train(text: pa.Array, toxic: np.ndarray) -> Model:
     """Fit chain and calibration on labelled texts; the sample is bounded by the caller."""
-    hashes, found, _, _ = tokens(text)
-    empty = Model(np.zeros(0, np.uint64), np.zeros((3, 1)), -8.0, np.zeros((2, 2)), np.array([-6.0, 0.0, 0.0]))
+    hashes, found, _, _, bare, spans = tokens(text)
+    empty = Model(np.zeros(0, np.uint64), np.zeros((3, 1)), -8.0, np.zeros((2, 2)), np.array([-6.0, 0.0, 0.0]), np.zeros(0, np.uint64), np.zeros(1))
     if len(hashes) == 0 or not toxic.any():
         return empty
     doc = found.doc
-    seeds = _offending_words(hashes, doc, toxic)
+    seeds, affixes = _offending(hashes, doc, toxic, bare, spans)
     words, ids = np.unique(hashes, return_inverse=True)
     pair = np.unique(np.stack([ids, doc], 1), axis=0)
     docs_with = np.bincount(pair[:, 0], minlength=len(words))
@@ -177,34 +266,35 @@ def train(text: pa.Array, toxic: np.ndarray) -> Model:
     often = often[np.argsort(-docs_with[often], kind="stable")][:VOCABULARY]
     vocabulary = np.unique(np.concatenate([words[often], seeds]))
     ids = _ids(vocabulary, hashes)
-    label = (np.isin(hashes, seeds) & (toxic[doc] == 1)).astype(np.float64)
+    affix = _affix_ids(affixes, bare, spans)
+    label = ((np.isin(hashes, seeds) | (affix < len(affixes))) & (toxic[doc] == 1)).astype(np.float64)
     features = _neighbours(ids, doc, len(vocabulary))
     chains = _Chains(found.first)
     # offending words start from their odds, so that a small sample is not explained by their neighbours
     weight = np.zeros((3, len(vocabulary) + 1))
     weight[0, _ids(vocabulary, seeds)] = 6.0
-    slots = [weight, np.array([-6.0]), np.zeros((2, 2))]
+    slots = [weight, np.array([-6.0]), np.zeros((2, 2)), np.r_[np.full(len(affixes), 6.0), 0.0]]
     squares = [np.full_like(s, 1.0) for s in slots]
     observed = np.zeros((2, 2))
     np.add.at(observed, (label[chains.inner].astype(int), label[chains.inner + 1].astype(int)), 1)
     for _ in range(EPOCHS):
-        w, b, a = slots
-        p, pairs = chains.marginals(w[0, features[0]] + w[1, features[1]] + w[2, features[2]] + b[0], a)
+        w, b, a, v = slots
+        p, pairs = chains.marginals(w[0, features[0]] + w[1, features[1]] + w[2, features[2]] + v[affix] + b[0], a)
         miss = label - p
-        gradient = [np.stack([np.bincount(features[k], miss, len(vocabulary) + 1) for k in range(3)]) - PENALTY * w, np.array([miss.sum()]), observed - pairs]
-        gradient[0][:, -1] = 0  # unknown words say nothing
+        gradient = [np.stack([np.bincount(features[k], miss, len(vocabulary) + 1) for k in range(3)]) - PENALTY * w, np.array([miss.sum()]), observed - pairs, np.bincount(affix, miss, len(affixes) + 1) - AFFIX_PENALTY * v]
+        gradient[0][:, -1] = gradient[3][-1] = 0  # unknown words and affixes say nothing
         for s, g, q in zip(slots, gradient, squares, strict=True):
             q += g * g
             s += RATE * g / np.sqrt(q)
-    w, b, a = slots
-    p, _ = chains.marginals(w[0, features[0]] + w[1, features[1]] + w[2, features[2]] + b[0], a)
+    w, b, a, v = slots
+    p, _ = chains.marginals(w[0, features[0]] + w[1, features[1]] + w[2, features[2]] + v[affix] + b[0], a)
     x = _document_features(p, found.first)
     c = np.zeros(3)
     for _ in range(50):  # Newton steps of a lightly penalised logistic regression
         z = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
         h = (x * (z * (1 - z))[:, None]).T @ x + np.diag([1e-3, 0.05, 0.05])
         c += np.linalg.solve(h, x.T @ (toxic - z) - np.array([1e-3, 0.05, 0.05]) * c)
-    return Model(vocabulary, w, float(b[0]), a, c)
+    return Model(vocabulary, w, float(b[0]), a, c, affixes, v)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -243,9 +333,10 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None, thresho
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part in at.slices(batches, "text"):
-            hashes, found, data, offsets = tokens(at.column(part, "text"))
+            hashes, found, data, offsets, bare, spans = tokens(at.column(part, "text"))
             f = _neighbours(_ids(m.words, hashes), found.doc, len(m.words))
-            p, _ = _Chains(found.first).marginals(m.weight[0, f[0]] + m.weight[1, f[1]] + m.weight[2, f[2]] + m.bias, m.transition)
+            affix = m.affix_weight[_affix_ids(m.affixes, bare, spans)]
+            p, _ = _Chains(found.first).marginals(m.weight[0, f[0]] + m.weight[1, f[1]] + m.weight[2, f[2]] + affix + m.bias, m.transition)
             value = 1 / (1 + np.exp(-np.clip(_document_features(p, found.first) @ m.calibration, -30, 30)))
             hit = np.flatnonzero(p >= FLAG)
             lead = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]

@@ -252,3 +252,16 @@ def test_templates_are_removed(spark, few, monkeypatch):
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
     assert got[4] == "story 4"
     assert got[99] == "Welcome to the site\nstory 99\nAll rights"
+
+
+def test_copies_are_no_template(spark):
+    page = "<body><div><p>Welcome to the site</p></div><article><h1>Head {0}</h1><p>story {0}</p></article></body>"
+    rows = [(k, "http://copies.org/same", page.format(0)) for k in range(20)] + [(k, None if k % 2 else "no address", page.format(0)) for k in range(20, 40)]
+    rows += [(k, f"http://mixed.org/{k}", page.format(k if k > 60 else 0).replace("<body>", f"<body class='c{k}'>")) for k in range(40, 70)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert {got[k] for k in range(61)} == {"Head 0\nstory 0"}
+    assert got[65] == "Head 65\nstory 65"
+    main = "<body><div><p>Welcome to the site</p></div><div><p>story {0}</p></div></body>"
+    rows = [(k, f"http://mixed.org/{k}", main.format(0 if k < 20 else k)) for k in range(30)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[3] == "story 0" and got[25] == "story 25"

@@ -1,15 +1,14 @@
 """Main text of web pages: semantic rules plus removal of site templates.
 
 Every block element of a page is hashed with all that is below it.  Spark counts
-in how many pages of a host each subtree occurs; subtrees that recur across most
-pages of their host are template and are deleted, wherever they stand.
+in how many different pages of a host each subtree occurs; subtrees that recur
+across most of them are template and are deleted, wherever they stand.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from .stable import settled
 from .url_rules import host_of
 
-#: A subtree is template if it occurs in at least this many pages of its host ...
+#: A subtree is template if it occurs in at least this many different pages of its host ...
 MIN_PAGES = 8
 #: ... and in at least this share of them.
 MIN_SHARE = 0.5
@@ -151,7 +150,7 @@ def _text_of(raw: str) -> str:
 
 
 def subtrees(root: _Node, host: str) -> Iterator[tuple[int, _Node]]:
-    """Hash, with the host in it, and node of every block element that holds text.  Inline elements count as part of their block."""
+    """Hash, with the host in it, and node of every block element that holds text, and last of the page.  Inline elements count as part of their block."""
     # children before parents, without recursion: nesting may be deep
     order, todo = [], [root]
     while todo:
@@ -173,7 +172,7 @@ def subtrees(root: _Node, host: str) -> Iterator[tuple[int, _Node]]:
                     some = True
         digest[id(node)] = xxhash.xxh3_64_hexdigest("\0".join(parts))
         texted[id(node)] = some
-        if some and node.block and node.name not in ("html", "body"):
+        if node is root or some and node.block and node.name not in ("html", "body"):
             yield xxhash.xxh3_64_intdigest(f"{host}\0{digest[id(node)]}") - (1 << 63), node
 
 
@@ -228,26 +227,26 @@ def main_text(root: _Node, deleted: set[int] | frozenset = frozenset()) -> str:
     return "\n".join(lines)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host_key, subtree, pages) summed over each batch; subtree 0 counts the host's pages."""
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host_key, subtree, page): the subtrees of every page, which is known by the hash of its whole tree; subtree 0 stands for the page itself."""
     for batch in batches:
-        counted: Counter = Counter()
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        rows = []
+        for host, page in dict.fromkeys(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             key = xxhash.xxh3_64_intdigest(host) - (1 << 63)
-            counted[key, 0] += 1
-            counted.update((key, k) for k in {k for k, _ in subtrees(parse(page or ""), host)})
-        keys = list(counted)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(counted.values(), pa.int64())], ["host_key", "subtree", "pages"])
+            *below, whole = [k for k, _ in subtrees(parse(page or ""), host)]
+            rows += [(key, k, whole) for k in {0, *below}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["host_key", "subtree", "page"])
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host_key, subtree): subtrees found in many pages of their host.
 
-    A host has at most as many of them as its pages have subtrees on average,
+    Pages of equal structure and text count once, so copies of a page do not
+    make it a template.  Pages without host are no site and have no templates.  A host has at most as many of them as its pages have subtrees on average,
     divided by ``min_share``.
     """
-    hosted = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    counts = hosted.mapInArrow(_counts, "host_key long, subtree long, pages long").groupBy("host_key", "subtree").agg(F.sum("pages").alias("pages"))
+    hosted = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html")).filter("host != ''")
+    counts = hosted.mapInArrow(_found, "host_key long, subtree long, page long").distinct().groupBy("host_key", "subtree").agg(F.count("*").alias("pages"))
     many = settled(counts.filter(F.col("pages") >= min_pages))
     hosts = many.filter("subtree = 0").select("host_key", F.col("pages").alias("host_pages"))
     return many.filter("subtree != 0").join(hosts, "host_key").filter(F.col("pages") >= min_share * F.col("host_pages")).select("host_key", "subtree")
@@ -256,8 +255,8 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
 def extract(pages: DataFrame, carry: list[str] | None = None, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """text and n_chars of every row, beside the ``carry`` columns (all but the page by default).
 
-    Null or empty pages give an empty text; pages without host share the empty
-    host.  Rows stay as they are, repeated ones and equal ids included; carried
+    Null or empty pages give an empty text; pages without host lose no templates.
+    Rows stay as they are, repeated ones and equal ids included; carried
     columns named like a result are replaced; an empty table gives an empty
     result.  Whole pages are parsed, whatever their length.
     """

@@ -265,3 +265,21 @@ def test_copies_are_no_template(spark):
     rows = [(k, f"http://mixed.org/{k}", main.format(0 if k < 20 else k)) for k in range(30)]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
     assert got[3] == "story 0" and got[25] == "story 25"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class='layout with-sidebar'><p>crumb</p><article><p>The story</p></article><div class='sidebar'>links</div></div>", "The story"),
+        ("<div class='sidebar-layout'><article><p>The story</p><div class='ad'>buy</div></article></div><p>(c)</p>", "The story"),
+        ("<article class='post no-comments'><p>The story</p></article>", "The story"),
+        ("<div id='banner'><article class='post'><p>The story</p></article></div><article><p>A tip</p></article>", "The story\nA tip"),
+        ("<main class='comments-open'><p>The story</p></main>", "The story"),
+        ("<div>A long enough story</div><div class='related'><article>Other</article></div>", "A long enough story"),
+        ("<div>Story</div><div id='comments'><article class='comment'>I do not agree at all</article></div>", "Story"),
+        ("<article>The story</article><article class='comment'>No</article>", "The story"),
+        ("<article class='ad' hidden>buy this now</article><p>Story</p>", "Story"),
+    ],
+)
+def test_marks_spare_the_article(page, text):
+    assert html_text.main_text(html_text.parse(f"<html><body>{page}</body></html>")) == text

@@ -51,6 +51,8 @@ MARKS = frozenset(
     "sidebar sidebars aside nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc header masthead topbar footer bottombar copyright colophon complementary contentinfo search toolbar "
     "comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget widgets".split()
 )
+#: Words before a mark that make it tell of the page's layout: the element is not itself what is marked.
+QUALIFIERS = frozenset("no non not without with has had hide hidden".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -58,19 +60,28 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
-def _dropped(name: str, attributes: str) -> bool:
+def _is_marked(value: str) -> bool:
+    for token in value.split():
+        parts = [p.lower() for p in _PART.findall(token)]
+        if any(p in MARKS and not QUALIFIERS.intersection(parts[:k]) for k, p in enumerate(parts)):
+            return True
+    return False
+
+
+def _dropped(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is dropped, and whether only for its marks."""
     if name in DROPPED:
-        return True
+        return True, False
     if not attributes or name in ("html", "body"):
-        return False
+        return False, False
+    marked = False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id", "role"):
-            if any(p.lower() in MARKS for p in _PART.findall(value)):
-                return True
+            marked = marked or _is_marked(value)
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return True
-    return False
+            return True, False
+    return marked, marked
 
 
 def _is_article(name: str, attributes: str) -> bool:
@@ -80,10 +91,10 @@ def _is_article(name: str, attributes: str) -> bool:
 
 
 class _Node:
-    __slots__ = ("name", "drop", "article", "main", "items", "block")
+    __slots__ = ("name", "drop", "marked", "article", "main", "items", "block")
 
-    def __init__(self, name: str, drop: bool = False, article: bool = False, main: bool = False):
-        self.name, self.drop, self.article, self.main = name, drop, article, main
+    def __init__(self, name: str, drop: bool = False, marked: bool = False, article: bool = False, main: bool = False):
+        self.name, self.drop, self.marked, self.article, self.main = name, drop, marked, article, main
         self.block = name in BLOCK
         self.items: list = []
 
@@ -132,7 +143,7 @@ def parse(page: str) -> _Node:
                 close_to(names, stop)
                 if len(stack) == before:
                     break
-        node = _Node(name, _dropped(name, m[3]), _is_article(name, m[3]), name == "main" or 'role="main"' in m[3])
+        node = _Node(name, *_dropped(name, m[3]), _is_article(name, m[3]), name == "main" or 'role="main"' in m[3])
         stack[-1].items.append(node)
         if name in VOID or m[3].endswith("/") and name not in BLOCK and name not in RAW:
             continue
@@ -180,51 +191,66 @@ def main_text(root: _Node, deleted: set[int] | frozenset = frozenset()) -> str:
     """Blocks of the article, one a line.  ``deleted`` holds the ids of template nodes.
 
     The article is the outermost <article> elements (or those marked as article
-    body), else <main>, else the whole page.
+    body), else <main>, else the whole page.  Marks on such an element or around it
+    give way where it holds more text than all that the marks leave.
     """
 
-    def inside(test) -> list[_Node]:
-        got, todo = [], [root]
+    def inside(test) -> tuple[list[_Node], list[_Node]]:
+        """Outermost nodes of the test in the order of the page, and those of them that only marks drop."""
+        got, behind, todo = [], [], [(root, 0)]
         while todo:
-            node = todo.pop()
-            if node.drop or id(node) in deleted:
+            node, marks = todo.pop()
+            if node.drop and not node.marked or id(node) in deleted:
                 continue
-            if test(node):
+            marks += node.marked
+            if not test(node):
+                todo.extend((x, marks) for x in reversed(node.items) if isinstance(x, _Node))
+            elif not (node.marked and marks > 1):
+                # one that is marked below another mark, as a comment among comments, is not the article
                 got.append(node)
-            else:
-                todo.extend(x for x in reversed(node.items) if isinstance(x, _Node))
-        return got
-
-    tops = inside(lambda n: n.article) or inside(lambda n: n.main) or [root]
-    lines: list[str] = []
-    buffer: list[str] = []
-
-    def flush() -> None:
-        line = " ".join("".join(buffer).split())
-        buffer.clear()
-        if line:
-            lines.append(line)
-
-    for top in tops:
-        todo: list = [top]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                buffer.append(_text_of(x))
-            elif x is None:
-                flush()
-            elif x.drop or id(x) in deleted:
-                if x.block:
-                    flush()
-            elif x.name in ("br", "wbr"):
-                buffer.append(" " if x.name == "br" else "")
-            else:
-                if x.block:
+                if marks:
+                    behind.append(node)
+        return got, behind
+
+    def lines_of(tops: list[_Node]) -> str:
+        lines: list[str] = []
+        buffer: list[str] = []
+
+        def flush() -> None:
+            line = " ".join("".join(buffer).split())
+            buffer.clear()
+            if line:
+                lines.append(line)
+
+        for top in tops:
+            todo: list = top.items[::-1]
+            while todo:
+                x = todo.pop()
+                if isinstance(x, str):
+                    buffer.append(_text_of(x))
+                elif x is None:
                     flush()
-                    todo.append(None)
-                todo.extend(reversed(x.items))
-        flush()
-    return "\n".join(lines)
+                elif x.drop or id(x) in deleted:
+                    if x.block:
+                        flush()
+                elif x.name in ("br", "wbr"):
+                    buffer.append(" " if x.name == "br" else "")
+                else:
+                    if x.block:
+                        flush()
+                        todo.append(None)
+                    todo.extend(reversed(x.items))
+            flush()
+        return "\n".join(lines)
+
+    articles, mains = inside(lambda n: n.article), inside(lambda n: n.main)
+    plain = [[n for n in got if n not in behind] for got, behind in (articles, mains)]
+    text = lines_of(plain[0] or plain[1] or [root])
+    for (got, behind), seen in zip((articles, mains), plain, strict=True):
+        spared = [n for n in behind if len(lines_of([n])) > len(text)]
+        if spared:
+            return lines_of([n for n in got if n in seen or n in spared])
+    return text
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,6 +40,16 @@ def test_map_versions(spark, tmp_path):
         sharding.save_map(spark, second, 2, str(tmp_path))
 
 
+def test_rows_follow_the_stored_map(spark, tmp_path):
+    df, path = docs(spark, [passage(30 + k % 50, k) for k in range(300)]), str(tmp_path / "maps")
+    for versions in ([1, 2], [1, 2, 3]):
+        got = sharding.shard_documents(df, 6, map_path=path).collect()
+        stored = sharding.load_map(spark, path, versions[-1])
+        assert {r[0] for r in spark.read.parquet(path).select("version").distinct().collect()} == set(versions)
+        assert {r.map_version for r in got} == {versions[-1]} and all(stored[r.virtual_slot] == r.shard for r in got)
+    assert {r.map_version for r in sharding.shard_documents(df, 6).collect()} == {2}
+
+
 def mixed_rows(spark, n=400):
     rows = [(k, passage(5 + k * 7 % 90, k), "en", None if k % 7 == 0 else f"s{k % 3}", 0) for k in range(n)]
     return spark.createDataFrame([*rows, (None, None, None, None, None), (None, "x y", "en", "s1", 3)], DOCS)

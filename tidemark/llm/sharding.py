@@ -7,9 +7,13 @@ which slots move from heavy shards to light ones.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stable import shared_folder
+
 VIRTUAL_SLOTS = 4096
 
 
@@ -112,9 +116,9 @@ def map_table(spark: SparkSession, versions: dict[int, dict[int, int]]) -> DataF
     """Versions of the map as one table (version, virtual_slot, shard)."""
     frames = []
     for version, assignment in sorted(versions.items()):
-        ordered = [assignment[s] for s in range(len(assignment))]
-        shards = F.from_json(F.lit(str(ordered)), "array<int>")
-        frames.append(spark.range(1).select(F.lit(version).alias("version"), F.posexplode(shards).alias("virtual_slot", "shard")))
+        pairs = F.from_json(F.lit(str([[s, shard] for s, shard in sorted(assignment.items())])), "array<array<int>>")
+        pair = spark.range(1).select(F.explode(pairs).alias("pair"))
+        frames.append(pair.select(F.lit(version).alias("version"), F.col("pair")[0].alias("virtual_slot"), F.col("pair")[1].alias("shard")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -131,6 +135,16 @@ def load_map(spark: SparkSession, path: str, version: int) -> dict[int, int]:
     return {r[0]: r[1] for r in spark.read.parquet(f"{path}/version={version}").select("virtual_slot", "shard").collect()}
 
 
+def _stored(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The highest stored version."""
+    return spark.read.parquet(path).agg(F.max("version")).first()[0]
+
+
 def place(rows: DataFrame, assignment: dict[int, int], order_cols: list[str], slot_col: str = "virtual_slot") -> DataFrame:
     """Add ``shard`` and ``slot``, the row's place in its shard counted from 0 without gaps.
 
@@ -150,18 +164,26 @@ def place(rows: DataFrame, assignment: dict[int, int], order_cols: list[str], sl
     return placed.withColumn("slot", (F.col("__start") + F.col("__rank") - 1).cast("long")).drop("__vs", "__start", "__rank")
 
 
-def shard_documents(docs: DataFrame, shards: int, slots: int = VIRTUAL_SLOTS, assignment: dict[int, int] | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int, slots: int = VIRTUAL_SLOTS, assignment: dict[int, int] | None = None, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version of every document.
 
     Size is the text's UTF-8 bytes (null: none) plus 16.  The law is ``bytes``:
-    version 2 of the map evens out the bytes measured under version 1 (or under
-    the given ``assignment``).  Documents are hashed by id and text, so null ids
+    the next version of the map evens out the bytes measured under version 1 (or under
+    the given ``assignment``).  Both versions are stored in ``map_path``, by default
+    a fresh folder of the shared one, and rows are placed by the latest version read
+    back from there; a folder that holds versions gets the next one, edited from
+    its latest.  Documents are hashed by id and text, so null ids
     spread; rows equal in both share a slot.  An empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
     rows = with_virtual_slot(rows, ["doc_id", "text_crc32", "size"], slots)
     weights = {r[0]: r[1] for r in slot_bytes(rows).select("virtual_slot", "slot_bytes").collect()}  # at most `slots` rows
-    edited = rebalanced(assignment or first_map(docs.sparkSession, shards, slots), weights, shards)
-    placed = place(rows, edited, ["doc_id", "text_crc32", "size"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(2).alias("map_version"))
+    spark, path = docs.sparkSession, map_path or f"{shared_folder(docs).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
+    if not _stored(spark, path):
+        save_map(spark, assignment or first_map(spark, shards, slots), 1, path)
+    before = latest_version(spark, path)
+    save_map(spark, rebalanced(load_map(spark, path, before), weights, shards), before + 1, path)
+    version = latest_version(spark, path)
+    placed = place(rows, load_map(spark, path, version), ["doc_id", "text_crc32", "size"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"))

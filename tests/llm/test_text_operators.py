@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -138,7 +139,11 @@ def components(texts, size, percent):
     return [(i, len(s), find(i), find(i) == i) for i, s in enumerate(sets)]
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("crowd, block", [(near_dups.CROWD, near_dups.BLOCK), (1, 3), (3, 512)])
+def test_near_duplicates_match_brute_force(spark, crowd, block, monkeypatch):
+    monkeypatch.setattr(near_dups, "CROWD", crowd)
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(near_dups, "TURNS", 1)
     base = passage(200, 21).split()
     chain = [" ".join(base[k : k + 160]) for k in range(0, 40, 8)]  # neighbours alike, ends not
     edited = [" ".join([*base[:k], "edit", *base[k + 1 :]]) for k in range(0, 200, 17)]
@@ -155,6 +160,34 @@ def test_near_duplicates_with_odd_ids(spark):
     kept = near_dups.drop_near_duplicates(df)
     assert kept.columns == df.columns and kept.count() == 3
     assert near_dups.near_duplicates(df.limit(0)).count() == 0
+    named = df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).withColumn("kept", F.lit("mine")).withColumn("__ord", F.lit(1))
+    assert near_dups.near_duplicates(named).filter("kept").count() == 3
+    kept = near_dups.drop_near_duplicates(named.drop("__ord"))
+    assert kept.columns == named.columns[:-1] and [r.kept for r in kept.collect()] == ["mine"] * 3
+
+
+def test_crowded_buckets_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "CROWD", 8)
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    base = passage(100, 77).split()
+
+    def edited(k):
+        out = list(base)
+        for e in range(1 + k % 4):
+            out[(k * 37 + e * 29) % 100] = f"e{k}x{e}"
+        return " ".join(out)
+
+    texts = [edited(k) for k in range(90)]
+    got = sorted(tuple(r) for r in near_dups.near_duplicates(docs(spark, texts), size=4).collect())
+    want = components(texts, 4, 80)
+    assert got == want and 1 < len({c for _, _, c, _ in want}) < 60
+
+
+def test_intersections_by_products():
+    sets = [np.unique(np.array([(k * j * 7919) % (40 + k) for j in range(60)], np.uint64)) for k in range(12)]
+    for width in (3, 8192):
+        got = near_dups._common_counts(sets[:5], sets[5:], width)
+        assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[5:]] for x in sets[:5]]
 
 
 def test_bayesian_bounds():

@@ -30,6 +30,10 @@ BATCH = 32
 MISS = 1e-6
 #: Hubs, one per bucket and turn, of which every member is compared with the likeliest.
 TURNS = 2
+#: Buckets of more members than this are compared as blocks of signatures and sets, not as rows of pairs ...
+CROWD = 64
+#: ... of this weight; a member weighs 1, and 1 more for each 1000 of its shingles.
+BLOCK = 512
 BITS = ("bits0", "bits1", "bits2")
 
 _RNG = np.random.default_rng(812)
@@ -184,6 +188,16 @@ def flips(other: str) -> Column:
     return parts[0] + parts[1] + parts[2]
 
 
+def _agreeing(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, bounds: tuple[int, ...]) -> np.ndarray:
+    """Places of the pairs of rows (i, j) of two signature matrices that no batch rules out."""
+    alive, matches = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for k, least in enumerate(bounds):
+        span = slice(k * BATCH, (k + 1) * BATCH)
+        matches[alive] += (left[i[alive], span] == right[j[alive], span]).sum(1)
+        alive = alive[matches[alive] >= least]
+    return alive
+
+
 def bayes_prune(pairs: DataFrame, sketch: DataFrame, percent: int, miss: float) -> DataFrame:
     """The (a, b) of ``pairs`` that no batch rules out."""
     bounds = least_matches(percent, miss)
@@ -193,13 +207,8 @@ def bayes_prune(pairs: DataFrame, sketch: DataFrame, percent: int, miss: float)
             if part.num_rows == 0:
                 continue
             left, right = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, HASHES) for i in (2, 3))
-            alive = np.arange(part.num_rows)
-            matches = np.zeros(part.num_rows, np.int64)
-            for k, least in enumerate(bounds):
-                span = slice(k * BATCH, (k + 1) * BATCH)
-                matches[alive] += (left[alive, span] == right[alive, span]).sum(1)
-                alive = alive[matches[alive] >= least]
-            keep = pa.array(alive)
+            rows = np.arange(part.num_rows)
+            keep = pa.array(_agreeing(left, right, rows, rows, bounds))
             yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep)], ["a", "b"])
 
     one = sketch.select(F.col("ord").alias("a"), F.col("signature").alias("left"))
@@ -282,13 +291,95 @@ def _likeliest_hubs(members: DataFrame, percent: int, miss: float) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right set: products of incidence matrices, ``width`` shared shingles at a time."""
+    both = np.intersect1d(*(np.unique(np.concatenate(side)) for side in (left, right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(both), width):
+        some = both[low : low + width]
+        grids = []
+        for side in (left, right):
+            grid = np.zeros((len(side), len(some)), np.float32)
+            for row, held in enumerate(side):
+                held = held[np.searchsorted(held, some[0]) : np.searchsorted(held, some[-1], "right")]
+                at_ = np.searchsorted(some, held)
+                grid[row, at_[some[at_] == held]] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(cell: pa.Table, percent: int, bounds: tuple[int, ...]) -> pa.Table:
+    """Confirmed links between components of one cell, as few as join them: batches first, then the full sets."""
+    cell = cell.combine_chunks()
+    own, ord_, n, common, component = (cell.column(c).to_numpy() for c in ("own", "ord", "n_shingles", "common", "component"))
+    sides = [np.flatnonzero(own == cell.column(c)[0].as_py()) for c in ("low", "high")]
+    values = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
+    a, b = sides
+    least, most = np.minimum(n[a][:, None], n[b]), np.maximum(n[a][:, None], n[b])
+    shared = np.minimum(common[a][:, None], common[b])
+    able = (component[a][:, None] != component[b]) & (100 * least >= percent * most) & (100 * shared >= percent * (least + most - shared))
+    if len(a) and len(b) and a[0] == b[0]:
+        able = np.triu(able, 1)
+    i, j = np.nonzero(able)
+    left, right = values[a], values[b]
+    alive = np.concatenate([k + _agreeing(left, right, i[k : k + 65536], j[k : k + 65536], bounds) for k in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
+    i, j = i[alive], j[alive]
+    pairs = []
+    if len(i):
+        sets = cell.column("shingles").combine_chunks()
+        of = lambda side, used: [np.frombuffer(sets[int(x)].as_buffer(), np.uint64) for x in side[used]]
+        (used_a, at_a), (used_b, at_b) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+        both = _common_counts(of(a, used_a), of(b, used_b))[at_a, at_b]
+        good = 100 * both >= percent * (n[a[i]] + n[b[j]] - both)
+        x, y = a[i[good]], b[j[good]]
+        _, first = np.unique(np.stack([component[x], component[y]]), axis=1, return_index=True)
+        root: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while (up := root.get(k, k)) != k:
+                root[k] = root.get(up, up)
+                k = up
+            return k
+
+        for p, q in zip(x[first].tolist(), y[first].tolist(), strict=True):
+            s, t = find(int(component[p])), find(int(component[q]))
+            if s != t:
+                root[max(s, t)] = min(s, t)
+                pairs.append((max(ord_[p], ord_[q]), min(ord_[p], ord_[q])))
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def _block_pairs(crowd: DataFrame, reps: DataFrame, full: DataFrame, percent: int, miss: float) -> DataFrame:
+    """(a, b): links that join the components which meet in crowded buckets.
+
+    A bucket's members outside its largest component are dealt into blocks by
+    hash, and so are those inside.  A cell is two blocks, of which one at least
+    lies outside, and is compared by one task, as no pair inside a component
+    matters.  Pairs that are no links never become rows.
+    """
+    held = crowd.groupBy("band", "component").agg(F.count("*").alias("n"))
+    largest = held.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    outer = (F.col("component") != F.col("largest")).alias("outer")
+    sided = crowd.join(largest, "band").select(*crowd.columns, outer)
+    dealt = sided.groupBy("band").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, 1 + F.col("n_shingles") / 1000)) / BLOCK)).cast("int").alias(c) for c, side in (("outers", F.col("outer")), ("inners", ~F.col("outer")))])
+    at_ = F.xxhash64(F.lit("block"), "ord")
+    own = F.when(F.col("outer"), F.pmod(at_, F.col("outers"))).otherwise(F.col("outers") + F.pmod(at_, F.col("inners"))).cast("int")
+    rows = sided.join(dealt, "band").withColumn("own", own)
+    rows = rows.join(reps.select("ord", "signature"), "ord").join(full, "ord")
+    met = F.sequence(F.lit(0), F.col("outers") - 1 + F.when(F.col("outer"), F.col("inners")).otherwise(0))
+    cells = rows.withColumn("other", F.explode(met)).select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "ord", "n_shingles", "common", "component", "signature", "shingles")
+    bounds = least_matches(percent, miss)
+    return cells.groupBy("band", "low", "high").applyInArrow(lambda cell: _block_links(cell, percent, bounds), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Words are lower-cased (A-Z) runs without white space; a text of fewer than
     ``size`` words is one shingle; an empty or null text has the empty set and is
     linked with nothing.  ``component_id`` is the smallest doc_id of the
-    component.  Rows with equal or null ids are rows of their own, ordered by id
+    component, of any type.  Rows with equal or null ids are rows of their own, ordered by id
     (null first) and a hash of the text; exactly one row of a component is kept.
     An empty table gives an empty result; other columns are ignored.
 
@@ -296,18 +387,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     each of ``TURNS`` choices of hubs, and the components of the links are found.  Then the pairs of a bucket that are
     still in different components and look alike are compared, so no link between
     banded candidates is lost, and a large group of near copies mostly costs a
-    comparison per member and turn.  Rows with too many shingles of their own take
-    no part.
+    comparison per member and turn.  Buckets of more than ``CROWD`` members are
+    compared as blocks of signatures and sets inside tasks: work grows with the
+    members outside the bucket's largest component times all members, rows do not.
+    Buckets of the same members count once.  Rows with too many shingles of their
+    own take no part.
     """
     rows = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     return _with_ids(_linked(rows, size, percent, miss), rows)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """The rows of ``docs`` but for those that ``near_duplicates`` does not keep, with all their columns."""
-    rows = numbered(docs, name="__ord")
-    linked = _linked(rows.select(F.col("__ord").alias("ord"), F.col("text").cast("string").alias("text")), size, percent, miss)
-    return rows.join(linked.filter("ord != component").select(F.col("ord").alias("__ord")), "__ord", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` but for those that ``near_duplicates`` does not keep, with all their columns, whatever these are called.
+
+    Rows without words are linked with nothing and stay; an empty table stays empty.
+    """
+    rows = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    linked = _linked(rows.select("ord", "text"), size, percent, miss)
+    return rows.join(linked.filter("ord != component").select("ord"), "ord", "left_anti").select("row.*")
 
 
 def _linked(rows: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
@@ -318,7 +415,9 @@ def _linked(rows: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
     reps = stored(sets.select("set_a", "set_b", "n_shingles", "m.*", "copies"))
 
     banded = reps.select("ord", "n_shingles", *BITS, F.explode("bands").alias("band"))
-    crowded = settled(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"))
+    who = [F.bit_xor(F.xxhash64(F.lit(k), "ord")).alias(f"who{k}") for k in (1, 2)]
+    crowded = banded.groupBy("band").agg(F.count("*").alias("n"), *who).filter("n > 1")
+    crowded = settled(crowded.groupBy("n", "who1", "who2").agg(F.min("band").alias("band")).select("band"))
     members = stored(banded.join(crowded, "band"))
     full = stored(shingle_sets(rows.join(members.select("ord").distinct(), "ord", "left_semi"), size))
 
@@ -328,12 +427,14 @@ def _linked(rows: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
 
     # what is left: pairs of one bucket in different components
     tagged = _tagged(members, label)
-    mixed = tagged.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    apart = stored(tagged.join(mixed, "band", "left_semi"))
+    mixed = tagged.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
+    apart = stored(tagged.join(mixed.select("band", (F.col("n") > CROWD).alias("crowd")), "band"))
+    joined = _block_pairs(apart.filter("crowd").select("band", "ord", "n_shingles", "common", "component"), reps, full, percent, miss)
+    apart = apart.filter("NOT crowd").drop("crowd")
     other = apart.select("band", *[F.col(c).alias(f"{c}_b") for c in ("ord", "n_shingles", "common", "component", *BITS)])
     rest = apart.join(other, "band").filter((F.col("ord") > F.col("ord_b")) & (F.col("component") != F.col("component_b")) & _alike(percent, miss))
     rest = stored(rest.select(F.col("ord").alias("a"), F.col("ord_b").alias("b")).distinct())
-    last = settled(confirm(bayes_prune(rest, reps, percent, miss), full, percent))
+    last = settled(confirm(bayes_prune(rest, reps, percent, miss), full, percent).unionByName(joined))
     final = components(links.unionByName(last))
 
     named = reps.join(final, reps["ord"] == final["node"], "left").withColumn("component", F.coalesce("component", "ord"))
@@ -345,7 +446,7 @@ def _linked(rows: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
 
 def _with_ids(out: DataFrame, rows: DataFrame) -> DataFrame:
     ids = rows.select(F.col("ord").alias("o"), "doc_id")
-    if ids.filter("doc_id IS NULL OR doc_id != o").limit(1).count() == 0:
+    if ids.filter(F.col("doc_id").isNull() | (F.col("doc_id").cast("string") != F.col("o").cast("string"))).limit(1).count() == 0:
         return out.select(F.col("ord").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("ord") == F.col("component")).alias("kept"))
     first = ids.select(F.col("o").alias("c"), F.col("doc_id").alias("component_id"))
     out = out.join(ids, out["ord"] == ids["o"]).join(first, F.col("component") == F.col("c"))

@@ -7,14 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(df: DataFrame) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, as in local tests."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset on one machine, as in local tests."""
     context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder:
         return folder
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
@@ -36,13 +39,13 @@ def stored(df: DataFrame) -> DataFrame:
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "ord") -> DataFrame:
     """Add a unique long ``name`` that ascends with the id.
 
-    Where ids are unique and not null it is the id itself.  Otherwise rows are
-    numbered in the order of id (null first) and a hash of the text, and stored,
-    so that later reads agree.
+    Where ids are integers, unique and not null it is the id itself.  Otherwise
+    rows are numbered in the order of id (null first) and a hash of the text, and
+    stored, so that later reads agree.
     """
     ids = docs.select(F.col(f"`{id_col}`").alias("id"))
-    odd = ids.groupBy("id").count().filter("id IS NULL OR count > 1")
-    if odd.limit(1).count() == 0:
+    whole = isinstance(ids.schema["id"].dataType, T.IntegralType)
+    if whole and ids.groupBy("id").count().filter("id IS NULL OR count > 1").limit(1).count() == 0:
         return docs.withColumn(name, F.col(f"`{id_col}`").cast("long"))
     ordered = docs.orderBy(F.col(f"`{id_col}`").asc_nulls_first(), F.xxhash64(F.col(f"`{text_col}`").cast("string")))
     return stored(ordered.withColumn(name, F.monotonically_increasing_id()))

@@ -16,8 +16,9 @@ from .stable import settled
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranks are first summed in this many buckets per source; only the bucket in which a source fills up is ordered row by row.
 RANK_BUCKETS = 4096
-#: Documents of different sizes that may be added to a source, each the nearest to what is left of its target.
-CLOSINGS = 4
+#: What is left of a source's target once its ranks are filled is closed by documents further down: they are classed by the
+#: logarithm of their size, and of each class so many of the lowest ranks may be taken.
+CLASSES, CLASS_RANKS = 4, 8
 #: Tables with one row per source are broadcast up to this many sources.
 BROADCAST_SOURCES = 20_000
 
@@ -56,31 +57,64 @@ def _on_source(rows: DataFrame, table: DataFrame, few: bool, how: str = "inner")
     return rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("__s")), how).drop("__s")
 
 
+_UNIT = "struct<rank:double,u:double,size:bigint,weight:double,words:bigint>"
+
+
 def _closing(candidates: Column, left: Column) -> Column:
-    """Up to CLOSINGS units of different sizes, each the nearest to what is left once the ones before it are taken."""
-    item = "struct<miss:double,rank:double,u:double,size:bigint,weight:double,words:bigint>"
-    start = F.struct(left.cast("double").alias("left"), F.array().cast(f"array<{item}>").alias("chosen"))
+    """Units that still fit, in the order of their ranks; last the one that then narrows what is left most."""
+    start = F.struct(left.cast("double").alias("left"), F.array().cast(f"array<{_UNIT}>").alias("chosen"))
+
+    def take(acc: Column, c: Column) -> Column:
+        fits = c["words"] <= acc["left"]
+        return F.struct(F.when(fits, acc["left"] - c["words"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(acc["chosen"], F.array(c))).otherwise(acc["chosen"]).alias("chosen"))
+
+    def finish(acc: Column) -> Column:
+        usable = F.filter(candidates, lambda c: (F.abs(acc["left"] - c["words"]) < acc["left"]) & ~F.array_contains(acc["chosen"], c))
+        best = F.array_min(F.transform(usable, lambda c: F.struct(F.abs(acc["left"] - c["words"]).alias("miss"), c.alias("unit"))))
+        return F.when(best.isNull(), acc["chosen"]).otherwise(F.concat(acc["chosen"], F.array(best["unit"])))
+
+    return F.aggregate(candidates, start, take, finish)
+
 
-    def step(acc: Column, _: Column) -> Column:
-        usable = F.filter(candidates, lambda c: (F.abs(acc["left"] - c["words"]) < acc["left"]) & ~F.exists(acc["chosen"], lambda x: x["words"] == c["words"]))
-        best = F.array_min(F.transform(usable, lambda c: F.struct(F.abs(acc["left"] - c["words"]).alias("miss"), c["rank"].alias("rank"), c["u"].alias("u"), c["size"].alias("size"), c["weight"].alias("weight"), c["words"].alias("words"))))
-        return F.struct(F.when(best.isNull(), acc["left"]).otherwise(acc["left"] - best["words"]).alias("left"), F.when(best.isNull(), acc["chosen"]).otherwise(F.concat(acc["chosen"], F.array(best))).alias("chosen"))
+def length_weight(size: Column) -> Column:
+    """Likelier inclusion of longer documents: 1 below 100 words, 1.5 below 500, then 2."""
+    return F.when(size >= 500, 2.0).when(size >= 100, 1.5).otherwise(1.0)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(CLOSINGS)), start, step, lambda acc: acc["chosen"])
+
+def rounded_weight(weight: Column) -> Column:
+    """A positive weight with three binary digits, so that a source has a bounded number of different ones; others are 0."""
+    power = F.pow(F.lit(2.0), F.floor(F.log2(F.when(weight > 0, weight))))
+    return F.when((weight > 0) & (weight < float("inf")), F.floor(weight / power * 4) / 4 * power).otherwise(0.0)
+
+
+def _rates(classes: DataFrame, ceiling: int) -> DataFrame:
+    """Expected copies for each unit of weight, per source: copies stop at the ceiling, and the others share what that leaves.
+
+    ``classes`` has a row per source and different weight with its ``words``.
+    """
+    by = Window.partitionBy("source").orderBy(F.col("weight").desc())
+    stopped, rest = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
+    t = classes.withColumn("ratio", ceiling / F.col("weight"))
+    t = t.withColumn("level", (F.col("target") - F.coalesce(F.sum(ceiling * F.col("words")).over(stopped), F.lit(0)).cast("double")) / F.sum(F.col("weight") * F.col("words")).over(rest))
+    return t.groupBy("source").agg(F.coalesce(F.min_by("level", F.when(F.col("level") <= F.col("ratio"), F.col("ratio"))), F.max("ratio")).alias("rate"))
 
 
 def plan(sized: DataFrame, weights: list[int], share_percent: int, ceiling: int) -> tuple[DataFrame, bool]:
     """One row per source: target, rate, edge, last and closing; and whether there are few sources.
 
+    Units are taken in the order of their ranks up to the first one that does not
+    fit into the source's target; ``closing`` are the later ones that still do.
+
     Rows of (source, u, size, weight) that agree in all four are one unit: they
     get the same decision.
     """
     units = settled(sized.groupBy("source", "u", "size", "weight").agg(F.count("*").alias("n")))
-    sizes = settled(units.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size"), F.sum(F.col("n") * F.col("size") * F.col("weight")).alias("weighed")))
+    sizes = settled(units.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size")))
     few = sizes.count() <= BROADCAST_SOURCES
     goal = targets(sizes, weights, share_percent, ceiling)
-    # expected copies for each unit of weight = target / weighed words
-    goal = settled(goal.withColumn("rate", F.when(F.col("weighed") > 0, F.col("target") / F.col("weighed")).otherwise(0.0)))
+    classes = units.filter((F.col("weight") > 0) & (F.col("size") > 0)).groupBy("source", "weight").agg(F.sum(F.col("n") * F.col("size")).alias("words"))
+    rates = _rates(_on_source(classes, goal.select("source", "target"), few), ceiling)
+    goal = settled(_on_source(goal, rates, few, "left").withColumn("rate", F.coalesce("rate", F.lit(0.0))))
     ranked = _ranked(_on_source(units, goal, few), ceiling).withColumn("words", F.col("n") * F.col("size"))
 
     # words and certain words per source and bucket of ranks; units that are not ranked have a null bucket
@@ -98,11 +132,14 @@ def plan(sized: DataFrame, weights: list[int], share_percent: int, ceiling: int)
     # below the edge bucket all are taken, inside it those up to `last`
     cut = settled(_on_source(edge, last, few, "left").withColumn("left", F.col("room") - F.coalesce("reached", "before", "all")).select("source", "edge", "last", "left"))
 
-    # one candidate for each size: at most as many as the longest document has words
-    rest = _on_source(ranked.drop("edge"), cut, few).filter(~_taken()).groupBy("source", "words").agg(F.min(F.struct("rank", "u", "size", "weight")).alias("r"), F.first("left").alias("left"))
-    rest = rest.groupBy("source").agg(F.first("left").alias("left"), F.collect_list(F.struct("words", "r.rank", "r.u", "r.size", "r.weight")).alias("candidates"))
+    # a bounded number of candidates: those of the lowest ranks in every class of sizes that can still narrow the gap
+    rest = _on_source(ranked.drop("edge"), cut, few).filter(~_taken() & (F.col("words") < 2 * F.col("left")))
+    kind = F.floor(F.log2("words") * CLASSES).cast("int")
+    first = Window.partitionBy("source", "kind").orderBy("rank", "u", "size", "weight")
+    rest = rest.withColumn("kind", kind).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= CLASS_RANKS)
+    rest = rest.groupBy("source").agg(F.first("left").alias("left"), F.sort_array(F.collect_list(F.struct("rank", "u", "size", "weight", F.col("words").cast("long").alias("words")))).alias("candidates"))
     closing = rest.select("source", _closing(F.col("candidates"), F.col("left")).alias("closing"))
-    return settled(_on_source(_on_source(goal, cut, few, "left"), closing, few, "left").drop("weighed", "left")), few
+    return settled(_on_source(_on_source(goal, cut, few, "left"), closing, few, "left").drop("left")), few
 
 
 def _ranked(rows: DataFrame, ceiling: int) -> DataFrame:
@@ -119,10 +156,11 @@ def _taken() -> Column:
     return below | F.coalesce((F.col("bucket") == F.col("edge")) & (F.struct("rank", "u", "size", "weight") <= F.col("last")), F.lit(False))
 
 
-def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share_percent: int = 150, ceiling: int = 2, seed: int = 20240607, weight_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share_percent: int = 150, ceiling: int = 2, seed: int = 20240607, weight_col: str | None = None, by_length: bool = False) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target and copies (0 to ``ceiling``).
 
-    ``weight_col`` makes documents of one source unequally likely (null: 0).
+    ``weight_col`` makes documents of one source unequally likely (null: 0; kept
+    to three binary digits), or ``by_length`` their ``length_weight``.
     Null texts have size 0 and no copies' worth of words; the null source is a
     source of its own.  Repeated rows (equal id and size) share one decision, so
     they are taken together or not at all.  Inputs with the names of the added
@@ -132,16 +170,17 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share_percent: int = 15
     names = ("size", "source_size", "target", "copies")
     carry = [c for c in docs.columns if c not in names]
     text = F.col("text").cast("string")
-    weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    weight = rounded_weight(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))) if weight_col else length_weight(size) if by_length else F.lit(1.0)
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"),
         F.col("source").alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        size.alias("size"),
         uniform(F.col("doc_id"), text, seed).alias("u"),
         weight.alias("weight"),
     )
     table, few = plan(sized.drop("doc"), list(weights), share_percent, ceiling)
     rows = _ranked(_on_source(sized, table, few), ceiling)
-    closing = F.exists(F.coalesce("closing", F.array().cast("array<struct<miss:double,rank:double,u:double,size:bigint,weight:double,words:bigint>>")), lambda c: (c["u"] == F.col("u")) & (c["size"] == F.col("size")) & (c["weight"] == F.col("weight")))
+    closing = F.exists(F.coalesce("closing", F.array().cast(f"array<{_UNIT}>")), lambda c: (c["u"] == F.col("u")) & (c["size"] == F.col("size")) & (c["weight"] == F.col("weight")))
     picked = F.col("rank").isNotNull() & (F.col("size") > 0) & (_taken() | closing)
     return rows.select("doc.*", "size", "source_size", "target", (F.col("copies") + F.coalesce(picked, F.lit(False)).cast("int")).alias("copies"))

@@ -56,7 +56,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), by_length=True)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
@@ -110,8 +110,8 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 
 
 def _mixing_sql() -> str:
-    sql = r"""
-WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    return rf"""
+WITH RECURSIVE s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
   (('0x' || substr(md5('20240607:' || coalesce(doc_id::VARCHAR, 't:' || coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
 z AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 t1 AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, (2 * source_size)::DOUBLE AS cap,
@@ -120,24 +120,28 @@ t2 AS (SELECT *, cap / w AS ratio,
   (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM t1),
 t3 AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, ratio) FROM t2 WHERE level <= ratio) * w, cap)) AS target FROM t2),
-e1 AS (SELECT s.*, source_size, target, least(CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END, 2.0::DOUBLE) AS expected FROM s JOIN t3 ON s.source IS NOT DISTINCT FROM t3.source),
+sw AS (SELECT s.*, source_size, target, CASE WHEN size >= 500 THEN 2.0::DOUBLE WHEN size >= 100 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s JOIN t3 ON s.source IS NOT DISTINCT FROM t3.source),
+c1 AS (SELECT source, weight, any_value(target) AS target, sum(size)::BIGINT AS words FROM sw WHERE size > 0 GROUP BY source, weight),
+c2 AS (SELECT *, 2 / weight AS ratio, (target - coalesce(sum(2 * words) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+  / sum(weight * words) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c1),
+c3 AS (SELECT source, coalesce(arg_min(level, ratio) FILTER (level <= ratio), max(ratio)) AS rate FROM c2 GROUP BY source),
+e1 AS (SELECT sw.*, least(coalesce(rate, 0.0::DOUBLE) * weight, 2.0::DOUBLE) AS expected FROM sw LEFT JOIN c3 ON sw.source IS NOT DISTINCT FROM c3.source),
 e2 AS (SELECT *, floor(expected)::INT AS copies, expected - floor(expected) AS p FROM e1),
 e3 AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM e2),
 r0 AS (SELECT *, target - sum(size * copies) OVER (PARTITION BY source) AS room FROM e3),
-un AS (SELECT source, rank, u, size, room, count(*) * size AS words FROM r0 WHERE rank IS NOT NULL AND size > 0 GROUP BY source, rank, u, size, room),
-k0 AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY rank, u, size ROWS UNBOUNDED PRECEDING) <= room AS picked FROM un)"""
-    for i in range(1, mixing.CLOSINGS + 1):
-        k = f"k{i - 1}"
-        used = "".join(f" AND NOT EXISTS (FROM b{h} WHERE {k}.source IS NOT DISTINCT FROM b{h}.source AND {k}.words = b{h}.b.words)" for h in range(1, i))
-        sql += f""",
-l{i} AS (SELECT source, any_value(room) - sum(CASE WHEN picked THEN words ELSE 0 END) AS l FROM {k} GROUP BY source),
-b{i} AS (SELECT {k}.source, first(struct_pack(u := u, size := size, words := words) ORDER BY abs(l - words), rank, u, size) AS b FROM {k} JOIN l{i} ON {k}.source IS NOT DISTINCT FROM l{i}.source
-  WHERE NOT picked AND abs(l - words) < l{used} GROUP BY {k}.source),
-k{i} AS (SELECT {k}.* REPLACE (picked OR b.b IS NOT NULL AS picked) FROM {k} LEFT JOIN b{i} AS b ON {k}.source IS NOT DISTINCT FROM b.source AND {k}.u = b.b.u AND {k}.size = b.b.size)"""
-    last = f"k{mixing.CLOSINGS}"
-    return sql + f"""
-SELECT r0.doc_id, r0.size, r0.source_size, r0.target, (r0.size * (r0.copies + coalesce({last}.picked::INT, 0)))::BIGINT AS taken, r0.copies + coalesce({last}.picked::INT, 0) AS copies
-FROM r0 LEFT JOIN {last} ON r0.source IS NOT DISTINCT FROM {last}.source AND r0.u = {last}.u AND r0.size = {last}.size"""
+un AS (SELECT source, rank, u, size, room, (count(*) * size)::BIGINT AS words FROM r0 WHERE rank IS NOT NULL AND size > 0 GROUP BY source, rank, u, size, room),
+k0 AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY rank, u, size ROWS UNBOUNDED PRECEDING) <= room AS picked FROM un),
+l0 AS (SELECT source, any_value(room) - sum(CASE WHEN picked THEN words ELSE 0 END) AS gap FROM k0 GROUP BY source),
+k1 AS (SELECT k0.source, gap, struct_pack(rank := rank, u := u, size := size, words := words) AS unit FROM k0 JOIN l0 ON k0.source IS NOT DISTINCT FROM l0.source WHERE NOT picked AND words < 2 * gap
+  QUALIFY row_number() OVER (PARTITION BY k0.source, floor(log2(words) * {mixing.CLASSES}) ORDER BY rank, u, size) <= {mixing.CLASS_RANKS}),
+g AS (SELECT source, gap::DOUBLE AS gap, NULL::STRUCT(rank DOUBLE, u DOUBLE, size BIGINT, words BIGINT) AS unit FROM l0
+  UNION ALL SELECT g.source, min(g.gap) - min(k1.unit).words, min(k1.unit) FROM g JOIN k1 ON g.source IS NOT DISTINCT FROM k1.source WHERE k1.unit.words <= g.gap AND (g.unit IS NULL OR k1.unit > g.unit) GROUP BY g.source),
+lg AS (SELECT source, min(gap) AS gap FROM g GROUP BY source),
+lb AS (SELECT k1.source, arg_min(k1.unit, struct_pack(miss := abs(lg.gap - k1.unit.words), unit := k1.unit)) AS unit FROM k1 JOIN lg ON k1.source IS NOT DISTINCT FROM lg.source
+  WHERE abs(lg.gap - k1.unit.words) < lg.gap AND NOT EXISTS (FROM g WHERE g.source IS NOT DISTINCT FROM k1.source AND g.unit = k1.unit) GROUP BY k1.source),
+ok AS (SELECT source, u, size FROM k0 WHERE picked UNION ALL SELECT source, unit.u, unit.size FROM g WHERE unit IS NOT NULL UNION ALL SELECT source, unit.u, unit.size FROM lb)
+SELECT r0.doc_id, r0.size, r0.source_size, r0.target, (r0.size * (r0.copies + (ok.u IS NOT NULL)::INT))::BIGINT AS taken, r0.copies + (ok.u IS NOT NULL)::INT AS copies
+FROM r0 LEFT JOIN ok ON r0.rank IS NOT NULL AND r0.source IS NOT DISTINCT FROM ok.source AND r0.u = ok.u AND r0.size = ok.size"""
 
 
 _NEAR_SQL = r"""

@@ -1,7 +1,7 @@
 """URL allow and block rules, matched with DataFrame functions only.
 
-A URL is expanded into every host suffix joined with every path prefix whose
-length some rule has.  Expressions meet the rules on a short prefix of their
+A URL is expanded into every host suffix joined with every path prefix, of which
+some rule has the number of labels and the length.  Expressions meet the rules on a short prefix of their
 SHA-256; the full digests are compared after the join, and the longest rule
 that fits decides.
 """
@@ -38,10 +38,12 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def _expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    labels = F.split(host, r"\.")
-    count = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat_ws(".", F.slice(labels, i, count)))
+def _expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """Host suffixes of the given numbers of labels joined with path prefixes of the given lengths; the work is linear in the URL."""
+    dots = F.char_length(host) - F.char_length(F.translate(host, ".", ""))
+    deep = F.filter(F.array(*[F.lit(n) for n in labels]).cast("array<int>"), lambda n: n <= dots + 1)
+    parts = F.split(host, r"\.")
+    suffixes = F.transform(deep, lambda n: F.array_join(F.slice(parts, dots + 2 - n, n), "."))
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.char_length(path))
     prefixes = F.transform(fitting, lambda n: F.substring(path, F.lit(1), n))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
@@ -59,8 +61,9 @@ def decide(pages: DataFrame, rules: DataFrame, carry: list[str] | None = None, u
     """
     out = ("host", "path", "rule", "verdict")
     carry = [c for c in (pages.columns if carry is None else carry) if c not in out]
-    # one entry per distinct rule path length; the longest path bounds their number
-    lengths = sorted(r[0] for r in rules.select(F.char_length("path")).distinct().collect())
+    # one entry per distinct number of labels and path length of a rule; the longest rule bounds them
+    labels = sorted(r[0] for r in rules.select(F.size(F.split("host", r"\.")).alias("n")).distinct().collect())
+    lengths = sorted(r[0] for r in rules.select(F.char_length("path").alias("n")).distinct().collect())
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     keyed = rules.select(
         F.sha2(F.concat("host", "path"), 256).alias("__digest"),
@@ -68,7 +71,7 @@ def decide(pages: DataFrame, rules: DataFrame, carry: list[str] | None = None, u
     )
     keyed = keyed.groupBy("__digest").agg(F.max("__hit").alias("__hit")).withColumn("__prefix", F.substring("__digest", 1, PREFIX_DIGITS))
     rows = pages.select(*[F.col(f"`{c}`") for c in carry], host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path")).withColumn("__row", F.monotonically_increasing_id())
-    asked = rows.withColumn("__expr", F.explode_outer(_expressions(F.col("host"), F.col("path"), lengths))).withColumn("__url_digest", F.sha2("__expr", 256)).drop("__expr").withColumn("__prefix", F.substring("__url_digest", 1, PREFIX_DIGITS))
+    asked = rows.withColumn("__expr", F.explode_outer(_expressions(F.col("host"), F.col("path"), labels, lengths))).withColumn("__url_digest", F.sha2("__expr", 256)).drop("__expr").withColumn("__prefix", F.substring("__url_digest", 1, PREFIX_DIGITS))
     if few:
         met = asked.join(F.broadcast(keyed), "__prefix", "left")
     else:

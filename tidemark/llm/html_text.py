@@ -1,8 +1,10 @@
-"""Main text of web pages: semantic rules plus removal of site templates.
+"""Main text of web pages: removal of site templates plus semantic rules.
 
-Every block element of a page is hashed with all that is below it.  Spark counts
-in how many different pages of a host each subtree occurs; subtrees that recur
-across most of them are template and are deleted, wherever they stand.
+Every block element of a page is hashed with all that is below it, once with its
+words and once by its shape and place.  Spark counts in how many different pages
+of a host each hash occurs; subtrees that recur across most of them are template
+and are deleted: those with equal words wherever they stand, those of one shape
+outside the place that holds most of the text of the host's pages.
 """
 
 from __future__ import annotations
@@ -54,10 +56,11 @@ MARKS = frozenset(
 #: Words before a mark that make it tell of the page's layout: the element is not itself what is marked.
 QUALIFIERS = frozenset("no non not without with has had hide hidden".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 def _is_marked(value: str) -> bool:
@@ -68,20 +71,24 @@ def _is_marked(value: str) -> bool:
     return False
 
 
-def _dropped(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is dropped, and whether only for its marks."""
-    if name in DROPPED:
-        return True, False
-    if not attributes or name in ("html", "body"):
-        return False, False
-    marked = False
+def _read(name: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element is dropped, whether only for its marks, and its look: name, words of class, id and role, and where a link leads."""
+    if not attributes:
+        return name in DROPPED, False, name
+    marked, words, leads = False, set(), ""
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id", "role"):
             marked = marked or _is_marked(value)
+            words.update(w.lower() for w in _PART.findall(value) if not w.isdigit())
+        elif key == "href":
+            leads = "@out" if "//" in value[:8] else "@in"
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return True, False
-    return marked, marked
+            return name not in ("html", "body"), False, name
+    look = f"{name}{leads}." + ".".join(sorted(words)) if words else name + leads
+    if name in DROPPED or name in ("html", "body"):
+        return name in DROPPED, False, look
+    return marked, marked, look
 
 
 def _is_article(name: str, attributes: str) -> bool:
@@ -91,68 +98,114 @@ def _is_article(name: str, attributes: str) -> bool:
 
 
 class _Node:
-    __slots__ = ("name", "drop", "marked", "article", "main", "items", "block")
+    __slots__ = ("name", "look", "drop", "marked", "article", "main", "items", "block")
 
-    def __init__(self, name: str, drop: bool = False, marked: bool = False, article: bool = False, main: bool = False):
-        self.name, self.drop, self.marked, self.article, self.main = name, drop, marked, article, main
+    def __init__(self, name: str, drop: bool = False, marked: bool = False, look: str = "", article: bool = False, main: bool = False):
+        self.name, self.look, self.drop, self.marked, self.article, self.main = name, look or name, drop, marked, article, main
         self.block = name in BLOCK
         self.items: list = []
 
 
-def parse(page: str) -> _Node:
-    """A tree of elements and raw text; broken markup is mended the way browsers do in the common cases."""
-    root = _Node("#page")
-    stack = [root]
-    at, end = 0, len(page)
+class _Open:
+    """The open elements, with the places of each name and of the blocks among them, so that no question needs a walk."""
+
+    def __init__(self, root: _Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: _Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        if node.block:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def top(self, names: frozenset | tuple[str, ...]) -> int:
+        """Place of the last opened element of these names; 0 if there is none."""
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=0)
+
+    def cut(self, place: int) -> None:
+        """Close this element and all below it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.places[node.name].pop()
+            if node.block:
+                self.blocks.pop()
 
-    def close_to(names: frozenset, stop: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return
-            if stack[k].name in stop:
-                return
+    def close(self, name: str) -> None:
+        """An end tag: it closes the last element of its name, but one of an inline element does not reach beyond a block."""
+        place = self.top((name,))
+        if place and (name in BLOCK or not self.blocks or self.blocks[-1] < place):
+            self.cut(place)
+
+
+_P, _P_STOP = frozenset(["p"]), frozenset("table td th button object article section div body".split())
+
+
+def parse(page: str) -> _Node:
+    """A tree of elements and raw text; broken markup is mended the way browsers do in the common cases.
 
+    Every character is looked at a fixed number of times, whatever the page: after
+    the first tag whose quotes never close, tags end at the next ``>``.
+    """
+    root = _Node("#page")
+    tree = _Open(root)
+    stack = tree.stack
+    at, end, quotes = 0, len(page), True
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             stack[-1].items.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].items.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        following = page[start + 1 : start + 2]
+        closing = following == "/"
+        m = _NAME.match(page, start + 1 + closing)
+        if m is None and following not in ("!", "?", "/") or not following:
+            # no markup: up to the next sign it is text
+            more = page.find("<", start + 1)
+            stack[-1].items.append(page[at : more if more > 0 else end])
+            at = more if more > 0 else end
             continue
-        name = m[2].lower()
-        if m[1]:
-            if name == "p" and not any(n.name == "p" for n in stack):
+        if start > at:
+            stack[-1].items.append(page[at:start])
+        if m is None:
+            comment = page.startswith("<!--", start)
+            stop = page.find("-->", start + 2) if comment else page.find(">", start)
+            if stop < 0 and not comment:
+                stack[-1].items.append(page[start:])
+            at = end if stop < 0 else stop + (3 if comment else 1)
+            continue
+        stop = _ATTRIBUTES.match(page, m.end()).end() if quotes else end
+        if stop == end or page[stop] != ">":
+            quotes = False
+            stop = page.find(">", m.end())
+        if stop < 0:
+            stack[-1].items.append(page[start:])
+            break
+        at = stop + 1
+        name, attributes = m[0].lower(), page[m.end() : stop]
+        if closing:
+            if name == "p" and not tree.top(_P):
                 stack[-1].items.append(_Node("p"))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if stack[k].block and name not in BLOCK:
-                    break
+            tree.close(name)
             continue
-        if name in CLOSES_P:
-            close_to(frozenset(["p"]), frozenset("table td th button object article section div body".split()))
+        if name in CLOSES_P and (place := tree.top(_P)) > tree.top(_P_STOP):
+            tree.cut(place)
         if name in IMPLIED:
-            names, stop = IMPLIED[name]
-            while True:
-                before = len(stack)
-                close_to(names, stop)
-                if len(stack) == before:
-                    break
-        node = _Node(name, *_dropped(name, m[3]), _is_article(name, m[3]), name == "main" or 'role="main"' in m[3])
+            names, stops = IMPLIED[name]
+            while (place := tree.top(names)) > tree.top(stops):
+                tree.cut(place)
+        node = _Node(name, *_read(name, attributes), _is_article(name, attributes), name == "main" or 'role="main"' in attributes)
         stack[-1].items.append(node)
-        if name in VOID or m[3].endswith("/") and name not in BLOCK and name not in RAW:
+        if name in VOID or attributes.endswith("/") and name not in BLOCK and name not in RAW:
             continue
         if name in RAW:
             close = _RAW_END[name].search(page, at)
             node.items.append(page[at : close.start() if close else end])
-            at = close.end() if close else end
+            stop = page.find(">", close.end()) if close else -1
+            at = end if stop < 0 else stop + 1
             continue
-        stack.append(node)
+        tree.push(node)
     return root
 
 
@@ -160,6 +213,10 @@ def _text_of(raw: str) -> str:
     return html.unescape(raw) if "&" in raw else raw
 
 
+def _key(host: str, kind: str, what: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{host}\0{kind}{what}") - (1 << 63)
+
+
 def subtrees(root: _Node, host: str) -> Iterator[tuple[int, _Node]]:
     """Hash, with the host in it, and node of every block element that holds text, and last of the page.  Inline elements count as part of their block."""
     # children before parents, without recursion: nesting may be deep
@@ -184,7 +241,110 @@ def subtrees(root: _Node, host: str) -> Iterator[tuple[int, _Node]]:
         digest[id(node)] = xxhash.xxh3_64_hexdigest("\0".join(parts))
         texted[id(node)] = some
         if node is root or some and node.block and node.name not in ("html", "body"):
-            yield xxhash.xxh3_64_intdigest(f"{host}\0{digest[id(node)]}") - (1 << 63), node
+            yield _key(host, "", digest[id(node)]), node
+
+
+def _sizes(root: _Node) -> dict[int, int]:
+    """Characters of text in and below every element, by its id; style and script hold none."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        if node.name not in RAW:
+            todo.extend(x for x in node.items if isinstance(x, _Node))
+    out: dict[int, int] = {}
+    for node in reversed(order):
+        out[id(node)] = 0 if node.name in RAW else sum(out.get(id(x), 0) if isinstance(x, _Node) else len(x.strip()) for x in node.items)
+    return out
+
+
+def _shape(node: _Node, out: dict[int, str]) -> str:
+    """Look of an element and of the kinds of elements below it; words, numbers of equal items and inline marks do not count.  ``out`` keeps what is known."""
+    order, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if id(n) not in out:
+            order.append(n)
+            todo.extend(x for x in n.items if isinstance(x, _Node))
+    for n in reversed(order):
+        kinds = {"#" if isinstance(x, str) or not x.block and x.name not in ("a", "img", "input", "iframe", "video") else out[id(x)] for x in n.items}
+        out[id(n)] = xxhash.xxh3_64_hexdigest("\0".join([n.look, *sorted(kinds)]))
+    return out[id(node)]
+
+
+def layout(root: _Node, host: str, contents: set[int] | frozenset | None = None) -> Iterator[tuple[str, int, int, _Node]]:
+    """Kind, key, depth and node of the page's layout, from the top.
+
+    ``holds`` are elements with at least half of the page's text, keyed by the
+    looks on the way to them.  ``shape`` are blocks beside those that hold text,
+    keyed by that way and their shape.  Nothing is given from below the innermost
+    element that holds half, or from below the ``contents`` of the host.
+    """
+    sizes, shapes = _sizes(root), {}
+    total = sizes[id(root)]
+    todo = [(x, "", 1) for x in root.items if isinstance(x, _Node)]
+    while todo and total:
+        node, way, depth = todo.pop()
+        if not sizes.get(id(node)):
+            continue
+        way = xxhash.xxh3_64_hexdigest(f"{way}/{node.look}")
+        place = _key(host, "^", way)
+        below = [(x, way, depth + 1) for x in node.items if isinstance(x, _Node)]
+        if 2 * sizes[id(node)] >= total:
+            yield "holds", place, depth, node
+            inner = any(2 * sizes.get(id(x), 0) >= total for x, _, _ in below)
+            if place not in contents if contents is not None else inner:
+                todo.extend(below)
+        elif contents is None or place not in contents:
+            if node.block:
+                yield "shape", _key(host, "~", f"{way} {_shape(node, shapes)}"), depth, node
+            todo.extend(below)
+
+
+def template_nodes(root: _Node, host: str, wanted: set[int] | frozenset) -> frozenset[int]:
+    """Ids of the page's nodes that are template: its exact subtrees, and its shapes outside the host's content."""
+    if not wanted:
+        return frozenset()
+    out = {id(n) for k, n in subtrees(root, host) if k in wanted}
+    return frozenset(out | {id(n) for kind, k, _, n in layout(root, host, wanted) if kind == "shape" and k in wanted})
+
+
+def _lines(tops: list[_Node], deleted: set[int] | frozenset, rules: bool = True) -> str:
+    """Text of the given elements, a line for every block."""
+    lines: list[str] = []
+    buffer: list[str] = []
+
+    def flush() -> None:
+        line = " ".join("".join(buffer).split())
+        buffer.clear()
+        if line:
+            lines.append(line)
+
+    for top in tops:
+        todo: list = top.items[::-1]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                buffer.append(_text_of(x))
+            elif x is None:
+                flush()
+            elif id(x) in deleted or (x.drop if rules else x.name in RAW or x.name == "head"):
+                if x.block:
+                    flush()
+            elif x.name in ("br", "wbr"):
+                buffer.append(" " if x.name == "br" else "")
+            else:
+                if x.block:
+                    flush()
+                    todo.append(None)
+                todo.extend(reversed(x.items))
+        flush()
+    return "\n".join(lines)
+
+
+def rest_text(root: _Node, deleted: set[int] | frozenset) -> str:
+    """All blocks outside head, styles, scripts and template nodes."""
+    return _lines([root], deleted, rules=False)
 
 
 def main_text(root: _Node, deleted: set[int] | frozenset = frozenset()) -> str:
@@ -212,75 +372,63 @@ def main_text(root: _Node, deleted: set[int] | frozenset = frozenset()) -> str:
                     behind.append(node)
         return got, behind
 
-    def lines_of(tops: list[_Node]) -> str:
-        lines: list[str] = []
-        buffer: list[str] = []
-
-        def flush() -> None:
-            line = " ".join("".join(buffer).split())
-            buffer.clear()
-            if line:
-                lines.append(line)
-
-        for top in tops:
-            todo: list = top.items[::-1]
-            while todo:
-                x = todo.pop()
-                if isinstance(x, str):
-                    buffer.append(_text_of(x))
-                elif x is None:
-                    flush()
-                elif x.drop or id(x) in deleted:
-                    if x.block:
-                        flush()
-                elif x.name in ("br", "wbr"):
-                    buffer.append(" " if x.name == "br" else "")
-                else:
-                    if x.block:
-                        flush()
-                        todo.append(None)
-                    todo.extend(reversed(x.items))
-            flush()
-        return "\n".join(lines)
-
     articles, mains = inside(lambda n: n.article), inside(lambda n: n.main)
     plain = [[n for n in got if n not in behind] for got, behind in (articles, mains)]
-    text = lines_of(plain[0] or plain[1] or [root])
+    text = _lines(plain[0] or plain[1] or [root], deleted)
     for (got, behind), seen in zip((articles, mains), plain, strict=True):
-        spared = [n for n in behind if len(lines_of([n])) > len(text)]
+        spared = [n for n in behind if len(_lines([n], deleted)) > len(text)]
         if spared:
-            return lines_of([n for n in got if n in seen or n in spared])
+            return _lines([n for n in got if n in seen or n in spared], deleted)
     return text
 
 
+_KINDS = {"page": 0, "exact": 1, "shape": 2, "holds": 3}
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host_key, subtree, page): the subtrees of every page, which is known by the hash of its whole tree; subtree 0 stands for the page itself."""
+    """(host_key, kind, depth, subtree, page): subtrees and layout of every page, which is known by the hash of its whole tree; subtree 0 stands for the page itself."""
     for batch in batches:
         rows = []
         for host, page in dict.fromkeys(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             key = xxhash.xxh3_64_intdigest(host) - (1 << 63)
-            *below, whole = [k for k, _ in subtrees(parse(page or ""), host)]
-            rows += [(key, k, whole) for k in {0, *below}]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["host_key", "subtree", "page"])
+            root = parse(page or "")
+            *below, whole = [k for k, _ in subtrees(root, host)]
+            own = {(0, 0, 0), *((1, 0, k) for k in below), *((_KINDS[kind], depth if kind == "holds" else 0, k) for kind, k, depth, _ in layout(root, host))}
+            rows += [(key, *x, whole) for x in own]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], ["host_key", "kind", "depth", "subtree", "page"])
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host_key, subtree): subtrees found in many pages of their host.
+    """(host_key, kind, subtree): what recurs in many pages of a host, and where its content stands.
+
+    Kind 1 are subtrees with their words.  Kind 2 are shapes, as of menus and
+    footers whose words vary: the looks of the elements, of those around them and
+    of their links.  As articles recur in shape too, shapes count only for hosts
+    whose pages mostly hold their text in one place (kind 3, the innermost such
+    place), and only outside it; see ``layout``.
 
     Pages of equal structure and text count once, so copies of a page do not
     make it a template.  Pages without host are no site and have no templates.  A host has at most as many of them as its pages have subtrees on average,
     divided by ``min_share``.
     """
     hosted = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html")).filter("host != ''")
-    counts = hosted.mapInArrow(_found, "host_key long, subtree long, page long").distinct().groupBy("host_key", "subtree").agg(F.count("*").alias("pages"))
+    counts = hosted.mapInArrow(_found, "host_key long, kind long, depth long, subtree long, page long").distinct().groupBy("host_key", "kind", "depth", "subtree").agg(F.count("*").alias("pages"))
     many = settled(counts.filter(F.col("pages") >= min_pages))
-    hosts = many.filter("subtree = 0").select("host_key", F.col("pages").alias("host_pages"))
-    return many.filter("subtree != 0").join(hosts, "host_key").filter(F.col("pages") >= min_share * F.col("host_pages")).select("host_key", "subtree")
+    hosts = many.filter("kind = 0").select("host_key", F.col("pages").alias("host_pages"))
+    most = many.filter("kind != 0").join(hosts, "host_key").filter(F.col("pages") >= min_share * F.col("host_pages"))
+    places = most.filter("kind = 3").groupBy("host_key").agg(F.max_by("subtree", F.struct("depth", "pages", "subtree")).alias("subtree"))
+    shapes = most.filter("kind = 2").join(places.select("host_key"), "host_key", "left_semi")
+    out = most.filter("kind = 1").unionByName(shapes).select("host_key", "kind", "subtree")
+    return out.unionByName(places.select("host_key", F.lit(3).cast("long").alias("kind"), "subtree"))
 
 
-def extract(pages: DataFrame, carry: list[str] | None = None, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, carry: list[str] | None = None, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, rules: bool = True) -> DataFrame:
     """text and n_chars of every row, beside the ``carry`` columns (all but the page by default).
 
+    Site templates are deleted first; then the rules on element names and marks
+    choose among what is left.  Without ``rules`` only templates, styles and
+    scripts go.
+
     Null or empty pages give an empty text; pages without host lose no templates.
     Rows stay as they are, repeated ones and equal ids included; carried
     columns named like a result are replaced; an empty table gives an empty
@@ -307,8 +455,8 @@ def extract(pages: DataFrame, carry: list[str] | None = None, url_col: str = "ur
             for i, page in enumerate(batch.column(batch.schema.get_field_index("html")).to_pylist()):
                 root = parse(page or "")
                 wanted = known if listed is None else frozenset(listed[i] or ())
-                deleted = frozenset(id(n) for k, n in subtrees(root, hosts[i]) if k in wanted) if wanted else frozenset()
-                texts.append(main_text(root, deleted))
+                deleted = template_nodes(root, hosts[i], wanted)
+                texts.append(main_text(root, deleted) if rules else rest_text(root, deleted))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["row", *names])
 
     schema = rows.select("row").schema.add("text", "string").add("n_chars", "long")

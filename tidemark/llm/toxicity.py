@@ -23,16 +23,16 @@ from pyspark.sql import types as T
 from . import arrowtext as at
 
 #: Bounds of the training sample: labelled documents of either class, and characters of a text used in training.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 600, 900, 200_000
-#: Words with weights of their own: those in at least this many training documents, the most frequent first.
-MIN_DOCS, VOCABULARY = 5, 5_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 600, 900, 50_000
+#: Words with weights of their own: those in at least this many training documents.
+MIN_DOCS = 5
 #: A word is offending in training if it is in this many toxic documents, this many times likelier there than in clean
 #: ones, and passes a G-test with this expected share of false words (Benjamini and Hochberg).
 SEED_DOCS, SEED_ODDS, SEED_FALSE = 3, 15, 0.05
 #: Affixes of these many code points stand for words beside whole ones, if in this many different words.
 AFFIX_SIZES, AFFIX_WORDS = range(3, 9), 3
-#: Tokens of one chain; a longer sentence or text continues in another chain.
-CHAIN = 64
+#: Tokens that are stepped through together; messages pass from one stretch of a text to the next.
+STRETCH = 64
 FLAG = 0.5
 EPOCHS, RATE = 40, 0.2
 #: Penalties on the squared weights of a word itself and of its neighbours.
@@ -128,6 +128,11 @@ def _ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(words[place] == hashes, place, len(words))
 
 
+def row_of(doc_first: np.ndarray) -> np.ndarray:
+    """Row that owns every token."""
+    return np.repeat(np.arange(len(doc_first) - 1), np.diff(doc_first))
+
+
 def _neighbours(ids: np.ndarray, doc: np.ndarray, unknown: int) -> np.ndarray:
     """(3, n): ids of the word, the word before and the word after in the same document."""
     out = np.full((3, len(ids)), unknown)
@@ -140,51 +145,94 @@ def _neighbours(ids: np.ndarray, doc: np.ndarray, unknown: int) -> np.ndarray:
 
 
 class _Chains:
-    """Layout of all chains of a slice as columns, the longest first, one row per token place."""
+    """Layout of all chains of a slice: one chain a text, in stretches of ``STRETCH`` tokens.
+
+    Stretches are columns, the longest first, with a row per token place.  All
+    advance together; what a stretch does to a message is a 2 x 2 matrix, so
+    messages pass along the stretches of a text first and then through each.
+    """
 
     def __init__(self, doc_first: np.ndarray):
         counts = np.diff(doc_first)
-        pieces = -(-counts // CHAIN)
+        pieces = -(-counts // STRETCH)
         row = np.repeat(np.arange(len(counts)), pieces)
         k = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = doc_first[row] + k * CHAIN
-        size = np.minimum(doc_first[row + 1] - start, CHAIN)
+        start = doc_first[row] + k * STRETCH
+        size = np.minimum(doc_first[row + 1] - start, STRETCH)
         order = np.argsort(-size, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.column = np.repeat(rank, size)
         self.place = np.arange(len(self.column)) - np.repeat(start, size)
-        self.active = np.searchsorted(-size[order], -np.arange(1, CHAIN + 1), "right")
-        self.shape = (CHAIN, len(order))
-        #: tokens that have a follower in their chain
-        self.inner = np.flatnonzero(self.place + 1 < np.repeat(size, size))
+        self.active = np.searchsorted(-size[order], -np.arange(1, STRETCH + 1), "right")
+        self.shape = (STRETCH, len(order))
+        self.size = size[order]
+        #: columns that begin and end a text; the column before each other one, and those by their place in the text
+        self.opens, self.closes = rank[k == 0], rank[k == pieces[row] - 1]
+        by_place = np.argsort(k, kind="stable")
+        cuts = np.searchsorted(k[by_place], np.arange(1, k.max() + 1)) if len(k) else []
+        self.turns = [(rank[c - 1], rank[c]) for c in np.split(by_place, cuts)[1:]]
+        #: tokens that have a follower in their text
+        self.inner = np.flatnonzero(np.r_[row_of(doc_first)[1:] == row_of(doc_first)[:-1], False]) if len(self.column) else np.zeros(0, np.int64)
+
+    def _passed(self, local: np.ndarray, steps: np.ndarray, w: tuple[float, float, float, float], backward: bool) -> np.ndarray:
+        """Message into every column.  The odds o become local * (w11 * o + wb) / (wa * o + w00) at each token; none of it at a text's first one."""
+        w00, wa, wb, w11 = w
+        first = np.zeros(self.shape[1], bool)
+        first[self.closes if backward else self.opens] = True
+        m = np.zeros((4, self.shape[1]))
+        m[0] = m[3] = 1.0
+        for t in steps:
+            n = self.active[t]
+            if n == 0:
+                continue
+            e, (a, b, c, d) = local[t, :n], m[:, :n]
+            alone = first[:n] & (self.size[:n] == t + 1 if backward else t == 0)
+            new = np.stack([np.where(alone, e * a, e * (w11 * a + wb * c)), np.where(alone, e * b, e * (w11 * b + wb * d)), np.where(alone, c, wa * a + w00 * c), np.where(alone, d, wa * b + w00 * d)])
+            m[:, :n] = new / new.max(0)
+        out = np.ones(self.shape[1])
+        for before, after in reversed(self.turns) if backward else self.turns:
+            source, target = (after, before) if backward else (before, after)
+            o = out[source]
+            out[target] = (m[0, source] * o + m[1, source]) / (m[2, source] * o + m[3, source])
+        return out
 
     def marginals(self, emission: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Marginal of the offending state per token, and expected transitions, by forward-backward.
+        """Marginal of the offending state per token, and expected transitions, by forward-backward over whole texts.
 
         With two states a message is one number, the odds of the offending state,
-        so nothing under- or overflows and all chains advance together.
+        so nothing under- or overflows.
         """
+        pairs = np.zeros((2, 2))
+        if len(emission) == 0:
+            return np.zeros(0), pairs
         (w00, w01), (w10, w11) = np.exp(transition)
         local = np.ones(self.shape)
         local[self.place, self.column] = np.exp(np.clip(emission, -30, 30))
-        forward, backward = local.copy(), np.ones(self.shape)
-        for t in range(1, CHAIN):
-            a = self.active[t]
-            if a == 0:
-                break
-            odds = forward[t - 1, :a]
-            forward[t, :a] *= (w01 + odds * w11) / (w00 + odds * w10)
-        pairs = np.zeros((2, 2))
-        for t in range(CHAIN - 2, -1, -1):
-            a = self.active[t + 1]
-            if a == 0:
+        entering = self._passed(local, np.arange(STRETCH), (w00, w10, w01, w11), False)
+        leaving = self._passed(local, np.arange(STRETCH)[::-1], (w00, w01, w10, w11), True)
+        begins, ends = np.zeros(self.shape[1], bool), np.zeros(self.shape[1], bool)
+        begins[self.opens], ends[self.closes] = True, True
+        forward, after = local.copy(), np.ones(self.shape)
+        for t in range(STRETCH):
+            n = self.active[t]
+            odds = forward[t - 1, :n] if t else entering[:n]
+            step = (w01 + odds * w11) / (w00 + odds * w10)
+            forward[t, :n] *= step if t else np.where(begins[:n], 1.0, step)
+        # `after` holds the odds that come back from the following token; at the end of a text nothing does
+        for t in range(STRETCH - 1, -1, -1):
+            n = self.active[t]
+            if n == 0:
                 continue
-            after, odds = local[t + 1, :a] * backward[t + 1, :a], forward[t, :a]
-            backward[t, :a] = (w10 + w11 * after) / (w00 + w01 * after)
-            joint = np.stack([np.full(a, w00), w01 * after, w10 * odds, w11 * odds * after])
+            last = self.size[:n] == t + 1
+            far = local[t + 1, :n] * after[t + 1, :n] if t + 1 < STRETCH else leaving[:n]
+            far = np.where(last, leaving[:n], far)
+            gone = last & ends[:n]
+            after[t, :n] = np.where(gone, 1.0, (w10 + w11 * far) / (w00 + w01 * far))
+            odds, back = forward[t, :n][~gone], far[~gone]
+            joint = np.stack([np.full(len(odds), w00), w01 * back, w10 * odds, w11 * odds * back])
             pairs += (joint / joint.sum(0)).sum(1).reshape(2, 2)
-        both = (forward * backward)[self.place, self.column]
+        both = (forward * after)[self.place, self.column]
         return both / (1 + both), pairs
 
 
@@ -263,7 +311,6 @@ def train(text: pa.Array, toxic: np.ndarray) -> Model:
     pair = np.unique(np.stack([ids, doc], 1), axis=0)
     docs_with = np.bincount(pair[:, 0], minlength=len(words))
     often = np.flatnonzero(docs_with >= MIN_DOCS)
-    often = often[np.argsort(-docs_with[often], kind="stable")][:VOCABULARY]
     vocabulary = np.unique(np.concatenate([words[often], seeds]))
     ids = _ids(vocabulary, hashes)
     affix = _affix_ids(affixes, bare, spans)
@@ -301,17 +348,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample of the labelled documents that are not held out.
 
     The sample takes the smallest hashes of the ids among toxic and clean
-    documents (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN``), without texts longer than
-    ``SAMPLE_CHARS``.  Labels of an id that occurs several times count once, as
-    toxic if any says so; null labels are ignored.  Without toxic documents the
-    model scores everything low.
+    documents (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN``) whose texts have no more than
+    ``SAMPLE_CHARS`` characters.  Labels of an id that occurs several times count
+    once, as toxic if any says so; of several texts of an id the one with the
+    smallest hash is read; null labels, ids and texts are ignored.  Without toxic
+    documents the model scores everything low.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.char_length("text") <= SAMPLE_CHARS)
+    there = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    sample = known.filter("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(known.filter("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
+    sample = there.filter("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(there.filter("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows, so the broadcast is bounded
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.char_length("text") <= SAMPLE_CHARS).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    got = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    got = rows.select("doc_id", "toxic", "t.text").orderBy("doc_id").toArrow()
     text = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
     return train(at.column(pa.RecordBatch.from_arrays([text], ["text"]), "text"), got.column("toxic").to_numpy().astype(np.int64))
 
@@ -327,7 +377,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None, thresho
     """
     names = ("score", "predicted", "spans")
     carry = [c for c in (["doc_id"] if carry is None else carry) if c not in names]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

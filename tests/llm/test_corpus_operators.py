@@ -79,6 +79,25 @@ def test_weights_make_documents_unequally_likely(spark):
     assert rate(0) > 1.5 * rate(1)
 
 
+def test_rates_meet_targets_under_the_ceiling(spark):
+    rows = [(s, w, n, t) for s, classes, t in (("a", {1.0: 50, 3.0: 50}, 190.0), ("b", {1.0: 10, 2.0: 10}, 3.0), ("c", {0.5: 7}, 14.0)) for w, n in classes.items()]
+    got = {r.source: r.rate for r in mixing._rates(spark.createDataFrame([(s, w, n, t) for s, w, n, t in rows], "source string, weight double, words long, target double"), 2).collect()}
+    for source in "abc":
+        own = [(w, n, t) for s, w, n, t in rows if s == source]
+        assert sum(n * min(got[source] * w, 2) for w, n, _ in own) == pytest.approx(own[0][2])
+    kept = spark.createDataFrame([(x,) for x in (0.0, -1.0, 1.0, 1.9, 2.1, 5.9, 1e300, float("inf"), float("nan"))], "w double").select(mixing.rounded_weight(F.col("w"))).collect()
+    assert [r[0] for r in kept][:6] == [0.0, 0.0, 1.0, 1.75, 2.0, 5.0] and kept[6][0] > 7e299 and kept[7][0] == 0.0
+
+
+def test_mix_fills_by_rank_around_a_very_long_document(spark):
+    rows = [(k, passage(5 + k % 40, k), "en", "s", 0) for k in range(400)] + [(999, " ".join(["w"] * 4000), "en", "s", 0), (1000, passage(50, 5), "en", "t", 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit(1)).withColumn("copies", F.lit("x"))
+    for seed in range(3):
+        got = [r for r in mixing.mix(df, seed=seed, by_length=True).collect() if r.source == "s"]
+        assert sum(r.copies * r.size for r in got) == pytest.approx(got[0].target, rel=0.004)
+        assert all(r.copies <= 2 for r in got)
+
+
 def test_packing_holds_every_word_once(spark):
     texts = [None, "", "a", " ".join(["w"] * 9000), " ".join(["w"] * 4096), *(passage(3 + k * 13 % 700, k) for k in range(500))]
     df = docs(spark, texts)
@@ -147,7 +166,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         words[r.doc_id] += r.length
     third = spark.createDataFrame(list(cut.values()), DOCS)
     want = Counter()
-    for r in mixing.mix(third).collect():
+    for r in mixing.mix(third, by_length=True).collect():
         if r.copies:
             want[r.doc_id] += r.copies * r.size
     assert +words == +want

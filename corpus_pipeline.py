@@ -7,7 +7,7 @@ stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, near_dups, packing, quality, suffix_dedup
@@ -15,30 +15,50 @@ from tidemark.llm.stable import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; null, empty and short texts go, an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more)."""
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more), that of the smallest id.
+
+    Documents without words are linked with nothing and stay; rows with equal or null ids are documents of their own.
+    """
     return near_dups.drop_near_duplicates(docs)
 
 
+def _whole(docs: DataFrame, *names: str) -> DataFrame:
+    """The given columns, and all columns as a struct, so that added columns clash with none."""
+    return docs.select(*[F.col(f"`{n}`") for n in names], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 100-byte strings that an earlier one has; a document of which no word is left goes."""
-    cut = suffix_dedup.deduplicate(docs, docs.columns, with_text=True)
-    cut = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(mixing.WORD))
-    return cut.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    """Documents without the 100-byte strings that an earlier one has; ``n_chars`` follows the text.
+
+    A document of which no word is left goes, unless nothing was removed from it: null and empty texts stay.
+    """
+    cut = suffix_dedup.deduplicate(_whole(docs, "doc_id", "text"), ["row"], with_text=True)
+    cut = cut.filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(mixing.WORD))
+    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept_text"))
+
+    def value(c: str) -> Column:
+        if c == "text":
+            return text
+        if c == "n_chars":
+            return F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.char_length("kept_text").cast(docs.schema[c].dataType))
+        return F.col("row")[c]
+
+    return cut.select(*[value(c).alias(c) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    mixed = mixing.mix(docs)
-    return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Every document as many times as the mix takes it, longer ones with more chance; those without words go."""
+    mixed = mixing.mix(_whole(docs, "doc_id", "text", "source"), by_length=True).filter("copies > 0")
+    return mixed.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of the permitted lengths."""
+    """The pieces of all documents in sequences of the permitted lengths; a document without words is one empty piece."""
     return packing.best_fit(docs)
 
 

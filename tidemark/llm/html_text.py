@@ -213,6 +213,10 @@ def _text_of(raw: str) -> str:
     return html.unescape(raw) if "&" in raw else raw
 
 
+#: Turns the key of a place that holds a host's text into that of the innermost such place.
+INNERMOST = 0x5EED
+
+
 def _key(host: str, kind: str, what: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{host}\0{kind}{what}") - (1 << 63)
 
@@ -278,7 +282,9 @@ def layout(root: _Node, host: str, contents: set[int] | frozenset | None = None)
     ``holds`` are elements with at least half of the page's text, keyed by the
     looks on the way to them.  ``shape`` are blocks beside those that hold text,
     keyed by that way and their shape.  Nothing is given from below the innermost
-    element that holds half, or from below the ``contents`` of the host.
+    element that holds half.  With the host's ``contents``, nothing is given from
+    its innermost place or below, and no shape of an element whose look and way are
+    those of an element around that place.
     """
     sizes, shapes = _sizes(root), {}
     total = sizes[id(root)]
@@ -293,10 +299,10 @@ def layout(root: _Node, host: str, contents: set[int] | frozenset | None = None)
         if 2 * sizes[id(node)] >= total:
             yield "holds", place, depth, node
             inner = any(2 * sizes.get(id(x), 0) >= total for x, _, _ in below)
-            if place not in contents if contents is not None else inner:
+            if place ^ INNERMOST not in contents if contents is not None else inner:
                 todo.extend(below)
-        elif contents is None or place not in contents:
-            if node.block:
+        elif contents is None or place ^ INNERMOST not in contents:
+            if node.block and (contents is None or place not in contents):
                 yield "shape", _key(host, "~", f"{way} {_shape(node, shapes)}"), depth, node
             todo.extend(below)
 
@@ -382,20 +388,24 @@ def main_text(root: _Node, deleted: set[int] | frozenset = frozenset()) -> str:
     return text
 
 
-_KINDS = {"page": 0, "exact": 1, "shape": 2, "holds": 3}
-
-
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host_key, kind, depth, subtree, page): subtrees and layout of every page, which is known by the hash of its whole tree; subtree 0 stands for the page itself."""
+    """(host_key, kind, depth, subtree, page, words): subtrees and layout of every page, which is known by the hash of its whole tree.
+
+    Subtree 0 stands for the page itself; ``words`` is the hash, with its words, of
+    an element that holds half of the page's text, else 0.
+    """
     for batch in batches:
         rows = []
         for host, page in dict.fromkeys(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             key = xxhash.xxh3_64_intdigest(host) - (1 << 63)
             root = parse(page or "")
-            *below, whole = [k for k, _ in subtrees(root, host)]
-            own = {(0, 0, 0), *((1, 0, k) for k in below), *((_KINDS[kind], depth if kind == "holds" else 0, k) for kind, k, depth, _ in layout(root, host))}
-            rows += [(key, *x, whole) for x in own]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], ["host_key", "kind", "depth", "subtree", "page"])
+            *below, (whole, _) = subtrees(root, host)
+            exact = {id(n): k for k, n in below}
+            own = {(0, 0, 0): 0} | {(1, 0, k): 0 for k in exact.values()}
+            for kind, k, depth, n in layout(root, host):
+                own.setdefault((3, depth, k) if kind == "holds" else (2, 0, k), exact.get(id(n), 0) if kind == "holds" else 0)
+            rows += [(key, *x, whole, words) for x, words in own.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(6)], ["host_key", "kind", "depth", "subtree", "page", "words"])
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -404,22 +414,28 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     Kind 1 are subtrees with their words.  Kind 2 are shapes, as of menus and
     footers whose words vary: the looks of the elements, of those around them and
     of their links.  As articles recur in shape too, shapes count only for hosts
-    whose pages mostly hold their text in one place (kind 3, the innermost such
-    place), and only outside it; see ``layout``.
+    whose pages mostly hold their text in one place, with words that vary, and
+    only outside it.  Kind 3 are the ways to that place, and the innermost one
+    once more as kind 4; see ``layout``.
 
     Pages of equal structure and text count once, so copies of a page do not
     make it a template.  Pages without host are no site and have no templates.  A host has at most as many of them as its pages have subtrees on average,
     divided by ``min_share``.
     """
     hosted = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html")).filter("host != ''")
-    counts = hosted.mapInArrow(_found, "host_key long, kind long, depth long, subtree long, page long").distinct().groupBy("host_key", "kind", "depth", "subtree").agg(F.count("*").alias("pages"))
+    found = hosted.mapInArrow(_found, "host_key long, kind long, depth long, subtree long, page long, words long").distinct()
+    counts = found.groupBy("host_key", "kind", "depth", "subtree", "words").agg(F.count("*").alias("n")).groupBy("host_key", "kind", "depth", "subtree").agg(F.sum("n").alias("pages"), F.max("n").alias("alike"))
     many = settled(counts.filter(F.col("pages") >= min_pages))
     hosts = many.filter("kind = 0").select("host_key", F.col("pages").alias("host_pages"))
     most = many.filter("kind != 0").join(hosts, "host_key").filter(F.col("pages") >= min_share * F.col("host_pages"))
-    places = most.filter("kind = 3").groupBy("host_key").agg(F.max_by("subtree", F.struct("depth", "pages", "subtree")).alias("subtree"))
-    shapes = most.filter("kind = 2").join(places.select("host_key"), "host_key", "left_semi")
-    out = most.filter("kind = 1").unionByName(shapes).select("host_key", "kind", "subtree")
-    return out.unionByName(places.select("host_key", F.lit(3).cast("long").alias("kind"), "subtree"))
+    # html and body have no hash of words and so are no place of content
+    ways = most.filter("kind = 3")
+    inner = ways.filter("2 * alike <= pages").groupBy("host_key").agg(F.max(F.struct("depth", "pages", "subtree")).alias("inner"))
+    ways = ways.join(inner, "host_key")
+    around = ways.filter("depth < inner.depth OR subtree = inner.subtree").select("host_key", F.lit(3).cast("long").alias("kind"), "subtree")
+    place = inner.select("host_key", F.lit(4).cast("long").alias("kind"), F.col("inner.subtree").bitwiseXOR(F.lit(INNERMOST).cast("long")).alias("subtree"))
+    shapes = most.filter("kind = 2").join(inner.select("host_key"), "host_key", "left_semi")
+    return most.filter("kind = 1").unionByName(shapes).select("host_key", "kind", "subtree").unionByName(around).unionByName(place)
 
 
 def extract(pages: DataFrame, carry: list[str] | None = None, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, rules: bool = True) -> DataFrame:

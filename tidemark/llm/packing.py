@@ -122,26 +122,24 @@ def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Ca
     of their own and the rest is packed.  Bins hold at most ``capacity`` words and
     never cross groups.  Documents without words (null or empty text) come back
     with length 0 and a null ``bin_id``.  Rows with equal or null ids are packed
-    each by itself; an empty table gives an empty result.  Groups depend on id,
-    word count and a hash of the text, so a rerun over the same rows packs alike.
+    each by itself; an empty table gives an empty result.  Ids may have any type.
+    Groups depend on id, word count and a hash of the text, and for rows repeated
+    very often on their number among the copies, so a rerun over the same rows
+    packs alike, whatever their order.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     groups = max(1, -(-docs.count() // group_rows))
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.xxhash64(text).alias("key"))
-    items = items.withColumn("tail", F.col("n_words") % max(capacities)).withColumn("group", F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups)))
-    if groups > 1:
-        items = _spread(items, groups, group_rows)
-    names = ["doc_id", "n_words", "piece", "start", "length", "bin_offset", "capacity", "bin_id"]
-    return items.groupBy("group").applyInPandas(lambda rows: _pack_group(rows, capacities, cost)[names], ", ".join(f"{n} long" for n in names))
-
-
-def _spread(items: DataFrame, groups: int, group_rows: int) -> DataFrame:
-    """Deal a row that is repeated very often over many groups by its place in the input; others stay."""
-    heavy = items.groupBy("doc_id", "key").agg(F.count("*").alias("copies")).filter(F.col("copies") > group_rows // 4)
-    if heavy.limit(1).count() == 0:
-        return items
-    heavy = heavy.select(F.col("doc_id").alias("h_doc"), F.col("key").alias("h_key"))
-    place = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))
-    marked = items.withColumn("place", place).join(heavy, F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("key") == F.col("h_key")), "left")
-    spread = F.pmod(F.xxhash64("doc_id", "key", "place"), F.lit(groups))
-    return marked.withColumn("group", F.when(F.col("h_key").isNull(), F.col("group")).otherwise(spread)).drop("h_doc", "h_key", "place")
+    items = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.xxhash64(text).alias("key"))
+    items = _copies(items, max(1, group_rows // 4)).withColumn("tail", F.col("n_words") % max(capacities))
+    items = items.withColumn("group", F.pmod(F.xxhash64("doc_id", "key", "block"), F.lit(groups))).drop("block")
+    names = ["n_words", "piece", "start", "length", "bin_offset", "capacity", "bin_id"]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names)
+    return items.groupBy("group").applyInPandas(lambda rows: _pack_group(rows, capacities, cost)[["doc_id", *names]], schema)
+
+
+def _copies(items: DataFrame, most: int) -> DataFrame:
+    """All rows again, repeated ones numbered in ``block``s of ``most``: rows that agree are counted, and the count is written out."""
+    counted = items.groupBy("doc_id", "n_words", "key").agg(F.count("*").alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most))))
+    sized = blocks.withColumn("n", F.least(F.lit(most), F.col("n") - F.col("block") * most).cast("int"))
+    return sized.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n", "copy")

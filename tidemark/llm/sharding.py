@@ -8,6 +8,7 @@ which slots move from heavy shards to light ones.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,9 @@ def rebalanced(assignment: dict[int, int], weights: dict[int, int], shards: int)
 
     Repeatedly the heaviest and the lightest shard are compared and the slot, or
     exchange of two slots, that narrows their gap most is moved.  Works on the
-    bounded slot table only.  Slots without bytes stay where they are.
+    bounded slot table only.  Slots without bytes stay where they are, and most
+    others do when the bytes have changed little.  A slot heavier than a shard's
+    share stands alone.
     """
     out = dict(assignment)
     held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
@@ -65,46 +68,51 @@ def rebalanced(assignment: dict[int, int], weights: dict[int, int], shards: int)
         while load[shard] > mean and held[shard]:
             item = held[shard].pop()
             load[shard] -= item[0]
-            spare.append((*item, shard))
-    for w, slot, _ in sorted(spare, reverse=True):
+            spare.append(item)
+    for w, slot in sorted(spare, reverse=True):
         to = min(range(shards), key=load.__getitem__)
         out[slot] = to
         held[to].append((w, slot))
         load[to] += w
     _evened(out, held, load, shards)
-    heaviest = max((w for items in held for w, _ in items), default=0)
-    if shards and max(load) > 1.005 * max(mean, heaviest):
-        # a slot as heavy as a shard stands in the way: deal all slots anew, the heaviest first
-        items = sorted((item for h in held for item in h), reverse=True)
-        held[:], load[:] = [[] for _ in range(shards)], [0] * shards
-        for w, slot in items:
-            to = min(range(shards), key=load.__getitem__)
-            out[slot] = to
-            held[to].append((w, slot))
-            load[to] += w
-        _evened(out, held, load, shards)
     return out
 
 
 def _evened(out: dict[int, int], held: list[list[tuple[int, int]]], load: list[int], shards: int) -> None:
-    """Narrow the widest gap by one move or exchange at a time; changes its arguments."""
-    for _ in range(shards * 8):
-        top, low = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
-        gap = load[top] - load[low]
-        best = (gap, None, None)
-        lights = [(0, None), *held[low]]
-        for w, slot in held[top]:
-            for v, other in lights:
-                after = abs(gap - 2 * (w - v))
-                if after < best[0]:
-                    best = (after, (w, slot), (v, other))
-        if best[1] is None:
-            break
+    """Move one slot, or exchange two, between the heaviest shard and the lightest one where that narrows their gap; changes its arguments.
+
+    A shard that no such step makes lighter is left aside until it changes.
+    """
+    stuck: set[int] = set()
+    for _ in range(shards * 64):
+        able = [s for s in range(shards) if s not in stuck]
+        if not able:
+            return
+        top = max(able, key=load.__getitem__)
+        for low in sorted(range(shards), key=load.__getitem__):
+            if load[low] >= load[top]:
+                continue
+            gap = load[top] - load[low]
+            lights = sorted([(0, -1), *held[low]])
+            weights = [v for v, _ in lights]
+            best = (gap, None, None)
+            for w, slot in held[top]:
+                # the exchange nearest to half of the gap
+                at = bisect_left(weights, w - gap / 2)
+                for v, other in lights[max(0, at - 1) : at + 1]:
+                    if abs(gap - 2 * (w - v)) < best[0]:
+                        best = (abs(gap - 2 * (w - v)), (w, slot), (v, other))
+            if best[1] is not None:
+                break
+        else:
+            stuck.add(top)
+            continue
+        stuck.discard(low)
         (w, slot), (v, other) = best[1], best[2]
         out[slot] = low
         held[top].remove((w, slot))
         held[low].append((w, slot))
-        if other is not None:
+        if other >= 0:
             out[other] = top
             held[low].remove((v, other))
             held[top].append((v, other))
@@ -173,7 +181,9 @@ def shard_documents(docs: DataFrame, shards: int, slots: int = VIRTUAL_SLOTS, as
     a fresh folder of the shared one, and rows are placed by the latest version read
     back from there; a folder that holds versions gets the next one, edited from
     its latest.  Documents are hashed by id and text, so null ids
-    spread; rows equal in both share a slot.  An empty table gives no rows.
+    spread; rows equal in both share a slot.  Equal texts of different ids do not
+    stay together: a group of them may be larger than a shard, and the law is one
+    of even bytes.  An empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))

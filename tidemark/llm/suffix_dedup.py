@@ -3,7 +3,8 @@
 Every byte position belongs to the bucket of its q-gram.  Buckets are refined by
 the bucket identifiers of later offsets: the identifier at depth 2d is made of
 those at depth d, here and d bytes on, until depth 100 is reached.  Identifiers
-are 64-bit hashes of the bytes they stand for, so that all tasks agree on them.
+are 64-bit hashes of the bytes they stand for, so that all tasks agree on them;
+every round compares two of them.
 
 Only few positions travel.  In each window of 100 bytes one 32-gram, chosen by
 its bucket identifier alone, is the anchor; windows can only be equal if their
@@ -30,6 +31,8 @@ from .stable import numbered, stored
 LENGTH = 100
 GRAM = 32
 SLICE_BYTES = 2 << 20
+#: Rows of 32 bytes that one task of the settling rounds should hold, about.
+TASK_ROWS = 2_000_000
 
 #: Windows in a block of the second round.
 BLOCK = 8
@@ -68,6 +71,18 @@ def window_buckets(bucket: np.ndarray, start: np.ndarray) -> np.ndarray:
     return _deepened(x, bucket[start + LENGTH - GRAM], _STEP[2])
 
 
+def window_words(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A second identifier of the 100 bytes at the given starts, from their words of eight bytes; it shares nothing with the buckets."""
+    x = np.full(len(start), 0x2545F4914F6CDD1D, np.uint64)
+    if len(start):
+        eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+        with np.errstate(over="ignore"):
+            for offset in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+                word = np.ascontiguousarray(eight[start + offset]).view(np.uint64).reshape(-1)
+                x = at.mix(x * np.uint64(0x9FB21C651E98DF25) ^ word)
+    return x
+
+
 def _window_min(key: np.ndarray, width: int) -> np.ndarray:
     """Minimum over each run of ``width`` entries."""
     have, out = 1, key
@@ -257,35 +272,37 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         order = np.lexsort((first, row))
         run, local = _spread(first[order], last[order])
         row = row[order][run]
-        key = window_buckets(bucket, local + offsets[row])
-        fresh = at.first_of(key)
+        key, words = window_buckets(bucket, local + offsets[row]), window_words(data, local + offsets[row])
+        fresh = at.first_of(at.mix(key ^ at.mix(words)))
         old = np.flatnonzero(~fresh)
         a, b = at.runs(local[old], row[old])
         yield _batch(at.mix(row[old][a].astype(np.uint64)), a * 0, ids[row[old][a]], _packed(local[old][a], local[old][b]))
         new = np.flatnonzero(fresh)
-        yield _batch(key[new], new * 0, ids[row[new]], _anchored(local[new], local[new], local[new], OPEN))
+        yield _batch(key[new], words[new], ids[row[new]], _anchored(local[new], local[new], local[new], OPEN))
 
 
 def _settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In one partition of depth-100 buckets: all windows but the earliest of a bucket are repeated."""
-    key, _, ids, packed = _gathered(batches, _NAMES)
+    key, words, ids, packed = _gathered(batches, _NAMES)
     first, last, _, kind = _unpacked(packed)
     done = kind == REPEATED
     pick = np.flatnonzero(~done)
-    order = pick[np.lexsort((first[pick], ids[pick], key[pick]))]
-    later = order[np.r_[False, key[order][1:] == key[order][:-1]]] if len(order) else order
+    order = pick[np.lexsort((first[pick], ids[pick], words[pick], key[pick]))]
+    later = order[np.r_[False, (key[order][1:] == key[order][:-1]) & (words[order][1:] == words[order][:-1])]] if len(order) else order
     later = later[np.lexsort((first[later], ids[later]))]
     r, a, b = _merged(ids[later], first[later], last[later])
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[done], r])), pa.array(np.concatenate([packed[done], _packed(a, b)]))], ["ord", "packed"])
 
 
-def _per_partition(df: DataFrame, settle: Callable, key: str) -> DataFrame:
-    return df.repartition(key).mapInArrow(settle, "ord long, packed long")
+def _per_partition(df: DataFrame, settle: Callable, key: str, n: int) -> DataFrame:
+    return df.repartition(n, key).mapInArrow(settle, "ord long, packed long")
 
 
 def repeated_runs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ord, runs): per row of ``rows`` (ord, text) the packed runs of repeated window starts; and the partitioned rows."""
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a task holds the rows of its partition: about one for every 34 bytes of text in the first round, fewer later
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (34 * TASK_ROWS))
     placed = rows.repartition(n, "ord")  # one exchange of the texts serves the joins of a query
     kind = F.col("packed").bitwiseAND(F.lit(3))
 
@@ -293,10 +310,10 @@ def repeated_runs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         todo = runs.filter(kind == OPEN).groupBy("ord").agg(F.collect_list("packed").alias("runs"))
         return placed.select("ord", "text").join(todo.hint("shuffle_merge"), "ord")
 
-    anchors = stored(_per_partition(rows.select("ord", "text").mapInArrow(_anchor_rows, _SCHEMA), _settle_runs, "bucket"))
+    anchors = stored(_per_partition(rows.select("ord", "text").mapInArrow(_anchor_rows, _SCHEMA), _settle_runs, "bucket", n))
     # read twice below from one exchange, as the texts are, so that neither is shuffled again
-    blocks = _per_partition(still_open(anchors).mapInArrow(_block_rows, _SCHEMA), _settle_runs, "bucket")
-    windows = _per_partition(still_open(blocks).mapInArrow(_open_windows, _SCHEMA), _settle_windows, "bucket")
+    blocks = _per_partition(still_open(anchors).mapInArrow(_block_rows, _SCHEMA), _settle_runs, "bucket", n)
+    windows = _per_partition(still_open(blocks).mapInArrow(_open_windows, _SCHEMA), _settle_windows, "bucket", n)
     found = anchors.filter(kind == REPEATED).unionByName(blocks.filter(kind == REPEATED)).unionByName(windows)
     return found.groupBy("ord").agg(F.collect_list("packed").alias("runs")), placed
 
@@ -319,7 +336,7 @@ def deduplicate(docs: DataFrame, carry: list[str] | None = None, with_text: bool
     first, then by a hash of the text.  An empty table gives an empty result;
     carried columns with the name of a result are replaced.  ``with_text`` adds
     ``kept_text``: what is left, less characters of which any byte was removed.
-    Equality is that of 64-bit identifiers.
+    Equality is that of two 64-bit identifiers in every round.
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
     carry = [c for c in (["doc_id"] if carry is None else carry) if c not in names]
@@ -351,6 +368,6 @@ def deduplicate(docs: DataFrame, carry: list[str] | None = None, with_text: bool
     for n in names:
         schema = schema.add(n, "long" if n.startswith("n_") else "string")
     out = joined.mapInArrow(run, schema)
-    if with_text:
+    if with_text and "text" in carry:
         return out.select(*[F.col("kept_text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in carry], *names)
     return out.select("row.*", *names)

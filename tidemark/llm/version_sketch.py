@@ -14,15 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
+from .stable import settled
 
 #: Cells of a fingerprint, in equal parts for each of the hash functions.
 CELLS, HASHES = 12, 3
-#: Rows per bucket of the ordered pass.
-BUCKET_ROWS = 1024
+#: Rows per bucket of the ordered pass, cuts at quantiles of the ids, and buckets that one task reads.
+BUCKET_ROWS, COARSE, TASK_BUCKETS = 1024, 512, 16
+#: First rows of buckets are broadcast up to this many.
+BROADCAST_BUCKETS = 200_000
 #: A paragraph also ends after a word whose hash is a multiple of this, so that one long line still has parts.
 CUT = 8
 #: Words after which a paragraph is cut whatever they are.
@@ -106,8 +109,11 @@ def sketch(row: np.ndarray, digest: np.ndarray, rows: int, cells: int, seed: int
 def peel(count: np.ndarray, keys: np.ndarray, checks: np.ndarray, rows: int, cells: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digests recovered on either side of every subtracted sketch, and whether it emptied.  Changes its arguments."""
     plus, minus = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    look = np.flatnonzero(np.abs(count) == 1)
     while True:
-        pure = np.flatnonzero((np.abs(count) == 1) & (_check(keys) == checks))
+        # only cells that changed can have become pure
+        look = look[np.abs(count[look]) == 1]
+        pure = look[_check(keys[look]) == checks[look]]
         if len(pure) == 0:
             break
         row, key, sign = pure // cells, keys[pure], count[pure].astype(np.int64)
@@ -119,11 +125,14 @@ def peel(count: np.ndarray, keys: np.ndarray, checks: np.ndarray, rows: int, cel
         np.add.at(plus, row[sign > 0], 1)
         np.add.at(minus, row[sign < 0], 1)
         check = _check(key)
+        touched = []
         for at_ in _cells(key, cells, seed):
             where = row * cells + at_
             np.subtract.at(count, where, sign.astype(np.int32))
             np.bitwise_xor.at(keys, where, key)
             np.bitwise_xor.at(checks, where, check)
+            touched.append(where)
+        look = np.unique(np.concatenate(touched))
     full = ((count != 0) | (keys != 0) | (checks != 0)).reshape(rows, cells).any(1)
     return plus, minus, ~full
 
@@ -138,18 +147,27 @@ def _narrow(row: np.ndarray, digest: np.ndarray, wanted: np.ndarray) -> tuple[np
 
 
 def likeness(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
-    """Shared share of all distinct paragraphs, from the digests that peeling recovers; 1 where both have none."""
+    """Shared share of all distinct paragraphs, from the digests that peeling recovers; 1 where both have none.
+
+    A pair starts with the smallest sketch that has 1.5 cells for each paragraph of
+    either side, so that even texts with nothing in common mostly peel at once,
+    and takes four times the cells whenever peeling gets stuck.
+    """
     n_left, n_right = np.bincount(left[0], minlength=rows), np.bincount(right[0], minlength=rows)
     only = np.zeros((2, rows), np.int64)
-    todo, cells, seed = np.arange(rows), CELLS, 0
-    while len(todo):
-        (r1, d1), (r2, d2) = _narrow(*left, todo), _narrow(*right, todo)
+    steps = np.ceil(np.log(np.maximum(1.5 * (n_left + n_right) / CELLS, 1)) / np.log(4)).astype(np.int64)
+    left_rows, right_rows = left[0], right[0]
+    while len(todo := np.flatnonzero(steps >= 0)):
+        step = int(steps[todo].min())
+        cells = CELLS * 4**step
+        # few rows at a time where sketches are large
+        todo = todo[steps[todo] == step][: max(1, 4_000_000 // cells)]
+        (r1, d1), (r2, d2) = _narrow(left_rows, left[1], todo), _narrow(right_rows, right[1], todo)
         sign = np.r_[np.ones(len(r1), np.int64), -np.ones(len(r2), np.int64)]
-        # few rows at a time where sketches have grown
-        count, keys, checks = sketch(np.r_[r1, r2], np.r_[d1, d2], len(todo), cells, seed, sign)
-        plus, minus, done = peel(count, keys, checks, len(todo), cells, seed)
+        count, keys, checks = sketch(np.r_[r1, r2], np.r_[d1, d2], len(todo), cells, step, sign)
+        plus, minus, done = peel(count, keys, checks, len(todo), cells, step)
         only[0, todo[done]], only[1, todo[done]] = plus[done], minus[done]
-        todo, cells, seed = todo[~done], cells * 4, seed + 1
+        steps[todo] = np.where(done, -1, step + 1)
     shared = n_left - only[0]
     either = n_left + only[1]
     return np.where(either == 0, 1.0, shared / np.maximum(either, 1))
@@ -199,6 +217,33 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _compared(*map(list, zip(*pairs, strict=True)))
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Add ``coarse`` and ``fine``: cuts of the order (place, tie) into buckets of about ``BUCKET_ROWS`` rows.
+
+    Up to ``COARSE`` quantiles of the ids cut first, and an id that holds several
+    of them gets a bucket of its own.  A bucket is then cut into equal ranges, of
+    ids or, in that of a single id, of ties; their number follows its count.
+    """
+    count = rows.count()
+    wanted = min(COARSE, -(-count // BUCKET_ROWS))
+    cuts: list[int] = []
+    if wanted > 1:
+        found = [int(c) for c in rows.approxQuantile("place", [i / wanted for i in range(1, wanted)], 0.25 / wanted)]
+        again = {c for c, after in zip(found, found[1:], strict=False) if c == after}
+        cuts = sorted({*found, *(c + 1 for c in again if c < (1 << 63) - 1)})
+    places = F.array(*[F.lit(c).cast("long") for c in cuts]).cast("array<bigint>")
+    rows = rows.withColumn("coarse", F.size(F.filter(places, lambda c: c <= F.col("place"))))
+    # at most two buckets for each cut
+    spans = rows.groupBy("coarse").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.ceil(F.count("*") / BUCKET_ROWS).alias("parts")).collect()
+    if not spans or max(r.parts for r in spans) == 1:
+        return rows.withColumn("fine", F.lit(0).cast("long"))
+    table = F.array(*[F.struct(F.lit(r.low).cast("double").alias("low"), F.lit(r.high).cast("double").alias("high"), F.lit(r.parts).cast("long").alias("parts")) for r in sorted(spans)])
+    known = F.array(*[F.lit(r.coarse) for r in sorted(spans)])
+    span = F.element_at(table, F.array_position(known, F.col("coarse")).cast("int"))
+    share = F.when(span["high"] > span["low"], (F.col("place").cast("double") - span["low"]) / (span["high"] - span["low"])).otherwise(F.col("tie").cast("double") / 2.0**64 + 0.5)
+    return rows.withColumn("fine", F.least(F.floor(share * span["parts"]), span["parts"] - 1))
+
+
 def compare_versions(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness.
 
@@ -206,32 +251,33 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     next document in descending doc_id (after the last: the first).  Null ids
     come last, equal ids in the order of a hash of the text; every row stands for
     itself and a table of one row follows itself.  Null texts are empty.  An
-    empty table gives an empty result.
+    empty table gives an empty result; other columns are ignored.
 
-    Ids are cut into buckets at approximate quantiles; every bucket is read in
-    order by one task, ended by the first row of the bucket that follows.
+    Ids are cut into buckets whose number grows with the rows; every bucket is
+    read in order by one task, ended by the first row of the bucket that follows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # ~x turns ascending into descending without overflow; null ids become the largest
     order = F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).alias("place")
-    count = docs.count()
-    wanted = min(4096, -(-count // BUCKET_ROWS))
-    ids = docs.select(order)
-    cuts = sorted(set(ids.approxQuantile("place", [i / wanted for i in range(1, wanted)], 0.25 / wanted))) if wanted > 1 else []
-    places = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else None
-    bucket = F.size(F.filter(places, lambda c: c <= F.col("place"))) if cuts else F.lit(0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order, F.xxhash64(text).alias("tie"), text.alias("text")).withColumn("bucket", bucket)
-    # one row per bucket: at most 4096
-    firsts = {r[0]: (r[1][0], r[1][1]) for r in rows.groupBy("bucket").agg(F.min(F.struct("place", "tie"))).collect()}
-    known = sorted(firsts)
-    before = {b: known[i - 1] for i, b in enumerate(known)}
-    if known:
-        lead = F.create_map(*[x for b in known for x in (F.lit(b), F.struct(F.lit(firsts[b][0]).cast("long").alias("place"), F.lit(firsts[b][1]).cast("long").alias("tie"), F.lit(before[b]).alias("to")))])[F.col("bucket")]
-        first_row = (F.col("place") == lead["place"]) & (F.col("tie") == lead["tie"])
-        own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
-        sent = F.when(first_row, F.array(own, F.struct(lead["to"].alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-        rows = rows.withColumn("sent", F.explode(sent)).select("sent.*", "doc_id", "place", "tie", "text")
-    else:
-        rows = rows.withColumn("guest", F.lit(False))
-    placed = rows.repartition("bucket").sortWithinPartitions("bucket", "guest", "place", "tie").select("bucket", "guest", "doc_id", "text")
-    return placed.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = _bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), order, F.xxhash64(text).alias("tie"), text.alias("text")))
+    bucket = ["coarse", "fine"]
+    firsts = settled(rows.groupBy(*bucket).agg(F.min(F.struct("place", "tie")).alias("first")))
+    # the bucket before: inside the coarse one, or the last of the coarse one before, or of all
+    edges = firsts.groupBy("coarse").agg(F.max("fine").alias("last")).orderBy("coarse").collect()
+    ends = {r.coarse: (edges[i - 1].coarse, edges[i - 1].last) for i, r in enumerate(edges)}
+    if not ends:
+        return rows.select("doc_id", "text").mapInArrow(_pairs, _RESULT)
+    lead = F.element_at(F.array(*[F.struct(F.lit(c).alias("coarse"), F.lit(f).cast("long").alias("fine")) for c, f in (ends[r.coarse] for r in edges)]), F.array_position(F.array(*[F.lit(r.coarse) for r in edges]), F.col("coarse")).cast("int"))
+    before = F.lag("fine").over(Window.partitionBy("coarse").orderBy("fine"))
+    sent = firsts.select("first.*", F.coalesce(F.when(before.isNotNull(), F.struct("coarse", before.alias("fine"))), lead).alias("to"))
+    few = sent.count() <= BROADCAST_BUCKETS
+    heads = rows.select("doc_id", "place", "tie", "text").join(F.broadcast(sent) if few else sent, ["place", "tie"])
+    # rows that agree in id and text are alike: one of them will do
+    guests = heads.groupBy("place", "tie", "to").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("to.*", F.lit(True).alias("guest"), "doc_id", "place", "tie", "text")
+    both = rows.select(*bucket, F.lit(False).alias("guest"), "doc_id", "place", "tie", "text").unionByName(guests)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent.count() // TASK_BUCKETS))
+    placed = both.repartition(n, *bucket).sortWithinPartitions(*bucket, "guest", "place", "tie").select(F.struct(*bucket).alias("bucket"), "guest", "doc_id", "text")
+    return placed.mapInArrow(_pairs, _RESULT)
+
+
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -1,6 +1,7 @@
 """Sharding, mixing, packing, the pipeline and the SQL of the registered queries."""
 
 import hashlib
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -26,7 +27,28 @@ def test_shards_are_even_and_gapless(spark):
     assert max(loads.values()) <= 1.02 * max(min(loads.values()), sum(loads.values()) / 6)
     assert sharding.shard_documents(docs(spark, []), 6).count() == 0
     assert sharding.shard_documents(docs(spark, ["a", "a", None, None], [1, 1, None, None]), 6).count() == 4
-
+    assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in got)
+    named = docs(spark, ["a", "b" * 300_000]).withColumn("slot", F.lit("mine")).withColumn("size", F.lit(0))
+    assert {r.size for r in sharding.shard_documents(named, 6).collect()} == {17, 300_016}
+
+
+@pytest.mark.parametrize("heavy", [{}, {7: 900_000}, {3: 90_000, 9: 90_000, 12: 80_000}])
+def test_maps_are_edited_not_dealt_anew(heavy):
+    weights = {s: 50 + s * s % 997 for s in range(1024)} | heavy
+    first = sharding.first_map(None, 8, 1024)
+    second = sharding.rebalanced(first, weights, 8)
+    loads = Counter()
+    for s, w in weights.items():
+        loads[second[s]] += w
+    alone = sum(w for w in heavy.values() if w > sum(weights.values()) / 8)
+    even = (sum(weights.values()) - alone) / (8 - bool(alone))
+    assert sorted(loads.values())[-2] <= 1.01 * even and min(loads.values()) >= 0.99 * even
+    assert sum(first[s] != second[s] for s in first) < 400
+    grown = {s: w + w * (s % 5) // 50 for s, w in weights.items()}
+    third = sharding.rebalanced(second, grown, 8)
+    assert sum(second[s] != third[s] for s in second) < 150
+    again = sharding.rebalanced(second, weights, 8)
+    assert sum(second[s] != again[s] for s in second) < 40
 
 def test_map_versions(spark, tmp_path):
     first = sharding.first_map(spark, 3, 12)
@@ -119,7 +141,35 @@ def test_packing_holds_every_word_once(spark):
         assert all(x[0] == sum(y[1] for y in held[:k]) for k, x in enumerate(held))
         assert held[0][2] == min(c for c in packing.CAPACITIES if c >= size)
     assert packing.best_fit(df.limit(0)).count() == 0
-    assert packing.best_fit(docs(spark, ["a b"] * 300, [7] * 300), group_rows=100).count() == 300
+    many = docs(spark, ["a b"] * 300 + ["c"], [7] * 300 + [8]).withColumn("piece", F.lit("mine"))
+    once, again = (sorted(map(str, packing.best_fit(df, group_rows=100).collect())) for df in (many, many.repartition(7, F.rand(3))))
+    assert len(once) == 301 and once == again
+    named = packing.best_fit(docs(spark, ["a b", "a b", None]).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id") % 2))).collect()
+    assert sorted(r.doc_id for r in named) == ["d0", "d0", "d1"]
+
+
+def test_packing_is_near_the_cheapest_on_small_sets(spark):
+    def cheapest(sizes, caps):
+        """Least cost over all ways to part the sizes into bins."""
+        best = [float("inf")]
+
+        def deal(rest, bins):
+            cost = sum(packing.linear_cost(min(c for c in caps if c >= b)) for b in bins)
+            if not rest:
+                best[0] = min(best[0], cost)
+                return
+            for k in range(len(bins)):
+                if bins[k] + rest[0] <= caps[-1]:
+                    deal(rest[1:], [*bins[:k], bins[k] + rest[0], *bins[k + 1 :]])
+            deal(rest[1:], [*bins, rest[0]])
+
+        deal(sizes, [])
+        return best[0]
+
+    for seed in range(12):
+        sizes = sorted((1 + (seed * 7919 + k * k * 31) % 4000 for k in range(7)), reverse=True)
+        _, caps = packing.pack(sizes)
+        assert sum(map(packing.linear_cost, caps)) <= 1.35 * cheapest(sizes, packing.CAPACITIES)
 
 
 def test_joint_packing_is_no_dearer_than_one_length():

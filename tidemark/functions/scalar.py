@@ -59,8 +59,9 @@ def slope_degrees(dx: Column, dy: Column) -> Column:
     return F.degrees(F.atan(F.hypot(dx, dy)))
 
 
-def near(a: Column, b: Column, tolerance: float) -> Column:
-    return F.abs(a - b) <= F.lit(tolerance)
+def near(a: Column, b: Column, tolerance: float | Column) -> Column:
+    """Within a tolerance, which may depend on the row."""
+    return F.abs(a - b) <= (tolerance if isinstance(tolerance, Column) else F.lit(tolerance))
 
 
 def patch_name(rank: Column) -> Column:

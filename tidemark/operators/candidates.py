@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import square_kilometres
+from tidemark.functions.scalar import near, square_kilometres
 
 #: Nine settings of darkness and drop, in dB.
 SETTINGS = tuple((t, d) for t in (-18, -21, -24) for d in (-2, -3, -4))
@@ -86,5 +86,5 @@ def cleanup_sweep(sized: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame
 def rule_violations(points: DataFrame, dark: int = CHOSEN[0], drop: int = CHOSEN[1]) -> DataFrame:
     """Points that break the rule they were selected by, or whose change is not after less before; none expected."""
     fine = (F.col("june_vh_db") > dark) & (F.col("july_vh_db") <= dark) & (F.col("delta_vh_db") <= drop)
-    fine = fine & (F.abs(F.col("delta_vh_db").cast("double") - (F.col("july_vh_db").cast("double") - F.col("june_vh_db").cast("double"))) <= F.lit(1e-5))
+    fine = fine & near(F.col("delta_vh_db").cast("double"), F.col("july_vh_db").cast("double") - F.col("june_vh_db").cast("double"), 1e-5)
     return points.filter(~F.coalesce(fine, F.lit(False)))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import patch_name
 
+from tidemark.sources.shared import settled
+
 from .graph import components
 
 TILE = 512
@@ -52,7 +54,8 @@ def labelled(cells: DataFrame, tile: int = TILE) -> DataFrame:
     """
     keyed = cells.select("pair_id", "row", "col").withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
     fields = ", ".join(f"{c} {t}" for c, t in keyed.dtypes)
-    local = keyed.groupBy("pair_id", "tr", "tc").applyInPandas(_label_tile, f"{fields}, local long")
+    # read for both sides of the seams and for the result; labelled once
+    local = settled(keyed.groupBy("pair_id", "tr", "tc").applyInPandas(_label_tile, f"{fields}, local long"))
     border = local.filter((F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1))
     steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))])
     asked = border.withColumn("step", F.explode(steps)).select("pair_id", (F.col("row") + F.col("step.dr")).alias("row"), (F.col("col") + F.col("step.dc")).alias("col"), F.col("local").alias("from"), F.col("tr").alias("ftr"), F.col("tc").alias("ftc"))
@@ -75,6 +78,15 @@ def without_small(labels: DataFrame, least: int) -> DataFrame:
 
 
 def ranked(sizes: DataFrame) -> DataFrame:
-    """Number components 1, 2, ... per pair in scan order of their first pixel, and name them."""
-    order = Window.partitionBy("pair_id").orderBy("label")
-    return sizes.withColumn("component_id", F.row_number().over(order)).withColumn("patch_id", patch_name(F.col("component_id")))
+    """Number components 1, 2, ... per pair in scan order of their first pixel, and name them.
+
+    Numbers run inside bands of ``TILE`` pixel rows and start from what the bands
+    above hold, so that no task numbers a whole pair.
+    """
+    banded = sizes.withColumn("__band", F.floor(F.col("label") / (WIDTH * TILE)))
+    above = Window.partitionBy("pair_id").orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    starts = banded.groupBy("pair_id", "__band").agg(F.count("*").alias("__n")).select("pair_id", "__band", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("pair_id", "__band").orderBy("label")
+    numbered = banded.withColumn("__k", F.row_number().over(inside)).join(starts, ["pair_id", "__band"])
+    out = numbered.withColumn("component_id", (F.col("__before") + F.col("__k")).cast("int")).drop("__band", "__before", "__k")
+    return out.withColumn("patch_id", patch_name(F.col("component_id")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import near
+
 
 def digests(files: DataFrame, content: str = "content") -> DataFrame:
     """path, bytes, sha256 and md5 of every file."""
@@ -78,5 +80,12 @@ def member_counts(members: DataFrame) -> DataFrame:
     return members.select("archive", member_kind(F.col("member")).alias("kind"), pol.alias("pol")).groupBy("archive", "kind").agg(*[F.count_if(F.col("pol") == p).alias(p) for p in ("vv", "vh", "none")])
 
 
+def changed_samples(aligned: DataFrame, source: DataFrame, value: str, row_off: int, col_off: int, keys: list[str], relative: float = 1e-6, absolute: float = 1e-7) -> DataFrame:
+    """Aligned cells whose value differs from the source's at the shifted index by more than the tolerances; none expected."""
+    there = source.select(*keys, (F.col("row") - row_off).alias("row"), (F.col("col") - col_off).alias("col"), F.col(value).cast("double").alias("__source"))
+    met = aligned.join(there, [*keys, "row", "col"]).filter(F.col("__source").isNotNull())
+    return met.filter(~F.coalesce(near(F.col(value).cast("double"), F.col("__source"), absolute + relative * F.abs("__source")), F.lit(False))).drop("__source")
+
+
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")

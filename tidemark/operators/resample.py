@@ -1,10 +1,12 @@
-"""Nearest and bilinear resampling of cell tables."""
+"""Nearest and bilinear resampling of cell tables, and their reprojection."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .projection import to_lonlat, to_utm
+
 
 def nearest(targets: DataFrame, cells: DataFrame, x: Column, y: Column, value: str, missing: Column | None = None, keys: list[str] | None = None) -> DataFrame:
     """Value of the source cell that contains each target; ``x`` and ``y`` are source column and row units.
@@ -18,20 +20,53 @@ def nearest(targets: DataFrame, cells: DataFrame, x: Column, y: Column, value: s
     return out if missing is None else out.withColumn(value, F.coalesce(F.col(value), missing))
 
 
-def bilinear(targets: DataFrame, cells: DataFrame, x: Column, y: Column, value: str, key: list[str], carry: list[str] | None = None) -> DataFrame:
+def bilinear(targets: DataFrame, cells: DataFrame, x: Column, y: Column, value: str, key: list[str], carry: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
     """Distance-weighted mean of the known cells among the four around each target; null if none is known.
 
     ``x`` and ``y`` are source units with cell centres at halves; weights of
-    missing cells are shared out among the others.  ``key`` names the target row.
+    missing cells are shared out among the others.  ``key`` names the target row;
+    ``keys``, a part of it, the columns in which target and cells must agree, as
+    the pair where each has cells of its own.
     """
-    carry = carry or []
+    carry, keys = carry or [], keys or []
     px, py = x - 0.5, y - 0.5
     base = targets.select(*key, *carry, F.floor(px).alias("c0"), F.floor(py).alias("r0"), (px - F.floor(px)).alias("fx"), (py - F.floor(py)).alias("fy"))
     corners = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (0, 1) for c in (0, 1)])
     wx = F.when(F.col("__k.dc") == 1, F.col("fx")).otherwise(1 - F.col("fx"))
     wy = F.when(F.col("__k.dr") == 1, F.col("fy")).otherwise(1 - F.col("fy"))
     four = base.withColumn("__k", F.explode(corners)).select(*key, *carry, (F.col("r0") + F.col("__k.dr")).cast("int").alias("__r"), (F.col("c0") + F.col("__k.dc")).cast("int").alias("__c"), (wx * wy).alias("w"))
-    met = four.join(cells.filter(F.col(value).isNotNull()).select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).cast("double").alias("__v")), ["__r", "__c"], "left")
+    met = four.join(cells.filter(F.col(value).isNotNull()).select(*keys, F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).cast("double").alias("__v")), [*keys, "__r", "__c"], "left")
     weight = F.when(F.col("__v").isNotNull(), F.col("w"))
     out = met.groupBy(*key, *carry).agg(F.sum(weight * F.col("__v")).alias("__s"), F.sum(weight).alias("__w"))
     return out.withColumn(value, F.when(F.col("__w") > 0, F.col("__s") / F.col("__w"))).drop("__s", "__w")
+
+
+def projected_grid(cells: DataFrame, keys: list[str], lon0: float, lat0: float, step: float, spacing: float = 30.0, zone: int = 31) -> DataFrame:
+    """Per key the north-up grid (x0, y0, width, height) of ``spacing`` metres that covers geographic cells.
+
+    ``lon0`` and ``lat0`` are the upper left corner of cell (0, 0) and ``step`` is
+    its width in degrees.  The extent is that of the projected corners and edge
+    centres of the cells' bounds.
+    """
+    rows = cells.groupBy(*keys).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    west, east = lon0 + F.col("c0") * step, lon0 + (F.col("c1") + 1) * step
+    north, south = lat0 - F.col("r0") * step, lat0 - (F.col("r1") + 1) * step
+    middle = [(lon, lat) for lon in (west, (west + east) / 2, east) for lat in (south, (south + north) / 2, north)]
+    points = [to_utm(lon, lat, zone) for lon, lat in middle]
+    out = rows.select(*keys, F.least(*[x for x, _ in points]).alias("x0"), F.greatest(*[y for _, y in points]).alias("y0"), F.greatest(*[x for x, _ in points]).alias("x1"), F.least(*[y for _, y in points]).alias("y1"))
+    return out.select(*keys, "x0", "y0", F.ceil((F.col("x1") - F.col("x0")) / spacing).cast("int").alias("width"), F.ceil((F.col("y0") - F.col("y1")) / spacing).cast("int").alias("height"))
+
+
+def reprojected(cells: DataFrame, value: str, keys: list[str], lon0: float, lat0: float, step: float, spacing: float = 30.0, zone: int = 31) -> DataFrame:
+    """(keys, row, col, value): geographic cells on their projected grid, bilinear; null where no source cell is near.
+
+    Target rows are made by Spark from the grid's size, one row of cells at a
+    time, and find their four source cells through the inverse projection.
+    """
+    grid = projected_grid(cells, keys, lon0, lat0, step, spacing, zone)
+    rows = grid.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
+    # spread the rows before they multiply
+    rows = rows.repartition(*keys, "row").withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    lon, lat = to_lonlat(F.col("x0") + (F.col("col") + 0.5) * spacing, F.col("y0") - (F.col("row") + 0.5) * spacing, zone)
+    placed = rows.select(*keys, "row", "col", ((lon - lon0) / step).alias("__x"), ((lat0 - lat) / step).alias("__y"))
+    return bilinear(placed, cells, F.col("__x"), F.col("__y"), value, [*keys, "row", "col"], keys=keys)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import event_period
-from tidemark.operators import backscatter, catalog, grid, integrity, polygons, projection, qa
+from tidemark.operators import backscatter, catalog, grid, integrity, polygons, projection, qa, resample
 from tidemark.sources import tables
 
 from . import fixtures as fx
@@ -132,13 +132,14 @@ def g08_district_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.assigned_districts(found).select("poly_id", F.round("fraction", 9).alias("fraction"))
 
 
-@query(f"WITH {fx.SQL} SELECT row, col FROM P WHERE inside AND footprint")
+@query(f"WITH {fx.SQL} SELECT pair_id, row, col FROM P WHERE inside AND footprint")
 def g09_g10_inside_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of the area that the footprint covers, from scanline spans."""
-    rows = fx.raw_pixels(spark, sf_dir).select("row").distinct()
-    area = polygons.inside_pixels(polygons.spans(polygons.edge_table(spark, {"area": [fx.AREA]}), rows)).drop("poly_id")
-    cover = polygons.inside_pixels(polygons.spans(polygons.edge_table(spark, {"footprint": [fx.FOOTPRINT]}), rows)).drop("poly_id")
-    return area.join(cover, ["row", "col"], "left_semi").join(fx.raw_pixels(spark, sf_dir).select("row", "col"), ["row", "col"], "left_semi")
+    raw = fx.raw_pixels(spark, sf_dir).select("pair_id", "row", "col").withColumn("r", F.col("row") % fx.PERIOD)
+    for name, rings in (("area", fx.AREA), ("footprint", fx.FOOTPRINT)):
+        inside = polygons.inside_pixels(fx.shape_spans(raw, name, rings)).select(F.col("row").alias("r"), "col")
+        raw = raw.join(inside, ["r", "col"], "left_semi")
+    return raw.select("pair_id", "row", "col")
 
 
 @query("SELECT s_suppkey AS poly_id, 1::BIGINT AS rings, 4::BIGINT AS edges, true AS finite, true AS enough_points, true AS has_area FROM supplier")
@@ -289,14 +290,15 @@ def f10_grid_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.drop("spacing").join(spacing, "pair_id")
 
 
-@query(f"WITH {fx.SQL} SELECT count(*) AS mismatches FROM P WHERE row IS NULL")
+@query(f"WITH {fx.SQL} SELECT pair_id, row - 3 AS row, col - 5 AS col FROM P WHERE vh_before IS NOT NULL AND row >= 3 AND col >= 5 AND vh_before <> 0 AND ((row + col) % 11 = 0 OR (row + col) % 11 = 1)")
 def f17_reference_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned values that differ from the source at the shifted index: none."""
-    src = fx.raw_pixels(spark, sf_dir).select("row", "col", F.col("vh_before").alias("source"))
-    kept = backscatter.without_nodata(fx.raw_pixels(spark, sf_dir)).select((F.col("row") - 3).alias("r"), (F.col("col") - 5).alias("c"), "vh_before")
-    met = kept.join(src, (F.col("row") == F.col("r") + 3) & (F.col("col") == F.col("c") + 5)).filter("vh_before IS NOT NULL")
-    off = F.abs(F.col("vh_before").cast("double") - F.col("source").cast("double")) > 1e-7 + 1e-6 * F.abs(F.col("source").cast("double"))
-    return met.filter(off).agg(F.count("*").alias("mismatches"))
+    """Values aligned by a shift of the grid that differ from the source at the shifted index: those spoilt here and no other."""
+    source = backscatter.without_nodata(fx.raw_pixels(spark, sf_dir))
+    grid = source.select("pair_id", (F.col("row") - 3).alias("row"), (F.col("col") - 5).alias("col")).filter("row >= 0 AND col >= 0")
+    aligned = resample.nearest(grid, source, F.col("col") + 5.5, F.col("row") + 3.5, "vh_before", keys=["pair_id"])
+    spoilt = F.when((F.col("row") + F.col("col") + 8) % 11 == 0, F.col("vh_before") * 1.001).when((F.col("row") + F.col("col") + 8) % 11 == 1, F.col("vh_before") * 0.9999).otherwise(F.col("vh_before"))
+    aligned = aligned.withColumn("vh_before", spoilt.cast("float"))
+    return integrity.changed_samples(aligned, source, "vh_before", 3, 5, ["pair_id"]).select("pair_id", "row", "col")
 
 
 @query(f"WITH {fx.SQL} SELECT pair_id, row, col FROM raw WHERE row >= 2 AND row < 9 AND col >= 4 AND col < 44")

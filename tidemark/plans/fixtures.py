@@ -14,6 +14,8 @@ from tidemark.operators import backscatter, candidates, polygons
 WIDTH = 125
 WATER_SCALE, WATER_WIDTH = 3, 50
 DEM_SCALE, DEM_WIDTH = 4, 50
+#: The area and the footprint repeat after so many rows, so that they grow with the grid.
+PERIOD = 4000
 
 #: Rings in pixel units (x = column, y = row): a concave area with a hole, and a slanted footprint.
 AREA = [
@@ -44,11 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pair_id, row, col, four bands) with zeros, negatives, nodata marks, NaN and missing rows."""
+    """(pair_id, row, col, four bands) of two pairs on one grid, with zeros, negatives, nodata marks, NaN and missing rows."""
     late = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("bigint").alias("q"), F.count("*").alias("n"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").alias("p"))
-    keyed = orders.join(late, F.col("o_orderkey") == F.col("l_orderkey"), "left").selectExpr("o_orderkey AS k", f"o_orderkey div {WIDTH} AS r", f"o_orderkey % {WIDTH} AS c", "p", "q", "n")
-    return keyed.selectExpr("1 AS pair_id", "CAST(r AS INT) AS row", "CAST(c AS INT) AS col", *(f"{x} AS {n}" for n, x in _bands(" div ").items()))
+    keyed = orders.join(late, F.col("o_orderkey") == F.col("l_orderkey"), "left").selectExpr("o_orderkey AS k", f"o_orderkey div {2 * WIDTH} AS r", f"(o_orderkey div 2) % {WIDTH} AS c", "p", "q", "n")
+    return keyed.selectExpr("CAST(1 + k % 2 AS INT) AS pair_id", "CAST(r AS INT) AS row", "CAST(c AS INT) AS col", *(f"{x} AS {n}" for n, x in _bands(" div ").items()))
 
 
 def water_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,17 +58,26 @@ def water_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dem_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("1 AS pair_id", f"CAST(c_custkey div {DEM_WIDTH} AS INT) AS row", f"CAST(c_custkey % {DEM_WIDTH} AS INT) AS col", "CASE WHEN c_custkey % 83 = 0 THEN NULL ELSE CAST(floor(c_acctbal) / CAST(100 AS DOUBLE) AS FLOAT) END AS elevation")
+    return table(spark, sf_dir, "customer").selectExpr("CAST(1 + c_custkey % 2 AS INT) AS pair_id", f"CAST(c_custkey div {2 * DEM_WIDTH} AS INT) AS row", f"CAST((c_custkey div 2) % {DEM_WIDTH} AS INT) AS col", "CASE WHEN c_custkey % 83 = 0 THEN NULL ELSE CAST(floor(c_acctbal) / CAST(100 AS DOUBLE) AS FLOAT) END AS elevation")
+
+
+def shape_spans(raw: DataFrame, name: str, rings: list) -> DataFrame:
+    """Spans of a shape in the rows of one period."""
+    rows = raw.select((F.col("row") % PERIOD).alias("row")).distinct()
+    return polygons.spans(polygons.edge_table(raw.sparkSession, {name: [rings]}), rows)
+
+
+def flagged(raw: DataFrame) -> DataFrame:
+    """Add the flags ``inside`` (the area) and ``footprint``."""
+    out = raw.withColumn("__row", F.col("row")).withColumn("row", F.col("row") % PERIOD)
+    for flag, name, rings in (("inside", "area", AREA), ("footprint", "footprint", FOOTPRINT)):
+        out = polygons.flag_inside(out, shape_spans(raw, name, rings), flag)
+    return out.drop("row").withColumnRenamed("__row", "row")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw bands with area and footprint flags, decibels, change, water occurrence and eligibility."""
-    raw = raw_pixels(spark, sf_dir)
-    rows = raw.select("row").distinct()
-    area = polygons.spans(polygons.edge_table(spark, {"area": [AREA]}), rows)
-    print_ = polygons.spans(polygons.edge_table(spark, {"footprint": [FOOTPRINT]}), rows)
-    flagged = polygons.flag_inside(polygons.flag_inside(raw, area, "inside"), print_, "footprint")
-    done = backscatter.prepared(flagged, F.col("inside"))
+    done = backscatter.prepared(flagged(raw_pixels(spark, sf_dir)), F.col("inside"))
     wet = done.withColumn("wrow", F.floor(F.col("row") / WATER_SCALE).cast("int")).withColumn("wcol", F.floor(F.col("col") / WATER_SCALE).cast("int")).join(water_cells(spark, sf_dir), ["wrow", "wcol"], "left").drop("wrow", "wcol")
     wet = wet.withColumn("coverage", backscatter.coverage_code(F.col("common_mask"), F.col("footprint"))).withColumn("water", F.coalesce(backscatter.water_class(F.col("occurrence")), F.lit("unknown")))
     return candidates.with_eligibility(wet)
@@ -92,14 +103,14 @@ def _pixels_sql() -> str:
     positive = " AND ".join(f"coalesce({n} > 0, false)" for n in names)
     db = ", ".join(f"CASE WHEN support THEN (10 * log10({n}::DOUBLE))::FLOAT END AS {n}_db" for n in names)
     return f"""li AS (SELECT l_orderkey, sum(l_quantity)::BIGINT AS q, count(*) AS n FROM lineitem GROUP BY 1),
-k0 AS (SELECT o_orderkey AS k, o_orderkey // {WIDTH} AS r, o_orderkey % {WIDTH} AS c, floor(o_totalprice)::BIGINT AS p, q, n FROM orders LEFT JOIN li ON o_orderkey = l_orderkey),
-raw AS (SELECT 1 AS pair_id, r::INT AS row, c::INT AS col, {raw} FROM k0),
-k1 AS (SELECT pair_id, row, col, {clean}, {inside_sql(AREA, "(col + 0.5::DOUBLE)", "(row + 0.5::DOUBLE)")} AS inside, {inside_sql(FOOTPRINT, "(col + 0.5::DOUBLE)", "(row + 0.5::DOUBLE)")} AS footprint FROM raw),
+k0 AS (SELECT o_orderkey AS k, o_orderkey // {2 * WIDTH} AS r, (o_orderkey // 2) % {WIDTH} AS c, floor(o_totalprice)::BIGINT AS p, q, n FROM orders LEFT JOIN li ON o_orderkey = l_orderkey),
+raw AS (SELECT (1 + k % 2)::INT AS pair_id, r::INT AS row, c::INT AS col, {raw} FROM k0),
+k1 AS (SELECT pair_id, row, col, {clean}, {inside_sql(AREA, "(col + 0.5::DOUBLE)", f"(row % {PERIOD} + 0.5::DOUBLE)")} AS inside, {inside_sql(FOOTPRINT, "(col + 0.5::DOUBLE)", f"(row % {PERIOD} + 0.5::DOUBLE)")} AS footprint FROM raw),
 k2 AS (SELECT *, CASE WHEN NOT inside THEN 255 WHEN {every} THEN 1 ELSE 0 END AS common_mask FROM k1),
 k3 AS (SELECT *, common_mask = 1 AND {positive} AS support FROM k2),
 k4 AS (SELECT *, {db} FROM k3),
 w0 AS (SELECT (p_partkey // {WATER_WIDTH})::INT AS wrow, (p_partkey % {WATER_WIDTH})::INT AS wcol, CASE WHEN p_partkey % 61 = 0 THEN 255 ELSE p_size * 2 END AS occurrence FROM part),
-dem AS (SELECT (c_custkey // {DEM_WIDTH})::INT AS row, (c_custkey % {DEM_WIDTH})::INT AS col, CASE WHEN c_custkey % 83 = 0 THEN NULL ELSE (floor(c_acctbal) / 100::DOUBLE)::FLOAT END AS elevation FROM customer),
+dem AS (SELECT (1 + c_custkey % 2)::INT AS pair_id, (c_custkey // {2 * DEM_WIDTH})::INT AS row, ((c_custkey // 2) % {DEM_WIDTH})::INT AS col, CASE WHEN c_custkey % 83 = 0 THEN NULL ELSE (floor(c_acctbal) / 100::DOUBLE)::FLOAT END AS elevation FROM customer),
 k5 AS (SELECT k4.*, (vh_after_db - vh_before_db)::FLOAT AS vh_change, (vv_after_db - vv_before_db)::FLOAT AS vv_change, occurrence,
   coalesce(occurrence BETWEEN 0 AND 100, false) AS water_known FROM k4 LEFT JOIN w0 ON wrow = row // {WATER_SCALE} AND wcol = col // {WATER_SCALE}),
 P AS (SELECT *, support AND water_known AND occurrence < 90 AS eligible,

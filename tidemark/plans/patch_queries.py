@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit, candidates, components, patches, polygons, resample, terrain, water
-from tidemark.operators.graph import settled
+from tidemark.sources.shared import settled
 
 from . import fixtures as fx
 from .pixel_queries import LABELS_SQL, rounded
@@ -27,18 +27,18 @@ def query(sql: str | None = None):
 
 
 _CORNER = " UNION ALL ".join(
-    f"SELECT t.row, t.col, {'fx' if dc else '(1 - fx)'} * {'fy' if dr else '(1 - fy)'} AS w, elevation::DOUBLE AS v FROM t JOIN dem ON dem.row = r0 + {dr} AND dem.col = c0 + {dc} WHERE elevation IS NOT NULL" for dr in (0, 1) for dc in (0, 1)
+    f"SELECT t.pair_id, t.row, t.col, {'fx' if dc else '(1 - fx)'} * {'fy' if dr else '(1 - fy)'} AS w, elevation::DOUBLE AS v FROM t JOIN dem ON dem.pair_id = t.pair_id AND dem.row = r0 + {dr} AND dem.col = c0 + {dc} WHERE elevation IS NOT NULL" for dr in (0, 1) for dc in (0, 1)
 )
 _GX = " + ".join(f"{c * (2 - abs(r))} * n{r + 1}{c + 1}.elevation::DOUBLE" for r in (-1, 0, 1) for c in (-1, 0, 1))
 _GY = " + ".join(f"{r * (2 - abs(c))} * n{r + 1}{c + 1}.elevation::DOUBLE" for r in (-1, 0, 1) for c in (-1, 0, 1))
-_NEAR = " ".join(f"LEFT JOIN dem n{r + 1}{c + 1} ON n{r + 1}{c + 1}.row = d.row + {r} AND n{r + 1}{c + 1}.col = d.col + {c}" for r in (-1, 0, 1) for c in (-1, 0, 1))
-_POINTS_SQL = f"""t AS (SELECT row, col, floor((col + 0.5::DOUBLE) / 4 - 0.5)::INT AS c0, floor((row + 0.5::DOUBLE) / 4 - 0.5)::INT AS r0, (col + 0.5::DOUBLE) / 4 - 0.5 - floor((col + 0.5::DOUBLE) / 4 - 0.5) AS fx, (row + 0.5::DOUBLE) / 4 - 0.5 - floor((row + 0.5::DOUBLE) / 4 - 0.5) AS fy FROM cand),
-bil AS (SELECT row, col, sum(w * v) / sum(w) AS z FROM ({_CORNER}) GROUP BY row, col HAVING sum(w) > 0),
-slo AS (SELECT 1 AS pair_id, d.row, d.col, degrees(atan(sqrt((({_GX}) / 240) * (({_GX}) / 240) + (({_GY}) / 240) * (({_GY}) / 240)))) AS slope FROM dem d {_NEAR}),
+_NEAR = " ".join(f"LEFT JOIN dem n{r + 1}{c + 1} ON n{r + 1}{c + 1}.pair_id = d.pair_id AND n{r + 1}{c + 1}.row = d.row + {r} AND n{r + 1}{c + 1}.col = d.col + {c}" for r in (-1, 0, 1) for c in (-1, 0, 1))
+_POINTS_SQL = f"""t AS (SELECT pair_id, row, col, floor((col + 0.5::DOUBLE) / 4 - 0.5)::INT AS c0, floor((row + 0.5::DOUBLE) / 4 - 0.5)::INT AS r0, (col + 0.5::DOUBLE) / 4 - 0.5 - floor((col + 0.5::DOUBLE) / 4 - 0.5) AS fx, (row + 0.5::DOUBLE) / 4 - 0.5 - floor((row + 0.5::DOUBLE) / 4 - 0.5) AS fy FROM cand),
+bil AS (SELECT pair_id, row, col, sum(w * v) / sum(w) AS z FROM ({_CORNER}) GROUP BY pair_id, row, col HAVING sum(w) > 0),
+slo AS (SELECT d.pair_id, d.row, d.col, degrees(atan(sqrt((({_GX}) / 240) * (({_GX}) / 240) + (({_GY}) / 240) * (({_GY}) / 240)))) AS slope FROM dem d {_NEAR}),
 siz AS (SELECT pair_id, label, count(*) AS pixels, printf('C%04d', row_number() OVER (PARTITION BY pair_id ORDER BY label)) AS any_id FROM lab GROUP BY pair_id, label),
 big AS (SELECT pair_id, label, pixels, printf('C%04d', row_number() OVER (PARTITION BY pair_id ORDER BY label)) AS patch_id FROM siz WHERE pixels >= {LEAST}),
 pts AS MATERIALIZED (SELECT P.pair_id, P.row, P.col, lab.label, (siz.pixels >= {LEAST})::INT AS retained_after_cleanup, big.patch_id, vh_before_db AS june_vh_db, vv_before_db AS june_vv_db, vh_after_db AS july_vh_db, vv_after_db AS july_vv_db, vh_change AS delta_vh_db, vv_change AS delta_vv_db, z AS dsm_elevation_m, slope, occurrence
-  FROM lab JOIN P USING (pair_id, row, col) JOIN siz USING (pair_id, label) LEFT JOIN big ON big.label = lab.label LEFT JOIN bil ON bil.row = P.row AND bil.col = P.col LEFT JOIN slo ON slo.row = P.row // 4 AND slo.col = P.col // 4),
+  FROM lab JOIN P USING (pair_id, row, col) JOIN siz USING (pair_id, label) LEFT JOIN big ON big.pair_id = lab.pair_id AND big.label = lab.label LEFT JOIN bil ON bil.pair_id = P.pair_id AND bil.row = P.row AND bil.col = P.col LEFT JOIN slo ON slo.pair_id = P.pair_id AND slo.row = P.row // 4 AND slo.col = P.col // 4),
 pat AS (SELECT * FROM pts WHERE patch_id IS NOT NULL)"""
 
 
@@ -53,8 +53,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = components.component_sizes(lab)
     named = components.ranked(sized.filter(F.col("pixels") >= LEAST)).select("pair_id", "label", "patch_id")
     base = chosen.join(lab, ["pair_id", "row", "col"]).join(sized, ["pair_id", "label"]).join(named, ["pair_id", "label"], "left")
-    high = resample.bilinear(chosen, fx.dem_cells(spark, sf_dir), (F.col("col") + 0.5) / fx.DEM_SCALE, (F.col("row") + 0.5) / fx.DEM_SCALE, "elevation", ["pair_id", "row", "col"])
-    steep = resample.nearest(base, slopes(spark, sf_dir).drop("pair_id"), (F.col("col") + 0.5) / fx.DEM_SCALE, (F.col("row") + 0.5) / fx.DEM_SCALE, "slope")
+    high = resample.bilinear(chosen, fx.dem_cells(spark, sf_dir), (F.col("col") + 0.5) / fx.DEM_SCALE, (F.col("row") + 0.5) / fx.DEM_SCALE, "elevation", ["pair_id", "row", "col"], keys=["pair_id"])
+    steep = resample.nearest(base, slopes(spark, sf_dir), (F.col("col") + 0.5) / fx.DEM_SCALE, (F.col("row") + 0.5) / fx.DEM_SCALE, "slope", keys=["pair_id"])
     out = steep.join(high, ["pair_id", "row", "col"], "left")
     names = {"vh_before_db": "june_vh_db", "vv_before_db": "june_vv_db", "vh_after_db": "july_vh_db", "vv_after_db": "july_vv_db", "vh_change": "delta_vh_db", "vv_change": "delta_vv_db", "elevation": "dsm_elevation_m"}
     return out.select("pair_id", "row", "col", "label", (F.col("pixels") >= LEAST).cast("int").alias("retained_after_cleanup"), "patch_id", *[F.col(a).alias(b) for a, b in names.items()], "slope", "occurrence")
@@ -84,15 +84,15 @@ def r01_nearest_water(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SHIFT = " UNION ALL ".join(
-    f"SELECT s.row, s.col, {'0.3::DOUBLE' if dc else '0.7::DOUBLE'} * {'0.6::DOUBLE' if dr else '0.4::DOUBLE'} AS w, b.vh_after::DOUBLE AS v FROM P s JOIN P b ON b.row = s.row + {dr} AND b.col = s.col + {dc} WHERE b.vh_after IS NOT NULL" for dr in (0, 1) for dc in (0, 1)
+    f"SELECT s.pair_id, s.row, s.col, {'0.3::DOUBLE' if dc else '0.7::DOUBLE'} * {'0.6::DOUBLE' if dr else '0.4::DOUBLE'} AS w, b.vh_after::DOUBLE AS v FROM P s JOIN P b ON b.pair_id = s.pair_id AND b.row = s.row + {dr} AND b.col = s.col + {dc} WHERE b.vh_after IS NOT NULL" for dr in (0, 1) for dc in (0, 1)
 )
 
 
-@query(f"SELECT s.pair_id, s.row, s.col, round(z, 6) AS vh_after FROM P s LEFT JOIN (SELECT row, col, sum(w * v) / sum(w) AS z FROM ({_SHIFT}) GROUP BY row, col) USING (row, col)")
+@query(f"SELECT s.pair_id, s.row, s.col, round(z, 6) AS vh_after FROM P s LEFT JOIN (SELECT pair_id, row, col, sum(w * v) / sum(w) AS z FROM ({_SHIFT}) GROUP BY pair_id, row, col) USING (pair_id, row, col)")
 def r02_bilinear_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampling by a fraction of a pixel, missing neighbours left out."""
     p = fx.pixels(spark, sf_dir).select("pair_id", "row", "col", "vh_after")
-    moved = resample.bilinear(p, p, F.col("col") + F.lit(0.5) + F.lit(0.3), F.col("row") + F.lit(0.5) + F.lit(0.6), "vh_after", ["pair_id", "row", "col"])
+    moved = resample.bilinear(p, p, F.col("col") + F.lit(0.5) + F.lit(0.3), F.col("row") + F.lit(0.5) + F.lit(0.6), "vh_after", ["pair_id", "row", "col"], keys=["pair_id"])
     return moved.withColumn("vh_after", F.round("vh_after", 6))
 
 
@@ -148,7 +148,7 @@ def m19_patch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _patch_edges_sql() -> str:
     sides = [(0, 0, 1, 0, -1, 0), (1, 0, 1, 1, 0, 1), (1, 1, 0, 1, 1, 0), (0, 1, 0, 0, 0, -1)]
-    return " UNION ALL ".join(f"SELECT a.pair_id, a.patch_id, a.col + {x1} AS x1, a.row + {y1} AS y1, a.col + {x2} AS x2, a.row + {y2} AS y2 FROM pat a LEFT JOIN pat b ON b.patch_id = a.patch_id AND b.row = a.row + {dr} AND b.col = a.col + {dc} WHERE b.row IS NULL" for x1, y1, x2, y2, dr, dc in sides)
+    return " UNION ALL ".join(f"SELECT a.pair_id, a.patch_id, a.col + {x1} AS x1, a.row + {y1} AS y1, a.col + {x2} AS x2, a.row + {y2} AS y2 FROM pat a LEFT JOIN pat b ON b.pair_id = a.pair_id AND b.patch_id = a.patch_id AND b.row = a.row + {dr} AND b.col = a.col + {dc} WHERE b.row IS NULL" for x1, y1, x2, y2, dr, dc in sides)
 
 
 @query(f"SELECT * FROM ({_patch_edges_sql()})")
@@ -164,13 +164,13 @@ def g05_g12_outline_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rings.groupBy("pair_id", "patch_id").agg(F.sum("signed_area").alias("area"))
 
 
-@query("SELECT count(*) AS misses FROM pat WHERE row IS NULL")
+@query("SELECT pair_id, patch_id, row, col FROM pat WHERE col % 7 = 0")
 def g13_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels lost or won by tracing and rasterising again: none."""
+    """Pixels lost or won by tracing and rasterising again: none but those taken from the labels afterwards."""
     pts = patch_points(spark, sf_dir).select("pair_id", "patch_id", "row", "col")
     edges = patches.ring_edges(patches.outlines(pts, ["pair_id", "patch_id"]), ["pair_id", "patch_id"])
     filled = polygons.inside_pixels(polygons.spans(edges, pts, ("pair_id", "patch_id")), ("pair_id", "patch_id"))
-    return patches.round_trip_misses(pts, filled, ["pair_id", "patch_id"]).agg(F.count("*").alias("misses"))
+    return patches.round_trip_misses(pts.filter("col % 7 != 0"), filled, ["pair_id", "patch_id"]).select("pair_id", "patch_id", "row", "col")
 
 
 _WATER = (
@@ -196,7 +196,7 @@ def f14_single_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(w, *(f"occ_ge{n}_pct" for n in water.CUTOFFS), "occ_median")
 
 
-@query("SELECT 1 AS pair_id, o.occurrence::INT AS occurrence, count(pat.row) AS n FROM (SELECT unnest(range(0, 101)) AS occurrence) o LEFT JOIN pat ON pat.occurrence = o.occurrence GROUP BY o.occurrence")
+@query("SELECT o.pair_id, o.occurrence::INT AS occurrence, count(pat.row) AS n FROM (SELECT pair_id, unnest(range(0, 101)) AS occurrence FROM (SELECT DISTINCT pair_id FROM pat)) o LEFT JOIN pat ON pat.pair_id = o.pair_id AND pat.occurrence = o.occurrence GROUP BY ALL")
 def m16_occurrence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return water.occurrence_histogram(patch_points(spark, sf_dir), ["pair_id"])
 
@@ -222,16 +222,21 @@ def j06_patches_with_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("pair_id", "patch_id", "area_ha", "water_review_flag")
 
 
-@query("SELECT count(*) AS violations FROM pts WHERE NOT (june_vh_db > -21 AND july_vh_db <= -21 AND delta_vh_db <= -3)")
+@query("SELECT pair_id, row, col FROM pts WHERE row % 6 = 1 OR col % 9 = 2 OR (col % 9 = 3 AND NOT july_vh_db + 0.5::DOUBLE <= -21)")
 def f18_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that break their own rule: none."""
-    return candidates.rule_violations(points(spark, sf_dir)).agg(F.count("*").alias("violations"))
+    """Candidates that break their own rule: none but those changed here, in the date before, the change, or both dates alike."""
+    before, after, delta = F.col("june_vh_db"), F.col("july_vh_db"), F.col("delta_vh_db")
+    spoilt = points(spark, sf_dir).withColumn("june_vh_db", F.when(F.col("row") % 6 == 1, F.lit(-21.0).cast("float")).otherwise(before))
+    spoilt = spoilt.withColumn("delta_vh_db", F.when(F.col("col") % 9 == 2, (delta + 0.01).cast("float")).otherwise(delta))
+    both = F.col("col") % 9 == 3
+    spoilt = spoilt.withColumns({c: F.when(both, (F.col(c) + 0.5).cast("float")).otherwise(F.col(c)) for c in ("june_vh_db", "july_vh_db")})
+    return candidates.rule_violations(spoilt).select("pair_id", "row", "col")
 
 
-@query("SELECT pair_id, NULL::BIGINT AS left_value, NULL::BIGINT AS right_value FROM pts WHERE row IS NULL")
+@query("SELECT pair_id, count(*) FILTER (col % 50 <> 0) AS left_value, count(*) AS right_value FROM pts GROUP BY pair_id HAVING count(*) FILTER (col % 50 = 0) > 0")
 def m23_report_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate counts of the point table against the sensitivity table: no difference."""
-    counted = points(spark, sf_dir).groupBy("pair_id").agg(F.count("*").alias("n"))
+    """Candidate counts of the point table, of which some columns are left out here, against the sensitivity table."""
+    counted = points(spark, sf_dir).filter("col % 50 != 0").groupBy("pair_id").agg(F.count("*").alias("n"))
     t, d = candidates.CHOSEN
     told = candidates.sensitivity(fx.pixels(spark, sf_dir)).filter((F.col("july_vh_max_db") == t) & (F.col("delta_vh_max_db") == d)).select("pair_id", F.col("retained_pixels").alias("n"))
     return audit.differences(counted, told, ["pair_id"], "n")

@@ -30,10 +30,13 @@ BATCH = 32
 MISS = 1e-6
 #: Hubs, one per bucket and turn, of which every member is compared with the likeliest.
 TURNS = 2
-#: Buckets of more members than this are compared as blocks of signatures and sets, not as rows of pairs ...
-CROWD = 64
+#: Buckets with more members than this outside their largest component are compared as blocks of signatures and sets,
+#: not as rows of pairs ...
+CROWD = 32
 #: ... of this weight; a member weighs 1, and 1 more for each 1000 of its shingles.
 BLOCK = 512
+#: Up to this many ids of candidates, of eight bytes each, go to every task that reads texts.
+BROADCAST_IDS = 1_000_000
 BITS = ("bits0", "bits1", "bits2")
 
 _RNG = np.random.default_rng(812)
@@ -358,10 +361,7 @@ def _block_pairs(crowd: DataFrame, reps: DataFrame, full: DataFrame, percent: in
     lies outside, and is compared by one task, as no pair inside a component
     matters.  Pairs that are no links never become rows.
     """
-    held = crowd.groupBy("band", "component").agg(F.count("*").alias("n"))
-    largest = held.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    outer = (F.col("component") != F.col("largest")).alias("outer")
-    sided = crowd.join(largest, "band").select(*crowd.columns, outer)
+    sided = crowd.withColumn("outer", F.col("component") != F.col("largest")).drop("largest")
     dealt = sided.groupBy("band").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, 1 + F.col("n_shingles") / 1000)) / BLOCK)).cast("int").alias(c) for c, side in (("outers", F.col("outer")), ("inners", ~F.col("outer")))])
     at_ = F.xxhash64(F.lit("block"), "ord")
     own = F.when(F.col("outer"), F.pmod(at_, F.col("outers"))).otherwise(F.col("outers") + F.pmod(at_, F.col("inners"))).cast("int")
@@ -387,9 +387,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     each of ``TURNS`` choices of hubs, and the components of the links are found.  Then the pairs of a bucket that are
     still in different components and look alike are compared, so no link between
     banded candidates is lost, and a large group of near copies mostly costs a
-    comparison per member and turn.  Buckets of more than ``CROWD`` members are
-    compared as blocks of signatures and sets inside tasks: work grows with the
-    members outside the bucket's largest component times all members, rows do not.
+    comparison per member and turn.  Buckets of more than ``CROWD`` members outside
+    their largest component are
+    compared as blocks of signatures and sets inside tasks: work grows with those
+    members times all of the bucket, rows do not.
     Buckets of the same members count once.  Rows with too many shingles of their
     own take no part.
     """
@@ -414,12 +415,16 @@ def _linked(rows: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
     sets = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("ord", "bands", "signature", *BITS)).alias("m"), F.count("*").alias("copies"))
     reps = stored(sets.select("set_a", "set_b", "n_shingles", "m.*", "copies"))
 
-    banded = reps.select("ord", "n_shingles", *BITS, F.explode("bands").alias("band"))
+    # few columns travel with all bands; the others join those rows that share one
+    banded = reps.select("ord", F.explode("bands").alias("band"))
+    shared = settled(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"))
+    met = stored(banded.join(shared, "band"))
     who = [F.bit_xor(F.xxhash64(F.lit(k), "ord")).alias(f"who{k}") for k in (1, 2)]
-    crowded = banded.groupBy("band").agg(F.count("*").alias("n"), *who).filter("n > 1")
-    crowded = settled(crowded.groupBy("n", "who1", "who2").agg(F.min("band").alias("band")).select("band"))
-    members = stored(banded.join(crowded, "band"))
-    full = stored(shingle_sets(rows.join(members.select("ord").distinct(), "ord", "left_semi"), size))
+    once = met.groupBy("band").agg(F.count("*").alias("n"), *who).groupBy("n", "who1", "who2").agg(F.min("band").alias("band")).select("band")
+    members = stored(met.join(once, "band").join(reps.select("ord", "n_shingles", *BITS), "ord"))
+    ids = members.select("ord").distinct()
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    full = stored(shingle_sets(rows.join(wanted, "ord", "left_semi"), size))
 
     members = stored(_linkable(members, full, percent))
     links = settled(confirm(bayes_prune(_likeliest_hubs(members, percent, miss), reps, percent, miss), full, percent))
@@ -427,10 +432,11 @@ def _linked(rows: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
 
     # what is left: pairs of one bucket in different components
     tagged = _tagged(members, label)
-    mixed = tagged.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
-    apart = stored(tagged.join(mixed.select("band", (F.col("n") > CROWD).alias("crowd")), "band"))
-    joined = _block_pairs(apart.filter("crowd").select("band", "ord", "n_shingles", "common", "component"), reps, full, percent, miss)
-    apart = apart.filter("NOT crowd").drop("crowd")
+    held = tagged.groupBy("band", "component").agg(F.count("*").alias("n"))
+    mixed = held.groupBy("band").agg((F.sum("n") - F.max("n")).alias("outers"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("outers > 0")
+    apart = stored(tagged.join(mixed.select("band", (F.col("outers") > CROWD).alias("crowd"), "largest"), "band"))
+    joined = _block_pairs(apart.filter("crowd").select("band", "ord", "n_shingles", "common", "component", "largest"), reps, full, percent, miss)
+    apart = apart.filter("NOT crowd").drop("crowd", "largest")
     other = apart.select("band", *[F.col(c).alias(f"{c}_b") for c in ("ord", "n_shingles", "common", "component", *BITS)])
     rest = apart.join(other, "band").filter((F.col("ord") > F.col("ord_b")) & (F.col("component") != F.col("component_b")) & _alike(percent, miss))
     rest = stored(rest.select(F.col("ord").alias("a"), F.col("ord_b").alias("b")).distinct())

@@ -6,19 +6,27 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog, integrity, polygons, projection, qa, water
-from tidemark.sources import tables
+from tidemark.sources import shared, tables
 
-SCENE = "aoi_id string, scene_name string, start_time timestamp, platform string, path_number int, flight_direction string, polarization string, beam_mode string, processing_level string, west double, south double, east double, north double, bytes long"
+SCENE = "aoi_id string, scene_name string, start_time timestamp, platform string, path_number int, flight_direction string, polarization string, beam_mode string, processing_level string, geometry array<array<array<struct<x:double,y:double>>>>, bytes long"
+AREAS = "aoi_id string, geometry array<array<array<struct<x:double,y:double>>>>"
 
 
-def scene(name, day, box=(3.0, 6.0, 4.0, 7.0), path=95, way="DESCENDING", pol="VV+VH"):
-    return ("a", name, datetime.fromisoformat(day).replace(tzinfo=timezone.utc), "S1A", path, way, pol, "IW", "GRD_HD", *box, 10)
+def box(west, south, east, north, slant=0.0):
+    return [[[(float(x), float(y)) for x, y in ((west, south), (east, south), (east + slant, north), (west + slant, north))]]]
+
+
+def scene(name, day, shape=(3.0, 6.0, 4.0, 7.0), path=95, way="DESCENDING", pol="VV+VH"):
+    return ("a", name, datetime.fromisoformat(day).replace(tzinfo=timezone.utc), "S1A", path, way, pol, "IW", "GRD_HD", shape if isinstance(shape, list) else box(*shape), 10)
 
 
 def ranked(spark, scenes):
     s = spark.createDataFrame(scenes, SCENE)
-    area = spark.createDataFrame([("a", 3.0, 6.0, 4.0, 7.0)], "aoi_id string, west double, south double, east double, north double")
-    return catalog.ranked(catalog.box_coverage(catalog.comparable_pairs(s), area)).orderBy("rank").collect()
+    area = spark.createDataFrame([("a", box(3.0, 6.0, 4.0, 7.0))], AREAS)
+    pairs = catalog.covered_pairs(s, area)
+    out = catalog.ranked(pairs).orderBy("rank").collect()
+    assert [tuple(r) for r in catalog.best(pairs).collect()] == [tuple(r)[:-1] for r in out[:1]]
+    return out
 
 
 def test_orbit_and_pass_must_match(spark):
@@ -36,6 +44,91 @@ def test_disjoint_footprints_and_null_keys(spark):
     assert len(ranked(spark, [scene("b", "2024-06-21T05:30:18", pol=None), scene("x", "2024-07-03T05:30:17", pol=None), scene("y", "2024-07-03T05:30:17")])) == 1
 
 
+def test_slanted_footprints_cover_less_than_their_boxes(spark):
+    got = ranked(spark, [scene("b", "2024-06-21T05:30:18", box(2.5, 6.0, 3.5, 7.0, 0.5)), scene("x", "2024-07-03T05:30:17", box(3.5, 6.0, 4.5, 7.0, -0.5)), scene("y", "2024-07-03T05:30:19", box(2.0, 5.0, 5.0, 8.0))])
+    # x leaves the triangle right of its left edge; its common part with b is a rhomb cut in half
+    want = {"x": polygons.strip_area([np.array([[*a, *b] for a, b in zip(r, r[1:] + r[:1], strict=True)]) for r in (box(2.5, 6.0, 3.5, 7.0, 0.5)[0][0], box(3.5, 6.0, 4.5, 7.0, -0.5)[0][0], box(3.0, 6.0, 4.0, 7.0)[0][0])]), "y": 0.75}
+    assert {r.scene_name_after: r.common_aoi_fraction for r in got} == {k: pytest.approx(v) for k, v in want.items()}
+    rest = catalog.unobserved(catalog.best(catalog.covered_pairs(spark.createDataFrame([scene("b", "2024-06-21T05:30:18", box(2.5, 6.0, 3.5, 7.0, 0.5)), scene("y", "2024-07-03T05:30:19")], SCENE), spark.createDataFrame([("a", box(3.0, 6.0, 4.0, 7.0))], AREAS)))).collect()[0]
+    assert rest.pair_coverage == pytest.approx(0.75) and rest.not_observed_by_pair == pytest.approx(0.25)
+
+
+def test_touching_footprints_are_left_out(spark):
+    s = spark.createDataFrame([scene("touch", "2024-07-03T05:30:17", (4.0, 6.0, 5.0, 7.0)), scene("in", "2024-07-03T05:30:17", (3.9, 6.9, 5.0, 7.5)), scene("slanted", "2024-07-03T05:30:17", box(4.2, 5.0, 5.0, 8.0, -0.1))], SCENE)
+    area = spark.createDataFrame([("a", box(3.0, 6.0, 4.0, 7.0))], AREAS)
+    assert {r.scene_name for r in catalog.exact_footprints(s, area).collect()} == {"in"}
+
+
+def test_projected_polygons(spark):
+    shape = spark.createDataFrame([("a", box(3.0, 0.0, 3.1, 0.1))], AREAS)
+    got = shape.select(polygons.projected("geometry").alias("geometry")).select(polygons.box_of("geometry").alias("b")).select("b.*").collect()[0]
+    assert got.west == pytest.approx(500000, abs=1e-6) and got.south == pytest.approx(0, abs=1e-6)
+    assert got.east == pytest.approx(511127.5, abs=1) and got.north == pytest.approx(11053.1, abs=1)
+
+
+def test_boxes_meet_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, *p, *(p + rng.uniform(0.1, 4, 2))) for k, p in enumerate(rng.uniform(-10, 10, (40, 2)))]
+    rows = [(k, *map(float, r)) for k, *r in rows]
+    a = spark.createDataFrame(rows, "k int, west double, south double, east double, north double")
+    b = a.select([F.col(c).alias(f"{c}_b") for c in a.columns])
+    got = sorted((r.k, r.k_b) for r in polygons.touching_boxes(a, b, 1.5).collect())
+    assert got == sorted((p[0], q[0]) for p in rows for q in rows if p[1] < q[3] and q[1] < p[3] and p[2] < q[4] and q[2] < p[4])
+
+
+def test_crossing_edges_of_a_star(spark):
+    rng = np.random.default_rng(8)
+    ring = [tuple(map(float, p)) for p in rng.uniform(0, 10, (30, 2))]
+    e = polygons.edge_table(spark, {"star": [[ring]]})
+    got = {(r.n.seq, r.n_b.seq) for r in polygons.self_intersections(e, "poly_id").collect()}
+    sides = list(zip(ring, ring[1:] + ring[:1], strict=True))
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    want = {(i, j) for i, (a, b) in enumerate(sides) for j, (c, d) in enumerate(sides) if i < j and turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0}
+    assert got == want and want
+
+
+def test_xml_fields(spark):
+    xml = "<?xml version='1.0'?><s:a xmlns:s='u'><s:pass> UP\n</s:pass><x><pass>DOWN</pass><pass/></x><mode>  </mode></s:a>"
+    got = {r.name: r["values"] for r in integrity.xml_fields(spark.createDataFrame([(1, xml), (2, None)], "k int, xml string"), ["pass", "mode", "orbit"], ["k"]).collect()}
+    assert got == {"pass": ["UP", "DOWN"]}
+
+
+def test_union_coverage_and_missing_days(spark):
+    d = spark.createDataFrame([("s", "b", box(0, 0, 2, 2)), ("s", "a", box(1, 0, 3, 2)), ("t", "c", box(9, 9, 10, 10))], "state string, shape_name string, geometry array<array<array<struct<x:double,y:double>>>>")
+    states = spark.createDataFrame([("s", box(0, 0, 4, 2)), ("t", box(0, 0, 1, 1))], "state string, geometry array<array<array<struct<x:double,y:double>>>>")
+    got = {r.state: r for r in qa.area_summary(d, states, "state").collect()}
+    assert (got["s"].districts, got["s"].names, got["s"].area, got["s"].east) == (2, "a,b", 8.0, 3.0)
+    assert got["s"].union_coverage == pytest.approx(0.75) and got["t"].union_coverage == pytest.approx(0)
+    days = spark.createDataFrame([("x", f"2024-06-{k}") for k in range(21, 26)] + [("y", "2024-06-21"), ("y", "2024-06-21")], "k string, d string").select("k", F.to_date("d").alias("day"))
+    assert [tuple(r) for r in qa.missing_days(days, ["k"], "2024-06-21", "2024-06-25").collect()] == [("y", 1)]
+
+
+def test_boundaries_of_several_parts(spark, tmp_path):
+    part = [[[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 0.0]]]
+    shapes = {"one": ("Polygon", part), "two": ("MultiPolygon", [part, part])}
+    doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"shapeName": n}, "geometry": {"type": t, "coordinates": c}} for n, (t, c) in shapes.items()]}
+    (tmp_path / "b.json").write_text(json.dumps(doc, indent=1))
+    got = {r.shape_name: r.geometry for r in tables.read_boundaries(spark, str(tmp_path / "b.json")).collect()}
+    assert [len(got["one"]), len(got["two"])] == [1, 2] and got["two"][1][0][1].x == 2.0
+    doc["features"][0]["geometry"] = {"type": "Point", "coordinates": [1.0, 2.0]}
+    (tmp_path / "p.json").write_text(json.dumps(doc))
+    with pytest.raises(Exception, match="no polygon: Point"):
+        tables.read_boundaries(spark, str(tmp_path / "p.json")).collect()
+
+
+def test_several_machines_need_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session())
+
+
 def test_scene_file_round_trip(spark, tmp_path):
     ring = [[3.0, 6.0], [4.0, 6.5], [4.0, 7.0], [3.0, 6.0]]
     one = {"type": "Feature", "properties": {"sceneName": "s", "startTime": "2024-07-03T05:30:17Z", "pathNumber": 95, "bytes": 7}, "geometry": {"type": "Polygon", "coordinates": [ring]}}
@@ -71,10 +164,11 @@ def test_file_inventory_and_report(spark, tmp_path):
 
 def test_projection_meets_known_points(spark):
     x, y = projection.to_utm(F.col("lon"), F.col("lat"))
-    rows = spark.createDataFrame([(3.0, 0.0), (3.0, 6.5), (2.6988308, 6.4)], "lon double, lat double").select(x.alias("x"), y.alias("y")).collect()
+    rows = spark.createDataFrame([(3.0, 0.0), (0.0, 0.0), (6.0, 0.0), (3.0, 45.0)], "lon double, lat double").select(x.alias("x"), y.alias("y")).collect()
     assert rows[0].x == pytest.approx(500000) and rows[0].y == pytest.approx(0, abs=1e-6)
-    assert rows[1].y == pytest.approx(718539.0, abs=300)
-    assert rows[2].x == pytest.approx(466697, abs=300)
+    # the zone's edges at the equator, and the meridian's length to 45 degrees times the scale
+    assert rows[1].x == pytest.approx(166021.443, abs=0.01) and rows[2].x == pytest.approx(833978.557, abs=0.01)
+    assert rows[3].y == pytest.approx(4984944.378 * 0.9996, abs=0.01)
 
 
 def test_strip_areas():

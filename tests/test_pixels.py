@@ -98,6 +98,40 @@ def test_bilinear_shares_out_missing_neighbours(spark):
     assert got[1] == pytest.approx(3.0) and got[2] == pytest.approx(1.0) and got[3] is None
 
 
+def test_pairs_are_not_mixed(spark):
+    src = spark.createDataFrame([(p, r, c, 100.0 * p) for p in (1, 2) for r in (0, 1) for c in (0, 1)], "pair_id int, row int, col int, v double")
+    at = spark.createDataFrame([(1, 0), (2, 0)], "pair_id int, k int")
+    one = F.lit(1.0)
+    assert {r.pair_id: r.v for r in resample.bilinear(at, src, one, one, "v", ["pair_id", "k"], keys=["pair_id"]).collect()} == {1: 100.0, 2: 200.0}
+    got = resample.nearest(at, src, one, one, "v", keys=["pair_id"]).collect()
+    assert sorted((r.pair_id, r.v) for r in got) == [(1, 100.0), (2, 200.0)]
+
+
+def test_reprojected_plane(spark):
+    step = 1 / 3600
+    src = spark.createDataFrame([(1, r, c, float(c)) for r in range(12) for c in range(12)], "pair_id int, row int, col int, z double")
+    grid = resample.projected_grid(src, ["pair_id"], 3.25, 6.75, step).collect()[0]
+    assert (grid.width, grid.height) == (13, 13) and grid.x0 == pytest.approx(527633.6, abs=40)
+    rows = resample.reprojected(src, "z", ["pair_id"], 3.25, 6.75, step).collect()
+    assert len(rows) == 13 * 13
+    known = [r for r in rows if r.z is not None]
+    # one column is 30.9 m times the cosine of the latitude wide
+    assert len(known) > 130 and all(abs(r.z - (30 * (r.col + 0.5) / 30.71 - 0.5)) < 0.35 for r in known if 1 < r.z < 10)
+
+
+def test_ranks_run_through_bands_of_rows(spark):
+    labels = [(p, r * components.WIDTH + c, 1) for p in (1, 2) for r in (3, 511, 512, 1030) for c in (0, 7)]
+    got = components.ranked(spark.createDataFrame(labels, "pair_id int, label long, pixels int")).orderBy("pair_id", "label").collect()
+    assert [r.component_id for r in got] == [*range(1, 9)] * 2 and got[-1].patch_id == "C0008"
+
+
+def test_layers_are_joined_by_pixel(spark):
+    layer = lambda rows: spark.createDataFrame(rows, "pair_id int, row int, col int, vh float, vv float")
+    mask = spark.createDataFrame([(1, 0, 0, 1)], "pair_id int, row int, col int, pair_mask int")
+    got = backscatter.aligned(layer([(1, 0, 0, 1.0, 2.0), (2, 0, 0, 3.0, 4.0)]), layer([(1, 0, 0, 5.0, 6.0), (1, 9, 9, 7.0, 8.0)]), mask).orderBy("pair_id").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, 1.0, 2.0, 5.0, 6.0, 1), (2, 0, 0, 3.0, 4.0, None, None, None)]
+
+
 def test_describe_skips_nan_and_empty(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", math.nan), ("b", None)], "g string, m double")
     got = {r.g: r for r in audit.describe(df, ["m"], ["g"]).collect()}

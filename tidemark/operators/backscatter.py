@@ -15,6 +15,19 @@ LOW, HIGH, STEP = -30.0, 30.0, 0.5
 BINS = int((HIGH - LOW) / STEP)
 
 
+def aligned(before: DataFrame, after: DataFrame, mask: DataFrame, keys: tuple[str, ...] = ("pair_id", "row", "col")) -> DataFrame:
+    """One row per pixel of the grid of ``before``, with the bands of both dates and the mask.
+
+    ``before`` and ``after`` hold vh and vv of one date, ``mask`` pair_mask.  A
+    pixel that the later date or the mask lacks has nulls there: it is unobserved,
+    not dry.  All three are joined on the same keys, so they are shuffled once each
+    at most, and not at all where they are stored by these keys.
+    """
+    one = before.select(*keys, *[F.col(b).alias(f"{b}_before") for b in BANDS])
+    two = after.select(*keys, *[F.col(b).alias(f"{b}_after") for b in BANDS])
+    return one.join(two, list(keys), "left").join(mask.select(*keys, "pair_mask"), list(keys), "left")
+
+
 def without_nodata(pixels: DataFrame, *missing: float) -> DataFrame:
     """Null instead of NaN, infinities and the nodata marks (-9999 unless given) in all bands."""
     return pixels.withColumns({c: known(F.col(c), *(missing or (NODATA,))) for c in VALUES})

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import EVENT_END, EVENT_START, days_between, event_period
 
+from . import polygons
+
 KEYS = ("platform", "path_number", "flight_direction", "polarization", "beam_mode", "processing_level")
 
 
@@ -30,16 +32,18 @@ def inventory(scenes: DataFrame, start: str = EVENT_START, end: str = EVENT_END)
     ).orderBy("acquisition_utc", "scene_id")
 
 
-def box_overlap(a: str, b: str) -> Column:
-    """Common area of two boxes whose columns end in ``a`` and ``b`` (west, south, east, north)."""
-    wide = F.least(f"east{a}", f"east{b}") - F.greatest(f"west{a}", f"west{b}")
-    high = F.least(f"north{a}", f"north{b}") - F.greatest(f"south{a}", f"south{b}")
-    return F.when((wide > 0) & (high > 0), wide * high).otherwise(0.0)
-
+def exact_footprints(scenes: DataFrame, areas: DataFrame, least: float = 1e-9) -> DataFrame:
+    """Scenes whose footprint shares area with their area of interest; touching is not enough.
 
-def exact_footprints(scenes: DataFrame, area: dict[str, float]) -> DataFrame:
-    """Scenes whose box shares area with the area of interest; touching is not enough."""
-    return scenes.filter((F.least("east", F.lit(area["east"])) > F.greatest("west", F.lit(area["west"]))) & (F.least("north", F.lit(area["north"])) > F.greatest("south", F.lit(area["south"]))))
+    Both tables hold polygons in ``geometry`` on one plane; ``areas`` has one per
+    aoi_id.  Boxes are compared first, and only scenes whose boxes meet are measured.
+    """
+    box, own = F.col("__box"), F.col("__own")
+    area = areas.select("aoi_id", polygons.box_of("geometry").alias("__box"), polygons.flat_edges("geometry").alias("__b"))
+    met = scenes.withColumn("__own", polygons.box_of("geometry")).join(area, "aoi_id")
+    met = met.filter((own["west"] < box["east"]) & (box["west"] < own["east"]) & (own["south"] < box["north"]) & (box["south"] < own["north"]))
+    found = polygons.overlaps(met.select("aoi_id", "scene_name", polygons.flat_edges("geometry").alias("__a"), "__b"), ["aoi_id", "scene_name"], ["__a", "__b"])
+    return scenes.join(found.filter(F.col("overlap") > least).select("aoi_id", "scene_name"), ["aoi_id", "scene_name"], "left_semi")
 
 
 def comparable_pairs(scenes: DataFrame, start: str = EVENT_START, end: str = EVENT_END) -> DataFrame:
@@ -54,26 +58,59 @@ def comparable_pairs(scenes: DataFrame, start: str = EVENT_START, end: str = EVE
     return pairs.withColumn("baseline_days", days_between(F.col("start_time_before"), F.col("start_time_after"))).withColumn("after_days_from_event_start", days_between(F.to_timestamp(F.lit(start)), F.col("start_time_after")))
 
 
-def box_coverage(pairs: DataFrame, areas: DataFrame, least: float = 0.01) -> DataFrame:
-    """Add the share of the area of interest that both boxes cover; pairs under ``least`` go.
+def covered_pairs(scenes: DataFrame, areas: DataFrame, start: str = EVENT_START, end: str = EVENT_END, least: float = 0.01) -> DataFrame:
+    """Comparable pairs with ``common_aoi_fraction``, the share of the area of interest that both footprints cover; pairs under ``least`` go.
 
-    ``areas`` holds one box per aoi_id.
+    Footprints and areas are polygons in ``geometry`` on one plane (see
+    ``polygons.projected``).  What the boxes of both scenes and of the area have in
+    common bounds the share, and is a condition of the join, so that only pairs
+    that may count are made and measured.  The share is rounded to 12 digits, so
+    that errors of rounding decide no rank.
     """
-    joined = pairs.join(areas.select(F.col("aoi_id").alias("aoi_id_before"), *[F.col(c).alias(f"{c}_aoi") for c in ("west", "south", "east", "north")]), "aoi_id_before")
-    wide = F.least("east_before", "east_after", "east_aoi") - F.greatest("west_before", "west_after", "west_aoi")
-    high = F.least("north_before", "north_after", "north_aoi") - F.greatest("south_before", "south_after", "south_aoi")
-    common = F.when((wide > 0) & (high > 0), wide * high).otherwise(0.0)
-    whole = (F.col("east_aoi") - F.col("west_aoi")) * (F.col("north_aoi") - F.col("south_aoi"))
-    return joined.withColumn("common_aoi_fraction", common / whole).filter(F.col("common_aoi_fraction") >= least)
+    area = areas.select("aoi_id", polygons.box_of("geometry").alias("box"), polygons.flat_edges("geometry").alias("area_edges"))
+    whole = polygons.overlaps(area, ["aoi_id"], ["area_edges"]).select("aoi_id", F.col("overlap").alias("area_size"))
+    boxed = scenes.withColumn("box", polygons.box_of("geometry")).withColumn("edges", polygons.flat_edges("geometry")).drop("geometry").join(area.join(whole, "aoi_id").select("aoi_id", F.col("box").alias("area_box"), "area_size"), "aoi_id")
+
+    def reach(*boxes: str) -> Column:
+        wide = F.least(*[F.col(b)["east"] for b in boxes]) - F.greatest(*[F.col(b)["west"] for b in boxes])
+        high = F.least(*[F.col(b)["north"] for b in boxes]) - F.greatest(*[F.col(b)["south"] for b in boxes])
+        return F.when((wide > 0) & (high > 0), wide * high).otherwise(0.0)
+
+    near = boxed.filter(reach("box", "area_box") >= least * F.col("area_size"))
+    pairs = comparable_pairs(near, start, end).filter(reach("box_before", "box_after", "area_box_before") >= least * F.col("area_size_before"))
+    names = ["aoi_id_before", "scene_name_before", "scene_name_after"]
+    measured = polygons.overlaps(pairs.join(area.select(F.col("aoi_id").alias("aoi_id_before"), "area_edges"), "aoi_id_before"), [*names, "area_size_before", *_RANKED], ["edges_before", "edges_after", "area_edges"])
+    fraction = F.round(F.col("overlap") / F.col("area_size_before"), 12)
+    return measured.withColumn("common_aoi_fraction", fraction).filter(F.col("common_aoi_fraction") >= least).withColumnRenamed("area_size_before", "area_size").drop("overlap")
+
+
+#: What of a pair is carried through the measuring of its coverage.
+_RANKED = ["period_after", "baseline_days", "after_days_from_event_start"]
+
+
+def _order(wide: float) -> list[Column]:
+    """Broad coverage first, then the earliest observation, the shortest baseline, the largest coverage, and names."""
+    return [(F.col("common_aoi_fraction") < wide).alias("narrow"), F.col("after_days_from_event_start"), F.col("baseline_days"), (-F.col("common_aoi_fraction")).alias("less"), F.col("scene_name_before"), F.col("scene_name_after")]
 
 
 def ranked(pairs: DataFrame, wide: float = 0.8) -> DataFrame:
-    """Rank per area: broad coverage first, then the earliest observation, the shortest baseline, the largest coverage, and names."""
-    order = Window.partitionBy("aoi_id_before").orderBy(F.col("common_aoi_fraction") < wide, "after_days_from_event_start", "baseline_days", F.col("common_aoi_fraction").desc(), "scene_name_before", "scene_name_after")
-    return pairs.withColumn("rank", F.row_number().over(order))
+    """Rank per area, the best pair being 1; see ``_order``."""
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("aoi_id_before").orderBy(*_order(wide))))
+
+
+def best(pairs: DataFrame, wide: float = 0.8) -> DataFrame:
+    """The pair of rank 1 of every area, without sorting the others."""
+    first = pairs.groupBy("aoi_id_before").agg(F.min_by(F.struct(*pairs.columns), F.struct(*_order(wide))).alias("p"))
+    return first.select("p.*")
+
+
+def unobserved(best_pairs: DataFrame) -> DataFrame:
+    """Per area: what the pair's footprints cover together, and what of the area they do not."""
+    size = F.col("area_size")
+    return best_pairs.select(F.col("aoi_id_before").alias("aoi_id"), (size * F.col("common_aoi_fraction")).alias("pair_coverage"), (size * (1 - F.col("common_aoi_fraction"))).alias("not_observed_by_pair"))
 
 
-def selected_bytes(best: DataFrame, scenes: DataFrame) -> DataFrame:
+def selected_bytes(chosen: DataFrame, scenes: DataFrame) -> DataFrame:
     """Download size of the selected pair of every area."""
-    names = best.select(F.col("aoi_id_before").alias("aoi_id"), F.explode(F.array("scene_name_before", "scene_name_after")).alias("scene_name"))
+    names = chosen.select(F.col("aoi_id_before").alias("aoi_id"), F.explode(F.array("scene_name_before", "scene_name_after")).alias("scene_name"))
     return names.join(scenes.select("aoi_id", "scene_name", "bytes"), ["aoi_id", "scene_name"]).groupBy("aoi_id").agg(F.sum("bytes").alias("total_download_bytes"))

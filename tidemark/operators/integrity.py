@@ -60,6 +60,12 @@ def archive_failures(archives: DataFrame, catalog: DataFrame) -> DataFrame:
     return met.select("scene_id", F.explode(F.array_compact(rules)).alias("rule"))
 
 
+def xml_fields(documents: DataFrame, names: list[str], keys: list[str], xml: str = "xml") -> DataFrame:
+    """(keys, name, values): the trimmed texts of all elements of each name, in document order, whatever their namespace prefix; empty texts are left out."""
+    found = [F.struct(F.lit(n).alias("name"), F.filter(F.transform(F.xpath(F.col(xml), F.lit(f"//*[name()='{n}' or substring-after(name(), ':')='{n}']/text()")), lambda v: F.trim(v, F.lit(" \t\r\n"))), lambda v: v != "").alias("values")) for n in names]
+    return documents.select(*keys, F.explode(F.array(*found)).alias("f")).select(*keys, "f.name", "f.values").filter(F.size("values") > 0)
+
+
 def member_kind(name: Column) -> Column:
     """Kind of an archive member by its path."""
     low = F.lower(name)

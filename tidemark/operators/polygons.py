@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .projection import to_utm
+
 Ring = list[tuple[float, float]]
 
 
@@ -30,6 +35,41 @@ def edges_of(shapes: DataFrame, keys: list[str], geometry: str = "geometry") ->
     return steps.select(*keys, "part", "ring", (F.col("seq") - 1).alias("seq"), a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
 
 
+def flat_edges(geometry: str) -> Column:
+    """All edges of a polygon column in one array of {x1, y1, x2, y2}; unclosed rings are closed."""
+
+    def ring(points: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(points)), lambda k: F.struct(*_step(F.element_at(points, k), F.element_at(points, F.when(k < F.size(points), k + 1).otherwise(1)))))
+
+    edges = F.flatten(F.transform(F.flatten(F.col(geometry)), lambda r: F.when(F.size(r) > 0, ring(r)).otherwise(F.array().cast(_EDGES))))
+    # a closed ring's last point is its first one, which adds an edge without length
+    return F.filter(edges, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+
+
+_EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+
+
+def _step(a: Column, b: Column) -> list[Column]:
+    return [a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")]
+
+
+def projected(geometry: str, zone: int = 31) -> Column:
+    """A polygon column in longitude and latitude, in metres of a UTM zone."""
+
+    def point(p: Column) -> Column:
+        x, y = to_utm(p["x"], p["y"], zone)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(F.col(geometry), lambda part: F.transform(part, lambda ring: F.transform(ring, point)))
+
+
+def box_of(geometry: str) -> Column:
+    """Bounds {west, south, east, north} of a polygon column."""
+    points = F.flatten(F.flatten(F.col(geometry)))
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return F.struct(F.array_min(xs).alias("west"), F.array_min(ys).alias("south"), F.array_max(xs).alias("east"), F.array_max(ys).alias("north"))
+
+
 def bounds(edges: DataFrame, *keys: str) -> DataFrame:
     return edges.groupBy(*keys).agg(F.min("x1").alias("west"), F.min("y1").alias("south"), F.max("x1").alias("east"), F.max("y1").alias("north"))
 
@@ -78,16 +118,20 @@ def _spans_at(edges: np.ndarray, y: float) -> np.ndarray:
     return np.sort(e[:, 0] + (y - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1]))
 
 
-def _crossing_heights(edges: np.ndarray) -> np.ndarray:
-    """y of all proper crossings between edges."""
+def _crossing_heights(edges: np.ndarray, block: int = 256) -> np.ndarray:
+    """y of all proper crossings between edges, ``block`` edges against all at a time."""
     a, d = edges[:, :2], edges[:, 2:] - edges[:, :2]
-    cross = d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0]
-    gap = a[None, :, :] - a[:, None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (gap[..., 0] * d[None, :, 1] - gap[..., 1] * d[None, :, 0]) / cross
-        u = (gap[..., 0] * d[:, None, 1] - gap[..., 1] * d[:, None, 0]) / cross
-    i, j = np.nonzero((np.abs(cross) > 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1))
-    return a[i, 1] + t[i, j] * d[i, 1]
+    out = [np.zeros(0)]
+    for k in range(0, len(edges), block):
+        here, way = a[k : k + block], d[k : k + block]
+        cross = way[:, None, 0] * d[None, :, 1] - way[:, None, 1] * d[None, :, 0]
+        gap = a[None, :, :] - here[:, None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (gap[..., 0] * d[None, :, 1] - gap[..., 1] * d[None, :, 0]) / cross
+            u = (gap[..., 0] * way[:, None, 1] - gap[..., 1] * way[:, None, 0]) / cross
+        i, j = np.nonzero((np.abs(cross) > 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1))
+        out.append(here[i, 1] + t[i, j] * way[i, 1])
+    return np.concatenate(out)
 
 
 def strip_area(shapes: list[np.ndarray], union: bool = False) -> float:
@@ -117,15 +161,44 @@ def strip_area(shapes: list[np.ndarray], union: bool = False) -> float:
     return float(total)
 
 
+def _edge_arrays(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """An (n, 4) array per row of a list column of edges; none for null."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = pc.if_else(pc.is_null(column), pa.scalar([], column.type), column)
+    flat = column.flatten()
+    values = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in ("x1", "y1", "x2", "y2")], axis=1) if len(flat) else np.zeros((0, 4))
+    ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    return np.split(values, ends[:-1]) if len(column) else []
+
+
 def overlaps(pairs: DataFrame, keys: list[str], edge_lists: list[str]) -> DataFrame:
     """``pairs`` keys with ``overlap``: the common area of the polygons in the given edge-array columns."""
 
-    def measure(batches):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            found = [strip_area([np.array([[e[k] for k in ("x1", "y1", "x2", "y2")] for e in row[c]]) for c in edge_lists]) for row in rows.to_dict("records")]
-            yield pd.concat([rows[keys], pd.Series(found, name="overlap", index=rows.index, dtype=float)], axis=1)
+            shapes = [_edge_arrays(rows.column(len(keys) + k)) for k in range(len(edge_lists))]
+            found = pa.array([strip_area(list(x)) for x in zip(*shapes, strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keys)], found], [*keys, "overlap"])
+
+    return pairs.select(*keys, *edge_lists).mapInArrow(measure, pairs.select(*keys).schema.add("overlap", "double"))
+
+
+def union_coverage(parts: DataFrame, keys: list[str], part_edges: str, whole_edges: str) -> DataFrame:
+    """Per key the share of a whole that its parts cover together; both are edge-array columns of ``parts``.
+
+    One task sees the parts of one whole, as the districts of a state.  The area
+    of the parts inside is that of the parts and of the whole less that of all.
+    """
+
+    def measure(rows: pa.Table) -> pa.Table:
+        inner = _edge_arrays(rows.column(part_edges))
+        whole = _edge_arrays(rows.column(whole_edges))[0]
+        area = strip_area([whole])
+        covered = strip_area(inner, union=True) + area - strip_area([*inner, whole], union=True)
+        first = rows.slice(0, 1).select(keys)
+        return first.append_column("union_coverage", pa.array([covered / area if area else None], pa.float64()))
 
-    return pairs.select(*keys, *edge_lists).mapInPandas(measure, pairs.select(*keys).schema.add("overlap", "double"))
+    return parts.select(*keys, part_edges, whole_edges).groupBy(*keys).applyInArrow(measure, parts.select(*keys).schema.add("union_coverage", "double"))
 
 
 def edge_lists(edges: DataFrame, key: str, name: str) -> DataFrame:
@@ -133,9 +206,25 @@ def edge_lists(edges: DataFrame, key: str, name: str) -> DataFrame:
     return edges.groupBy(key).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias(name))
 
 
-def touching_boxes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join of two bounds tables (names suffixed by their callers) where the boxes share area."""
-    return a.join(b, (F.col("west") < F.col("east_b")) & (F.col("west_b") < F.col("east")) & (F.col("south") < F.col("north_b")) & (F.col("south_b") < F.col("north")))
+def touching_boxes(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """Join of two bounds tables (names of the second suffixed _b by the caller) where the boxes share area.
+
+    Boxes are dealt into square cells and meet there; a pair counts in the first
+    cell that both have.  Cells about as large as a box serve best.
+    """
+
+    def dealt(boxes: DataFrame, end: str) -> DataFrame:
+        low = {c: F.floor(F.col(f"{n}{end}") / cell) for c, n in (("x", "west"), ("y", "south"))}
+        high = {c: F.floor(F.col(f"{n}{end}") / cell) for c, n in (("x", "east"), ("y", "north"))}
+        out = boxes.withColumns({f"__{c}0{end}": v for c, v in low.items()})
+        for c in low:
+            out = out.withColumn(f"__{c}", F.explode(F.sequence(low[c], high[c])))
+        return out
+
+    met = dealt(a, "").join(dealt(b, "_b"), ["__x", "__y"])
+    first = (F.col("__x") == F.greatest("__x0", "__x0_b")) & (F.col("__y") == F.greatest("__y0", "__y0_b"))
+    share = (F.col("west") < F.col("east_b")) & (F.col("west_b") < F.col("east")) & (F.col("south") < F.col("north_b")) & (F.col("south_b") < F.col("north"))
+    return met.filter(first & share).drop("__x", "__y", "__x0", "__y0", "__x0_b", "__y0_b")
 
 
 def validity(edges: DataFrame, *keys: str) -> DataFrame:
@@ -145,9 +234,21 @@ def validity(edges: DataFrame, *keys: str) -> DataFrame:
 
 
 def self_intersections(edges: DataFrame, *keys: str) -> DataFrame:
-    """Pairs of edges of one shape that properly cross; none in a valid shape."""
-    a = edges.withColumn("n", F.struct("part", "ring", "seq"))
-    b = a.select(*keys, *[F.col(c).alias(f"{c}_b") for c in ("n", "x1", "y1", "x2", "y2")])
+    """Pairs of edges of one shape that properly cross; none in a valid shape.
+
+    Edges are dealt into as many level strips as their shape has edges to the
+    power of a half, so that far ones never meet.
+    """
+    size = edges.groupBy(*keys).agg(F.min(F.least("y1", "y2")).alias("__low"), F.max(F.greatest("y1", "y2")).alias("__high"), F.ceil(F.sqrt(F.count("*"))).alias("__strips"))
+    known = edges.join(size, list(keys))
+
+    def strip(y: Column) -> Column:
+        share = F.when(F.col("__high") > F.col("__low"), (y - F.col("__low")) / (F.col("__high") - F.col("__low"))).otherwise(0.0)
+        return F.least(F.floor(share * F.col("__strips")), F.col("__strips") - 1)
+
+    a = known.withColumn("n", F.struct("part", "ring", "seq")).withColumn("first", strip(F.least("y1", "y2"))).withColumn("strip", F.explode(F.sequence("first", strip(F.greatest("y1", "y2")))))
+    a = a.select(*keys, "n", "first", "strip", "x1", "y1", "x2", "y2")
+    b = a.select(*keys, "strip", *[F.col(c).alias(f"{c}_b") for c in ("n", "first", "x1", "y1", "x2", "y2")])
 
     def side(px, py, qx, qy, rx, ry):
         return (F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px))
@@ -155,4 +256,5 @@ def self_intersections(edges: DataFrame, *keys: str) -> DataFrame:
     boxes = (F.least("x1", "x2") < F.greatest("x1_b", "x2_b")) & (F.least("x1_b", "x2_b") < F.greatest("x1", "x2")) & (F.least("y1", "y2") < F.greatest("y1_b", "y2_b")) & (F.least("y1_b", "y2_b") < F.greatest("y1", "y2"))
     ab = side("x1", "y1", "x2", "y2", "x1_b", "y1_b") * side("x1", "y1", "x2", "y2", "x2_b", "y2_b")
     ba = side("x1_b", "y1_b", "x2_b", "y2_b", "x1", "y1") * side("x1_b", "y1_b", "x2_b", "y2_b", "x2", "y2")
-    return a.join(b, list(keys)).filter((F.col("n") < F.col("n_b")) & boxes & (ab < 0) & (ba < 0)).select(*keys, "n", "n_b")
+    once = F.col("strip") == F.greatest("first", "first_b")
+    return a.join(b, [*keys, "strip"]).filter((F.col("n") < F.col("n_b")) & once & boxes & (ab < 0) & (ba < 0)).select(*keys, "n", "n_b")

@@ -42,7 +42,7 @@ def bilinear(targets: DataFrame, cells: DataFrame, x: Column, y: Column, value:
 
 
 def projected_grid(cells: DataFrame, keys: list[str], lon0: float, lat0: float, step: float, spacing: float = 30.0, zone: int = 31) -> DataFrame:
-    """Per key the north-up grid (x0, y0, width, height) of ``spacing`` metres that covers geographic cells.
+    """Per key the bounds of the cells (r0 to r1, c0 to c1) and the north-up grid (x0, y0, width, height) of ``spacing`` metres that covers geographic cells.
 
     ``lon0`` and ``lat0`` are the upper left corner of cell (0, 0) and ``step`` is
     its width in degrees.  The extent is that of the projected corners and edge
@@ -53,12 +53,12 @@ def projected_grid(cells: DataFrame, keys: list[str], lon0: float, lat0: float,
     north, south = lat0 - F.col("r0") * step, lat0 - (F.col("r1") + 1) * step
     middle = [(lon, lat) for lon in (west, (west + east) / 2, east) for lat in (south, (south + north) / 2, north)]
     points = [to_utm(lon, lat, zone) for lon, lat in middle]
-    out = rows.select(*keys, F.least(*[x for x, _ in points]).alias("x0"), F.greatest(*[y for _, y in points]).alias("y0"), F.greatest(*[x for x, _ in points]).alias("x1"), F.least(*[y for _, y in points]).alias("y1"))
-    return out.select(*keys, "x0", "y0", F.ceil((F.col("x1") - F.col("x0")) / spacing).cast("int").alias("width"), F.ceil((F.col("y0") - F.col("y1")) / spacing).cast("int").alias("height"))
+    out = rows.select(*keys, "r0", "r1", "c0", "c1", F.least(*[x for x, _ in points]).alias("x0"), F.greatest(*[y for _, y in points]).alias("y0"), F.greatest(*[x for x, _ in points]).alias("x1"), F.least(*[y for _, y in points]).alias("y1"))
+    return out.select(*keys, "r0", "r1", "c0", "c1", "x0", "y0", F.ceil((F.col("x1") - F.col("x0")) / spacing).cast("int").alias("width"), F.ceil((F.col("y0") - F.col("y1")) / spacing).cast("int").alias("height"))
 
 
 def reprojected(cells: DataFrame, value: str, keys: list[str], lon0: float, lat0: float, step: float, spacing: float = 30.0, zone: int = 31) -> DataFrame:
-    """(keys, row, col, value): geographic cells on their projected grid, bilinear; null where no source cell is near.
+    """(keys, row, col, value): geographic cells on their projected grid, bilinear; null outside the cells' bounds and where no known cell is near.
 
     Target rows are made by Spark from the grid's size, one row of cells at a
     time, and find their four source cells through the inverse projection.
@@ -68,5 +68,8 @@ def reprojected(cells: DataFrame, value: str, keys: list[str], lon0: float, lat0
     # spread the rows before they multiply
     rows = rows.repartition(*keys, "row").withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     lon, lat = to_lonlat(F.col("x0") + (F.col("col") + 0.5) * spacing, F.col("y0") - (F.col("row") + 0.5) * spacing, zone)
-    placed = rows.select(*keys, "row", "col", ((lon - lon0) / step).alias("__x"), ((lat0 - lat) / step).alias("__y"))
-    return bilinear(placed, cells, F.col("__x"), F.col("__y"), value, [*keys, "row", "col"], keys=keys)
+    placed = rows.withColumn("__x", (lon - lon0) / step).withColumn("__y", (lat0 - lat) / step)
+    there = (F.col("__x") >= F.col("c0")) & (F.col("__x") < F.col("c1") + 1) & (F.col("__y") >= F.col("r0")) & (F.col("__y") < F.col("r1") + 1)
+    # a place without a value has no neighbours and so stays null
+    at = lambda c: F.when(there, F.col(c)).otherwise(F.lit(-1e6))
+    return bilinear(placed.select(*keys, "row", "col", at("__x").alias("__x"), at("__y").alias("__y")), cells, F.col("__x"), F.col("__y"), value, [*keys, "row", "col"], keys=keys)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import event_period
+from tidemark.functions.scalar import event_period, known
 from tidemark.operators import backscatter, catalog, grid, integrity, polygons, projection, qa, resample
 from tidemark.sources import tables
 
@@ -15,7 +15,10 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 START, END = "2024-01-15T00:00:00+01:00", "2024-01-17T00:00:00+01:00"
 SQL_START, SQL_END = "TIMESTAMP '2024-01-14 23:00:00'", "TIMESTAMP '2024-01-16 23:00:00'"
-AREA = {"west": 2.0, "south": 3.0, "east": 12.0, "north": 11.0}
+#: The area of interest, and a smaller one: west, south, east, north.
+AREA, STRIP = (2.0, 3.0, 12.0, 11.0), (9.5, 2.0, 10.5, 10.0)
+#: Footprints are slanted by so much east for each unit north, ascending ones to the right, others to the left.
+SLANT = 0.25
 
 
 def query(sql: str | None = None):
@@ -44,31 +47,57 @@ def _scene_columns(div: str) -> list[str]:
         "CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS md5sum",
         "CAST(event_id % 9 AS DOUBLE) AS west",
         "CAST(event_id % 4 AS DOUBLE) AS south",
-        "CAST(event_id % 9 + 6 AS DOUBLE) AS east",
-        "CAST(event_id % 4 + 8 AS DOUBLE) AS north",
+        f"CASE WHEN event_type IN ('click', 'view') THEN {SLANT} ELSE -{SLANT} END AS slant",
     ]
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes from events: one area per user, boxes as footprints."""
+    """Scenes from events: one area per user, slanted footprints of 6 by 8 units."""
     ev = fx.table(spark, sf_dir, "events")
-    return ev.selectExpr(*_scene_columns("div")).withColumn("scene_name", F.format_string("S%07d", "k")).withColumn("url", F.concat(F.lit("https://example.org/"), "scene_name")).drop("k")
+    named = ev.selectExpr(*_scene_columns("div")).withColumn("scene_name", F.format_string("S%07d", "k")).withColumn("url", F.concat(F.lit("https://example.org/"), "scene_name"))
+    slant = F.col("slant").cast("double")
+    corner = lambda x, y: F.struct((F.col("west") + x + slant * y).alias("x"), (F.col("south") + y).cast("double").alias("y"))
+    return named.withColumn("geometry", F.array(F.array(F.array(corner(0.0, 0), corner(6.0, 0), corner(6.0, 8), corner(0.0, 8))))).drop("k", "west", "south", "slant")
+
+
+def box(west: float, south: float, east: float, north: float) -> Column:
+    """A box as polygon column."""
+    return F.array(F.array(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((west, south), (east, south), (east, north), (west, north))])))
+
+
+def areas(spark: SparkSession, sf_dir: str, bounds: tuple = AREA) -> DataFrame:
+    return scenes(spark, sf_dir).select("aoi_id").distinct().withColumn("geometry", box(*bounds))
 
 
 _SCENES = f"sc AS (SELECT *, printf('S%07d', k) AS scene_name, 'https://example.org/' || printf('S%07d', k) AS url FROM (SELECT {', '.join(_scene_columns('//'))} FROM events))"
 _PERIOD = f"CASE WHEN start_time < {SQL_START} THEN 'before' WHEN start_time < {SQL_END} THEN 'during' ELSE 'after' END"
 _DAYS = lambda a, b: f"(epoch_us({b}) - epoch_us({a})) / 86400000000::DOUBLE"
-_PAIRS = f"""{_SCENES}, tm AS (SELECT *, {_PERIOD} AS period FROM sc),
-pr AS (SELECT b.aoi_id, b.scene_name AS before, a.scene_name AS after, a.period, {_DAYS('b.start_time', 'a.start_time')} AS baseline_days, {_DAYS(SQL_START, 'a.start_time')} AS after_days,
-  greatest(least(b.east, a.east, 12.0) - greatest(b.west, a.west, 2.0), 0) * greatest(least(b.north, a.north, 11.0) - greatest(b.south, a.south, 3.0), 0) / 80.0::DOUBLE AS fraction
+def _swept(low: str, high: str, y0: str, y1: str, slant: str, west: float, east: float) -> str:
+    """Area between the slanted lines x = low + slant * y and x = high + slant * y inside [west, east], from y0 to y1: an integral of clamped lines."""
+
+    def integral(x: str) -> str:
+        return f"(CASE WHEN {x} <= {west} THEN {west} * ({x}) WHEN {x} < {east} THEN (({x}) * ({x}) + {west * west}) / 2 ELSE {east} * ({x}) + {(west * west - east * east) / 2} END)"
+
+    at = lambda c, y: integral(f"{c} + {slant} * {y}")
+    whole = f"(({at(high, y1)} - {at(high, y0)}) - ({at(low, y1)} - {at(low, y0)})) / {slant}"
+    return f"CASE WHEN {high} > {low} AND {y1} > {y0} THEN {whole} ELSE 0 END::DOUBLE"
+
+
+_W, _S, _E, _N = AREA
+_PAIRS = f"""{_SCENES}, tm AS (SELECT *, slant::DOUBLE AS sl, west - slant::DOUBLE * south AS foot, {_PERIOD} AS period FROM sc),
+cm AS (SELECT b.aoi_id, b.scene_name AS before, a.scene_name AS after, a.period, {_DAYS('b.start_time', 'a.start_time')} AS baseline_days, {_DAYS(SQL_START, 'a.start_time')} AS after_days, a.sl,
+  greatest(a.foot, b.foot) AS low, least(a.foot, b.foot) + 6 AS high, greatest(a.south, b.south, {_S}) AS y0, least(a.south + 8, b.south + 8, {_N}) AS y1
   FROM tm b JOIN tm a ON a.aoi_id = b.aoi_id AND b.period = 'before' AND a.period <> 'before' AND a.path_number = b.path_number AND a.flight_direction = b.flight_direction AND a.polarization IS NOT DISTINCT FROM b.polarization),
+pr AS (SELECT aoi_id, before, after, period, baseline_days, after_days, round({_swept('low', 'high', 'y0', 'y1', 'sl', _W, _E)} / {(_E - _W) * (_N - _S)}, 12) AS fraction FROM cm),
 rk AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY fraction < 0.8, after_days, baseline_days, fraction DESC, before, after)::INT AS rank FROM pr WHERE fraction >= 0.01)"""
 
 
-def ranked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scenes(spark, sf_dir)
-    areas = s.select("aoi_id").distinct().withColumns({k: F.lit(v) for k, v in AREA.items()})
-    return catalog.ranked(catalog.box_coverage(catalog.comparable_pairs(s, START, END), areas))
+def covered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.covered_pairs(scenes(spark, sf_dir), areas(spark, sf_dir), START, END)
+
+
+def _told(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("aoi_id_before").alias("aoi_id"), F.col("scene_name_before").alias("before"), F.col("scene_name_after").alias("after"), F.col("period_after").alias("period"), F.round("baseline_days", 9).alias("baseline_days"), F.round("after_days_from_event_start", 9).alias("after_days"), F.round("common_aoi_fraction", 9).alias("fraction"), "rank")
 
 
 @query(f"WITH {_SCENES} SELECT scene_name AS scene_id, start_time AS acquisition_utc, {_PERIOD} AS period, orbit AS absolute_orbit, path_number AS relative_orbit, flight_direction AS pass_direction, polarization, processing_level AS product, beam_mode AS mode, 10 AS pixel_spacing_m, '20 x 22 (IW GRD high resolution)' AS nominal_resolution_m, bytes, url, coalesce(md5sum, '') AS md5 FROM sc")
@@ -77,22 +106,38 @@ def s03_f01_t03_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.inventory(scenes(spark, sf_dir), START, END)
 
 
-@query(f"WITH {_SCENES} SELECT scene_name FROM sc WHERE least(east, 10.5) > greatest(west, 9.5) AND least(north, 10.0) > greatest(south, 2.0)")
+@query(f"WITH {_SCENES} SELECT scene_name FROM (SELECT *, west - slant::DOUBLE * south AS foot, slant::DOUBLE AS sl, greatest(south, {STRIP[1]}) AS y0, least(south + 8, {STRIP[3]}) AS y1 FROM sc) WHERE {_swept('foot', '(foot + 6)', 'y0', 'y1', 'sl', STRIP[0], STRIP[2])} > 1e-9")
 def f03_exact_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.exact_footprints(scenes(spark, sf_dir), {"west": 9.5, "south": 2.0, "east": 10.5, "north": 10.0}).select("scene_name")
+    """Scenes whose slanted footprint shares area with a strip."""
+    return catalog.exact_footprints(scenes(spark, sf_dir), areas(spark, sf_dir, STRIP)).select("scene_name")
+
 
+_TOLD = "aoi_id, before, after, period, round(baseline_days, 9) AS baseline_days, round(after_days, 9) AS after_days, round(fraction, 9) AS fraction, rank"
 
-@query(f"WITH {_PAIRS} SELECT aoi_id, before, after, period, round(baseline_days, 9) AS baseline_days, round(after_days, 9) AS after_days, round(fraction, 9) AS fraction, rank FROM rk")
+
+@query(f"WITH {_PAIRS} SELECT {_TOLD} FROM rk")
 def j01_t01_c02_ranked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparable pairs, ranked per area."""
-    p = ranked_pairs(spark, sf_dir)
-    return p.select(F.col("aoi_id_before").alias("aoi_id"), F.col("scene_name_before").alias("before"), F.col("scene_name_after").alias("after"), F.col("period_after").alias("period"), F.round("baseline_days", 9).alias("baseline_days"), F.round("after_days_from_event_start", 9).alias("after_days"), F.round("common_aoi_fraction", 9).alias("fraction"), "rank")
+    return _told(catalog.ranked(covered_pairs(spark, sf_dir)))
+
+
+@query(f"WITH {_PAIRS} SELECT {_TOLD} FROM rk WHERE rank <= 5")
+def t02_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best pairs of every area."""
+    return _told(catalog.ranked(covered_pairs(spark, sf_dir)).filter("rank <= 5"))
 
 
 @query(f"WITH {_PAIRS} SELECT aoi_id, sum(bytes)::BIGINT AS total_download_bytes FROM (SELECT aoi_id, unnest([before, after]) AS scene_name FROM rk WHERE rank = 1) JOIN sc USING (aoi_id, scene_name) GROUP BY aoi_id")
 def j09_t02_selected_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Download size of each area's best pair."""
-    return catalog.selected_bytes(ranked_pairs(spark, sf_dir).filter("rank = 1"), scenes(spark, sf_dir))
+    return catalog.selected_bytes(catalog.best(covered_pairs(spark, sf_dir)), scenes(spark, sf_dir))
+
+
+@query(f"WITH {_PAIRS} SELECT aoi_id, round({(_E - _W) * (_N - _S)} * fraction, 6)::DOUBLE AS pair_coverage, round({(_E - _W) * (_N - _S)} * (1 - fraction), 6)::DOUBLE AS not_observed_by_pair FROM rk WHERE rank = 1")
+def g09_unobserved_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each area's best pair covers, and what it does not."""
+    out = catalog.unobserved(catalog.best(covered_pairs(spark, sf_dir)))
+    return out.select("aoi_id", F.round("pair_coverage", 6).alias("pair_coverage"), F.round("not_observed_by_pair", 6).alias("not_observed_by_pair"))
 
 
 @query("SELECT s_suppkey AS poly_id, (s_suppkey % 17)::DOUBLE AS west, (s_suppkey % 5)::DOUBLE AS south, (s_suppkey % 17 + 3)::DOUBLE AS east, (s_suppkey % 5 + 2)::DOUBLE AS north, 6.0::DOUBLE AS area FROM supplier")
@@ -116,7 +161,7 @@ def g06_polygon_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Common area of every footprint with a region, after a box join."""
     e = polygons.edges_of(boxes(spark, sf_dir), ["poly_id"])
     region = polygons.edge_table(spark, {"region": [[[(7.0, 1.5), (12.5, 1.5), (12.5, 4.25), (7.0, 4.25)]]]})
-    near = polygons.touching_boxes(polygons.bounds(e, "poly_id"), polygons.bounds(region, "poly_id").select(F.col("poly_id").alias("region"), *[F.col(c).alias(f"{c}_b") for c in ("west", "south", "east", "north")]))
+    near = polygons.touching_boxes(polygons.bounds(e, "poly_id"), polygons.bounds(region, "poly_id").select(F.col("poly_id").alias("region"), *[F.col(c).alias(f"{c}_b") for c in ("west", "south", "east", "north")]), 3.0)
     pairs = near.select("poly_id", "region").join(polygons.edge_lists(e, "poly_id", "a"), "poly_id").join(polygons.edge_lists(region, "poly_id", "b").withColumnRenamed("poly_id", "region"), "region")
     return polygons.overlaps(pairs, ["poly_id"], ["a", "b"]).withColumn("overlap", F.round("overlap", 9))
 
@@ -142,11 +187,20 @@ def g09_g10_inside_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("pair_id", "row", "col")
 
 
-@query("SELECT s_suppkey AS poly_id, 1::BIGINT AS rings, 4::BIGINT AS edges, true AS finite, true AS enough_points, true AS has_area FROM supplier")
+@query("SELECT s_suppkey AS poly_id, 1::BIGINT AS rings, CASE WHEN s_suppkey % 6 = 2 THEN 2 ELSE 4 END::BIGINT AS edges, true AS finite, s_suppkey % 6 <> 2 AS enough_points, s_suppkey % 6 <> 2 AS has_area, s_suppkey % 6 = 1 AS crossed FROM supplier")
 def g11_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = polygons.edges_of(boxes(spark, sf_dir), ["poly_id"])
-    crossed = polygons.self_intersections(e, "poly_id").select("poly_id").distinct()
-    return polygons.validity(e, "poly_id").join(crossed, "poly_id", "left_anti")
+    """Rules that shapes break, some of which cross themselves or have no area."""
+    e = polygons.edges_of(odd_shapes(spark, sf_dir), ["poly_id"])
+    crossed = polygons.self_intersections(e, "poly_id").select("poly_id").distinct().withColumn("crossed", F.lit(True))
+    return polygons.validity(e, "poly_id").join(crossed, "poly_id", "left").withColumn("crossed", F.coalesce("crossed", F.lit(False)))
+
+
+def odd_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes, but a sixth of them twisted and a sixth without area."""
+    k, w, s = F.col("s_suppkey"), F.col("s_suppkey") % 17, F.col("s_suppkey") % 5
+    ring = lambda *points: F.array(F.array(F.array(*[F.struct((w + a).cast("double").alias("x"), (s + b).cast("double").alias("y")) for a, b in points])))
+    shape = F.when(k % 6 == 1, ring((0, 0), (3, 2), (3, 0), (0, 1))).when(k % 6 == 2, ring((0, 0), (3, 2))).otherwise(ring((0, 0), (3, 0), (3, 2), (0, 2)))
+    return fx.table(spark, sf_dir, "supplier").select(k.alias("poly_id"), shape.alias("geometry"))
 
 
 @query("SELECT s_suppkey AS k, floor((s_suppkey % 17 + 0.25::DOUBLE - 1.5) / 0.75)::BIGINT AS col_off, (ceil((s_suppkey % 17 + 3.25::DOUBLE - 1.5) / 0.75) - floor((s_suppkey % 17 + 0.25::DOUBLE - 1.5) / 0.75))::BIGINT AS width, floor((20 - (s_suppkey % 5 + 2.25::DOUBLE)) / 0.5)::BIGINT AS row_off, (ceil((20 - (s_suppkey % 5 + 0.25::DOUBLE)) / 0.5) - floor((20 - (s_suppkey % 5 + 2.25::DOUBLE)) / 0.5))::BIGINT AS height FROM supplier")
@@ -157,16 +211,26 @@ def g03_g07_aligned_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.aligned_window(b).select("k", "col_off", "width", "row_off", "height")
 
 
-@query("SELECT c_custkey AS k, true AS round_trip, round(abs(2.0::DOUBLE + (c_custkey % 40) / 20.0::DOUBLE - 3.0), 9) = 0 AS on_meridian FROM customer")
+def _utm_sql() -> str:
+    """Easting and northing by a power series in longitude, another method than the operator's."""
+    a, e2 = projection.SEMI_MAJOR, projection.FLATTENING * (2 - projection.FLATTENING)
+    arc = (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256 - 175 * e2**4 / 16384, 3 / 8 * (e2 + e2**2 / 4 + 15 * e2**3 / 128 - 455 * e2**4 / 4096), 15 / 256 * (e2**2 + 3 * e2**3 / 4 - 77 * e2**4 / 128), 35 / 3072 * (e2**3 - 41 * e2**4 / 32))
+    return f"""p AS (SELECT c_custkey AS k, 2.0::DOUBLE + (c_custkey % 40) / 20.0::DOUBLE AS lon, 5.0::DOUBLE + (c_custkey % 37) / 10.0::DOUBLE AS lat FROM customer),
+q AS (SELECT *, radians(lat) AS f, tan(radians(lat)) * tan(radians(lat)) AS t, {e2 / (1 - e2)!r}::DOUBLE * cos(radians(lat)) * cos(radians(lat)) AS c, radians(lon - 3) * cos(radians(lat)) AS v, {a!r}::DOUBLE / sqrt(1 - {e2!r}::DOUBLE * sin(radians(lat)) * sin(radians(lat))) AS n FROM p),
+m AS (SELECT *, {a!r}::DOUBLE * ({arc[0]!r}::DOUBLE * f - {arc[1]!r}::DOUBLE * sin(2 * f) + {arc[2]!r}::DOUBLE * sin(4 * f) - {arc[3]!r}::DOUBLE * sin(6 * f)) AS arc, {e2 / (1 - e2)!r}::DOUBLE AS ep FROM q)
+SELECT k, round(500000 + 0.9996::DOUBLE * n * (v + (1 - t + c) * v ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * v ** 5 / 120), 1) AS easting,
+  round(0.9996::DOUBLE * (arc + n * tan(f) * (v * v / 2 + (5 - t + 9 * c + 4 * c * c) * v ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * v ** 6 / 720)), 1) AS northing, round(lon, 9) AS lon, round(lat, 9) AS lat FROM m"""
+
+
+@query(f"WITH {_utm_sql()}")
 def g01_g02_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forward and inverse projection agree; the central meridian has easting 500,000."""
+    """Projected coordinates, to the decimetre, and what the inverse makes of them."""
     lon, lat = F.lit(2.0) + (F.col("c_custkey") % 40) / F.lit(20.0), F.lit(5.0) + (F.col("c_custkey") % 37) / F.lit(10.0)
     base = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), lon.alias("lon"), lat.alias("lat"))
     x, y = projection.to_utm(F.col("lon"), F.col("lat"))
-    there = base.withColumn("x", x).withColumn("y", y)
+    there = base.select("k", x.alias("x"), y.alias("y"))
     lon2, lat2 = projection.to_lonlat(F.col("x"), F.col("y"))
-    back = there.withColumn("lon2", lon2).withColumn("lat2", lat2)
-    return back.select("k", ((F.abs(F.col("lon2") - F.col("lon")) < 1e-11) & (F.abs(F.col("lat2") - F.col("lat")) < 1e-11)).alias("round_trip"), (F.abs(F.col("x") - 500000) < 1e-6).alias("on_meridian"))
+    return there.select("k", F.round("x", 1).alias("easting"), F.round("y", 1).alias("northing"), F.round(lon2, 9).alias("lon"), F.round(lat2, 9).alias("lat"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,27 +314,54 @@ def f13_member_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.member_counts(m)
 
 
-@query("SELECT CASE WHEN p_partkey % 3 = 0 THEN 'occurrence_' ELSE 'rain_' END || p_brand AS raster_id, count(*) FILTER (p_size <> 7) AS valid_aoi_pixels, min(p_size * 3) FILTER (p_size <> 7)::DOUBLE AS min, max(p_size * 3) FILTER (p_size <> 7)::DOUBLE AS max, round(avg(p_size * 3) FILTER (p_size <> 7), 6) AS mean FROM part GROUP BY ALL")
-def m20_raster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = qa.raster_summary(rasters(spark, sf_dir), 21.0)
-    return s.withColumn("mean", F.round("mean", 6))
+_RASTERS = "r AS (SELECT ['occurrence_', 'seasonality_', 'rain_'][p_partkey % 3 + 1] || p_brand || '_' || p_size % 10 AS raster_id, CASE WHEN p_partkey % 3 = 1 THEN p_size % 10 + (p_partkey % 40) // 10 ELSE p_size * 2 + CASE WHEN p_partkey % 50 = 3 THEN 30 ELSE 0 END END::DOUBLE AS v, p_size % 10 = 7 OR p_partkey % 11 = 0 AS gone, p_partkey % 97 = 5 AS nan FROM part)"
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fx.table(spark, sf_dir, "part")
-    return p.select(F.concat(F.when(F.col("p_partkey") % 3 == 0, "occurrence_").otherwise("rain_"), "p_brand").alias("raster_id"), (F.col("p_size") * 3).alias("value"))
+    """Cells of many rasters of three kinds, with nodata marks, some only nodata, and NaN."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = F.concat(F.element_at(F.array(F.lit("occurrence_"), F.lit("seasonality_"), F.lit("rain_")), (k % 3 + 1).cast("int")), F.col("p_brand"), F.lit("_"), (size % 10).cast("string"))
+    value = F.when(k % 3 == 1, size % 10 + F.floor((k % 40) / 10)).otherwise(size * 2 + F.when(k % 50 == 3, 30).otherwise(0)).cast("double")
+    marked = F.when((size % 10 == 7) | (k % 11 == 0), F.lit(-9999.0)).when(k % 97 == 5, F.lit(float("nan"))).otherwise(value)
+    return fx.table(spark, sf_dir, "part").select(name.alias("raster_id"), marked.alias("value"))
 
 
-@query("SELECT raster_id, 'domain' AS failure FROM (SELECT 'occurrence_' || p_brand AS raster_id, max(p_size * 3) AS m FROM part WHERE p_partkey % 3 = 0 AND p_size <> 7 GROUP BY ALL) WHERE m > 145")
+@query(f"WITH {_RASTERS} SELECT raster_id, count(*) FILTER (NOT gone AND NOT nan) AS valid_aoi_pixels, count(*) FILTER (nan AND NOT gone) AS not_finite, min(v) FILTER (NOT gone AND NOT nan) AS min, max(v) FILTER (NOT gone AND NOT nan) AS max, round(avg(v) FILTER (NOT gone AND NOT nan), 6) AS mean FROM r GROUP BY ALL")
+def m20_raster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.raster_summary(rasters(spark, sf_dir), -9999.0).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    f"WITH {_RASTERS}, s AS (SELECT raster_id, count(*) FILTER (NOT gone AND NOT nan) AS n, count(*) FILTER (nan AND NOT gone) AS odd, max(v) FILTER (NOT gone AND NOT nan) AS high FROM r GROUP BY ALL) "
+    "SELECT raster_id, 'empty' AS failure FROM s WHERE n = 0 UNION ALL SELECT raster_id, 'not finite' FROM s WHERE odd > 0 UNION ALL SELECT raster_id, 'domain' FROM s WHERE high > CASE WHEN raster_id LIKE 'occ%' THEN 100 WHEN raster_id LIKE 'sea%' THEN 12 END"
+)
 def m21_domain_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qa.domain_failures(qa.raster_summary(rasters(spark, sf_dir), 21.0), {"occurrence": (0, 145)})
+    """Rasters that are empty, have cells that are no numbers, or exceed the domain of their kind."""
+    return qa.domain_failures(qa.raster_summary(rasters(spark, sf_dir), -9999.0))
+
+
+@query("WITH d AS (SELECT user_id, count(DISTINCT ts::DATE) FILTER (ts::DATE BETWEEN DATE '2024-01-02' AND DATE '2024-01-26') AS days FROM events GROUP BY ALL) SELECT user_id, days FROM d WHERE days < 25")
+def m21_rain_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series that lack one of the 25 days."""
+    return qa.missing_days(fx.table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day")), ["user_id"], "2024-01-02", "2024-01-26")
+
 
+_CELLS = "u AS (SELECT DISTINCT state, x + dx AS x, y + dy AS y FROM d, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy))"
 
-@query("SELECT r_name AS state, count(*) AS districts, array_to_string(list_sort(list(n_name)), ',') AS names, sum(n_nationkey + 1.0::DOUBLE) AS area FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+
+@query(
+    f"WITH d AS (SELECT s_nationkey AS state, s_name AS shape_name, s_suppkey % 11 AS x, (s_suppkey // 11) % 7 AS y FROM supplier), {_CELLS} "
+    "SELECT state, count(*) AS districts, array_to_string(list_sort(list(shape_name)), ',') AS names, 4.0::DOUBLE * count(*) AS area, min(x)::DOUBLE AS west, min(y)::DOUBLE AS south, max(x) + 2.0::DOUBLE AS east, max(y) + 2.0::DOUBLE AS north, round(any_value(n) / 40.0::DOUBLE, 9) AS union_coverage "
+    "FROM d JOIN (SELECT state, count(*) FILTER (x BETWEEN 1 AND 8 AND y BETWEEN 1 AND 5) AS n FROM u GROUP BY ALL) USING (state) GROUP BY state"
+)
 def m22_area_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Districts per state with sorted names and area."""
-    n = fx.table(spark, sf_dir, "nation").join(fx.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return qa.districts_summary(n.select(F.col("r_name").alias("state"), F.col("n_name").alias("shape_name"), (F.col("n_nationkey") + F.lit(1.0)).alias("area")), ["state"])
+    """Bounds, number, names and area of the districts of every state, and what they cover of it together."""
+    x, y = F.col("s_suppkey") % 11, F.floor(F.col("s_suppkey") / 11) % 7
+    ring = F.array(*[F.struct((x + a).cast("double").alias("x"), (y + b).cast("double").alias("y")) for a, b in ((0, 0), (2, 0), (2, 2), (0, 2))])
+    districts = fx.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("state"), F.col("s_name").alias("shape_name"), F.array(F.array(ring)).alias("geometry"))
+    states = districts.select("state").distinct().withColumn("geometry", box(1, 1, 9, 6))
+    out = qa.area_summary(districts, states, "state")
+    return out.withColumn("area", F.round("area", 6)).withColumn("union_coverage", F.round("union_coverage", 9))
 
 
 @query("SELECT * FROM region WHERE lower(r_name) = 'africa'")
@@ -301,12 +392,46 @@ def f17_reference_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.changed_samples(aligned, source, "vh_before", 3, 5, ["pair_id"]).select("pair_id", "row", "col")
 
 
-@query(f"WITH {fx.SQL} SELECT pair_id, row, col FROM raw WHERE row >= 2 AND row < 9 AND col >= 4 AND col < 44")
+@query(f"WITH {fx.SQL} SELECT pair_id, row, col FROM P WHERE row >= 2 AND row < 9 AND col >= 4 AND col < 100 AND inside")
 def s12_window_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells inside a window."""
+    """Cells of the area inside a window."""
     raw = fx.raw_pixels(spark, sf_dir).select("pair_id", "row", "col")
-    window = raw.select("pair_id").distinct().withColumns({"row_off": F.lit(2), "col_off": F.lit(4), "height": F.lit(7), "width": F.lit(40)})
-    return grid.crop(raw, window, ["pair_id"])
+    window = raw.select("pair_id").distinct().withColumns({"row_off": F.lit(2), "col_off": F.lit(4), "height": F.lit(7), "width": F.lit(96)})
+    return fx.flagged(grid.crop(raw, window, ["pair_id"])).filter("inside").select("pair_id", "row", "col")
+
+
+@query(f"WITH {fx.SQL}, {{j}} SELECT pair_id, row, col, round(vh_before::DOUBLE, 6) AS vh_before, round(vv_before::DOUBLE, 6) AS vv_before, round(vh_after::DOUBLE, 6) AS vh_after, round(vv_after::DOUBLE, 6) AS vv_after, coalesce(pair_mask, 255) AS pair_mask, coalesce(occurrence, 255) AS occurrence FROM j".replace("{j}", "j AS (SELECT raw.pair_id, raw.row, raw.col, CASE WHEN isfinite(vh_before) THEN vh_before END AS vh_before, vv_before, vh_after, vv_after, CASE WHEN (raw.row + raw.col) % 4 <> 0 THEN ((raw.row + raw.col) % 4 > 1)::INT END AS pair_mask, occurrence FROM raw LEFT JOIN w0 ON wrow = row // 3 AND wcol = col // 3)"))
+def j02_aligned_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before, after, mask and water layers, each a table of its own, joined by pixel."""
+    raw = fx.raw_pixels(spark, sf_dir)
+    before = raw.select("pair_id", "row", "col", F.col("vh_before").alias("vh"), F.col("vv_before").alias("vv"))
+    after = raw.filter("vh_after IS NOT NULL").select("pair_id", "row", "col", F.col("vh_after").alias("vh"), F.col("vv_after").alias("vv"))
+    mask = raw.filter((F.col("row") + F.col("col")) % 4 != 0).select("pair_id", "row", "col", ((F.col("row") + F.col("col")) % 4 > 1).cast("int").alias("pair_mask"))
+    water = fx.water_cells(spark, sf_dir).select(F.col("wrow").alias("row"), F.col("wcol").alias("col"), "occurrence")
+    joined = resample.nearest(backscatter.aligned(before, after, mask), water, (F.col("col") + 0.5) / fx.WATER_SCALE, (F.col("row") + 0.5) / fx.WATER_SCALE, "occurrence")
+    clean = joined.withColumns({"vh_before": known(F.col("vh_before")), "pair_mask": F.coalesce("pair_mask", F.lit(255)), "occurrence": F.coalesce("occurrence", F.lit(255))})
+    return clean.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in backscatter.VALUES})
+
+
+_XML = [("startTime", "strftime(ts, '%Y-%m-%dT%H:%M:%S')"), ("mode", "'IW'"), ("relativeOrbitNumber", "(event_id % 5)::VARCHAR"), ("pass", "CASE WHEN event_id % 3 <> 0 THEN event_type END"), ("transmitterReceiverPolarisation", "'VV' || CASE WHEN event_id % 2 = 0 THEN ',VH' ELSE '' END")]
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT event_id, '{n}' AS name, {v} AS texts FROM events" for n, v in _XML) + ") WHERE texts IS NOT NULL")
+def c06_xml_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of scene manifests in XML, by name."""
+    k = F.col("event_id")
+    element = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    xml = F.concat(
+        F.lit("<?xml version='1.0'?><x:XFDU xmlns:x='urn:x' xmlns:safe='urn:s'><meta>"),
+        element("safe:startTime", F.concat(F.lit("\n "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" "))),
+        element("safe:orbit", F.concat(element("safe:relativeOrbitNumber", (k % 5).cast("string")), element("pass", F.when(k % 3 == 0, F.lit("  ")).otherwise(F.col("event_type"))))),
+        element("safe:mode", F.lit("IW")),
+        element("transmitterReceiverPolarisation", F.lit("VV")),
+        F.when(k % 2 == 0, element("safe:transmitterReceiverPolarisation", F.lit("VH"))).otherwise(F.lit("")),
+        F.lit("<other>mode</other></meta></x:XFDU>"),
+    )
+    found = integrity.xml_fields(fx.table(spark, sf_dir, "events").select("event_id", xml.alias("xml")), [n for n, _ in _XML], ["event_id"])
+    return found.select("event_id", "name", F.array_join("values", ",").alias("texts"))
 
 
 @query("SELECT s_suppkey AS k, printf('DEM_%s%02d_00_%s%03d_00', 'N', lat, 'E', lon) AS tile FROM (SELECT s_suppkey, unnest(range((s_suppkey % 5)::BIGINT, (s_suppkey % 5 + 3)::BIGINT)) AS lat, s_suppkey % 17 AS w FROM supplier), (SELECT unnest(range(0, 4)) AS d), LATERAL (SELECT w + d AS lon)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, candidates, components, patches, polygons, resample, terrain, water
+from tidemark.operators import audit, candidates, components, patches, polygons, projection, resample, terrain, water
 from tidemark.sources.shared import settled
 
 from . import fixtures as fx
@@ -20,7 +20,7 @@ def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = f"WITH RECURSIVE {fx.SQL}, {LABELS_SQL}, {_POINTS_SQL} {sql}"
+            ORACLES[f.__name__] = f"WITH RECURSIVE {fx.SQL}, {LABELS_SQL}, {_POINTS_SQL} {sql}" if not sql.startswith("WITH") else sql
         return f
 
     return keep
@@ -240,3 +240,39 @@ def m23_report_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, d = candidates.CHOSEN
     told = candidates.sensitivity(fx.pixels(spark, sf_dir)).filter((F.col("july_vh_max_db") == t) & (F.col("delta_vh_max_db") == d)).select("pair_id", F.col("retained_pixels").alias("n"))
     return audit.differences(counted, told, ["pair_id"], "n")
+
+
+#: The terrain cells once more as a geographic raster: corner and width of its cells, in degrees.
+LON0, LAT0, STEP = 3.25, 6.75, 1 / 3600
+
+
+def _projection_sql() -> str:
+    """Target grids and the inverse projection of their cells, step by step."""
+    e, n = projection.ECCENTRICITY, projection.SCALE * projection.RADIUS
+    number = lambda x: f"({x!r}::DOUBLE)"
+    forward_x = "eta0" + "".join(f" + {number(a)} * cos({2 * k} * xi0) * sinh({2 * k} * eta0)" for k, a in enumerate(projection.ALPHA, 1))
+    forward_y = "xi0" + "".join(f" + {number(a)} * sin({2 * k} * xi0) * cosh({2 * k} * eta0)" for k, a in enumerate(projection.ALPHA, 1))
+    back_xi = "xi0" + "".join(f" - {number(b)} * sin({2 * k} * xi0) * cosh({2 * k} * eta0)" for k, b in enumerate(projection.BETA, 1))
+    back_eta = "eta0" + "".join(f" - {number(b)} * cos({2 * k} * xi0) * sinh({2 * k} * eta0)" for k, b in enumerate(projection.BETA, 1))
+    psi = "target"
+    for _ in range(5):
+        psi = f"(target + {number(e)} * atanh({number(e)} * tanh({psi})))"
+    return f"""bd AS (SELECT pair_id, min(row) AS r0, max(row) + 1 AS r1, min(col) AS c0, max(col) + 1 AS c1 FROM dem GROUP BY pair_id),
+ed AS (SELECT pair_id, r0, r1, c0, c1, {number(LON0)} + (c0 + (c1 - c0) * i / 2.0::DOUBLE) * {number(STEP)} AS lon, {number(LAT0)} - (r0 + (r1 - r0) * j / 2.0::DOUBLE) * {number(STEP)} AS lat FROM bd, (SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([0, 1, 2]) AS j)),
+f1 AS (SELECT *, sinh(atanh(sin(radians(lat))) - {number(e)} * atanh({number(e)} * sin(radians(lat)))) AS t, radians(lon - 3) AS lam FROM ed),
+f2 AS (SELECT *, atan2(t, cos(lam)) AS xi0, atanh(sin(lam) / sqrt(1 + t * t)) AS eta0 FROM f1),
+gr AS (SELECT pair_id, any_value(r0) AS r0, any_value(r1) AS r1, any_value(c0) AS c0, any_value(c1) AS c1, min(500000 + {number(n)} * ({forward_x})) AS x0, max({number(n)} * ({forward_y})) AS y0, max(500000 + {number(n)} * ({forward_x})) AS x1, min({number(n)} * ({forward_y})) AS y1 FROM f2 GROUP BY pair_id),
+ce AS (SELECT *, (500000 - x0 - (col + 0.5::DOUBLE) * 30) / -{number(n)} AS eta0, (y0 - (row + 0.5::DOUBLE) * 30) / {number(n)} AS xi0 FROM (SELECT *, unnest(range(0, ceil((x1 - x0) / 30)::BIGINT)) AS col FROM (SELECT *, unnest(range(0, ceil((y0 - y1) / 30)::BIGINT)) AS row FROM gr))),
+c2 AS (SELECT *, {back_xi} AS xi, {back_eta} AS eta FROM ce),
+c3 AS (SELECT *, asinh(sin(xi) / sqrt(sinh(eta) * sinh(eta) + cos(xi) * cos(xi))) AS target FROM c2),
+c4 AS (SELECT *, (3 + degrees(atan2(sinh(eta), cos(xi))) - {number(LON0)}) / {number(STEP)} AS sx, ({number(LAT0)} - degrees(atan(sinh({psi})))) / {number(STEP)} AS sy FROM c3),
+c5 AS (SELECT *, floor(sx - 0.5) AS fc, floor(sy - 0.5) AS fr, sx >= c0 AND sx < c1 AND sy >= r0 AND sy < r1 AS there FROM c4),
+c6 AS (SELECT c5.pair_id, c5.row, c5.col, sum(w * elevation) / sum(w) AS z FROM (SELECT *, (CASE dc WHEN 1 THEN sx - 0.5 - fc ELSE 1 - (sx - 0.5 - fc) END) * (CASE dr WHEN 1 THEN sy - 0.5 - fr ELSE 1 - (sy - 0.5 - fr) END) AS w, (fr + dr)::INT AS sr, (fc + dc)::INT AS sc FROM c5, (SELECT unnest([0, 1]) AS dr), (SELECT unnest([0, 1]) AS dc) WHERE there) c5
+  JOIN dem ON dem.pair_id = c5.pair_id AND dem.row = sr AND dem.col = sc WHERE elevation IS NOT NULL GROUP BY ALL HAVING sum(w) > 0)"""
+
+
+@query(f"WITH {fx.SQL}, {_projection_sql()} SELECT c5.pair_id, c5.row::INT AS row, c5.col::INT AS col, round(z, 3) AS elevation FROM c5 LEFT JOIN c6 USING (pair_id, row, col)")
+def r04_projected_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terrain on the 30 m grid of its UTM zone, bilinear from a geographic raster."""
+    out = resample.reprojected(fx.dem_cells(spark, sf_dir), "elevation", ["pair_id"], LON0, LAT0, STEP)
+    return out.withColumn("elevation", F.round("elevation", 3))

@@ -13,7 +13,7 @@ SCENE_FIELDS = (
     "processingLevel string, frameNumber int, orbit int, bytes bigint, md5sum string, url string"
 )
 FEATURES = f"type string, features array<struct<type:string,properties:struct<{', '.join(f.strip().replace(' ', ':', 1) for f in SCENE_FIELDS.split(','))}>,geometry:struct<type:string,coordinates:{RINGS}>>>"
-LAYERS = f"type string, features array<struct<properties:struct<shapeName:string>,geometry:struct<type:string,coordinates:{RINGS}>>>"
+LAYERS = "type string, features array<struct<properties:struct<shapeName:string>,geometry:struct<type:string,coordinates:string>>>"
 POINTS = "row int, column int, longitude double, latitude double, retained_after_cleanup int, june_vh_db double, june_vv_db double, july_vh_db double, july_vv_db double, delta_vh_db double, delta_vv_db double, dsm_elevation_m double"
 SENSITIVITY = "july_vh_max_db int, june_vh_min_exclusive_db int, delta_vh_max_db int, raw_pixels bigint, water_ge90_pixels bigint, water_unknown_pixels bigint, retained_pixels bigint, vv_decrease_pixels bigint, retained_area_km2 double, percent_eligible double"
 
@@ -25,9 +25,30 @@ def _geometry(coordinates: str):
 
 
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """(shape_name, geometry) of a boundary feature collection."""
+    """(shape_name, geometry) of boundary feature collections; a Polygon has one part, a MultiPolygon as many as it lists.
+
+    Any other kind of geometry is an error when the row is read.
+    """
     features = spark.read.option("multiLine", True).schema(LAYERS).json(path).select(F.explode("features").alias("f"))
-    return features.select(F.col("f.properties.shapeName").alias("shape_name"), F.col("f.geometry.coordinates").alias("c")).select("shape_name", _geometry("c").alias("geometry"))
+    text, kind = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
+    parts = F.when(kind == "Polygon", F.array(F.from_json(text, RINGS))).when(kind == "MultiPolygon", F.from_json(text, f"array<{RINGS}>"))
+    parts = F.coalesce(parts, F.raise_error(F.concat(F.lit("no polygon: "), F.coalesce(kind, F.lit("null")))).cast(f"array<{RINGS}>"))
+    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    return features.select(F.col("f.properties.shapeName").alias("shape_name"), F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, point))).alias("geometry"))
+
+
+def feature_collections(features: DataFrame, keys: list[str]) -> DataFrame:
+    """(value): one feature collection as JSON text per key, from columns ``properties``, ``kind`` and ``coordinates`` (JSON text).
+
+    Keys should bound what one file holds.
+    """
+    one = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json("properties"), F.lit(',"geometry":{"type":"'), F.col("kind"), F.lit('","coordinates":'), F.col("coordinates"), F.lit("}}"))
+    return features.groupBy(*keys).agg(F.array_join(F.collect_list(one), ",").alias("f")).select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("f"), F.lit("]}")).alias("value"))
+
+
+def write_documents(texts: DataFrame, path: str) -> None:
+    """One file for each text of column ``value``; an existing output is an error."""
+    texts.write.mode("errorifexists").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_scenes(spark: SparkSession, path: str, aoi_id: str = "aoi") -> DataFrame:

@@ -41,6 +41,17 @@ def bilinear(targets: DataFrame, cells: DataFrame, x: Column, y: Column, value:
     return out.withColumn(value, F.when(F.col("__w") > 0, F.col("__s") / F.col("__w"))).drop("__s", "__w")
 
 
+def sampled(points: DataFrame, cells: DataFrame, value: str, key: list[str], keys: list[str], x0: float, y0: float, spacing: float, lon0: float, lat0: float, step: float, zone: int = 31) -> DataFrame:
+    """(key, value): geographic cells at the pixel centres of a projected grid, bilinear.
+
+    Only the given pixels (row, col) of the grid with upper left corner (``x0``,
+    ``y0``) are looked up, so the cells far from them never travel beyond the join.
+    """
+    lon, lat = to_lonlat(x0 + (F.col("col") + 0.5) * spacing, y0 - (F.col("row") + 0.5) * spacing, zone)
+    placed = points.select(*key, ((lon - lon0) / step).alias("__x"), ((lat0 - lat) / step).alias("__y"))
+    return bilinear(placed, cells, F.col("__x"), F.col("__y"), value, key, keys=keys)
+
+
 def projected_grid(cells: DataFrame, keys: list[str], lon0: float, lat0: float, step: float, spacing: float = 30.0, zone: int = 31) -> DataFrame:
     """Per key the bounds of the cells (r0 to r1, c0 to c1) and the north-up grid (x0, y0, width, height) of ``spacing`` metres that covers geographic cells.
 

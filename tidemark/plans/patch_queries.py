@@ -70,7 +70,7 @@ def w01_horn_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT pair_id, row, col, round(dsm_elevation_m, 5) AS elevation, round(slope, 5) AS slope FROM pts")
-def r02_r03_r05_terrain_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def r02_r05_terrain_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bilinear elevation and nearest slope at candidates."""
     return points(spark, sf_dir).select("pair_id", "row", "col", F.round("dsm_elevation_m", 5).alias("elevation"), F.round("slope", 5).alias("slope"))
 
@@ -246,33 +246,63 @@ def m23_report_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 LON0, LAT0, STEP = 3.25, 6.75, 1 / 3600
 
 
-def _projection_sql() -> str:
-    """Target grids and the inverse projection of their cells, step by step."""
-    e, n = projection.ECCENTRICITY, projection.SCALE * projection.RADIUS
-    number = lambda x: f"({x!r}::DOUBLE)"
-    forward_x = "eta0" + "".join(f" + {number(a)} * cos({2 * k} * xi0) * sinh({2 * k} * eta0)" for k, a in enumerate(projection.ALPHA, 1))
-    forward_y = "xi0" + "".join(f" + {number(a)} * sin({2 * k} * xi0) * cosh({2 * k} * eta0)" for k, a in enumerate(projection.ALPHA, 1))
-    back_xi = "xi0" + "".join(f" - {number(b)} * sin({2 * k} * xi0) * cosh({2 * k} * eta0)" for k, b in enumerate(projection.BETA, 1))
-    back_eta = "eta0" + "".join(f" - {number(b)} * cos({2 * k} * xi0) * sinh({2 * k} * eta0)" for k, b in enumerate(projection.BETA, 1))
+#: Upper left corner of the 10 m pixel grid that lies over it.
+X0, Y0 = 527640.0, 746110.0
+
+
+def _number(x: float) -> str:
+    return f"({x!r}::DOUBLE)"
+
+
+def _inverse_sql(source: str, end: str) -> str:
+    """From xi0 and eta0 of a table to source columns (sx, sy) in units of the geographic cells: the table c4 and its steps."""
+    e = _number(projection.ECCENTRICITY)
+    xi = "xi0" + "".join(f" - {_number(b)} * sin({2 * k} * xi0) * cosh({2 * k} * eta0)" for k, b in enumerate(projection.BETA, 1))
+    eta = "eta0" + "".join(f" - {_number(b)} * cos({2 * k} * xi0) * sinh({2 * k} * eta0)" for k, b in enumerate(projection.BETA, 1))
     psi = "target"
     for _ in range(5):
-        psi = f"(target + {number(e)} * atanh({number(e)} * tanh({psi})))"
+        psi = f"(target + {e} * atanh({e} * tanh({psi})))"
+    return f"""{end}2 AS (SELECT *, {xi} AS xi, {eta} AS eta FROM {source}),
+{end}3 AS (SELECT *, asinh(sin(xi) / sqrt(sinh(eta) * sinh(eta) + cos(xi) * cos(xi))) AS target FROM {end}2),
+{end}4 AS (SELECT *, (3 + degrees(atan2(sinh(eta), cos(xi))) - {_number(LON0)}) / {_number(STEP)} AS sx, ({_number(LAT0)} - degrees(atan(sinh({psi})))) / {_number(STEP)} AS sy FROM {end}3)"""
+
+
+def _bilinear_sql(source: str, where: str) -> str:
+    """(pair_id, row, col, z) of the cells around (sx, sy)."""
+    return f"""SELECT b.pair_id, b.row, b.col, sum(w * elevation) / sum(w) AS z FROM (SELECT *, (CASE dc WHEN 1 THEN sx - 0.5 - floor(sx - 0.5) ELSE 1 - (sx - 0.5 - floor(sx - 0.5)) END) * (CASE dr WHEN 1 THEN sy - 0.5 - floor(sy - 0.5) ELSE 1 - (sy - 0.5 - floor(sy - 0.5)) END) AS w,
+  (floor(sy - 0.5) + dr)::INT AS sr, (floor(sx - 0.5) + dc)::INT AS sc FROM {source}, (SELECT unnest([0, 1]) AS dr), (SELECT unnest([0, 1]) AS dc) WHERE {where}) b
+  JOIN dem ON dem.pair_id = b.pair_id AND dem.row = sr AND dem.col = sc WHERE elevation IS NOT NULL GROUP BY ALL HAVING sum(w) > 0"""
+
+
+def _projection_sql() -> str:
+    """Target grids and the source places of their cells, step by step."""
+    e, n = _number(projection.ECCENTRICITY), _number(projection.SCALE * projection.RADIUS)
+    forward_x = "eta0" + "".join(f" + {_number(a)} * cos({2 * k} * xi0) * sinh({2 * k} * eta0)" for k, a in enumerate(projection.ALPHA, 1))
+    forward_y = "xi0" + "".join(f" + {_number(a)} * sin({2 * k} * xi0) * cosh({2 * k} * eta0)" for k, a in enumerate(projection.ALPHA, 1))
+    x, y = f"500000 + {n} * ({forward_x})", f"{n} * ({forward_y})"
     return f"""bd AS (SELECT pair_id, min(row) AS r0, max(row) + 1 AS r1, min(col) AS c0, max(col) + 1 AS c1 FROM dem GROUP BY pair_id),
-ed AS (SELECT pair_id, r0, r1, c0, c1, {number(LON0)} + (c0 + (c1 - c0) * i / 2.0::DOUBLE) * {number(STEP)} AS lon, {number(LAT0)} - (r0 + (r1 - r0) * j / 2.0::DOUBLE) * {number(STEP)} AS lat FROM bd, (SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([0, 1, 2]) AS j)),
-f1 AS (SELECT *, sinh(atanh(sin(radians(lat))) - {number(e)} * atanh({number(e)} * sin(radians(lat)))) AS t, radians(lon - 3) AS lam FROM ed),
+ed AS (SELECT pair_id, r0, r1, c0, c1, {_number(LON0)} + (c0 + (c1 - c0) * i / 2.0::DOUBLE) * {_number(STEP)} AS lon, {_number(LAT0)} - (r0 + (r1 - r0) * j / 2.0::DOUBLE) * {_number(STEP)} AS lat FROM bd, (SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([0, 1, 2]) AS j)),
+f1 AS (SELECT *, sinh(atanh(sin(radians(lat))) - {e} * atanh({e} * sin(radians(lat)))) AS t, radians(lon - 3) AS lam FROM ed),
 f2 AS (SELECT *, atan2(t, cos(lam)) AS xi0, atanh(sin(lam) / sqrt(1 + t * t)) AS eta0 FROM f1),
-gr AS (SELECT pair_id, any_value(r0) AS r0, any_value(r1) AS r1, any_value(c0) AS c0, any_value(c1) AS c1, min(500000 + {number(n)} * ({forward_x})) AS x0, max({number(n)} * ({forward_y})) AS y0, max(500000 + {number(n)} * ({forward_x})) AS x1, min({number(n)} * ({forward_y})) AS y1 FROM f2 GROUP BY pair_id),
-ce AS (SELECT *, (500000 - x0 - (col + 0.5::DOUBLE) * 30) / -{number(n)} AS eta0, (y0 - (row + 0.5::DOUBLE) * 30) / {number(n)} AS xi0 FROM (SELECT *, unnest(range(0, ceil((x1 - x0) / 30)::BIGINT)) AS col FROM (SELECT *, unnest(range(0, ceil((y0 - y1) / 30)::BIGINT)) AS row FROM gr))),
-c2 AS (SELECT *, {back_xi} AS xi, {back_eta} AS eta FROM ce),
-c3 AS (SELECT *, asinh(sin(xi) / sqrt(sinh(eta) * sinh(eta) + cos(xi) * cos(xi))) AS target FROM c2),
-c4 AS (SELECT *, (3 + degrees(atan2(sinh(eta), cos(xi))) - {number(LON0)}) / {number(STEP)} AS sx, ({number(LAT0)} - degrees(atan(sinh({psi})))) / {number(STEP)} AS sy FROM c3),
-c5 AS (SELECT *, floor(sx - 0.5) AS fc, floor(sy - 0.5) AS fr, sx >= c0 AND sx < c1 AND sy >= r0 AND sy < r1 AS there FROM c4),
-c6 AS (SELECT c5.pair_id, c5.row, c5.col, sum(w * elevation) / sum(w) AS z FROM (SELECT *, (CASE dc WHEN 1 THEN sx - 0.5 - fc ELSE 1 - (sx - 0.5 - fc) END) * (CASE dr WHEN 1 THEN sy - 0.5 - fr ELSE 1 - (sy - 0.5 - fr) END) AS w, (fr + dr)::INT AS sr, (fc + dc)::INT AS sc FROM c5, (SELECT unnest([0, 1]) AS dr), (SELECT unnest([0, 1]) AS dc) WHERE there) c5
-  JOIN dem ON dem.pair_id = c5.pair_id AND dem.row = sr AND dem.col = sc WHERE elevation IS NOT NULL GROUP BY ALL HAVING sum(w) > 0)"""
+gr AS (SELECT pair_id, any_value(r0) AS r0, any_value(r1) AS r1, any_value(c0) AS c0, any_value(c1) AS c1, min({x}) AS x0, max({y}) AS y0, max({x}) AS x1, min({y}) AS y1 FROM f2 GROUP BY pair_id),
+ce AS (SELECT *, (500000 - x0 - (col + 0.5::DOUBLE) * 30) / -{n} AS eta0, (y0 - (row + 0.5::DOUBLE) * 30) / {n} AS xi0 FROM (SELECT *, unnest(range(0, ceil((x1 - x0) / 30)::BIGINT)) AS col FROM (SELECT *, unnest(range(0, ceil((y0 - y1) / 30)::BIGINT)) AS row FROM gr))),
+{_inverse_sql("ce", "c")},
+c6 AS ({_bilinear_sql("c4", "sx >= c0 AND sx < c1 AND sy >= r0 AND sy < r1")})"""
 
 
-@query(f"WITH {fx.SQL}, {_projection_sql()} SELECT c5.pair_id, c5.row::INT AS row, c5.col::INT AS col, round(z, 3) AS elevation FROM c5 LEFT JOIN c6 USING (pair_id, row, col)")
+@query(f"WITH {fx.SQL}, {_projection_sql()} SELECT c4.pair_id, c4.row::INT AS row, c4.col::INT AS col, round(z, 3) AS elevation FROM c4 LEFT JOIN c6 USING (pair_id, row, col)")
 def r04_projected_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terrain on the 30 m grid of its UTM zone, bilinear from a geographic raster."""
     out = resample.reprojected(fx.dem_cells(spark, sf_dir), "elevation", ["pair_id"], LON0, LAT0, STEP)
     return out.withColumn("elevation", F.round("elevation", 3))
+
+
+_CHOSEN = f"ch AS (SELECT pair_id, row, col, ({_number(X0 - 500000)} + (col + 0.5::DOUBLE) * 10) / {_number(projection.SCALE * projection.RADIUS)} AS eta0, ({_number(Y0)} - (row + 0.5::DOUBLE) * 10) / {_number(projection.SCALE * projection.RADIUS)} AS xi0 FROM P WHERE eligible AND {fx.rule_sql(*candidates.CHOSEN)})"
+
+
+@query(f"WITH {fx.SQL}, {_CHOSEN}, {_inverse_sql('ch', 'i')}, i6 AS ({_bilinear_sql('i4', 'true')}) SELECT i4.pair_id, i4.row, i4.col, round(z, 3) AS elevation FROM i4 LEFT JOIN i6 USING (pair_id, row, col)")
+def r03_projected_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elevation of a geographic raster at the candidates of a projected 10 m grid."""
+    chosen = candidates.selected(fx.pixels(spark, sf_dir)).select("pair_id", "row", "col")
+    out = resample.sampled(chosen, fx.dem_cells(spark, sf_dir), "elevation", ["pair_id", "row", "col"], ["pair_id"], X0, Y0, 10.0, LON0, LAT0, STEP)
+    return out.withColumn("elevation", F.round("elevation", 3))

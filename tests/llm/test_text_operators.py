@@ -58,6 +58,8 @@ def test_quality_keeps_columns_and_empty_tables(spark):
     out = quality.keep_good(df)
     assert out.columns == df.columns and [r.kept for r in out.collect()] == ["mine"]
     assert quality.judge(df.limit(0)).count() == 0
+    again = quality.judge(df.unionByName(df), ["doc_id"]).groupBy("doc_id", "n_words", "base_failed").count().collect()
+    assert sorted((r.doc_id, r["count"]) for r in again) == [(0, 2), (1, 2)]
 
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]

@@ -127,6 +127,10 @@ def judge(docs: DataFrame, carry: list[str] | None = None, limits: dict[int, int
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that pass, with the columns of ``docs``."""
+    """The rows that pass, with the columns of ``docs``, whatever these are called.
+
+    Null and empty texts fail as too short; repeated rows pass or fail alike; an
+    empty table stays empty.
+    """
     judged = judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), ["row"])
     return judged.filter("kept").select("row.*")

@@ -7,13 +7,12 @@ which slots move from heavy shards to light ones.
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .stable import shared_folder
+from .stable import fresh_path
 
 VIRTUAL_SLOTS = 4096
 
@@ -189,7 +188,7 @@ def shard_documents(docs: DataFrame, shards: int, slots: int = VIRTUAL_SLOTS, as
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
     rows = with_virtual_slot(rows, ["doc_id", "text_crc32", "size"], slots)
     weights = {r[0]: r[1] for r in slot_bytes(rows).select("virtual_slot", "slot_bytes").collect()}  # at most `slots` rows
-    spark, path = docs.sparkSession, map_path or f"{shared_folder(docs).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
+    spark, path = docs.sparkSession, map_path or fresh_path(docs.sparkSession, "slot-map")
     if not _stored(spark, path):
         save_map(spark, assignment or first_map(spark, shards, slots), 1, path)
     before = latest_version(spark, path)

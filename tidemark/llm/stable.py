@@ -1,39 +1,14 @@
-"""Cutting lineage into storage that every executor can read, and stable row numbers."""
+"""Stable row numbers, and the intermediate storage of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.shared import fresh_path, settled, shared_folder, stored
 
-def shared_folder(df: DataFrame) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset on one machine, as in local tests."""
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for small tables that are read several times."""
-    shared_folder(df)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """A Parquet table in the shared folder, for larger ones: compressed, and later reads choose columns."""
-    path = f"{shared_folder(df).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["fresh_path", "numbered", "settled", "shared_folder", "stored"]
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "ord") -> DataFrame:

@@ -23,7 +23,7 @@ from .stable import settled
 #: Cells of a fingerprint, in equal parts for each of the hash functions.
 CELLS, HASHES = 12, 3
 #: Rows per bucket of the ordered pass, cuts at quantiles of the ids, and buckets that one task reads.
-BUCKET_ROWS, COARSE, TASK_BUCKETS = 1024, 512, 16
+BUCKET_ROWS, COARSE, TASK_BUCKETS = 256, 512, 64
 #: First rows of buckets are broadcast up to this many.
 BROADCAST_BUCKETS = 200_000
 #: A paragraph also ends after a word whose hash is a multiple of this, so that one long line still has parts.

@@ -373,6 +373,17 @@ def test_templates_with_varying_words_are_removed(spark):
     assert got[99].count("\n") == 6
 
 
+def test_headings_and_paragraphs_of_short_articles_stay(spark):
+    body = "<div class='post'><h1>{b}</h1><p>{d}</p><p>{c}</p></div>"
+    for shell in (body, "<article><h1>{b}</h1><div>{d}</div><section>{c}</section></article>"):
+        rows = []
+        for k in range(20):
+            page = f"<body><div class='top'>{passage(2, k)}</div>{shell}<p class='end'>(c) {passage(3, k + 50)}</p>"
+            rows.append((k, f"http://a.org/{k}", page.format(b=passage(3, k + 7), c=passage(30, k), d=passage(4, k + 3))))
+        got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string"), rules=False).collect()}
+        assert all(got[k] == f"{passage(3, k + 7)}\n{passage(4, k + 3)}\n{passage(30, k)}" for k in range(20))
+
+
 def test_template_counts_match_brute_force(spark):
     rows = [(k, f"http://{'ab'[k % 3 == 0]}.org/{k}", shaped_page(k // 2) if k < 34 else f"<body><div><p>same words</p><p>{passage(9, k)}</p></div>") for k in range(64)]
     df = spark.createDataFrame(rows, "page_id int, url string, html string")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +36,7 @@ DROPPED = frozenset("script style textarea title xmp iframe noembed noframes hea
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table caption colgroup tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CLOSES_P = BLOCK - frozenset("body head html td th tr tbody thead tfoot caption colgroup option optgroup legend".split())
 #: Start tags that end an open element of these names, up to the given containers.
 IMPLIED = {
@@ -281,28 +283,33 @@ def layout(root: _Node, host: str, contents: set[int] | frozenset | None = None)
 
     ``holds`` are elements with at least half of the page's text, keyed by the
     looks on the way to them.  ``shape`` are blocks beside those that hold text,
-    keyed by that way and their shape.  Nothing is given from below the innermost
-    element that holds half.  With the host's ``contents``, nothing is given from
+    keyed by that way and their shape, but for headings.  Nothing is given from
+    below the innermost element that holds half and of which there is no other
+    beside it with the same look, as there is of paragraphs, or from below an
+    article.  With the host's ``contents``, nothing is given from
     its innermost place or below, and no shape of an element whose look and way are
     those of an element around that place.
     """
     sizes, shapes = _sizes(root), {}
     total = sizes[id(root)]
-    todo = [(x, "", 1) for x in root.items if isinstance(x, _Node)]
+    todo = [(x, "", 1, False) for x in root.items if isinstance(x, _Node)]
     while todo and total:
-        node, way, depth = todo.pop()
+        node, way, depth, several = todo.pop()
         if not sizes.get(id(node)):
             continue
         way = xxhash.xxh3_64_hexdigest(f"{way}/{node.look}")
         place = _key(host, "^", way)
-        below = [(x, way, depth + 1) for x in node.items if isinstance(x, _Node)]
+        looks = Counter(x.look for x in node.items if isinstance(x, _Node) and sizes.get(id(x)))
+        below = [(x, way, depth + 1, looks[x.look] > 1) for x in node.items if isinstance(x, _Node)]
         if 2 * sizes[id(node)] >= total:
+            if several:
+                continue
             yield "holds", place, depth, node
-            inner = any(2 * sizes.get(id(x), 0) >= total for x, _, _ in below)
-            if place ^ INNERMOST not in contents if contents is not None else inner:
+            inner = any(2 * sizes.get(id(x), 0) >= total and not twin for x, _, _, twin in below)
+            if not (node.article or node.main) and (place ^ INNERMOST not in contents if contents is not None else inner):
                 todo.extend(below)
         elif contents is None or place ^ INNERMOST not in contents:
-            if node.block and (contents is None or place not in contents):
+            if node.block and node.name not in HEADINGS and (contents is None or place not in contents):
                 yield "shape", _key(host, "~", f"{way} {_shape(node, shapes)}"), depth, node
             todo.extend(below)
 

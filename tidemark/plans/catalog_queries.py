@@ -218,19 +218,19 @@ def _utm_sql() -> str:
     return f"""p AS (SELECT c_custkey AS k, 2.0::DOUBLE + (c_custkey % 40) / 20.0::DOUBLE AS lon, 5.0::DOUBLE + (c_custkey % 37) / 10.0::DOUBLE AS lat FROM customer),
 q AS (SELECT *, radians(lat) AS f, tan(radians(lat)) * tan(radians(lat)) AS t, {e2 / (1 - e2)!r}::DOUBLE * cos(radians(lat)) * cos(radians(lat)) AS c, radians(lon - 3) * cos(radians(lat)) AS v, {a!r}::DOUBLE / sqrt(1 - {e2!r}::DOUBLE * sin(radians(lat)) * sin(radians(lat))) AS n FROM p),
 m AS (SELECT *, {a!r}::DOUBLE * ({arc[0]!r}::DOUBLE * f - {arc[1]!r}::DOUBLE * sin(2 * f) + {arc[2]!r}::DOUBLE * sin(4 * f) - {arc[3]!r}::DOUBLE * sin(6 * f)) AS arc, {e2 / (1 - e2)!r}::DOUBLE AS ep FROM q)
-SELECT k, round(500000 + 0.9996::DOUBLE * n * (v + (1 - t + c) * v ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * v ** 5 / 120), 1) AS easting,
-  round(0.9996::DOUBLE * (arc + n * tan(f) * (v * v / 2 + (5 - t + 9 * c + 4 * c * c) * v ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * v ** 6 / 720)), 1) AS northing, round(lon, 9) AS lon, round(lat, 9) AS lat FROM m"""
+SELECT k, round(500000 + 0.9996::DOUBLE * n * (v + (1 - t + c) * v ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * v ** 5 / 120), 0) AS easting,
+  round(0.9996::DOUBLE * (arc + n * tan(f) * (v * v / 2 + (5 - t + 9 * c + 4 * c * c) * v ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * v ** 6 / 720)), 0) AS northing, round(lon, 9) AS lon, round(lat, 9) AS lat FROM m"""
 
 
 @query(f"WITH {_utm_sql()}")
 def g01_g02_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projected coordinates, to the decimetre, and what the inverse makes of them."""
+    """Projected coordinates, to the metre, and what the inverse makes of them."""
     lon, lat = F.lit(2.0) + (F.col("c_custkey") % 40) / F.lit(20.0), F.lit(5.0) + (F.col("c_custkey") % 37) / F.lit(10.0)
     base = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), lon.alias("lon"), lat.alias("lat"))
     x, y = projection.to_utm(F.col("lon"), F.col("lat"))
     there = base.select("k", x.alias("x"), y.alias("y"))
     lon2, lat2 = projection.to_lonlat(F.col("x"), F.col("y"))
-    return there.select("k", F.round("x", 1).alias("easting"), F.round("y", 1).alias("northing"), F.round(lon2, 9).alias("lon"), F.round(lat2, 9).alias("lat"))
+    return there.select("k", F.round("x", 0).alias("easting"), F.round("y", 0).alias("northing"), F.round(lon2, 9).alias("lon"), F.round(lat2, 9).alias("lat"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

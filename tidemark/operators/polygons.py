@@ -111,11 +111,13 @@ def inside_pixels(shape_spans: DataFrame, keys: tuple[str, ...] = ("poly_id",))
     return runs.select(*keys, "row", F.explode(F.sequence("s.c0", "s.c1")).alias("col")).withColumn("col", F.col("col").cast("int")).distinct()
 
 
-def _spans_at(edges: np.ndarray, y: float) -> np.ndarray:
-    """Sorted crossing x of the edges (n, 4) with a line, for even-odd spans."""
+def _crossings(edges: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(lines, edges): sorted x of the crossings of the edges (n, 4) with level lines, for even-odd spans; infinite where an edge is not met."""
     low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
-    e = edges[(low <= y) & (y < high)]
-    return np.sort(e[:, 0] + (y - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1]))
+    at = y[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = edges[:, 0] + (at - edges[:, 1]) * ((edges[:, 2] - edges[:, 0]) / (edges[:, 3] - edges[:, 1]))
+    return np.sort(np.where((low <= at) & (at < high), x, np.inf), axis=1)
 
 
 def _crossing_heights(edges: np.ndarray, block: int = 256) -> np.ndarray:
@@ -144,21 +146,22 @@ def strip_area(shapes: list[np.ndarray], union: bool = False) -> float:
         return 0.0
     every = np.concatenate(shapes)
     cuts = np.unique(np.concatenate([every[:, 1], every[:, 3], _crossing_heights(every)]))
-    total = 0.0
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        y = (low + high) / 2
-        marks = []
-        for s in shapes:
-            xs = _spans_at(s, y)
-            marks += [(x, 1 if k % 2 == 0 else -1) for k, x in enumerate(xs)]
-        marks.sort()
-        depth, width, need = 0, 0.0, 1 if union else len(shapes)
-        for (x, step), (after, _) in zip(marks, marks[1:], strict=False):
-            depth += step
-            if depth >= need:
-                width += after - x
-        total += width * (high - low)
-    return float(total)
+    need, total = 1 if union else len(shapes), 0.0
+    # few lines at a time where shapes have many edges
+    step = max(1, 1_000_000 // max(1, len(every)))
+    for k in range(0, len(cuts) - 1, step):
+        some = cuts[k : k + step + 1]
+        y = (some[1:] + some[:-1]) / 2
+        xs = [_crossings(s, y) for s in shapes]
+        signs = np.concatenate([np.resize((1, -1), x.shape[1]) for x in xs])
+        x = np.concatenate(xs, axis=1)
+        order = np.argsort(x, axis=1, kind="stable")
+        x = np.take_along_axis(x, order, axis=1)
+        depth = np.cumsum(signs[order], axis=1)[:, :-1]
+        inside = (depth >= need) & np.isfinite(x[:, 1:])
+        width = np.where(inside, x[:, 1:] - np.where(inside, x[:, :-1], 0.0), 0.0).sum(1)
+        total += float((width * np.diff(some)).sum())
+    return total
 
 
 def _edge_arrays(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:

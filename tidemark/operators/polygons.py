@@ -22,8 +22,9 @@ def edge_table(spark: SparkSession, shapes: dict[str, list[list[Ring]]]) -> Data
         for i, rings in enumerate(parts):
             for j, ring in enumerate(rings):
                 closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-                rows += [(name, i, j, k, *map(float, (*a, *b))) for k, (a, b) in enumerate(zip(closed, closed[1:], strict=False))]
-    return spark.createDataFrame(rows, "poly_id string, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double")
+                rows += [f"({i}, {j}, {k}, " + ", ".join(f"double('{float(x)!r}')" for x in (*a, *b)) + f", :{name})" for k, (a, b) in enumerate(zip(closed, closed[1:], strict=False))]
+    # literal rows: known to the optimizer, and no Python data source
+    return spark.sql(f"SELECT poly_id, part, ring, seq, x1, y1, x2, y2 FROM VALUES {', '.join(rows)} AS t(part, ring, seq, x1, y1, x2, y2, poly_id)", {n: n for n in shapes})
 
 
 def edges_of(shapes: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
@@ -98,9 +99,14 @@ def spans(edges: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("poly_id",
     return crossings.filter(F.size("xs") >= 2).select(*keys, "row", F.filter(pair, lambda s: s["c0"] <= s["c1"]).alias("spans"))
 
 
-def flag_inside(pixels: DataFrame, shape_spans: DataFrame, name: str) -> DataFrame:
-    """Boolean column: the pixel's centre lies in any of the shapes.  One span list per row meets the pixels; nothing is exploded."""
+def flag_inside(pixels: DataFrame, shape_spans: DataFrame, name: str, bounded: bool = False) -> DataFrame:
+    """Boolean column: the pixel's centre lies in any of the shapes.  One span list per row meets the pixels; nothing is exploded.
+
+    ``bounded`` says that a parameter bounds the rows that have spans; then the
+    lists are broadcast and the pixels stay where they are.
+    """
     per_row = shape_spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("__spans"))
+    per_row = F.broadcast(per_row) if bounded else per_row
     inside = F.exists("__spans", lambda s: F.col("col").between(s["c0"], s["c1"]))
     return pixels.join(per_row, "row", "left").withColumn(name, F.coalesce(inside, F.lit(False))).drop("__spans")
 

@@ -71,7 +71,7 @@ def flagged(raw: DataFrame) -> DataFrame:
     """Add the flags ``inside`` (the area) and ``footprint``."""
     out = raw.withColumn("__row", F.col("row")).withColumn("row", F.col("row") % PERIOD)
     for flag, name, rings in (("inside", "area", AREA), ("footprint", "footprint", FOOTPRINT)):
-        out = polygons.flag_inside(out, shape_spans(raw, name, rings), flag)
+        out = polygons.flag_inside(out, shape_spans(raw, name, rings), flag, bounded=True)  # PERIOD rows at most
     return out.drop("row").withColumnRenamed("__row", "row")
 
 

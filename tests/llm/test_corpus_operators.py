@@ -224,6 +224,18 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         assert stage(spark, df.limit(0), "").columns == df.columns
 
 
+def test_stages_keep_columns_that_clash(spark):
+    rows = [(k, None if k == 3 else passage(40, k), "en", "s", 7) for k in range(6)] + [(6, passage(40, 1), "en", "s", 7)]
+    clashing = ["size", "copy", "copies", "row", "null", "columns", "ord", "n_removed", "kept_text", "kept", "component", "target", "n_words"]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(f"mine {c}") for c in clashing})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, "").collect()
+        assert out and all(r[c] == f"mine {c}" for r in out for c in clashing), name
+        assert all((r.text is None) == (r.doc_id == 3) for r in out), name
+    cut = {r.doc_id: r for r in corpus_pipeline.span_dedup(spark, df, "").collect()}
+    assert set(cut) == set(range(6)) and all(r.n_chars == 7 for r in cut.values())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()

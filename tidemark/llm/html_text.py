@@ -191,11 +191,11 @@ def parse(page: str) -> _Node:
                 stack[-1].items.append(_Node("p"))
             tree.close(name)
             continue
-        if name in CLOSES_P and (place := tree.top(_P)) > tree.top(_P_STOP):
+        if name in CLOSES_P and (place := tree.top(_P)) and place > tree.top(_P_STOP):
             tree.cut(place)
         if name in IMPLIED:
             names, stops = IMPLIED[name]
-            while (place := tree.top(names)) > tree.top(stops):
+            while (place := tree.top(names)) and place > tree.top(stops):
                 tree.cut(place)
         node = _Node(name, *_read(name, attributes), _is_article(name, attributes), name == "main" or 'role="main"' in attributes)
         stack[-1].items.append(node)
@@ -219,6 +219,10 @@ def _text_of(raw: str) -> str:
 INNERMOST = 0x5EED
 
 
+def _host_key(host: str) -> int:
+    return xxhash.xxh3_64_intdigest(host) - (1 << 63)
+
+
 def _key(host: str, kind: str, what: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{host}\0{kind}{what}") - (1 << 63)
 
@@ -231,37 +235,42 @@ def subtrees(root: _Node, host: str) -> Iterator[tuple[int, _Node]]:
         node = todo.pop()
         order.append(node)
         todo.extend(x for x in node.items if isinstance(x, _Node))
-    digest: dict[int, str] = {}
-    texted: dict[int, bool] = {}
+    known: dict[int, tuple[str, bool]] = {}
+    digest = xxhash.xxh3_64_hexdigest
     for node in reversed(order):
         parts, some = [node.name], False
         for x in node.items:
-            if isinstance(x, _Node):
-                parts.append(digest[id(x)])
-                some = some or texted[id(x)]
-            else:
+            if isinstance(x, str):
                 words = " ".join(_text_of(x).split())
                 if words:
                     parts.append("=" + words)
                     some = True
-        digest[id(node)] = xxhash.xxh3_64_hexdigest("\0".join(parts))
-        texted[id(node)] = some
+            else:
+                below, texted = known[id(x)]
+                parts.append(below)
+                some = some or texted
+        own = digest("\0".join(parts))
+        known[id(node)] = own, some
         if node is root or some and node.block and node.name not in ("html", "body"):
-            yield _key(host, "", digest[id(node)]), node
+            yield _key(host, "", own), node
 
 
 def _sizes(root: _Node) -> dict[int, int]:
     """Characters of text in and below every element, by its id; style and script hold none."""
-    order, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
+    order, parent, sizes = [root], [0], []
+    for k, node in enumerate(order):  # grows while it is read
+        own = 0
         if node.name not in RAW:
-            todo.extend(x for x in node.items if isinstance(x, _Node))
-    out: dict[int, int] = {}
-    for node in reversed(order):
-        out[id(node)] = 0 if node.name in RAW else sum(out.get(id(x), 0) if isinstance(x, _Node) else len(x.strip()) for x in node.items)
-    return out
+            for x in node.items:
+                if isinstance(x, str):
+                    own += len(x.strip())
+                else:
+                    order.append(x)
+                    parent.append(k)
+        sizes.append(own)
+    for k in range(len(order) - 1, 0, -1):
+        sizes[parent[k]] += sizes[k]
+    return {id(node): size for node, size in zip(order, sizes, strict=True)}
 
 
 def _shape(node: _Node, out: dict[int, str]) -> str:
@@ -314,11 +323,11 @@ def layout(root: _Node, host: str, contents: set[int] | frozenset | None = None)
             todo.extend(below)
 
 
-def template_nodes(root: _Node, host: str, wanted: set[int] | frozenset) -> frozenset[int]:
-    """Ids of the page's nodes that are template: its exact subtrees, and its shapes outside the host's content."""
+def template_nodes(root: _Node, host: str, wanted: set[int] | frozenset, exact: bool = True) -> frozenset[int]:
+    """Ids of the page's nodes that are template: its exact subtrees, if the host has any, and its shapes outside the host's content."""
     if not wanted:
         return frozenset()
-    out = {id(n) for k, n in subtrees(root, host) if k in wanted}
+    out = {id(n) for k, n in subtrees(root, host) if k in wanted} if exact else set()
     return frozenset(out | {id(n) for kind, k, _, n in layout(root, host, wanted) if kind == "shape" and k in wanted})
 
 
@@ -404,7 +413,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for host, page in dict.fromkeys(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            key = xxhash.xxh3_64_intdigest(host) - (1 << 63)
+            key = _host_key(host)
             root = parse(page or "")
             *below, (whole, _) = subtrees(root, host)
             exact = {id(n): k for k, n in below}
@@ -461,10 +470,10 @@ def extract(pages: DataFrame, carry: list[str] | None = None, url_col: str = "ur
     carry = [c for c in ([x for x in pages.columns if x != html_col] if carry is None else carry) if c not in names]
     found = settled(templates(pages, url_col, html_col, min_pages, min_share))
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    known: frozenset = frozenset()
-    head = found.select("subtree").limit(BROADCAST_TEMPLATES + 1).collect()
+    known, worded = frozenset(), frozenset()
+    head = found.limit(BROADCAST_TEMPLATES + 1).collect()
     if len(head) <= BROADCAST_TEMPLATES:
-        known = frozenset(r[0] for r in head)
+        known, worded = frozenset(r.subtree for r in head), frozenset(r.host_key for r in head if r.kind == 1)
     else:
         by_host = found.groupBy("host_key").agg(F.collect_list("subtree").alias("subtrees"))
         keyed = rows.select("host").distinct().mapInArrow(_host_keys, "host string, host_key long").join(by_host, "host_key").select("host", "subtrees")
@@ -478,7 +487,8 @@ def extract(pages: DataFrame, carry: list[str] | None = None, url_col: str = "ur
             for i, page in enumerate(batch.column(batch.schema.get_field_index("html")).to_pylist()):
                 root = parse(page or "")
                 wanted = known if listed is None else frozenset(listed[i] or ())
-                deleted = template_nodes(root, hosts[i], wanted)
+                exact = listed is not None or _host_key(hosts[i]) in worded
+                deleted = template_nodes(root, hosts[i], wanted, exact)
                 texts.append(main_text(root, deleted) if rules else rest_text(root, deleted))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["row", *names])
 
@@ -488,4 +498,4 @@ def extract(pages: DataFrame, carry: list[str] | None = None, url_col: str = "ur
 
 def _host_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_64_intdigest(h) - (1 << 63) for h in batch.column(0).to_pylist()], pa.int64())], ["host", "host_key"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_host_key, batch.column(0).to_pylist()), pa.int64())], ["host", "host_key"])

@@ -37,16 +37,16 @@ def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which no word is left goes, unless nothing was removed from it: null and empty texts stay.
     """
-    cut = suffix_dedup.deduplicate(_whole(docs, "doc_id", "text"), ["row"], with_text=True)
+    # the text travels once; whether it was null goes with the other columns
+    others = F.struct(F.col("text").isNull().alias("null"), F.struct(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("columns"))
+    cut = suffix_dedup.deduplicate(docs.select("doc_id", "text", others.alias("row")), ["row"], with_text=True)
     cut = cut.filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(mixing.WORD))
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept_text"))
 
     def value(c: str) -> Column:
         if c == "text":
-            return text
-        if c == "n_chars":
-            return F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.char_length("kept_text").cast(docs.schema[c].dataType))
-        return F.col("row")[c]
+            return F.when(~F.col("row.null"), F.col("kept_text"))
+        old = F.col("row.columns")[c]
+        return F.when(F.col("n_removed") == 0, old).otherwise(F.char_length("kept_text").cast(docs.schema[c].dataType)) if c == "n_chars" else old
 
     return cut.select(*[value(c).alias(c) for c in docs.columns])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, near_dups, packing, quality, sharding, suffix_dedup, toxicity, url_rules, version_sketch
+from . import html_text, mixing, near_dups, packing, quality, secret_scan, sharding, suffix_dedup, toxicity, url_rules, vector_codes, version_sketch
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 SHARDS = 40
@@ -60,8 +60,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_books(coded, books, "vec_id")
+
+
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a source is an owner, and each of its languages a repository
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return secret_scan.summary(secret_scan.findings(docs, F.col("source"), F.struct("source", "lang")), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_toxicity, op4_best_fit_packing, op5_suffix_dedup, op6_near_duplicates, op7_document_fingerprints, op8_sharding, op9_html_extraction, op10_source_mixing)
+    f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_toxicity, op4_best_fit_packing, op5_suffix_dedup, op6_near_duplicates, op7_document_fingerprints, op8_sharding, op9_html_extraction, op10_source_mixing, op12_vector_codes, op13_secret_scans)
 }
 
 
@@ -154,4 +165,63 @@ r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e
 SELECT n.doc_id, n_shingles, min(c) AS component_id, n.doc_id = min(c) AS kept FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n_shingles"""
 
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op2_url_filter": _url_sql(), "op6_near_duplicates": _NEAR_SQL, "op10_source_mixing": _mixing_sql()}
+def _secret_sql() -> str:
+    """Starts of matches are sums of what lies between them and of themselves: the pieces of a split, and the matches."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    keys = "|".join(either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = f"(?:{keys})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    kinds = [
+        ("assign", assign, 1, f"length(value) >= {secret_scan.LEAST_ASSIGN}"),
+        ("access", "AKIA[A-Z0-9]+", 0, f"length(whole) >= {secret_scan.LEAST_ACCESS}"),
+        ("hex", "[0-9a-f]+", 0, f"length(whole) >= {secret_scan.LEAST_HEX}"),
+        ("token", "[A-Za-z0-9+/_=-]+", 0, f"length(whole) BETWEEN {secret_scan.LEAST_TOKEN} AND {secret_scan.MOST_TOKEN}"),
+    ]
+    parts = ["d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, source, lang FROM documents)"]
+    for k, (name, pattern, group, fit) in enumerate(kinds):
+        parts.append(
+            f"r{k} AS (SELECT row, unnest(string_split_regex(text, '{pattern}')) AS piece, unnest(list_append(regexp_extract_all(text, '{pattern}'), NULL)) AS whole,"
+            f" unnest(list_append(regexp_extract_all(text, '{pattern}', {group}), NULL)) AS value, unnest(range(len(regexp_extract_all(text, '{pattern}')) + 1)) AS i FROM d)"
+        )
+        parts.append(
+            f"s{k} AS (SELECT row, {k} AS kind, '{name}' AS name, s AS start, s + length(whole) AS stop, value FROM (SELECT *, (sum(length(piece) + coalesce(length(whole), 0)) OVER (PARTITION BY row ORDER BY i) - length(whole))::BIGINT AS s FROM r{k})"
+            f" WHERE whole IS NOT NULL AND {fit})"
+        )
+    random = (
+        f"len(list_distinct(string_split(value, ''))) >= {secret_scan.LEAST_CHARACTERS} AND len(regexp_extract_all(value, '[0-9]+')) >= {secret_scan.LEAST_DIGIT_RUNS} AND regexp_matches(value, '[^0-9]')"
+    )
+    parts += [
+        "b AS (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2)",
+        f"o AS (SELECT *, {random} AS random FROM (FROM b UNION ALL FROM s3 WHERE NOT EXISTS (FROM b WHERE b.row = s3.row AND b.start < s3.stop AND s3.start < b.stop)))",
+        "a AS (SELECT * FROM o WHERE kind < 3 OR random)",
+        "u AS (SELECT value, count(DISTINCT coalesce('s' || source, '')) AS owners, count(DISTINCT coalesce('s' || source, '') || chr(10) || coalesce('l' || lang, '')) AS repositories FROM a JOIN d USING (row) GROUP BY value)",
+        f"j AS (SELECT a.*, random AND owners <= {secret_scan.MOST_OWNERS} AND repositories <= {secret_scan.MOST_REPOSITORIES} AS live FROM a JOIN u USING (value))",
+        "f AS (SELECT *, name || ':' || start || ':' || stop AS said FROM j WHERE kind < 3 OR live)",
+        "g AS (SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,"
+        " string_agg(said, ',' ORDER BY start, kind) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (random AND NOT live) AS n_copied FROM f GROUP BY row)",
+    ]
+    counts = ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_live", "n_copied"))
+    return "WITH " + ", ".join(parts) + f" SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (row)"
+
+
+def _codes_sql() -> str:
+    n, size = vector_codes.POSITIONS, vector_codes.ENTRIES
+    parts = [
+        f"k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings"
+        " WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"m AS (SELECT row, p, list_slice(v, p * (len(v) // {n}) + 1, (p + 1) * (len(v) // {n})) AS part FROM k, range({n}) AS t(p))",
+        f"b0 AS (SELECT p, row - 1 AS e, part FROM m WHERE row <= {size})",
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        gap = "list_sum(list_transform(list_zip(m.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        parts.append(f"a{k} AS (SELECT row, p, min(struct_pack(d := d, e := e)) AS best FROM (SELECT m.row, p, b.e, {gap} AS d FROM m JOIN b{k} b USING (p)) GROUP BY row, p)")
+        if k < vector_codes.ROUNDS:
+            parts.append(f"u{k} AS (SELECT p, best.e AS e, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT p, best, unnest(part) AS x, unnest(range(len(part))) AS i FROM a{k} JOIN m USING (row, p)) GROUP BY ALL)")
+            parts.append(f"n{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS part FROM u{k} GROUP BY p, e)")
+            parts.append(f"b{k + 1} AS (SELECT p, e, coalesce(n{k}.part, b{k}.part) AS part FROM b{k} LEFT JOIN n{k} USING (p, e))")
+    last = vector_codes.ROUNDS
+    parts.append(f"h AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last})")
+    parts.append(f"c AS (SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{last} GROUP BY row)")
+    return "WITH " + ", ".join(parts) + " SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (row), h"
+
+
+ORACLES: dict[str, str] = {"op12_vector_codes": _codes_sql(), "op13_secret_scans": _secret_sql(), "op1_quality_rules": _quality_sql(), "op2_url_filter": _url_sql(), "op6_near_duplicates": _NEAR_SQL, "op10_source_mixing": _mixing_sql()}

@@ -161,10 +161,10 @@ def components(texts, size, percent):
     return [(i, len(s), find(i), find(i) == i) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("crowd, block", [(near_dups.CROWD, near_dups.BLOCK), (0, 3), (2, 512)])
-def test_near_duplicates_match_brute_force(spark, crowd, block, monkeypatch):
+@pytest.mark.parametrize("crowd, unit", [(near_dups.CROWD, near_dups.UNIT), (0, 2000), (2, 100_000)])
+def test_near_duplicates_match_brute_force(spark, crowd, unit, monkeypatch):
     monkeypatch.setattr(near_dups, "CROWD", crowd)
-    monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(near_dups, "UNIT", unit)
     monkeypatch.setattr(near_dups, "TURNS", 1)
     base = passage(200, 21).split()
     chain = [" ".join(base[k : k + 160]) for k in range(0, 40, 8)]  # neighbours alike, ends not
@@ -188,9 +188,11 @@ def test_near_duplicates_with_odd_ids(spark):
     assert kept.columns == named.columns[:-1] and [r.kept for r in kept.collect()] == ["mine"] * 3
 
 
-def test_crowded_buckets_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("unit, held", [(5000, 2), (5000, 16), (1, 3)])
+def test_crowded_buckets_match_brute_force(spark, unit, held, monkeypatch):
     monkeypatch.setattr(near_dups, "CROWD", 8)
-    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    monkeypatch.setattr(near_dups, "UNIT", unit)
+    monkeypatch.setattr(near_dups, "HELD", held)
     base = passage(100, 77).split()
 
     def edited(k):
@@ -205,6 +207,14 @@ def test_crowded_buckets_match_brute_force(spark, monkeypatch):
     assert got == want and 1 < len({c for _, _, c, _ in want}) < 60
 
 
+def test_a_chain_of_near_duplicates_is_one_component(spark):
+    words = passage(900, 5).split()
+    texts = [" ".join(words[k : k + 80]) for k in range(0, 800, 4)]  # each like its neighbours only
+    order = sorted(range(len(texts)), key=lambda k: (k * 7919) % 101)
+    got = near_dups.near_duplicates(docs(spark, [texts[k] for k in order]))
+    assert got.select("component_id").distinct().count() == 1 and got.filter("kept").count() == 1
+
+
 def test_intersections_by_products():
     sets = [np.unique(np.array([(k * j * 7919) % (40 + k) for j in range(60)], np.uint64)) for k in range(12)]
     for width in (3, 8192):

@@ -10,6 +10,7 @@ their full shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +34,8 @@ TURNS = 2
 #: Buckets with more members than this outside their largest component are compared as blocks of signatures and sets,
 #: not as rows of pairs ...
 CROWD = 32
-#: ... of this weight; a member weighs 1, and 1 more for each 1000 of its shingles.
-BLOCK = 512
+#: ... packed into rows of about so many bytes, of which a task holds ``HELD`` while others stream past.
+UNIT, HELD = 4 << 20, 16
 #: Up to this many ids of candidates, of eight bytes each, go to every task that reads texts.
 BROADCAST_IDS = 1_000_000
 BITS = ("bits0", "bits1", "bits2")
@@ -312,65 +313,113 @@ def _common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int =
     return out.astype(np.int64)
 
 
-def _block_links(cell: pa.Table, percent: int, bounds: tuple[int, ...]) -> pa.Table:
-    """Confirmed links between components of one cell, as few as join them: batches first, then the full sets."""
-    cell = cell.combine_chunks()
-    own, ord_, n, common, component = (cell.column(c).to_numpy() for c in ("own", "ord", "n_shingles", "common", "component"))
-    sides = [np.flatnonzero(own == cell.column(c)[0].as_py()) for c in ("low", "high")]
-    values = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
-    a, b = sides
-    least, most = np.minimum(n[a][:, None], n[b]), np.maximum(n[a][:, None], n[b])
-    shared = np.minimum(common[a][:, None], common[b])
-    able = (component[a][:, None] != component[b]) & (100 * least >= percent * most) & (100 * shared >= percent * (least + most - shared))
-    if len(a) and len(b) and a[0] == b[0]:
-        able = np.triu(able, 1)
-    i, j = np.nonzero(able)
-    left, right = values[a], values[b]
-    alive = np.concatenate([k + _agreeing(left, right, i[k : k + 65536], j[k : k + 65536], bounds) for k in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
+@dataclass
+class _Unit:
+    """Members of one bucket that travel as one row."""
+
+    ord: np.ndarray
+    n: np.ndarray
+    common: np.ndarray
+    component: np.ndarray
+    signature: np.ndarray
+    ends: np.ndarray
+    shingles: np.ndarray
+
+    def sets(self, rows: np.ndarray) -> list[np.ndarray]:
+        return [self.shingles[self.ends[k] : self.ends[k + 1]] for k in rows.tolist()]
+
+
+_LONGS = ("ord", "n", "common", "component", "ends")
+_UNIT = ("ord", "n", "common", "component", "ends", "signature", "shingles")
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """One row of the members of a unit, each column's values in one binary."""
+    rows = rows.combine_chunks()
+    sets = rows.column("shingles").to_pylist()
+    longs = [*(rows.column(c).to_numpy() for c in ("ord", "n_shingles", "common", "component")), np.r_[0, np.cumsum([len(x) // 8 for x in sets])]]
+    values = [*(np.ascontiguousarray(x, np.int64).tobytes() for x in longs), b"".join(rows.column("signature").to_pylist()), b"".join(sets)]
+    keys = [rows.column(c).slice(0, 1) for c in ("band", "unit", "outers")]
+    return pa.table([*keys, *(pa.array([v], pa.binary()) for v in values)], names=["band", "unit", "outers", *_UNIT])
+
+
+def _unpacked(row: dict) -> _Unit:
+    longs = {c: np.frombuffer(row[c], np.int64) for c in _LONGS}
+    return _Unit(signature=np.frombuffer(row["signature"], np.uint8).reshape(-1, HASHES), shingles=np.frombuffer(row["shingles"], np.uint64), **longs)
+
+
+def _unit_links(left: _Unit, right: _Unit, percent: int, bounds: tuple[int, ...], root: dict[int, int]) -> list[tuple[int, int]]:
+    """Confirmed links between components of two units, as few as join them: batches first, then the full sets.
+
+    ``root`` holds what earlier links have joined.
+    """
+    least, most = np.minimum(left.n[:, None], right.n), np.maximum(left.n[:, None], right.n)
+    shared = np.minimum(left.common[:, None], right.common)
+    able = (left.component[:, None] != right.component) & (100 * least >= percent * most) & (100 * shared >= percent * (least + most - shared))
+    i, j = np.nonzero(np.triu(able, 1) if left is right else able)
+    alive = np.concatenate([k + _agreeing(left.signature, right.signature, i[k : k + 65536], j[k : k + 65536], bounds) for k in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
     i, j = i[alive], j[alive]
+    if len(i) == 0:
+        return []
+    (used_a, at_a), (used_b, at_b) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+    both = _common_counts(left.sets(used_a), right.sets(used_b))[at_a, at_b]
+    good = 100 * both >= percent * (left.n[i] + right.n[j] - both)
+    x, y = i[good], j[good]
+    _, first = np.unique(np.stack([left.component[x], right.component[y]]), axis=1, return_index=True)
+
+    def find(k: int) -> int:
+        while (up := root.get(k, k)) != k:
+            root[k] = root.get(up, up)
+            k = up
+        return k
+
     pairs = []
-    if len(i):
-        sets = cell.column("shingles").combine_chunks()
-        of = lambda side, used: [np.frombuffer(sets[int(x)].as_buffer(), np.uint64) for x in side[used]]
-        (used_a, at_a), (used_b, at_b) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
-        both = _common_counts(of(a, used_a), of(b, used_b))[at_a, at_b]
-        good = 100 * both >= percent * (n[a[i]] + n[b[j]] - both)
-        x, y = a[i[good]], b[j[good]]
-        _, first = np.unique(np.stack([component[x], component[y]]), axis=1, return_index=True)
-        root: dict[int, int] = {}
-
-        def find(k: int) -> int:
-            while (up := root.get(k, k)) != k:
-                root[k] = root.get(up, up)
-                k = up
-            return k
-
-        for p, q in zip(x[first].tolist(), y[first].tolist(), strict=True):
-            s, t = find(int(component[p])), find(int(component[q]))
-            if s != t:
-                root[max(s, t)] = min(s, t)
-                pairs.append((max(ord_[p], ord_[q]), min(ord_[p], ord_[q])))
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+    for p, q in zip(x[first].tolist(), y[first].tolist(), strict=True):
+        s, t = find(int(left.component[p])), find(int(right.component[q]))
+        if s != t:
+            root[max(s, t)] = min(s, t)
+            pairs.append((max(int(left.ord[p]), int(right.ord[q])), min(int(left.ord[p]), int(right.ord[q]))))
+    return pairs
 
 
 def _block_pairs(crowd: DataFrame, reps: DataFrame, full: DataFrame, percent: int, miss: float) -> DataFrame:
     """(a, b): links that join the components which meet in crowded buckets.
 
-    A bucket's members outside its largest component are dealt into blocks by
-    hash, and so are those inside.  A cell is two blocks, of which one at least
-    lies outside, and is compared by one task, as no pair inside a component
-    matters.  Pairs that are no links never become rows.
+    A bucket's members outside its largest component are dealt into units of about
+    ``UNIT`` bytes by hash, and so are those inside; a unit is packed into one row
+    and stored once.  ``HELD`` units of the outer members make a block, which one
+    task holds; all later units of the bucket stream past it, as no pair inside the largest
+    component matters.  So a member is moved once alone, and packed once for
+    every block that it meets.  Pairs that are no links never become rows.
     """
     sided = crowd.withColumn("outer", F.col("component") != F.col("largest")).drop("largest")
-    dealt = sided.groupBy("band").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, 1 + F.col("n_shingles") / 1000)) / BLOCK)).cast("int").alias(c) for c, side in (("outers", F.col("outer")), ("inners", ~F.col("outer")))])
-    at_ = F.xxhash64(F.lit("block"), "ord")
-    own = F.when(F.col("outer"), F.pmod(at_, F.col("outers"))).otherwise(F.col("outers") + F.pmod(at_, F.col("inners"))).cast("int")
-    rows = sided.join(dealt, "band").withColumn("own", own)
+    weight = HASHES + 40 + 8 * F.col("n_shingles")
+    dealt = sided.groupBy("band").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, weight)) / UNIT)).cast("int").alias(c) for c, side in (("outers", F.col("outer")), ("inners", ~F.col("outer")))])
+    at_ = F.xxhash64(F.lit("unit"), "ord")
+    unit = F.when(F.col("outer"), F.pmod(at_, F.col("outers"))).otherwise(F.col("outers") + F.pmod(at_, F.col("inners"))).cast("int")
+    rows = sided.join(dealt, "band").withColumn("unit", unit).drop("inners", "outer")
     rows = rows.join(reps.select("ord", "signature"), "ord").join(full, "ord")
-    met = F.sequence(F.lit(0), F.col("outers") - 1 + F.when(F.col("outer"), F.col("inners")).otherwise(0))
-    cells = rows.withColumn("other", F.explode(met)).select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "ord", "n_shingles", "common", "component", "signature", "shingles")
+    fields = ", ".join(f"{c} binary" for c in _UNIT)
+    units = stored(rows.groupBy("band", "unit").applyInArrow(_packed, f"band long, unit int, outers int, {fields}"))
+    last = F.floor((F.col("outers") - 1) / HELD)
+    fed = units.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.floor(F.col("unit") / HELD), last))))
     bounds = least_matches(percent, miss)
-    return cells.groupBy("band", "low", "high").applyInArrow(lambda cell: _block_links(cell, percent, bounds), "a long, b long")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, root = None, [], {}
+        for part in batches:
+            for k in range(part.num_rows):
+                row = part.slice(k, 1).to_pylist()[0]
+                if (row["band"], row["block"]) != now:
+                    now, held, root = (row["band"], row["block"]), [], {}
+                new = _unpacked(row)
+                if row["unit"] < min(row["outers"], HELD * (row["block"] + 1)):
+                    held.append(new)
+                pairs = [p for old in held for p in _unit_links(old, new, percent, bounds, root)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    keys = ["band", "block"]
+    return fed.repartition(*keys).sortWithinPartitions(*keys, "unit").mapInArrow(stream, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -390,7 +439,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     comparison per member and turn.  Buckets of more than ``CROWD`` members outside
     their largest component are
     compared as blocks of signatures and sets inside tasks: work grows with those
-    members times all of the bucket, rows do not.
+    members times all of the bucket, and bytes moved with the bucket times the blocks
+    of ``HELD`` units that those members fill.
     Buckets of the same members count once.  Rows with too many shingles of their
     own take no part.
     """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, near_dups, packing, quality, secret_scan, sharding, suffix_dedup, toxicity, url_rules, vector_codes, version_sketch
+from . import conversation_trie, html_text, mixing, near_dups, packing, quality, secret_scan, sharding, suffix_dedup, toxicity, url_rules, vector_codes, version_sketch
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 SHARDS = 40
@@ -60,6 +60,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return vector_codes.with_books(coded, books, "vec_id")
@@ -72,7 +76,7 @@ def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_toxicity, op4_best_fit_packing, op5_suffix_dedup, op6_near_duplicates, op7_document_fingerprints, op8_sharding, op9_html_extraction, op10_source_mixing, op12_vector_codes, op13_secret_scans)
+    f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_toxicity, op4_best_fit_packing, op5_suffix_dedup, op6_near_duplicates, op7_document_fingerprints, op8_sharding, op9_html_extraction, op10_source_mixing, op11_conversation_trie, op12_vector_codes, op13_secret_scans)
 }
 
 
@@ -224,4 +228,26 @@ def _codes_sql() -> str:
     return "WITH " + ", ".join(parts) + " SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (row), h"
 
 
-ORACLES: dict[str, str] = {"op12_vector_codes": _codes_sql(), "op13_secret_scans": _secret_sql(), "op1_quality_rules": _quality_sql(), "op2_url_filter": _url_sql(), "op6_near_duplicates": _NEAR_SQL, "op10_source_mixing": _mixing_sql()}
+_TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+s AS (SELECT conv_id, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1]))) AS steps FROM z),
+x AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], steps), lambda c, v: CASE WHEN v >= 0 THEN
+  (CASE WHEN xor(c, v) & 1 = 1 THEN xor(xor(c, v) >> 1, 3988292384::BIGINT) ELSE xor(c, v) >> 1 END)
+  ELSE (CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) END), 4294967295::BIGINT) AS crc FROM s),
+h AS (SELECT x.conv_id, crc % 9 AS h, x.conv_id - x.conv_id % 5 AS base, coalesce(z.n, 0) AS nb FROM x LEFT JOIN z ON z.conv_id = x.conv_id - x.conv_id % 5),
+r AS (SELECT h.conv_id, pos AS place, role, text FROM h JOIN t ON t.conv_id = base AND pos < h
+  UNION ALL SELECT h.conv_id, pos - h + least(h, nb), role, text FROM h JOIN t USING (conv_id) WHERE pos >= h),
+p AS (SELECT conv_id, place + 1 AS depth, list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY place) AS path, strlen(text) AS bytes FROM r
+  UNION ALL SELECT conv_id, 0, []::VARCHAR[], 0 FROM z),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY path, depth),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+b AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT path[1:g] AS path, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(depth + 1)) AS g FROM b) GROUP BY 1),
+l AS (SELECT conv_id, arg_max(path, depth) AS path FROM p GROUP BY conv_id),
+e AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM l GROUP BY path)
+SELECT b.conv_id, b.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, b.n_convs, b.n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM b JOIN u ON u.path = b.path LEFT JOIN e ON e.path = b.path LEFT JOIN n up ON b.depth > 0 AND up.path = b.path[1:b.depth - 1]"""
+
+
+ORACLES: dict[str, str] = {"op11_conversation_trie": _TRIE_SQL, "op12_vector_codes": _codes_sql(), "op13_secret_scans": _secret_sql(), "op1_quality_rules": _quality_sql(), "op2_url_filter": _url_sql(), "op6_near_duplicates": _NEAR_SQL, "op10_source_mixing": _mixing_sql()}

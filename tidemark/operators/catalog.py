@@ -39,11 +39,10 @@ def exact_footprints(scenes: DataFrame, areas: DataFrame, least: float = 1e-9) -
     aoi_id.  Boxes are compared first, and only scenes whose boxes meet are measured.
     """
     box, own = F.col("__box"), F.col("__own")
-    area = areas.select("aoi_id", polygons.box_of("geometry").alias("__box"), polygons.flat_edges("geometry").alias("__b"))
-    met = scenes.withColumn("__own", polygons.box_of("geometry")).join(area, "aoi_id")
+    met = scenes.select("aoi_id", "scene_name", polygons.box_of("geometry").alias("__own"), polygons.flat_edges("geometry").alias("edges")).join(areas.select("aoi_id", polygons.box_of("geometry").alias("__box")), "aoi_id")
     met = met.filter((own["west"] < box["east"]) & (box["west"] < own["east"]) & (own["south"] < box["north"]) & (box["south"] < own["north"]))
-    found = polygons.overlaps(met.select("aoi_id", "scene_name", polygons.flat_edges("geometry").alias("__a"), "__b"), ["aoi_id", "scene_name"], ["__a", "__b"])
-    return scenes.join(found.filter(F.col("overlap") > least).select("aoi_id", "scene_name"), ["aoi_id", "scene_name"], "left_semi")
+    found = polygons.clipped(met.select("aoi_id", "scene_name", "edges"), areas.select("aoi_id", polygons.flat_edges("geometry").alias("edges")), "aoi_id")
+    return scenes.join(found.filter(F.col("clip_area") > least).select("aoi_id", "scene_name"), ["aoi_id", "scene_name"], "left_semi")
 
 
 def comparable_pairs(scenes: DataFrame, start: str = EVENT_START, end: str = EVENT_END) -> DataFrame:
@@ -58,28 +57,41 @@ def comparable_pairs(scenes: DataFrame, start: str = EVENT_START, end: str = EVE
     return pairs.withColumn("baseline_days", days_between(F.col("start_time_before"), F.col("start_time_after"))).withColumn("after_days_from_event_start", days_between(F.to_timestamp(F.lit(start)), F.col("start_time_after")))
 
 
+def clipped_scenes(scenes: DataFrame, areas: DataFrame, least: float = 0.01) -> DataFrame:
+    """Scenes with their ``footprint`` as edges, ``edges``, what of it lies in the area of interest, the ``box`` of that, and ``area_size``; those that cover less than the share ``least`` go.
+
+    Each footprint is cut once.  Boxes bound the share first.
+    """
+    area = areas.select("aoi_id", polygons.box_of("geometry").alias("area_box"), polygons.flat_edges("geometry").alias("edges"))
+    whole = polygons.overlaps(area, ["aoi_id"], ["edges"]).withColumnRenamed("overlap", "area_size")
+    boxed = scenes.withColumn("box", polygons.box_of("geometry")).withColumn("edges", polygons.flat_edges("geometry")).withColumn("footprint", F.col("edges")).drop("geometry")
+    near = boxed.join(area.drop("edges").join(whole, "aoi_id"), "aoi_id").filter(_reach("box", "area_box") >= least * F.col("area_size"))
+    cut = polygons.clipped(near.drop("box", "area_box"), area.select("aoi_id", "edges"), "aoi_id").filter(F.col("clip_area") >= least * F.col("area_size") * (1 - 1e-9))
+    ends = lambda c: F.concat(F.transform("edges", lambda e: e[f"{c}1"]), F.transform("edges", lambda e: e[f"{c}2"]))
+    box = F.struct(*[f(ends(c)).alias(n) for n, f, c in (("west", F.array_min, "x"), ("south", F.array_min, "y"), ("east", F.array_max, "x"), ("north", F.array_max, "y"))])
+    return cut.withColumn("box", box)
+
+
+def _reach(*boxes: str) -> Column:
+    """Area that boxes have in common."""
+    wide = F.least(*[F.col(b)["east"] for b in boxes]) - F.greatest(*[F.col(b)["west"] for b in boxes])
+    high = F.least(*[F.col(b)["north"] for b in boxes]) - F.greatest(*[F.col(b)["south"] for b in boxes])
+    return F.when((wide > 0) & (high > 0), wide * high).otherwise(0.0)
+
+
 def covered_pairs(scenes: DataFrame, areas: DataFrame, start: str = EVENT_START, end: str = EVENT_END, least: float = 0.01) -> DataFrame:
     """Comparable pairs with ``common_aoi_fraction``, the share of the area of interest that both footprints cover; pairs under ``least`` go.
 
     Footprints and areas are polygons in ``geometry`` on one plane (see
-    ``polygons.projected``).  What the boxes of both scenes and of the area have in
-    common bounds the share, and is a condition of the join, so that only pairs
-    that may count are made and measured.  The share is rounded to 12 digits, so
-    that errors of rounding decide no rank.
+    ``polygons.projected``).  Footprints are cut to their area first, so a pair
+    carries the cut shape of one and the footprint of the other and not the area; boxes bound the share, and this
+    is a condition of the join, so that only pairs that may count are made and
+    measured.  The share is rounded to 12 digits, so that errors of rounding
+    decide no rank.
     """
-    area = areas.select("aoi_id", polygons.box_of("geometry").alias("box"), polygons.flat_edges("geometry").alias("area_edges"))
-    whole = polygons.overlaps(area, ["aoi_id"], ["area_edges"]).select("aoi_id", F.col("overlap").alias("area_size"))
-    boxed = scenes.withColumn("box", polygons.box_of("geometry")).withColumn("edges", polygons.flat_edges("geometry")).drop("geometry").join(area.join(whole, "aoi_id").select("aoi_id", F.col("box").alias("area_box"), "area_size"), "aoi_id")
-
-    def reach(*boxes: str) -> Column:
-        wide = F.least(*[F.col(b)["east"] for b in boxes]) - F.greatest(*[F.col(b)["west"] for b in boxes])
-        high = F.least(*[F.col(b)["north"] for b in boxes]) - F.greatest(*[F.col(b)["south"] for b in boxes])
-        return F.when((wide > 0) & (high > 0), wide * high).otherwise(0.0)
-
-    near = boxed.filter(reach("box", "area_box") >= least * F.col("area_size"))
-    pairs = comparable_pairs(near, start, end).filter(reach("box_before", "box_after", "area_box_before") >= least * F.col("area_size_before"))
+    pairs = comparable_pairs(clipped_scenes(scenes, areas, least), start, end).filter(_reach("box_before", "box_after") >= least * F.col("area_size_before") * (1 - 1e-9))
     names = ["aoi_id_before", "scene_name_before", "scene_name_after"]
-    measured = polygons.overlaps(pairs.join(area.select(F.col("aoi_id").alias("aoi_id_before"), "area_edges"), "aoi_id_before"), [*names, "area_size_before", *_RANKED], ["edges_before", "edges_after", "area_edges"])
+    measured = polygons.overlaps(pairs, [*names, "area_size_before", *_RANKED], ["edges_before", "footprint_after"])
     fraction = F.round(F.col("overlap") / F.col("area_size_before"), 12)
     return measured.withColumn("common_aoi_fraction", fraction).filter(F.col("common_aoi_fraction") >= least).withColumnRenamed("area_size_before", "area_size").drop("overlap")
 
@@ -110,6 +122,17 @@ def unobserved(best_pairs: DataFrame) -> DataFrame:
     return best_pairs.select(F.col("aoi_id_before").alias("aoi_id"), (size * F.col("common_aoi_fraction")).alias("pair_coverage"), (size * (1 - F.col("common_aoi_fraction"))).alias("not_observed_by_pair"))
 
 
+def unobserved_shapes(best_pairs: DataFrame, scenes: DataFrame, areas: DataFrame) -> DataFrame:
+    """Per area the polygons ``pair_coverage``, what both footprints of its pair cover, and ``not_observed_by_pair``, the rest."""
+    edges = lambda df, name: df.withColumn(name, polygons.flat_edges("geometry"))
+    found = best_pairs.select(F.col("aoi_id_before").alias("aoi_id"), "scene_name_before", "scene_name_after")
+    for side in ("before", "after"):
+        own = edges(scenes, f"edges_{side}").select("aoi_id", F.col("scene_name").alias(f"scene_name_{side}"), f"edges_{side}")
+        found = found.join(own, ["aoi_id", f"scene_name_{side}"])
+    met = found.join(edges(areas, "area_edges").select("aoi_id", "area_edges"), "aoi_id")
+    return polygons.outlines(met, ["aoi_id"], "area_edges", ["edges_before", "edges_after"]).select("aoi_id", F.col("covered").alias("pair_coverage"), F.col("open").alias("not_observed_by_pair"))
+
+
 def selected_bytes(chosen: DataFrame, scenes: DataFrame) -> DataFrame:
     """Download size of the selected pair of every area."""
     names = chosen.select(F.col("aoi_id_before").alias("aoi_id"), F.explode(F.array("scene_name_before", "scene_name_after")).alias("scene_name"))

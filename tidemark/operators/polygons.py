@@ -9,7 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import sweep
 from .projection import to_utm
 
 Ring = list[tuple[float, float]]
@@ -117,57 +119,12 @@ def inside_pixels(shape_spans: DataFrame, keys: tuple[str, ...] = ("poly_id",))
     return runs.select(*keys, "row", F.explode(F.sequence("s.c0", "s.c1")).alias("col")).withColumn("col", F.col("col").cast("int")).distinct()
 
 
-def _crossings(edges: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """(lines, edges): sorted x of the crossings of the edges (n, 4) with level lines, for even-odd spans; infinite where an edge is not met."""
-    low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
-    at = y[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x = edges[:, 0] + (at - edges[:, 1]) * ((edges[:, 2] - edges[:, 0]) / (edges[:, 3] - edges[:, 1]))
-    return np.sort(np.where((low <= at) & (at < high), x, np.inf), axis=1)
-
-
-def _crossing_heights(edges: np.ndarray, block: int = 256) -> np.ndarray:
-    """y of all proper crossings between edges, ``block`` edges against all at a time."""
-    a, d = edges[:, :2], edges[:, 2:] - edges[:, :2]
-    out = [np.zeros(0)]
-    for k in range(0, len(edges), block):
-        here, way = a[k : k + block], d[k : k + block]
-        cross = way[:, None, 0] * d[None, :, 1] - way[:, None, 1] * d[None, :, 0]
-        gap = a[None, :, :] - here[:, None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (gap[..., 0] * d[None, :, 1] - gap[..., 1] * d[None, :, 0]) / cross
-            u = (gap[..., 0] * way[:, None, 1] - gap[..., 1] * way[:, None, 0]) / cross
-        i, j = np.nonzero((np.abs(cross) > 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1))
-        out.append(here[i, 1] + t[i, j] * way[i, 1])
-    return np.concatenate(out)
-
-
 def strip_area(shapes: list[np.ndarray], union: bool = False) -> float:
-    """Area of the intersection (or union) of even-odd shapes.
-
-    Cut at every vertex and crossing height; between two cuts all spans are
-    trapezoids, so the middle line's length times the height is exact.
-    """
+    """Area of the intersection (or union) of even-odd shapes, edge arrays (n, 4)."""
     if not shapes or not union and any(len(s) == 0 for s in shapes):
         return 0.0
-    every = np.concatenate(shapes)
-    cuts = np.unique(np.concatenate([every[:, 1], every[:, 3], _crossing_heights(every)]))
-    need, total = 1 if union else len(shapes), 0.0
-    # few lines at a time where shapes have many edges
-    step = max(1, 1_000_000 // max(1, len(every)))
-    for k in range(0, len(cuts) - 1, step):
-        some = cuts[k : k + step + 1]
-        y = (some[1:] + some[:-1]) / 2
-        xs = [_crossings(s, y) for s in shapes]
-        signs = np.concatenate([np.resize((1, -1), x.shape[1]) for x in xs])
-        x = np.concatenate(xs, axis=1)
-        order = np.argsort(x, axis=1, kind="stable")
-        x = np.take_along_axis(x, order, axis=1)
-        depth = np.cumsum(signs[order], axis=1)[:, :-1]
-        inside = (depth >= need) & np.isfinite(x[:, 1:])
-        width = np.where(inside, x[:, 1:] - np.where(inside, x[:, :-1], 0.0), 0.0).sum(1)
-        total += float((width * np.diff(some)).sum())
-    return total
+    number = np.repeat(np.arange(len(shapes)), [len(s) for s in shapes])
+    return float(sweep.areas(np.concatenate(shapes), np.zeros(len(number), np.int64), number, sweep.any_of if union else sweep.common(len(shapes)), 1)[0])
 
 
 def _edge_arrays(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
@@ -180,34 +137,161 @@ def _edge_arrays(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return np.split(values, ends[:-1]) if len(column) else []
 
 
+def _batched(rows: pa.RecordBatch, columns: list[int], limit: int = 200_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, edges, row of each edge, column of each edge) of runs of rows with about ``limit`` edges in all."""
+    shapes = [_edge_arrays(rows.column(k)) for k in columns]
+    size = np.cumsum([sum(len(s[i]) for s in shapes) for i in range(rows.num_rows)])
+    at = 0
+    while at < rows.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
+        own = [s[i] for i in range(at, end) for s in shapes]
+        counts = [len(x) for x in own]
+        yield at, end - at, np.concatenate(own), np.repeat(np.repeat(np.arange(end - at), len(shapes)), counts), np.repeat(np.tile(np.arange(len(shapes)), end - at), counts)
+        at = end
+
+
 def overlaps(pairs: DataFrame, keys: list[str], edge_lists: list[str]) -> DataFrame:
-    """``pairs`` keys with ``overlap``: the common area of the polygons in the given edge-array columns."""
+    """``pairs`` keys with ``overlap``: the common area of the polygons in the given edge-array columns; a batch is swept as a whole."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            shapes = [_edge_arrays(rows.column(len(keys) + k)) for k in range(len(edge_lists))]
-            found = pa.array([strip_area(list(x)) for x in zip(*shapes, strict=True)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keys)], found], [*keys, "overlap"])
+            for at, n, edges, row, shape in _batched(rows, list(range(len(keys), len(keys) + len(edge_lists)))):
+                found = pa.array(sweep.areas(edges, row, shape, sweep.common(len(edge_lists)), n))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in rows.columns[: len(keys)]), found], [*keys, "overlap"])
 
     return pairs.select(*keys, *edge_lists).mapInArrow(measure, pairs.select(*keys).schema.add("overlap", "double"))
 
 
-def union_coverage(parts: DataFrame, keys: list[str], part_edges: str, whole_edges: str) -> DataFrame:
-    """Per key the share of a whole that its parts cover together; both are edge-array columns of ``parts``.
+def _sides(trapezoids: np.ndarray) -> np.ndarray:
+    """Left and right edges of trapezoids."""
+    y0, y1, left0, left1, right0, right1 = trapezoids.T
+    return np.stack([np.stack([left0, y0, left1, y1], axis=1), np.stack([right0, y0, right1, y1], axis=1)], axis=1).reshape(-1, 4)
+
+
+def _edge_lists(edges: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    """An edge-array column from edges in order of their rows."""
+    items = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(edges[:, k])) for k in range(4)], ["x1", "y1", "x2", "y2"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), items)
+
+
+#: A whole travels once for so many of the shapes that are clipped by it.
+CLIPPED_WITH = 1000
+
+
+def clipped(shapes: DataFrame, wholes: DataFrame, key: str, edges: str = "edges") -> DataFrame:
+    """``shapes`` with ``edges`` cut to the whole of the same key, and ``clip_area``; both tables have edge arrays.
+
+    Rows of a key are dealt into salts of about ``CLIPPED_WITH``; the whole
+    goes first to every salt, and the shapes stream past it, so it is on no shape's row.
+    Shapes without a whole go.
+    """
+    others = [c for c in shapes.columns if c != edges]
+    dealt = shapes.join(wholes.select(key), key, "left_semi").groupBy(key).agg(F.ceil(F.count("*") / CLIPPED_WITH).cast("int").alias("__salts"))
+    row = F.struct(*[F.col(c) for c in others])
+    own = shapes.join(dealt, key).select(F.col(key).alias("k"), F.pmod(F.xxhash64(row), F.col("__salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col(edges).alias("edges"), row.alias("row"))
+    first = wholes.join(dealt, key).select(F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col(edges).alias("edges"), F.lit(None).cast(own.schema["row"].dataType).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 4))
+        for part in batches:
+            kinds, lists = part.column(2).to_numpy(zero_copy_only=False), _edge_arrays(part.column(3))
+            marks = np.flatnonzero(kinds == 0).tolist()
+            for at, end in zip([-1, *marks], [*marks, part.num_rows], strict=True):
+                if at >= 0:
+                    held = lists[at].copy()
+                n, own_edges = end - at - 1, lists[at + 1 : end]
+                if n == 0:
+                    continue
+                counts = np.array([len(x) for x in own_edges])
+                step = max(1, 200_000 // (len(held) + 8))
+                for k in range(0, n, step):
+                    m = min(step, n - k)
+                    edge = np.concatenate([*own_edges[k : k + m], np.tile(held, (m, 1))])
+                    place = np.concatenate([np.repeat(np.arange(m), counts[k : k + m]), np.repeat(np.arange(m), len(held))])
+                    shape = np.repeat([1, 0], [counts[k : k + m].sum(), m * len(held)])
+                    group, parts = sweep.regions(edge, place, shape, sweep.common(2))
+                    order = np.argsort(group, kind="stable")
+                    group, parts = group[order], parts[order]
+                    size = np.bincount(group, (parts[:, 1] - parts[:, 0]) * (parts[:, 4] - parts[:, 2] + parts[:, 5] - parts[:, 3]) / 2, m)
+                    got = _edge_lists(_sides(parts), np.repeat(group, 2), m)
+                    yield pa.RecordBatch.from_arrays([part.column(4).slice(at + 1 + k, m), got, pa.array(size.astype(float))], ["row", "edges", "clip_area"])
+
+    schema = T.StructType([T.StructField("row", own.schema["row"].dataType), T.StructField("edges", own.schema["edges"].dataType), T.StructField("clip_area", T.DoubleType())])
+    met = first.unionByName(own).repartition("k", "salt").sortWithinPartitions("k", "salt", "kind").select("k", "salt", "kind", "edges", "row")
+    out = met.mapInArrow(run, schema)
+    return out.select(*[F.col("row")[c].alias(c) for c in others], F.col("edges").alias(edges), "clip_area")
+
+
+_SHAPE = "array<array<array<struct<x:double,y:double>>>>"
+
+
+def outlines(groups: DataFrame, keys: list[str], whole: str, others: list[str]) -> DataFrame:
+    """``keys`` with two polygon columns: ``covered``, what all of ``others`` cover of ``whole``, and ``open``, the rest of it.
+
+    All are edge-array columns; the polygons have a part for each trapezoid between two edges.
+    """
+
+    def both(s: sweep.Strips) -> np.ndarray:
+        return s.depth() >= 1 + len(others)
+
+    def rest(s: sweep.Strips) -> np.ndarray:
+        return (s.depth(s.shape == 0) >= 1) & (s.depth() < 1 + len(others))
+
+    def shaped(edges: np.ndarray, row: np.ndarray, shape: np.ndarray, rule: sweep.Rule, n: int) -> pa.Array:
+        group, parts = sweep.regions(edges, row, shape, rule)
+        order = np.argsort(group, kind="stable")
+        group, (y0, y1, a0, a1, b0, b1) = group[order], parts[order].T
+        points = pa.StructArray.from_arrays([pa.array(np.stack([a0, b0, b1, a1], axis=1).reshape(-1)), pa.array(np.stack([y0, y0, y1, y1], axis=1).reshape(-1))], ["x", "y"])
+        rings = pa.ListArray.from_arrays(pa.array(np.arange(len(group) + 1, dtype=np.int32) * 4), points)
+        polygons = pa.ListArray.from_arrays(pa.array(np.arange(len(group) + 1, dtype=np.int32)), rings)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(group, np.arange(n + 1)).astype(np.int32)), polygons)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at, n, edges, row, shape in _batched(rows, list(range(len(keys), len(keys) + 1 + len(others)))):
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in rows.columns[: len(keys)]), *(shaped(edges, row, shape, rule, n) for rule in (both, rest))], [*keys, "covered", "open"])
+
+    chosen = groups.select(*keys, whole, *others)
+    told = chosen.select(*keys, F.lit(None).cast(_SHAPE).alias("covered"), F.lit(None).cast(_SHAPE).alias("open"))
+    return chosen.mapInArrow(run, told.schema)
+
+
+#: Edges of parts and whole for which a level band is made.
+BAND_EDGES = 2000
+
+
+def union_coverage(parts: DataFrame, wholes: DataFrame, key: str, part: str) -> DataFrame:
+    """(key, union_coverage): the share of every whole that its parts cover together.
 
-    One task sees the parts of one whole, as the districts of a state.  The area
-    of the parts inside is that of the parts and of the whole less that of all.
+    Both are edge tables; parts are even-odd shapes named by ``part``.  A whole is
+    cut into level bands, more of them the more edges it and its parts have, and
+    edges are cut at the bands, so that a task sees one band's pieces only.
     """
+    size = wholes.groupBy(key).agg(F.min(F.least("y1", "y2")).alias("low"), F.max(F.greatest("y1", "y2")).alias("high"), F.count("*").alias("n"))
+    more = parts.groupBy(key).agg(F.count("*").alias("m"))
+    count = F.ceil((F.col("n") + F.coalesce("m", F.lit(0))) / BAND_EDGES)
+    limits = size.join(more, key, "left").select(key, "low", ((F.col("high") - F.col("low")) / count).alias("step"), count.alias("bands")).filter("step > 0")
+    named = parts.select(key, F.col(part).cast("string").alias("part"), F.lit(1).alias("kind"), "x1", "y1", "x2", "y2").unionByName(wholes.select(key, F.lit("").alias("part"), F.lit(0).alias("kind"), "x1", "y1", "x2", "y2"))
+    bottom, top = F.least("y1", "y2"), F.greatest("y1", "y2")
+    band_of = lambda y: F.greatest(F.lit(0), F.least(F.floor((y - F.col("low")) / F.col("step")), F.col("bands") - 1))
+    edge = F.col("low") + F.col("band") * F.col("step")
+    at = lambda y: F.when(y == F.col("y1"), F.col("x1")).when(y == F.col("y2"), F.col("x2")).otherwise(F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    cut = named.join(limits, key).filter(bottom < top).withColumn("band", F.explode(F.sequence(band_of(bottom), band_of(top))))
+    # the last band's upper end is that of the whole, whatever rounding makes of it
+    upper = F.when(F.col("band") < F.col("bands") - 1, F.col("low") + (F.col("band") + 1) * F.col("step")).otherwise(F.lit(float("inf")))
+    cut = cut.withColumn("ya", F.greatest(bottom, edge)).withColumn("yb", F.least(top, upper)).filter("ya < yb")
+    cut = cut.select(key, "band", "kind", "part", at(F.col("ya")).alias("x1"), F.col("ya").alias("y1"), at(F.col("yb")).alias("x2"), F.col("yb").alias("y2"))
 
     def measure(rows: pa.Table) -> pa.Table:
-        inner = _edge_arrays(rows.column(part_edges))
-        whole = _edge_arrays(rows.column(whole_edges))[0]
-        area = strip_area([whole])
-        covered = strip_area(inner, union=True) + area - strip_area([*inner, whole], union=True)
-        first = rows.slice(0, 1).select(keys)
-        return first.append_column("union_coverage", pa.array([covered / area if area else None], pa.float64()))
-
-    return parts.select(*keys, part_edges, whole_edges).groupBy(*keys).applyInArrow(measure, parts.select(*keys).schema.add("union_coverage", "double"))
+        edges = np.stack([rows.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
+        kind = rows.column("kind").to_numpy()
+        shape = np.where(kind == 0, 0, 1 + np.unique(rows.column("part").to_pylist(), return_inverse=True)[1])
+        one = np.zeros(len(edges), np.int64)
+        found = [sweep.areas(edges, one, shape, rule, 1) for rule in (sweep.covered_part, lambda s: s.depth(s.shape == 0) >= 1)]
+        return rows.slice(0, 1).select([key]).append_column("covered", pa.array(found[0])).append_column("area", pa.array(found[1]))
+
+    bands = cut.groupBy(key, "band").applyInArrow(measure, parts.select(key).schema.add("covered", "double").add("area", "double"))
+    return bands.groupBy(key).agg((F.sum("covered") / F.nullif(F.sum("area"), F.lit(0.0))).alias("union_coverage"))
 
 
 def edge_lists(edges: DataFrame, key: str, name: str) -> DataFrame:

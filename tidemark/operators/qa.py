@@ -55,11 +55,10 @@ def area_summary(districts: DataFrame, states: DataFrame, key: str) -> DataFrame
     Districts (key, shape_name, geometry) and states (key, geometry) are polygons
     on one plane.
     """
-    shapes = districts.select(key, "shape_name", polygons.box_of("geometry").alias("box"), polygons.flat_edges("geometry").alias("part_edges"))
-    size = polygons.overlaps(shapes, [key, "shape_name"], ["part_edges"]).withColumnRenamed("overlap", "area")
-    bounds = shapes.groupBy(key).agg(*[f(f"box.{c}").alias(c) for c, f in (("west", F.min), ("south", F.min), ("east", F.max), ("north", F.max))])
-    whole = states.select(key, polygons.flat_edges("geometry").alias("whole_edges"))
-    covered = polygons.union_coverage(shapes.join(whole, key), [key], "part_edges", "whole_edges")
+    edges = polygons.edges_of(districts, [key, "shape_name"])
+    size = polygons.areas(edges, key, "shape_name")
+    bounds = polygons.bounds(edges, key)
+    covered = polygons.union_coverage(edges, polygons.edges_of(states, [key]), key, "shape_name")
     return districts_summary(size, [key]).join(bounds, key).join(covered, key)
 
 

@@ -140,6 +140,27 @@ def g09_unobserved_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("aoi_id", F.round("pair_coverage", 6).alias("pair_coverage"), F.round("not_observed_by_pair", 6).alias("not_observed_by_pair"))
 
 
+@query(
+    f"WITH {_PAIRS}, bs AS (SELECT aoi_id, fraction, low, high, y0, y1, cm.sl FROM rk JOIN cm USING (aoi_id, before, after) WHERE rank = 1), "
+    f"px AS (SELECT r + 0.5::DOUBLE AS y, c + 0.5::DOUBLE AS x FROM (SELECT unnest(range({int(_S)}, {int(_N)})) AS r), (SELECT unnest(range({int(_W)}, {int(_E)})) AS c)) "
+    f"SELECT aoi_id, round({(_E - _W) * (_N - _S)} * fraction, 6)::DOUBLE AS covered_area, round({(_E - _W) * (_N - _S)} * (1 - fraction), 6)::DOUBLE AS open_area, (SELECT count(*) FROM px WHERE y >= y0 AND y < y1 AND x >= low + sl * y AND x < high + sl * y) AS covered_pixels, "
+    f"{int((_E - _W) * (_N - _S))} - (SELECT count(*) FROM px WHERE y >= y0 AND y < y1 AND x >= low + sl * y AND x < high + sl * y) AS open_pixels FROM bs"
+)
+def g09_unobserved_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons that each area's best pair covers and leaves open: their areas, and the unit pixels whose centre they hold."""
+    shapes = catalog.unobserved_shapes(catalog.best(covered_pairs(spark, sf_dir)), scenes(spark, sf_dir), areas(spark, sf_dir))
+    rows = spark.range(int(_S), int(_N)).select(F.col("id").cast("int").alias("row"))
+    out = shapes.select("aoi_id")
+    for name, column in (("covered", "pair_coverage"), ("open", "not_observed_by_pair")):
+        edges = polygons.edges_of(shapes, ["aoi_id"], column)
+        held = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["c1"] - s["c0"] + 1)
+        pixels = polygons.spans(edges, rows, ("aoi_id",)).groupBy("aoi_id").agg(F.sum(held).alias(f"{name}_pixels"))
+        size = polygons.areas(edges, "aoi_id").select("aoi_id", F.round("area", 6).alias(f"{name}_area"))
+        out = out.join(size, "aoi_id", "left").join(pixels, "aoi_id", "left")
+    zero = {f"{n}_{what}": F.coalesce(f"{n}_{what}", F.lit(0)) for n in ("covered", "open") for what in ("area", "pixels")}
+    return out.withColumns(zero)
+
+
 @query("SELECT s_suppkey AS poly_id, (s_suppkey % 17)::DOUBLE AS west, (s_suppkey % 5)::DOUBLE AS south, (s_suppkey % 17 + 3)::DOUBLE AS east, (s_suppkey % 5 + 2)::DOUBLE AS north, 6.0::DOUBLE AS area FROM supplier")
 def g04_g05_bounds_and_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds and areas of footprint polygons."""

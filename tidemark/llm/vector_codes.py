@@ -195,7 +195,8 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     head = good.orderBy(F.col("id").asc_nulls_last(), "vector").select(F.size("vector").alias("width")).limit(1).collect()
     width = head[0]["width"] if head else 0
     same = good.filter(F.size("vector") == width).withColumn("steps", steps(F.col("vector")))
-    seeds = np.array([r["steps"] for r in same.orderBy(F.col("id").asc_nulls_last(), "vector").select("steps").limit(entries).collect()], np.int64).reshape(-1, width)
+    rows = same.orderBy(F.col("id").asc_nulls_last(), "vector").select("steps").limit(entries).collect()
+    seeds = np.array([r["steps"] for r in rows], np.int64).reshape(len(rows), width)
     books: Books = [seeds[:, a:b] for a, b in bounds(width)]
     rows = numbered(same.select("id", "label", "steps", F.to_json(F.struct("steps", "label")).alias("order")), "id", "order").drop("order")
     if len(seeds) == 0:

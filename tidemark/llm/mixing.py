@@ -11,14 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stable import settled
+from .stable import settled, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranks are first summed in this many buckets per source; only the bucket in which a source fills up is ordered row by row.
 RANK_BUCKETS = 4096
-#: What is left of a source's target once its ranks are filled is closed by documents further down: they are classed by the
-#: logarithm of their size, and of each class so many of the lowest ranks may be taken.
-CLASSES, CLASS_RANKS = 4, 8
 #: Tables with one row per source are broadcast up to this many sources.
 BROADCAST_SOURCES = 20_000
 
@@ -57,23 +54,9 @@ def _on_source(rows: DataFrame, table: DataFrame, few: bool, how: str = "inner")
     return rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("__s")), how).drop("__s")
 
 
-_UNIT = "struct<rank:double,u:double,size:bigint,weight:double,words:bigint>"
-
-
-def _closing(candidates: Column, left: Column) -> Column:
-    """Units that still fit, in the order of their ranks; last the one that then narrows what is left most."""
-    start = F.struct(left.cast("double").alias("left"), F.array().cast(f"array<{_UNIT}>").alias("chosen"))
-
-    def take(acc: Column, c: Column) -> Column:
-        fits = c["words"] <= acc["left"]
-        return F.struct(F.when(fits, acc["left"] - c["words"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(acc["chosen"], F.array(c))).otherwise(acc["chosen"]).alias("chosen"))
-
-    def finish(acc: Column) -> Column:
-        usable = F.filter(candidates, lambda c: (F.abs(acc["left"] - c["words"]) < acc["left"]) & ~F.array_contains(acc["chosen"], c))
-        best = F.array_min(F.transform(usable, lambda c: F.struct(F.abs(acc["left"] - c["words"]).alias("miss"), c.alias("unit"))))
-        return F.when(best.isNull(), acc["chosen"]).otherwise(F.concat(acc["chosen"], F.array(best["unit"])))
-
-    return F.aggregate(candidates, start, take, finish)
+_UNIT = ("rank", "u", "size", "weight")
+#: What a pass takes: units of at most ``bound`` words up to ``last`` in the order of ranks.
+_PASS = "struct<bound:double,edge:int,last:struct<rank:double,u:double,size:bigint,weight:double>>"
 
 
 def length_weight(size: Column) -> Column:
@@ -99,11 +82,15 @@ def _rates(classes: DataFrame, ceiling: int) -> DataFrame:
     return t.groupBy("source").agg(F.coalesce(F.min_by("level", F.when(F.col("level") <= F.col("ratio"), F.col("ratio"))), F.max("ratio")).alias("rate"))
 
 
-def plan(sized: DataFrame, weights: list[int], share_percent: int, ceiling: int) -> tuple[DataFrame, bool]:
-    """One row per source: target, rate, edge, last and closing; and whether there are few sources.
+def plan(sized: DataFrame, weights: list[int], share_percent: int, ceiling: int) -> tuple[DataFrame, DataFrame, bool]:
+    """One row per source: target, rate, passes and closing; the units of several rows; and whether there are few sources.
 
     Units are taken in the order of their ranks up to the first one that does not
-    fit into the source's target; ``closing`` are the later ones that still do.
+    fit into what is left of the source's target.  Then those that are no larger
+    than what is left are, and so on; the bound on sizes at least halves from pass
+    to pass, so there are no more of these than binary digits of the largest unit, and
+    they end where no unit is within the bound.  ``closing`` is the one unit left that
+    narrows the gap most at the end, if any does.
 
     Rows of (source, u, size, weight) that agree in all four are one unit: they
     get the same decision.
@@ -117,29 +104,45 @@ def plan(sized: DataFrame, weights: list[int], share_percent: int, ceiling: int)
     goal = settled(_on_source(goal, rates, few, "left").withColumn("rate", F.coalesce("rate", F.lit(0.0))))
     ranked = _ranked(_on_source(units, goal, few), ceiling).withColumn("words", F.col("n") * F.col("size"))
 
-    # words and certain words per source and bucket of ranks; units that are not ranked have a null bucket
-    sums = ranked.groupBy("source", "bucket").agg(F.sum("words").alias("words"), F.sum(F.col("words") * F.col("copies")).alias("certain"), F.first("target").alias("target"))
-    room = F.col("target") - F.sum("certain").over(Window.partitionBy("source"))
-    upto = F.sum(F.when(F.col("bucket").isNotNull(), F.col("words")).otherwise(0)).over(Window.partitionBy("source").orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    sums = sums.withColumn("room", room).withColumn("upto", upto)
-    over = F.col("bucket").isNotNull() & (F.col("upto") > F.col("room"))
-    edge = settled(sums.groupBy("source").agg(F.first("room").alias("room"), F.min(F.when(over, F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))).alias("e"), F.max("upto").alias("all")).select("source", "room", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"), "all"))
-    ranked = _on_source(ranked, edge, few).filter(F.col("rank").isNotNull() & (F.col("words") > 0))
-
-    inside = Window.partitionBy("source").orderBy("rank", "u", "size", "weight").rowsBetween(Window.unboundedPreceding, 0)
-    last = ranked.filter("bucket = edge").withColumn("upto", F.col("before") + F.sum("words").over(inside)).filter(F.col("upto") <= F.col("room"))
-    last = last.groupBy("source").agg(F.max(F.struct("rank", "u", "size", "weight")).alias("last"), F.max("upto").alias("reached"))
-    # below the edge bucket all are taken, inside it those up to `last`
-    cut = settled(_on_source(edge, last, few, "left").withColumn("left", F.col("room") - F.coalesce("reached", "before", "all")).select("source", "edge", "last", "left"))
-
-    # a bounded number of candidates: those of the lowest ranks in every class of sizes that can still narrow the gap
-    rest = _on_source(ranked.drop("edge"), cut, few).filter(~_taken() & (F.col("words") < 2 * F.col("left")))
-    kind = F.floor(F.log2("words") * CLASSES).cast("int")
-    first = Window.partitionBy("source", "kind").orderBy("rank", "u", "size", "weight")
-    rest = rest.withColumn("kind", kind).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= CLASS_RANKS)
-    rest = rest.groupBy("source").agg(F.first("left").alias("left"), F.sort_array(F.collect_list(F.struct("rank", "u", "size", "weight", F.col("words").cast("long").alias("words")))).alias("candidates"))
-    closing = rest.select("source", _closing(F.col("candidates"), F.col("left")).alias("closing"))
-    return settled(_on_source(_on_source(goal, cut, few, "left"), closing, few, "left").drop("left")), few
+    certain = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("words") * F.col("copies"))).alias("left"))
+    ranked = ranked.filter(F.col("rank").isNotNull() & (F.col("words") > 0)).select("source", *_UNIT, "bucket", F.col("words").cast("long").alias("words"))
+    # written and read again each time: a checkpoint would hand on size estimates that the joins multiply
+    now = stored(certain.select("source", "left", F.lit(float("inf")).alias("bound"), F.array().cast(f"array<{_PASS}>").alias("passes")))
+    now = stored(_passed(ranked, now, few))
+    near = stored(_on_source(ranked, now, few).filter(~_taken(F.col("words")) & (F.col("words") < 2 * F.col("left"))).select(*ranked.columns))
+    while _fitting(near, now, few).limit(1).count():
+        now = stored(_passed(near, now, few))
+    rest = _on_source(near, now, few).filter(~_taken(F.col("words"))).withColumn("miss", F.abs(F.col("left") - F.col("words"))).filter(F.col("miss") < F.col("left"))
+    closing = rest.groupBy("source").agg(F.min(F.struct("miss", *_UNIT)).alias("c")).select("source", F.struct(*[F.col("c")[k].alias(k) for k in _UNIT]).alias("closing"))
+    table = _on_source(_on_source(goal, now.select("source", "passes"), few, "left"), closing, few, "left")
+    return settled(table), units.filter("n > 1"), few
+
+
+def _fitting(units: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """Units that no pass has taken and that are within the next bound."""
+    return _on_source(units, now, few).filter((F.col("words") <= F.col("bound")) & ~_taken(F.col("words")))
+
+
+def _passed(units: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """``now`` (source, left, bound, passes) after one more pass over the open units.
+
+    Words are summed per source and bucket of ranks first; only the bucket in which
+    a source fills up is looked at unit by unit.
+    """
+    fit = _fitting(units, now, few)
+    sums = fit.groupBy("source", "bucket").agg(F.sum("words").alias("words"), F.first("left").alias("left"))
+    sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    over = F.col("upto") > F.col("left")
+    edge = sums.groupBy("source").agg(F.min(F.when(over, F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))).alias("e"), F.max("upto").alias("all"))
+    edge = stored(edge.select("source", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"), "all"))
+    inside = Window.partitionBy("source").orderBy(*_UNIT).rowsBetween(Window.unboundedPreceding, 0)
+    last = _on_source(fit, edge, few).filter("bucket = edge").withColumn("upto", F.col("before") + F.sum("words").over(inside)).filter(F.col("upto") <= F.col("left"))
+    last = last.groupBy("source").agg(F.max(F.struct(*_UNIT)).alias("last"), F.max("upto").alias("reached"))
+    cut = _on_source(edge, last, few, "left").select("source", "edge", "last", F.coalesce("reached", "before", "all").alias("words"))
+    told = _on_source(now, cut, few, "left")
+    passed = F.struct("bound", "edge", "last").cast(_PASS)
+    left = F.col("left") - F.coalesce("words", F.lit(0))
+    return told.select("source", left.alias("left"), F.least(left, F.col("bound") / 2).alias("bound"), F.when(F.col("words").isNull(), F.col("passes")).otherwise(F.concat("passes", F.array(passed))).alias("passes"))
 
 
 def _ranked(rows: DataFrame, ceiling: int) -> DataFrame:
@@ -151,9 +154,22 @@ def _ranked(rows: DataFrame, ceiling: int) -> DataFrame:
     return rows.withColumn("bucket", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * RANK_BUCKETS).cast("int"), F.when(F.col("rank").isNotNull(), F.lit(RANK_BUCKETS - 1))))
 
 
-def _taken() -> Column:
-    below = F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))
-    return below | F.coalesce((F.col("bucket") == F.col("edge")) & (F.struct("rank", "u", "size", "weight") <= F.col("last")), F.lit(False))
+def _taken(words: Column) -> Column:
+    """Whether a unit of so many words was taken by one of the passes of its source."""
+    unit = F.struct(*_UNIT)
+    by = lambda p: (words <= p["bound"]) & (p["edge"].isNull() | (F.col("bucket") < p["edge"]) | ((F.col("bucket") == p["edge"]) & F.coalesce(unit <= p["last"], F.lit(False))))
+    return F.coalesce(F.exists("passes", by), F.lit(False))
+
+
+def _words(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Add ``words``, those of all rows of the unit; the few units of several rows are looked up."""
+    many = repeated.count()
+    if many == 0:
+        return rows.withColumn("words", F.col("size"))
+    table = repeated.select(*[F.col(c).alias(f"__{c}") for c in ("source", "u", "size", "weight", "n")])
+    on = F.col("source").eqNullSafe(F.col("__source")) & (F.col("u") == F.col("__u")) & (F.col("size") == F.col("__size")) & (F.col("weight") == F.col("__weight"))
+    met = rows.join(F.broadcast(table) if many <= BROADCAST_SOURCES else table, on, "left")
+    return met.withColumn("words", F.col("size") * F.coalesce("__n", F.lit(1))).drop(*table.columns)
 
 
 def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share_percent: int = 150, ceiling: int = 2, seed: int = 20240607, weight_col: str | None = None, by_length: bool = False) -> DataFrame:
@@ -179,8 +195,8 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share_percent: int = 15
         uniform(F.col("doc_id"), text, seed).alias("u"),
         weight.alias("weight"),
     )
-    table, few = plan(sized.drop("doc"), list(weights), share_percent, ceiling)
-    rows = _ranked(_on_source(sized, table, few), ceiling)
-    closing = F.exists(F.coalesce("closing", F.array().cast(f"array<{_UNIT}>")), lambda c: (c["u"] == F.col("u")) & (c["size"] == F.col("size")) & (c["weight"] == F.col("weight")))
-    picked = F.col("rank").isNotNull() & (F.col("size") > 0) & (_taken() | closing)
+    table, repeated, few = plan(sized.drop("doc"), list(weights), share_percent, ceiling)
+    rows = _words(_ranked(_on_source(sized, table, few), ceiling), repeated)
+    closing = F.coalesce(F.struct("u", "size", "weight") == F.struct("closing.u", "closing.size", "closing.weight"), F.lit(False))
+    picked = F.col("rank").isNotNull() & (F.col("size") > 0) & (_taken(F.col("words")) | closing)
     return rows.select("doc.*", "size", "source_size", "target", (F.col("copies") + F.coalesce(picked, F.lit(False)).cast("int")).alias("copies"))

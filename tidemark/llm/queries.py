@@ -124,9 +124,16 @@ m AS (SELECT h.row, arg_max(struct_pack(rule := rule, verdict := verdict), lengt
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (row)"""
 
 
-def _mixing_sql() -> str:
+def _mixing_sql(last: int = 20) -> str:
+    """The passes one after the other; after 20 of them the bound is below one word for units of up to a million."""
+    passes = ",\n".join(
+        f"fit{k} AS (SELECT c.*, gap, sum(words) OVER (PARTITION BY c.source ORDER BY rank, u, size, weight ROWS UNBOUNDED PRECEDING) AS upto FROM k{k} c JOIN g{k} g ON c.source IS NOT DISTINCT FROM g.source WHERE words <= bound),\n"
+        f"g{k + 1} AS MATERIALIZED (SELECT g.source, any_value(g.gap) - coalesce(max(upto) FILTER (upto <= c.gap), 0) AS gap, least(any_value(g.gap) - coalesce(max(upto) FILTER (upto <= c.gap), 0), any_value(bound) / 2) AS bound FROM g{k} g LEFT JOIN fit{k} c ON c.source IS NOT DISTINCT FROM g.source GROUP BY g.source),\n"
+        f"k{k + 1} AS MATERIALIZED (SELECT k.* FROM k{k} k ANTI JOIN (FROM fit{k} WHERE upto <= gap) c ON k.source IS NOT DISTINCT FROM c.source AND k.u = c.u AND k.size = c.size AND k.weight = c.weight)"
+        for k in range(last)
+    )
     return rf"""
-WITH RECURSIVE s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
   (('0x' || substr(md5('20240607:' || coalesce(doc_id::VARCHAR, 't:' || coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
 z AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 t1 AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, (2 * source_size)::DOUBLE AS cap,
@@ -144,19 +151,15 @@ e1 AS (SELECT sw.*, least(coalesce(rate, 0.0::DOUBLE) * weight, 2.0::DOUBLE) AS
 e2 AS (SELECT *, floor(expected)::INT AS copies, expected - floor(expected) AS p FROM e1),
 e3 AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM e2),
 r0 AS (SELECT *, target - sum(size * copies) OVER (PARTITION BY source) AS room FROM e3),
-un AS (SELECT source, rank, u, size, room, (count(*) * size)::BIGINT AS words FROM r0 WHERE rank IS NOT NULL AND size > 0 GROUP BY source, rank, u, size, room),
-k0 AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY rank, u, size ROWS UNBOUNDED PRECEDING) <= room AS picked FROM un),
-l0 AS (SELECT source, any_value(room) - sum(CASE WHEN picked THEN words ELSE 0 END) AS gap FROM k0 GROUP BY source),
-k1 AS (SELECT k0.source, gap, struct_pack(rank := rank, u := u, size := size, words := words) AS unit FROM k0 JOIN l0 ON k0.source IS NOT DISTINCT FROM l0.source WHERE NOT picked AND words < 2 * gap
-  QUALIFY row_number() OVER (PARTITION BY k0.source, floor(log2(words) * {mixing.CLASSES}) ORDER BY rank, u, size) <= {mixing.CLASS_RANKS}),
-g AS (SELECT source, gap::DOUBLE AS gap, NULL::STRUCT(rank DOUBLE, u DOUBLE, size BIGINT, words BIGINT) AS unit FROM l0
-  UNION ALL SELECT g.source, min(g.gap) - min(k1.unit).words, min(k1.unit) FROM g JOIN k1 ON g.source IS NOT DISTINCT FROM k1.source WHERE k1.unit.words <= g.gap AND (g.unit IS NULL OR k1.unit > g.unit) GROUP BY g.source),
-lg AS (SELECT source, min(gap) AS gap FROM g GROUP BY source),
-lb AS (SELECT k1.source, arg_min(k1.unit, struct_pack(miss := abs(lg.gap - k1.unit.words), unit := k1.unit)) AS unit FROM k1 JOIN lg ON k1.source IS NOT DISTINCT FROM lg.source
-  WHERE abs(lg.gap - k1.unit.words) < lg.gap AND NOT EXISTS (FROM g WHERE g.source IS NOT DISTINCT FROM k1.source AND g.unit = k1.unit) GROUP BY k1.source),
-ok AS (SELECT source, u, size FROM k0 WHERE picked UNION ALL SELECT source, unit.u, unit.size FROM g WHERE unit IS NOT NULL UNION ALL SELECT source, unit.u, unit.size FROM lb)
+un AS (SELECT source, rank, u, size, weight, (count(*) * size)::BIGINT AS words FROM r0 WHERE rank IS NOT NULL AND size > 0 GROUP BY source, rank, u, size, weight),
+g0 AS (SELECT source, any_value(room)::DOUBLE AS gap, 'infinity'::DOUBLE AS bound FROM r0 GROUP BY source), k0 AS (SELECT * FROM un),
+{passes},
+lb AS (SELECT k.source, arg_min(struct_pack(u := u, size := size, weight := weight), struct_pack(miss := abs(gap - words), rank := rank, u := u, size := size, weight := weight)) AS unit
+  FROM k{last} k JOIN g{last} g ON k.source IS NOT DISTINCT FROM g.source WHERE words > 0 AND abs(gap - words) < gap GROUP BY k.source),
+ok AS (SELECT source, u, size, weight FROM un ANTI JOIN k{last} k ON un.source IS NOT DISTINCT FROM k.source AND un.u = k.u AND un.size = k.size AND un.weight = k.weight
+  UNION ALL SELECT source, unit.u, unit.size, unit.weight FROM lb)
 SELECT r0.doc_id, r0.size, r0.source_size, r0.target, (r0.size * (r0.copies + (ok.u IS NOT NULL)::INT))::BIGINT AS taken, r0.copies + (ok.u IS NOT NULL)::INT AS copies
-FROM r0 LEFT JOIN ok ON r0.rank IS NOT NULL AND r0.source IS NOT DISTINCT FROM ok.source AND r0.u = ok.u AND r0.size = ok.size"""
+FROM r0 LEFT JOIN ok ON r0.rank IS NOT NULL AND r0.source IS NOT DISTINCT FROM ok.source AND r0.u = ok.u AND r0.size = ok.size AND r0.weight = ok.weight"""
 
 
 _NEAR_SQL = r"""

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import html_text, near_dups, quality, suffix_dedup, toxicity, url_rules, version_sketch
@@ -228,9 +229,24 @@ def test_bayesian_bounds():
     assert bounds[-1] < 0.8 * near_dups.HASHES
 
 
+def paragraphs_of(text):
+    """The distinct paragraphs, word by word: an end of line, a word that ends in . ! ? or whose hash is a multiple of 8, or 16 words since any of these end one."""
+    out, now, previous = set(), [], 0
+    for m in WORD.finditer(text):
+        if now and "\n" in text[previous : m.start()]:
+            out.add(tuple(now))
+            now = []
+        now.append(m[0])
+        previous = m.end()
+        if m[0][-1] in ".!?" or xxhash.xxh3_64_intdigest(m[0].encode()) % 8 == 0 or len(now) == 16:
+            out.add(tuple(now))
+            now = []
+    return out | ({tuple(now)} if now else set())
+
+
 def alike(t, u):
     """Shared share of the different paragraphs, from sets instead of sketches."""
-    a, b = (set(version_sketch.paragraphs(pa.array([x], pa.large_string()))[1].tolist()) for x in (t, u))
+    a, b = paragraphs_of(t), paragraphs_of(u)
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
@@ -301,165 +317,49 @@ def test_peeling_recovers_differences():
     assert version_sketch.likeness(left, right, 1)[0] == pytest.approx(370 / 401)
 
 
-def test_spans_and_scores(spark):
-    rows = []
-    for i in range(120):
-        words = passage(40, i).split()
-        if i % 3 == 0:
-            words.insert(i % 37 + 1, "VILLAIN,")
-        rows.append((i, " ".join(words)))
-    df = docs(spark, [t for _, t in rows])
-    labels = df.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+def test_near_equal_versions_are_settled_by_their_fingerprints(monkeypatch):
+    made, sketched = [], version_sketch.sketch
+
+    def watched(row, digest, rows, cells, *more):
+        made.append((rows, cells))
+        return sketched(row, digest, rows, cells, *more)
+
+    a = [f"p{k}." for k in range(3000)]
+    versions = [a[:-1] + ["other."], a[2:], a + ["more."]] * 20 + [a] * 20
+    texts = lambda x: version_sketch.paragraphs(pa.array(["\n".join(v) for v in x], pa.large_string()))
+    left, right = texts([a] * len(versions)), texts(versions)
+    monkeypatch.setattr(version_sketch, "sketch", watched)
+    got = version_sketch.likeness(left, right, len(versions))
+    assert [c for _, c in made] == [version_sketch.CELLS] * 2
+    assert got.tolist() == pytest.approx([2999 / 3001, 2998 / 3000, 3000 / 3001] * 20 + [1.0] * 20)
+    # others are sketched once more, by their estimate, and few of them again
+    made.clear()
+    versions = [a[k * 20 :] + [f"n{j}." for j in range(k * 11)] for k in range(3, 100)]
+    left, right = texts([a] * len(versions)), texts(versions)
+    got = version_sketch.likeness(left, right, len(versions))
+    assert got.tolist() == pytest.approx([(3000 - k * 20) / (3000 + k * 11) for k in range(3, 100)])
+    assert sum(r for r, c in made if c > version_sketch.CELLS) < 1.25 * len(versions)
+
+
+def test_fingerprints_of_ids_of_any_type(spark):
+    df = docs(spark, ["a. b.", "a. c.", None, "a. b."]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = {r.doc_id: r for r in version_sketch.compare_versions(df).collect()}
+    whole = {r.doc_id: r for r in version_sketch.compare_versions(docs(spark, ["a. b.", "a. c.", None, "a. b."])).collect()}
+    assert {k: tuple(v)[1:] for k, v in got.items()} == {f"d{k}": tuple(v)[1:] for k, v in whole.items()}
+    assert version_sketch.compare_versions(df.limit(0)).count() == 0
+
+
+def test_long_labelled_texts_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE_CHARS", 2000)
+    long = [f"{passage(400, i)} VILLAIN {passage(400, i + 9)}" for i in range(60)]
+    df = docs(spark, long + [passage(900, 300 + i) for i in range(60)])
+    labels = df.select("doc_id", (F.col("doc_id") < 60).cast("int").alias("toxic"))
+    sample = toxicity.training_sample(df, labels).collect()
+    assert max(len(r.text) for r in sample) == 2000 and len({r.doc_id for r in sample}) == 120
+    by = {}
+    for r in sample:
+        by[r.doc_id] = by.get(r.doc_id, "") + r.text
+    assert all(by[k] == t for k, t in enumerate(long))
     model = toxicity.fit(df, labels)
-    got = {r.doc_id: r for r in toxicity.score(docs(spark, [*(t for _, t in rows), None, "", "villain"]), model).collect()}
-    assert all((got[i].predicted == 1) == (i % 3 == 0) for i in range(120))
-    hit = got[0].spans
-    assert any(rows[0][1][s.start : s.end].lower().startswith("villain") for s in hit)
-    assert got[120].score == got[121].score < 0.5 < got[122].score
-    none = toxicity.fit(df, labels.filter("toxic = 0"))
-    assert all(r.predicted == 0 for r in toxicity.score(df, none).collect())
-    assert toxicity.score(df.limit(0), model).count() == 0
-
-
-def test_disjoint_toxic_vocabularies(spark):
-    # ten groups of toxic texts share no toxic word; the last one's words share only a beginning
-    rows, toxic = [], []
-    for i in range(600):
-        words = [f"{chr(97 + (i * 7 + k * 3) % 26)}{(i * 7919 + k * k * 31 + k) % 100003}" for k in range(40)]
-        toxic.append(int(i % 5 == 0))
-        if toxic[-1]:
-            group = i // 5 % 10
-            for n in range(2):
-                words.insert((i + 17 * n) % 37 + 1, f"foul{'abcdefghi'[group]}" if group < 9 else f"zorgul{i}{n}")
-        rows.append(" ".join(words))
-    df = docs(spark, rows)
-    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
-    kept = {r.doc_id for r in df.filter(~toxicity.held_out(F.col("doc_id"))).collect()}
-    got = {r.doc_id: r for r in toxicity.score(df, toxicity.fit(df, labels)).collect()}
-    unseen = [i for i in range(600) if i not in kept]
-    assert {i // 5 % 10 for i in unseen if toxic[i]} == set(range(10))
-    assert [i for i in unseen if got[i].predicted != toxic[i]] == []
-    found = next(got[i] for i in unseen if toxic[i] and i // 5 % 10 == 9)
-    assert any(rows[found.doc_id][s.start : s.end].startswith("zorgul") for s in found.spans)
-
-
-PAGE = '<html><head><title>t</title></head><body><nav>menu</nav><div class="ad-box">buy</div><article><h1>Head &amp; {0}</h1><p>First <b>bold<br>line {0}<p>Second  &lt;x&gt;&nbsp;{0}<div class="promo">join</div><section id="comments"><p>no</p></section></article><footer>f</footer><script>var a="</p>";</script>'
-
-
-def test_articles(spark):
-    pages = [(k, f"http://h.org/{k}", PAGE.format(k)) for k in range(12)] + [(12, None, None), (13, "x", "plain <i>text</i>"), (13, "x", "")]
-    df = spark.createDataFrame(pages, "page_id int, url string, html string")
-    got = {(r.page_id, r.text) for r in html_text.extract(df).collect()}
-    assert (3, "Head & 3\nFirst bold line 3\nSecond <x> 3") in got
-    assert {(12, ""), (13, "plain text"), (13, "")} <= got
-    assert html_text.extract(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("few", [True, False])
-def test_templates_are_removed(spark, few, monkeypatch):
-    if not few:
-        monkeypatch.setattr(html_text, "BROADCAST_TEMPLATES", 0)
-    page = "<body><div><p>Welcome to the site</p></div><div><p>story {0}</p></div><div><span>All rights</span></div>"
-    rows = [(k, f"http://a.org/{k}", page.format(k)) for k in range(20)] + [(99, "http://b.org/", page.format(99))]
-    df = spark.createDataFrame(rows, "page_id int, url string, html string")
-    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
-    assert got[4] == "story 4"
-    assert got[99] == "Welcome to the site\nstory 99\nAll rights"
-
-
-SHAPED = "<body><nav><ul>{menu}</ul></nav><div class='buy'>{a}</div><section><h1>{b}</h1><p>{c}</p><p>{d}</p></section><p class='end'>(c) {e}</p>"
-
-
-def shaped_page(k):
-    menu = "".join(f"<li><a href='/{passage(1, k * 9 + i)}'>{passage(1, k * 9 + i)}</a></li>" for i in range(2 + k % 3))
-    return SHAPED.format(menu=menu, **{x: passage(n, k * 5 + ord(x)) for x, n in zip("abcde", (6, 5, 40, 30, 5), strict=True)})
-
-
-def test_templates_with_varying_words_are_removed(spark):
-    rows = [(k, f"http://a.org/{k}", shaped_page(k)) for k in range(20)] + [(99, "http://few.org/", shaped_page(99))]
-    df = spark.createDataFrame(rows, "page_id int, url string, html string")
-    got = {r.page_id: r.text for r in html_text.extract(df, rules=False).collect()}
-    assert all(got[k] == "\n".join(passage(n, k * 5 + ord(x)) for x, n in zip("bcd", (5, 40, 30), strict=True)) for k in range(20))
-    assert got[99].count("\n") == 6
-
-
-def test_headings_and_paragraphs_of_short_articles_stay(spark):
-    body = "<div class='post'><h1>{b}</h1><p>{d}</p><p>{c}</p></div>"
-    for shell in (body, "<article><h1>{b}</h1><div>{d}</div><section>{c}</section></article>"):
-        rows = []
-        for k in range(20):
-            page = f"<body><div class='top'>{passage(2, k)}</div>{shell}<p class='end'>(c) {passage(3, k + 50)}</p>"
-            rows.append((k, f"http://a.org/{k}", page.format(b=passage(3, k + 7), c=passage(30, k), d=passage(4, k + 3))))
-        got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string"), rules=False).collect()}
-        assert all(got[k] == f"{passage(3, k + 7)}\n{passage(4, k + 3)}\n{passage(30, k)}" for k in range(20))
-
-
-def test_template_counts_match_brute_force(spark):
-    rows = [(k, f"http://{'ab'[k % 3 == 0]}.org/{k}", shaped_page(k // 2) if k < 34 else f"<body><div><p>same words</p><p>{passage(9, k)}</p></div>") for k in range(64)]
-    df = spark.createDataFrame(rows, "page_id int, url string, html string")
-    want = set()
-    for host in ("a.org", "b.org"):
-        pages = {}
-        for _, url, page in rows:
-            if url.split("/")[2] == host:
-                root = html_text.parse(page)
-                *below, (whole, _) = html_text.subtrees(root, host)
-                exact = {id(n): k for k, n in below}
-                pages[whole] = (set(exact.values()), {(kind, k, depth if kind == "holds" else 0, exact.get(id(n), 0) if kind == "holds" else 0) for kind, k, depth, n in html_text.layout(root, host)})
-        least = max(html_text.MIN_PAGES, html_text.MIN_SHARE * len(pages))
-        want |= {(1, k) for k, n in Counter(x for own, _ in pages.values() for x in own).items() if n >= least}
-        layout = Counter(x[:3] for _, own in pages.values() for x in own)
-        often = [x for x, n in layout.items() if n >= least]
-        alike = Counter(x for _, own in pages.values() for x in own)
-        varied = [x for x in often if x[0] == "holds" and 2 * max(n for y, n in alike.items() if y[:3] == x) <= layout[x]]
-        if varied:
-            _, inner, depth = max(varied, key=lambda x: x[2])
-            want |= {(4, inner ^ html_text.INNERMOST), (3, inner)} | {(3, k) for kind, k, d in often if kind == "holds" and d < depth} | {(2, k) for kind, k, _ in often if kind == "shape"}
-    assert {1, 2, 3, 4} == {k for k, _ in want}
-    assert {(r.kind, r.subtree) for r in html_text.templates(df).collect()} == want
-
-
-@pytest.mark.parametrize("page", ['<a "' * 20_000, "<a " * 50_000, "<div>" * 30_000 + "x", "<div><b>" + "<i>" * 9_000 + "</b>" * 9_000, "<div>" * 9_000 + "</p>" * 9_000, "<!--" * 50_000, "<script>" + "</script " * 20_000, "<" * 90_000, "<ul><li>" * 9_000, "<p x='" * 20_001])
-def test_odd_pages_are_parsed_in_one_pass(page):
-    began = time.process_time()
-    root = html_text.parse(page)
-    html_text.main_text(root, html_text.template_nodes(root, "h", {1}))
-    assert time.process_time() - began < 3
-
-
-def test_very_long_pages(spark):
-    page = "<article>" + "".join(f"<p>{k} &amp; more" for k in range(60_000)) + "</article><footer>f</footer>"
-    df = spark.createDataFrame([(1, "http://h.org/", page), (1, "http://h.org/", page)], "page_id int, url string, html string").withColumn("text", F.lit("mine"))
-    rows = html_text.extract(df).collect()
-    assert len(rows) == 2 and all(r.text.split("\n") == [f"{k} & more" for k in range(60_000)] for r in rows)
-
-
-def test_copies_are_no_template(spark):
-    page = "<body><div><p>Welcome to the site</p></div><article><h1>Head {0}</h1><p>story {0}</p></article></body>"
-    rows = [(k, "http://copies.org/same", page.format(0)) for k in range(20)] + [(k, None if k % 2 else "no address", page.format(0)) for k in range(20, 40)]
-    rows += [(k, f"http://mixed.org/{k}", page.format(k if k > 60 else 0).replace("<body>", f"<body class='c{k}'>")) for k in range(40, 70)]
-    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
-    assert {got[k] for k in range(61)} == {"Head 0\nstory 0"}
-    assert got[65] == "Head 65\nstory 65"
-    main = "<body><div><p>Welcome to the site</p></div><div><p>story {0}</p></div></body>"
-    rows = [(k, f"http://mixed.org/{k}", main.format(0 if k < 20 else k)) for k in range(30)]
-    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
-    assert got[3] == "story 0" and got[25] == "story 25"
-
-
-@pytest.mark.parametrize(
-    "page, text",
-    [
-        ("<div class='layout with-sidebar'><p>crumb</p><article><p>The story</p></article><div class='sidebar'>links</div></div>", "The story"),
-        ("<div class='sidebar-layout'><article><p>The story</p><div class='ad'>buy</div></article></div><p>(c)</p>", "The story"),
-        ("<article class='post no-comments'><p>The story</p></article>", "The story"),
-        ("<div id='banner'><article class='post'><p>The story</p></article></div><article><p>A tip</p></article>", "The story\nA tip"),
-        ("<main class='comments-open'><p>The story</p></main>", "The story"),
-        ("<div>A long enough story</div><div class='related'><article>Other</article></div>", "A long enough story"),
-        ("<div>Story</div><div id='comments'><article class='comment'>I do not agree at all</article></div>", "Story"),
-        ("<article>The story</article><article class='comment'>No</article>", "The story"),
-        ("<article class='ad' hidden>buy this now</article><p>Story</p>", "Story"),
-    ],
-)
-def test_marks_spare_the_article(page, text):
-    assert html_text.main_text(html_text.parse(f"<html><body>{page}</body></html>")) == text
+    assert [r.predicted for r in toxicity.score(docs(spark, ["the villain here", passage(20, 7)]), model).orderBy("doc_id").collect()] == [1, 0]
+    assert len(toxicity.choose(df, labels, 2)) == len(toxicity.TRIED)

@@ -16,18 +16,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as at
 
-#: Bounds of the training sample: labelled documents of either class, and characters of a text used in training.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 600, 900, 50_000
+#: Bounds of the training sample: labelled pieces of either class. A text is one piece, or several of so many characters.
+SAMPLE_TOXIC, SAMPLE_CLEAN, PIECE_CHARS = 600, 900, 50_000
 #: Words with weights of their own: those in at least this many training documents.
 MIN_DOCS = 5
 #: A word is offending in training if it is in this many toxic documents, this many times likelier there than in clean
-#: ones, and passes a G-test with this expected share of false words (Benjamini and Hochberg).
+#: ones, and passes a G-test with this expected share of false words (Benjamini and Hochberg).  Support and share were
+#: chosen among ``TRIED`` by folds inside the training rows (see ``choose``).
 SEED_DOCS, SEED_ODDS, SEED_FALSE = 3, 15, 0.05
 #: Affixes of these many code points stand for words beside whole ones, if in this many different words.
 AFFIX_SIZES, AFFIX_WORDS = range(3, 9), 3
@@ -245,9 +247,9 @@ def _document_features(p: np.ndarray, doc_first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(docs), best, np.log1p(np.bincount(doc, np.where(p > 0.05, p, 0), docs))], 1)
 
 
-def _significant(there: np.ndarray, elsewhere: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+def _significant(there: np.ndarray, elsewhere: np.ndarray, n_bad: int, n_good: int, level: float, support: int) -> np.ndarray:
     """Mask of the units that toxic documents hold so much more often that, by a G-test over all units, few are so by chance."""
-    tested = there + elsewhere >= SEED_DOCS
+    tested = there + elsewhere >= support
     share = (n_bad + n_good) / (there[tested] + elsewhere[tested])
     g = np.zeros(len(share))
     for part, n in ((there, n_bad), (elsewhere, n_good)):
@@ -257,14 +259,14 @@ def _significant(there: np.ndarray, elsewhere: np.ndarray, n_bad: int, n_good: i
     p = np.array([math.erfc(math.sqrt(max(x, 0) / 2)) / 2 for x in g])
     p[odds[tested] <= 1] = 1
     ordered = np.sort(p)
-    good = np.flatnonzero(ordered <= SEED_FALSE * np.arange(1, len(p) + 1) / max(1, len(p)))
+    good = np.flatnonzero(ordered <= level * np.arange(1, len(p) + 1) / max(1, len(p)))
     limit = ordered[good[-1]] if len(good) else -1.0
     out = np.zeros(len(there), bool)
     out[tested] = p <= limit
-    return out & (there >= SEED_DOCS) & (odds >= SEED_ODDS)
+    return out & (there >= support) & (odds >= SEED_ODDS)
 
 
-def _offending(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray, bare: np.ndarray, spans: at.Words) -> tuple[np.ndarray, np.ndarray]:
+def _offending(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray, bare: np.ndarray, spans: at.Words, level: float, support: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, and of the affixes of other words, that stand for toxicity in the training documents."""
     same = doc[1:] == doc[:-1]
     before, after = np.zeros_like(hashes), np.zeros_like(hashes)
@@ -284,7 +286,7 @@ def _offending(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray, bare: np.
 
         # near copies of one document repeat a word in one context; such repetition is no evidence
         there = np.minimum(distinct(doc, bad[at_token]), distinct(context, bad[at_token]))
-        use = _significant(there, distinct(doc, ~bad[at_token]), n_bad, n_good)
+        use = _significant(there, distinct(doc, ~bad[at_token]), n_bad, n_good, level, support)
         return words[use & (distinct(hashes, bad[at_token]) >= least)]
 
     whole = seeds(hashes, np.arange(len(hashes)), 1)
@@ -299,14 +301,14 @@ def _offending(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray, bare: np.
     return whole, np.unique(np.concatenate(affixes))
 
 
-def train(text: pa.Array, toxic: np.ndarray) -> Model:
+def train(text: pa.Array, toxic: np.ndarray, level: float = SEED_FALSE, support: int = SEED_DOCS) -> Model:
     """Fit chain and calibration on labelled texts; the sample is bounded by the caller."""
     hashes, found, _, _, bare, spans = tokens(text)
     empty = Model(np.zeros(0, np.uint64), np.zeros((3, 1)), -8.0, np.zeros((2, 2)), np.array([-6.0, 0.0, 0.0]), np.zeros(0, np.uint64), np.zeros(1))
     if len(hashes) == 0 or not toxic.any():
         return empty
     doc = found.doc
-    seeds, affixes = _offending(hashes, doc, toxic, bare, spans)
+    seeds, affixes = _offending(hashes, doc, toxic, bare, spans, level, support)
     words, ids = np.unique(hashes, return_inverse=True)
     pair = np.unique(np.stack([ids, doc], 1), axis=0)
     docs_with = np.bincount(pair[:, 0], minlength=len(words))
@@ -347,23 +349,77 @@ def train(text: pa.Array, toxic: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample of the labelled documents that are not held out.
 
-    The sample takes the smallest hashes of the ids among toxic and clean
-    documents (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN``) whose texts have no more than
-    ``SAMPLE_CHARS`` characters.  Labels of an id that occurs several times count
-    once, as toxic if any says so; of several texts of an id the one with the
-    smallest hash is read; null labels, ids and texts are ignored.  Without toxic
-    documents the model scores everything low.
+    A text is cut into pieces of ``PIECE_CHARS`` characters, which mostly is one;
+    every piece has its document's label and stands for itself.  The sample takes the smallest hashes
+    of (id, piece) among toxic and clean pieces (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN``), so texts of any length
+    are learned from and the sample is bounded in characters too.  Labels of an id that
+    occurs several times count once, as toxic if any says so; of several texts of an
+    id the one with the smallest hash is read; null labels, ids and texts are
+    ignored.  Without toxic documents the model scores everything low.
     """
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.char_length("text") <= SAMPLE_CHARS)
-    there = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    sample = there.filter("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(there.filter("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
-    # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows, so the broadcast is bounded
-    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
-    got = rows.select("doc_id", "toxic", "t.text").orderBy("doc_id").toArrow()
+    got = training_sample(docs, labels.filter(~held_out(F.col("doc_id")))).toArrow()
+    return train(*_as_arrays(got))
+
+
+def _as_arrays(got: pa.Table) -> tuple[pa.Array, np.ndarray]:
     text = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
-    return train(at.column(pa.RecordBatch.from_arrays([text], ["text"]), "text"), got.column("toxic").to_numpy().astype(np.int64))
+    return at.column(pa.RecordBatch.from_arrays([text], ["text"]), "text"), got.column("toxic").to_numpy().astype(np.int64)
+
+
+def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, piece, toxic, text) of the sampled pieces, in order of the first two."""
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    sizes = texts.select("doc_id", F.struct(F.xxhash64("text").alias("h"), F.char_length("text").alias("n")).alias("t")).join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min("t").alias("t"))
+    last = F.greatest(F.lit(0), F.ceil(F.col("t.n") / PIECE_CHARS) - 1)
+    pieces = sizes.select("doc_id", "toxic", "t.h", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    order = (F.when(F.col("piece") == 0, F.xxhash64("doc_id")).otherwise(F.xxhash64("doc_id", "piece")), F.col("doc_id"), F.col("piece"))
+    sample = pieces.filter("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(pieces.filter("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
+    # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows, so the broadcast is bounded
+    met = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(sample), ["doc_id", "h"])
+    cut = met.select("doc_id", "piece", "toxic", F.substring("text", F.col("piece") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("text"))
+    return cut.dropDuplicates(["doc_id", "piece"]).orderBy("doc_id", "piece")
+
+
+#: What ``choose`` tries: the expected share of false words, and the least support of a word.
+TRIED = [(level, docs) for level in (0.01, 0.05, 0.2) for docs in (2, 3, 5)]
+
+
+def choose(docs: DataFrame, labels: DataFrame, folds: int = 3, threshold: float = 0.7) -> list[tuple[float, float, float, int]]:
+    """(F1 at ``threshold``, area under the curve, SEED_FALSE, SEED_DOCS), best first, by folds inside the training rows alone.
+
+    Held-out rows are not read.  Works on the bounded training sample.
+    """
+    got = training_sample(docs, labels.filter(~held_out(F.col("doc_id")))).toArrow()
+    text, toxic = _as_arrays(got)
+    # pieces of one text stay in one fold
+    fold = (pc.rank(got.column("doc_id").combine_chunks(), tiebreaker="dense").to_numpy().astype(np.uint64) if len(toxic) else np.zeros(0, np.uint64))
+    fold = (at.mix(fold) % np.uint64(folds)).astype(int)
+    out = []
+    for level, support in TRIED:
+        scores = np.zeros(len(toxic))
+        for k in range(folds):
+            own = pa.array(np.flatnonzero(fold != k))
+            model = train(text.take(own), toxic[fold != k], level, support)
+            other = np.flatnonzero(fold == k)
+            scores[other] = _scored(text.take(pa.array(other)), model)[0]
+        order = np.argsort(scores, kind="stable")
+        rank = np.empty(len(order))
+        rank[order] = np.arange(1, len(order) + 1)
+        n = int(toxic.sum())
+        area = (rank[toxic == 1].sum() - n * (n + 1) / 2) / max(1, n * (len(toxic) - n))
+        hit = int(((scores >= threshold) & (toxic == 1)).sum())
+        out.append((2 * hit / max(1, int((scores >= threshold).sum()) + n), float(area), level, support))
+    return sorted(out, reverse=True)
+
+
+def _scored(text: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, at.Words, np.ndarray, np.ndarray]:
+    """Scores of texts; marginals of their tokens; the words; bytes and offsets."""
+    hashes, found, data, offsets, bare, spans = tokens(text)
+    f = _neighbours(_ids(m.words, hashes), found.doc, len(m.words))
+    affix = m.affix_weight[_affix_ids(m.affixes, bare, spans)]
+    p, _ = _Chains(found.first).marginals(m.weight[0, f[0]] + m.weight[1, f[1]] + m.weight[2, f[2]] + affix + m.bias, m.transition)
+    return 1 / (1 + np.exp(-np.clip(_document_features(p, found.first) @ m.calibration, -30, 30))), p, found, data, offsets
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
@@ -383,11 +439,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None, thresho
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part in at.slices(batches, "text"):
-            hashes, found, data, offsets, bare, spans = tokens(at.column(part, "text"))
-            f = _neighbours(_ids(m.words, hashes), found.doc, len(m.words))
-            affix = m.affix_weight[_affix_ids(m.affixes, bare, spans)]
-            p, _ = _Chains(found.first).marginals(m.weight[0, f[0]] + m.weight[1, f[1]] + m.weight[2, f[2]] + affix + m.bias, m.transition)
-            value = 1 / (1 + np.exp(-np.clip(_document_features(p, found.first) @ m.calibration, -30, 30)))
+            value, p, found, data, offsets = _scored(at.column(part, "text"), m)
             hit = np.flatnonzero(p >= FLAG)
             lead = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
             base = lead[offsets[found.doc[hit]]]

@@ -1,9 +1,11 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
 A text's paragraphs are digested and hashed into a few cells of counts and XOR
-sums.  Subtracting two sketches cancels what they share; peeling cells that hold
-one digest recovers the differing digests.  Where peeling gets stuck, both texts
-are sketched again with four times the cells.
+sums.  Subtracting two fingerprints cancels what they share; peeling cells that hold
+one digest recovers the differing digests.  Where that gets stuck, strata of
+small sketches over thinner and thinner samples of the digests estimate how many
+differ, and both texts are sketched again with cells for these, and with four
+times as many whenever peeling gets stuck again.
 """
 
 from __future__ import annotations
@@ -16,12 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrowtext as at
-from .stable import settled
+from .stable import numbered, settled
 
 #: Cells of a fingerprint, in equal parts for each of the hash functions.
 CELLS, HASHES = 12, 3
+#: Strata of the estimate of a difference; the first one samples the digests whose hash ends in so many zero bits, each later one half as many.
+STRATA, FIRST_ZEROS = 16, 2
+#: Cells for each digest that is expected to differ.
+ROOM = 2.0
 #: Rows per bucket of the ordered pass, cuts at quantiles of the ids, and buckets that one task reads.
 BUCKET_ROWS, COARSE, TASK_BUCKETS = 256, 512, 64
 #: First rows of buckets are broadcast up to this many.
@@ -146,23 +153,49 @@ def _narrow(row: np.ndarray, digest: np.ndarray, wanted: np.ndarray) -> tuple[np
     return place[row[use]], digest[use]
 
 
-def likeness(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+def _subtracted(left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return left[0] - right[0], left[1] ^ right[1], left[2] ^ right[2]
+
+
+def estimated(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+    """Digests that differ in every row, by strata: those from the thinnest sample down to the last that peels tell how many there are."""
+    tables = []
+    for row, digest in (left, right):
+        h = at.mix(digest ^ np.uint64(0x57A7A))
+        lowest = (h & (~h + np.uint64(1))).astype(np.float64)
+        zeros = np.where(h == 0, 64, np.log2(np.maximum(lowest, 1))).astype(np.int64) - FIRST_ZEROS
+        use = zeros >= 0
+        tables.append(sketch(row[use] * STRATA + np.minimum(zeros[use], STRATA - 1), digest[use], rows * STRATA, CELLS, 1))
+    plus, minus, done = (x.reshape(rows, STRATA)[:, ::-1] for x in peel(*_subtracted(*tables), rows * STRATA, CELLS, 1))
+    peeled = np.cumprod(done, axis=1)  # from the thinnest on
+    found, depth = ((plus + minus) * peeled).sum(1), peeled.sum(1)
+    most = np.bincount(left[0], minlength=rows) + np.bincount(right[0], minlength=rows)
+    guess = np.maximum(found, 1) * 2.0 ** (FIRST_ZEROS + STRATA - depth)
+    return np.where(depth > 0, np.minimum(guess, most), most)
+
+
+def likeness(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int, bases: tuple | None = None) -> np.ndarray:
     """Shared share of all distinct paragraphs, from the digests that peeling recovers; 1 where both have none.
 
-    A pair starts with the smallest sketch that has 1.5 cells for each paragraph of
-    either side, so that even texts with nothing in common mostly peel at once,
-    and takes four times the cells whenever peeling gets stuck.
+    The fingerprints are subtracted first (``bases``, made here where they are not given); what
+    they do not settle gets cells by ``estimated``, and four times as many
+    whenever peeling gets stuck.
     """
     n_left, n_right = np.bincount(left[0], minlength=rows), np.bincount(right[0], minlength=rows)
-    only = np.zeros((2, rows), np.int64)
-    steps = np.ceil(np.log(np.maximum(1.5 * (n_left + n_right) / CELLS, 1)) / np.log(4)).astype(np.int64)
-    left_rows, right_rows = left[0], right[0]
+    one, two = bases or (sketch(*left, rows, CELLS), sketch(*right, rows, CELLS))
+    plus, minus, done = peel(*_subtracted(one, two), rows, CELLS)
+    only = np.where(done, np.stack([plus, minus]), 0)
+    steps = np.full(rows, -1)
+    stuck = np.flatnonzero(~done)
+    if len(stuck):
+        differing = estimated(_narrow(*left, stuck), _narrow(*right, stuck), len(stuck))
+        steps[stuck] = np.maximum(1, np.ceil(np.log(np.maximum(ROOM * differing / CELLS, 1)) / np.log(4)))
     while len(todo := np.flatnonzero(steps >= 0)):
         step = int(steps[todo].min())
         cells = CELLS * 4**step
         # few rows at a time where sketches are large
         todo = todo[steps[todo] == step][: max(1, 4_000_000 // cells)]
-        (r1, d1), (r2, d2) = _narrow(left_rows, left[1], todo), _narrow(right_rows, right[1], todo)
+        (r1, d1), (r2, d2) = _narrow(*left, todo), _narrow(*right, todo)
         sign = np.r_[np.ones(len(r1), np.int64), -np.ones(len(r2), np.int64)]
         count, keys, checks = sketch(np.r_[r1, r2], np.r_[d1, d2], len(todo), cells, step, sign)
         plus, minus, done = peel(count, keys, checks, len(todo), cells, step)
@@ -173,9 +206,9 @@ def likeness(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nd
     return np.where(either == 0, 1.0, shared / np.maximum(either, 1))
 
 
-def fingerprints(row: np.ndarray, digest: np.ndarray, rows: int) -> list[str]:
+def fingerprints(base: tuple, row: np.ndarray, rows: int) -> list[str]:
     """The base sketch of every row as text: number of digests, then counts, digest XORs and check XORs."""
-    count, keys, checks = (x.reshape(rows, CELLS) for x in sketch(row, digest, rows, CELLS))
+    count, keys, checks = (x.reshape(rows, CELLS) for x in base)
     n = np.bincount(row, minlength=rows).astype(np.int32).reshape(rows, 1)
     body = np.concatenate([n.view(np.uint8), count.astype(np.int32).view(np.uint8), keys.view(np.uint8), checks.view(np.uint8)], axis=1)
     return [base64.b64encode(x.tobytes()).decode() for x in body]
@@ -188,15 +221,16 @@ def _compared(ids: list, texts: list[str], following: list[str]) -> pa.RecordBat
         half = len(text) // 2
         edited.append(text[: len(text) - half] + after[:half])
     own, new, then = (paragraphs(pa.array(x, pa.large_string())) for x in (texts, edited, following))
+    bases = [sketch(*x, rows, CELLS) for x in (own, new, then)]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()),
             pa.array(map(len, texts), pa.int64()),
             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
-            pa.array(fingerprints(*own, rows), pa.string()),
-            pa.array(fingerprints(*new, rows), pa.string()),
-            pa.array(likeness(own, new, rows)),
-            pa.array(likeness(own, then, rows)),
+            pa.array(fingerprints(bases[0], own[0], rows), pa.string()),
+            pa.array(fingerprints(bases[1], new[0], rows), pa.string()),
+            pa.array(likeness(own, new, rows, (bases[0], bases[1]))),
+            pa.array(likeness(own, then, rows, (bases[0], bases[2]))),
         ],
         ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )
@@ -250,12 +284,17 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     The edited text ends, in place of its last half, with the beginning of the
     next document in descending doc_id (after the last: the first).  Null ids
     come last, equal ids in the order of a hash of the text; every row stands for
-    itself and a table of one row follows itself.  Null texts are empty.  An
-    empty table gives an empty result; other columns are ignored.
+    itself and a table of one row follows itself.  Null texts are empty.  Ids that are
+    no integers are numbered in their order first.  An empty table gives an empty
+    result; other columns are ignored.
 
     Ids are cut into buckets whose number grows with the rows; every bucket is
     read in order by one task, ended by the first row of the bucket that follows.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        known = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")), name="__place")
+        told = compare_versions(known.select(F.col("__place").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__place")
+        return told.join(known.select("__place", "doc_id"), "__place").select("doc_id", *told.columns[1:])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # ~x turns ascending into descending without overflow; null ids become the largest
     order = F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).alias("place")

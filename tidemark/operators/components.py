@@ -46,24 +46,25 @@ def _label_tile(cells: pd.DataFrame) -> pd.DataFrame:
     return cells.assign(local=own[order][label][place])
 
 
-def labelled(cells: DataFrame, tile: int = TILE) -> DataFrame:
-    """(pair_id, row, col, label): the label is the smallest pixel number (row * WIDTH + col) of the component.
+def labelled(cells: DataFrame, tile: int = TILE, carry: list[str] | None = None) -> DataFrame:
+    """(pair_id, row, col, label), and the ``carry`` columns: the label is the smallest pixel number (row * WIDTH + col) of the component.
 
     Tiles are labelled by one task each; neighbours across a seam join tile
     labels, and only those labels are iterated on.
     """
-    keyed = cells.select("pair_id", "row", "col").withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
+    carry = carry or []
+    keyed = cells.select("pair_id", "row", "col", *carry).withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
     fields = ", ".join(f"{c} {t}" for c, t in keyed.dtypes)
     # read for both sides of the seams and for the result; labelled once
     local = settled(keyed.groupBy("pair_id", "tr", "tc").applyInPandas(_label_tile, f"{fields}, local long"))
-    border = local.filter((F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1))
+    border = local.drop(*carry).filter((F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1))
     steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))])
     asked = border.withColumn("step", F.explode(steps)).select("pair_id", (F.col("row") + F.col("step.dr")).alias("row"), (F.col("col") + F.col("step.dc")).alias("col"), F.col("local").alias("from"), F.col("tr").alias("ftr"), F.col("tc").alias("ftc"))
     seams = asked.join(border, ["pair_id", "row", "col"]).filter((F.col("tr") != F.col("ftr")) | (F.col("tc") != F.col("ftc")))
     node = lambda c: F.struct("pair_id", F.col(c).alias("local"))
     joined = components(seams.select(node("from").alias("a"), node("local").alias("b")).distinct())
     renamed = joined.select(F.col("node.pair_id").alias("pair_id"), F.col("node.local").alias("local"), F.col("component.local").alias("merged"))
-    return local.join(renamed, ["pair_id", "local"], "left").select("pair_id", "row", "col", F.coalesce("merged", "local").alias("label"))
+    return local.join(renamed, ["pair_id", "local"], "left").select("pair_id", "row", "col", *carry, F.coalesce("merged", "local").alias("label"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

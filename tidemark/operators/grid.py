@@ -43,3 +43,17 @@ def compatibility(grids: DataFrame, step: float = 10.0) -> DataFrame:
         F.every((F.col("rot_x") == 0) & (F.col("rot_y") == 0)).alias("unrotated"),
         F.every(F.col("bands") == 2).alias("two_bands"),
     )
+
+
+def with_halo(cells: DataFrame, tile: int, before: int, after: int) -> DataFrame:
+    """Cells (row, col, ...) in square tiles (``__tr``, ``__tc``), and once more in every tile that they border; ``__own`` marks their own tile.
+
+    A tile gets the cells from ``before`` (0 or less) to ``after`` rows and columns beyond its own.
+    """
+
+    def tiles(c: str) -> Column:
+        first, last = F.floor((F.col(c) - after) / tile), F.floor((F.col(c) - before) / tile)
+        return F.sequence(first, last)
+
+    placed = cells.withColumn("__tr", F.explode(tiles("row"))).withColumn("__tc", F.explode(tiles("col")))
+    return placed.withColumn("__own", (F.col("__tr") == F.floor(F.col("row") / tile)) & (F.col("__tc") == F.floor(F.col("col") / tile)))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grid import with_halo
 from .projection import to_lonlat, to_utm
 
+#: Cells on a side of the tiles in which targets look up their neighbours.
+TILE = 128
+
 
 def nearest(targets: DataFrame, cells: DataFrame, x: Column, y: Column, value: str, missing: Column | None = None, keys: list[str] | None = None) -> DataFrame:
     """Value of the source cell that contains each target; ``x`` and ``y`` are source column and row units.
@@ -23,22 +29,46 @@ def nearest(targets: DataFrame, cells: DataFrame, x: Column, y: Column, value: s
 def bilinear(targets: DataFrame, cells: DataFrame, x: Column, y: Column, value: str, key: list[str], carry: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
     """Distance-weighted mean of the known cells among the four around each target; null if none is known.
 
-    ``x`` and ``y`` are source units with cell centres at halves; weights of
-    missing cells are shared out among the others.  ``key`` names the target row;
-    ``keys``, a part of it, the columns in which target and cells must agree, as
-    the pair where each has cells of its own.
+    ``x`` and ``y`` are source units with cell centres at halves, null for a target
+    without a place; weights of missing cells are shared out among the others.
+    ``key`` names the target row; ``keys``, a part of it, the columns in which target
+    and cells must agree, as the pair where each has cells of its own.
+
+    Targets and cells meet in square tiles of ``TILE`` cells, which have the next
+    row and column too, so that each travels once but for the borders.  A tile's
+    targets, of which there are as many as grids finer than the cells have pixels in it, are one task's work.
     """
     carry, keys = carry or [], keys or []
-    px, py = x - 0.5, y - 0.5
-    base = targets.select(*key, *carry, F.floor(px).alias("c0"), F.floor(py).alias("r0"), (px - F.floor(px)).alias("fx"), (py - F.floor(py)).alias("fy"))
-    corners = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (0, 1) for c in (0, 1)])
-    wx = F.when(F.col("__k.dc") == 1, F.col("fx")).otherwise(1 - F.col("fx"))
-    wy = F.when(F.col("__k.dr") == 1, F.col("fy")).otherwise(1 - F.col("fy"))
-    four = base.withColumn("__k", F.explode(corners)).select(*key, *carry, (F.col("r0") + F.col("__k.dr")).cast("int").alias("__r"), (F.col("c0") + F.col("__k.dc")).cast("int").alias("__c"), (wx * wy).alias("w"))
-    met = four.join(cells.filter(F.col(value).isNotNull()).select(*keys, F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).cast("double").alias("__v")), [*keys, "__r", "__c"], "left")
-    weight = F.when(F.col("__v").isNotNull(), F.col("w"))
-    out = met.groupBy(*key, *carry).agg(F.sum(weight * F.col("__v")).alias("__s"), F.sum(weight).alias("__w"))
-    return out.withColumn(value, F.when(F.col("__w") > 0, F.col("__s") / F.col("__w"))).drop("__s", "__w")
+    base = targets.select(*key, *carry, (x - 0.5).alias("__px"), (y - 0.5).alias("__py"))
+    schema = targets.select(*key, *carry).schema.add(value, "double")
+    there = base.filter("__px IS NOT NULL AND __py IS NOT NULL").withColumn("__tr", F.floor(F.floor("__py") / TILE)).withColumn("__tc", F.floor(F.floor("__px") / TILE))
+    source = with_halo(cells.filter(F.col(value).isNotNull()).select(*keys, "row", "col", F.col(value).cast("double").alias("__v")), TILE, 0, 1)
+    # new names, as targets and cells may be one table
+    source = source.select(*[F.col(c).alias(f"__s_{c}") for c in (*keys, "__tr", "__tc", "row", "col")], F.col("__v").alias("__s_v"))
+
+    def looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        told = left.select([*key, *carry])
+        if left.num_rows == 0 or right.num_rows == 0:
+            return told.append_column(value, pa.nulls(left.num_rows, pa.float64()))
+        low, west = (left.column(c)[0].as_py() * TILE for c in ("__tr", "__tc"))
+        grid, known = np.zeros((TILE + 1, TILE + 1)), np.zeros((TILE + 1, TILE + 1))
+        at = (right.column("__s_row").to_numpy().astype(np.int64) - low, right.column("__s_col").to_numpy().astype(np.int64) - west)
+        grid[at], known[at] = right.column("__s_v").to_numpy(), 1.0
+        px, py = (left.column(c).to_numpy() for c in ("__px", "__py"))
+        c0, r0 = np.floor(px), np.floor(py)
+        fx, fy = px - c0, py - r0
+        r, c = r0.astype(np.int64) - low, c0.astype(np.int64) - west
+        total, weight = np.zeros(len(px)), np.zeros(len(px))
+        for dr, dc in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            w = (fx if dc else 1 - fx) * (fy if dr else 1 - fy) * known[r + dr, c + dc]
+            total += w * grid[r + dr, c + dc]
+            weight += w
+        some = weight > 0
+        return told.append_column(value, pa.array(total / np.where(some, weight, 1), mask=~some))
+
+    met = there.groupBy(*keys, "__tr", "__tc").cogroup(source.groupBy(*[f"__s_{c}" for c in (*keys, "__tr", "__tc")])).applyInArrow(looked_up, schema)
+    nowhere = base.filter("__px IS NULL OR __py IS NULL").select(*key, *carry, F.lit(None).cast("double").alias(value))
+    return met.unionByName(nowhere)
 
 
 def sampled(points: DataFrame, cells: DataFrame, value: str, key: list[str], keys: list[str], x0: float, y0: float, spacing: float, lon0: float, lat0: float, step: float, zone: int = 31) -> DataFrame:
@@ -81,6 +111,5 @@ def reprojected(cells: DataFrame, value: str, keys: list[str], lon0: float, lat0
     lon, lat = to_lonlat(F.col("x0") + (F.col("col") + 0.5) * spacing, F.col("y0") - (F.col("row") + 0.5) * spacing, zone)
     placed = rows.withColumn("__x", (lon - lon0) / step).withColumn("__y", (lat0 - lat) / step)
     there = (F.col("__x") >= F.col("c0")) & (F.col("__x") < F.col("c1") + 1) & (F.col("__y") >= F.col("r0")) & (F.col("__y") < F.col("r1") + 1)
-    # a place without a value has no neighbours and so stays null
-    at = lambda c: F.when(there, F.col(c)).otherwise(F.lit(-1e6))
+    at = lambda c: F.when(there, F.col(c))
     return bilinear(placed.select(*keys, "row", "col", at("__x").alias("__x"), at("__y").alias("__y")), cells, F.col("__x"), F.col("__y"), value, [*keys, "row", "col"], keys=keys)

@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import slope_degrees, square_kilometres
+from tidemark.functions.scalar import square_kilometres
+
+from .grid import with_halo
 
 SLOPE_LIMITS = (2, 5, 10)
-#: Weights of the eight neighbours (row step, column step, x, y) in Horn's gradient, divided by 8 spacings.
-_HORN = [(r, c, c * (2 - abs(r)), r * (2 - abs(c))) for r in (-1, 0, 1) for c in (-1, 0, 1)]
+#: Cells on a side of the tiles in which slopes are computed.
+TILE = 256
 
 
-def horn_slope(cells: DataFrame, spacing: float = 30.0, value: str = "elevation", keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
-    """(keys, row, col, slope) in degrees; null where any of the nine cells is missing.
+def horn_slope(cells: DataFrame, spacing: float = 30.0, value: str = "elevation", keys: tuple[str, ...] = ("pair_id",), tile: int = TILE) -> DataFrame:
+    """(keys, row, col, slope) in degrees, by Horn's weights; null where any of the nine cells is missing.
 
-    Every known cell gives its weighted part to the nine cells around it, which
-    are summed: one shuffle with map-side sums, no grid in memory.
+    Cells are dealt into tiles, those on a border into the tiles beyond it too, and
+    a tile is one array: each cell travels once, but for the borders.
     """
-    parts = F.array(*[F.struct(F.lit(-r).alias("dr"), F.lit(-c).alias("dc"), F.lit(float(wx)).alias("wx"), F.lit(float(wy)).alias("wy")) for r, c, wx, wy in _HORN])
-    z = F.col(value).cast("double")
-    sent = cells.filter(z.isNotNull()).withColumn("__k", F.explode(parts)).select(*keys, (F.col("row") + F.col("__k.dr")).alias("row"), (F.col("col") + F.col("__k.dc")).alias("col"), (F.col("__k.wx") * z).alias("gx"), (F.col("__k.wy") * z).alias("gy"))
-    sums = sent.groupBy(*keys, "row", "col").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"), F.count("*").alias("n"))
-    whole = sums.filter("n = 9").select(*keys, "row", "col", slope_degrees(F.col("gx") / (8 * spacing), F.col("gy") / (8 * spacing)).alias("slope"))
-    return cells.select(*keys, "row", "col").join(whole, [*keys, "row", "col"], "left")
+    schema = cells.select(*keys, "row", "col").schema.add("slope", "double")
+    dealt = with_halo(cells.select(*keys, "row", "col", F.col(value).cast("double").alias("z")), tile, -1, 1)
+
+    def slopes(rows: pa.Table) -> pa.Table:
+        row, col = (rows.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+        at = (row - rows.column("__tr")[0].as_py() * tile + 1, col - rows.column("__tc")[0].as_py() * tile + 1)
+        known = rows.column("z").is_valid().to_numpy()
+        z, there = np.zeros((tile + 2, tile + 2)), np.zeros((tile + 2, tile + 2), bool)
+        z[at], there[at] = rows.column("z").fill_null(0.0).to_numpy(), known
+        side = lambda r, c: z[1 + r : tile + 1 + r, 1 + c : tile + 1 + c]
+        gx = sum(c * (2 - abs(r)) * side(r, c) for r in (-1, 0, 1) for c in (-1, 1)) / (8 * spacing)
+        gy = sum(r * (2 - abs(c)) * side(r, c) for r in (-1, 1) for c in (-1, 0, 1)) / (8 * spacing)
+        whole = np.all([there[1 + r : tile + 1 + r, 1 + c : tile + 1 + c] for r in (-1, 0, 1) for c in (-1, 0, 1)], axis=0)
+        own = np.flatnonzero(rows.column("__own").to_numpy(zero_copy_only=False))
+        place = (at[0][own] - 1, at[1][own] - 1)
+        found = pa.array(np.degrees(np.arctan(np.hypot(gx, gy)))[place], mask=~whole[place])
+        return rows.select([*keys, "row", "col"]).take(pa.array(own)).append_column("slope", found)
+
+    return dealt.groupBy(*keys, "__tr", "__tc").applyInArrow(slopes, schema)
 
 
 def slope_sensitivity(points: DataFrame, limits: tuple[int, ...] = SLOPE_LIMITS) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import candidates, catalog, patches, polygons
+from tidemark.operators import candidates, catalog, patches, polygons, projection
 from tidemark.sources import tables
 from tidemark.sources.shared import fresh_path
 
@@ -76,33 +76,52 @@ def s04_s05_pixel_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_pixels(spark, path, (3, 70), 16).withColumn("vh_change", F.round(F.col("vh_change").cast("double"), 5))
 
 
-@query(px.ORACLES["m07_threshold_sensitivity"].replace("SELECT * EXCLUDE (el)", "SELECT * EXCLUDE (el, pair_id)", 1) + " WHERE pair_id = 2")
+@query(px.ORACLES["m07_threshold_sensitivity"])
 def s06_s10_sensitivity_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sensitivity table through its CSV file, which a second write must not replace."""
-    told = px.rounded(candidates.sensitivity(fx.pixels(spark, sf_dir)), "retained_area_km2", "percent_eligible").filter("pair_id = 2").drop("pair_id")
+    """The sensitivity tables through their CSV files, a folder for each pair, which a second write must not replace."""
+    told = px.rounded(candidates.sensitivity(fx.pixels(spark, sf_dir)), "retained_area_km2", "percent_eligible")
     path = fresh_path(spark, "sensitivity")
-    tables.write_csv(told, path)
+    tables.write_csv(told, path, ["pair_id"])
     try:
-        tables.write_csv(told.limit(0), path)
+        tables.write_csv(told.limit(0), path, ["pair_id"])
     except Exception as error:
         if "exists" not in str(error).lower():
             raise
-    return tables.read_csv(spark, path, tables.SENSITIVITY)
+    return tables.read_csv(spark, path, f"{tables.SENSITIVITY}, pair_id int")
 
 
 _MEASURES = ["june_vh_db", "june_vv_db", "july_vh_db", "july_vv_db", "delta_vh_db", "delta_vv_db", "dsm_elevation_m"]
 
 
-@query(pq.ORACLES["w01_horn_slope"].replace("SELECT pair_id, row, col, round(slope, 5) AS slope FROM slo", "SELECT row, col AS column, retained_after_cleanup, " + ", ".join(f"round({m}::DOUBLE, 4) AS {m}" for m in _MEASURES) + " FROM pts WHERE pair_id = 1"))
+_PLACES = pq._inverse_sql(f"(SELECT *, ({pq._number(pq.X0 - 500000)} + (col + 0.5::DOUBLE) * 10) / {pq._number(projection.SCALE * projection.RADIUS)} AS eta0, ({pq._number(pq.Y0)} - (row + 0.5::DOUBLE) * 10) / {pq._number(projection.SCALE * projection.RADIUS)} AS xi0 FROM pts)", "i")
+
+
+@query(
+    pq.ORACLES["w01_horn_slope"].replace(
+        "SELECT pair_id, row, col, round(slope, 5) AS slope FROM slo",
+        f", {_PLACES} SELECT pair_id, row, col AS column, round({pq._number(pq.LON0)} + sx * {pq._number(pq.STEP)}, 8) AS longitude, round({pq._number(pq.LAT0)} - sy * {pq._number(pq.STEP)}, 8) AS latitude, retained_after_cleanup, " + ", ".join(f"round({m}::DOUBLE, 4) AS {m}" for m in _MEASURES) + " FROM i4",
+    )
+)
 def s07_point_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate points through their CSV file; what is missing comes back as null."""
-    points = pq.points(spark, sf_dir).filter("pair_id = 1").withColumnRenamed("col", "column")
+    """Candidate points of all pairs with their places on the earth, through CSV files, a folder for each pair; what is missing comes back as null."""
     fields = [f.split()[0] for f in tables.POINTS.split(", ")]
-    out = points.withColumns({"longitude": F.lit(None).cast("double"), "latitude": F.lit(None).cast("double"), **{m: F.col(m).cast("double") for m in _MEASURES}}).select(*fields)
+    lon, lat = projection.to_lonlat(pq.X0 + (F.col("col") + 0.5) * 10.0, pq.Y0 - (F.col("row") + 0.5) * 10.0)
+    out = pq.points(spark, sf_dir).withColumns({"longitude": lon, "latitude": lat, "column": F.col("col"), **{m: F.col(m).cast("double") for m in _MEASURES}}).select("pair_id", *fields)
     path = fresh_path(spark, "points")
-    tables.write_csv(out, path)
-    read = tables.read_csv(spark, path, tables.POINTS).filter("longitude IS NULL")
-    return read.select("row", "column", "retained_after_cleanup", *[F.round(m, 4).alias(m) for m in _MEASURES])
+    tables.write_csv(out, path, ["pair_id"])
+    read = tables.read_csv(spark, path, f"{tables.POINTS}, pair_id int")
+    return read.select("pair_id", "row", "column", *[F.round(c, 8).alias(c) for c in ("longitude", "latitude")], "retained_after_cleanup", *[F.round(m, 4).alias(m) for m in _MEASURES])
+
+
+@query("SELECT s_nationkey AS nation, count(*) AS files, sum(strlen(said))::BIGINT AS bytes, string_agg(sha256(said), ',' ORDER BY sha256(said)) AS sha256, string_agg(md5(said), ',' ORDER BY md5(said)) AS md5 FROM (SELECT s_nationkey, s_name || chr(10) || repeat(s_name || ' ', 1 + s_suppkey % 40) || chr(10) AS said FROM supplier) GROUP BY s_nationkey")
+def s11_file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digests of files written here, one for each supplier in a folder of its nation; the larger half is hashed in pieces."""
+    said = F.concat("s_name", F.lit("\n"), F.repeat(F.concat("s_name", F.lit(" ")), 1 + F.col("s_suppkey") % 40))
+    path = fresh_path(spark, "files")
+    fx.table(spark, sf_dir, "supplier").select("s_nationkey", said.alias("value")).write.mode("errorifexists").option("maxRecordsPerFile", 1).partitionBy("s_nationkey").text(path)
+    found = tables.file_inventory(spark, path, 500).withColumn("nation", F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("int"))
+    joined = lambda c: F.array_join(F.sort_array(F.collect_list(c)), ",").alias(c)
+    return found.filter(F.col("path").endswith(".txt")).groupBy("nation").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), joined("sha256"), joined("md5"))
 
 
 @query(pq.ORACLES["w01_horn_slope"].replace("SELECT pair_id, row, col, round(slope, 5) AS slope FROM slo", "SELECT pair_id, patch_id, count(*) AS pixels, round(count(*) * 0.01::DOUBLE, 6) AS area_ha, count(*)::DOUBLE AS outlined FROM pat GROUP BY ALL"))

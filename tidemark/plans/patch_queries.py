@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit, candidates, components, patches, polygons, projection, resample, terrain, water
-from tidemark.sources.shared import settled
+from tidemark.sources.shared import stored
 
 from . import fixtures as fx
 from .pixel_queries import LABELS_SQL, rounded
@@ -48,14 +48,15 @@ def slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate points with cleanup flag, patch, band values, elevation, slope and occurrence."""
-    chosen = settled(candidates.selected(fx.pixels(spark, sf_dir)))  # few pixels, read several times
-    lab = settled(components.labelled(chosen, 64))
+    chosen = candidates.selected(fx.pixels(spark, sf_dir))
+    # labelled with all columns and stored; sizes and names are few rows and join once
+    lab = stored(components.labelled(chosen, 64, [c for c in chosen.columns if c not in ("pair_id", "row", "col")]))
     sized = components.component_sizes(lab)
     named = components.ranked(sized.filter(F.col("pixels") >= LEAST)).select("pair_id", "label", "patch_id")
-    base = chosen.join(lab, ["pair_id", "row", "col"]).join(sized, ["pair_id", "label"]).join(named, ["pair_id", "label"], "left")
-    high = resample.bilinear(chosen, fx.dem_cells(spark, sf_dir), (F.col("col") + 0.5) / fx.DEM_SCALE, (F.col("row") + 0.5) / fx.DEM_SCALE, "elevation", ["pair_id", "row", "col"], keys=["pair_id"])
-    steep = resample.nearest(base, slopes(spark, sf_dir), (F.col("col") + 0.5) / fx.DEM_SCALE, (F.col("row") + 0.5) / fx.DEM_SCALE, "slope", keys=["pair_id"])
-    out = steep.join(high, ["pair_id", "row", "col"], "left")
+    base = lab.join(sized.join(named, ["pair_id", "label"], "left"), ["pair_id", "label"])
+    at = ((F.col("col") + 0.5) / fx.DEM_SCALE, (F.col("row") + 0.5) / fx.DEM_SCALE)
+    high = resample.bilinear(base, fx.dem_cells(spark, sf_dir), *at, "elevation", ["pair_id", "row", "col"], [c for c in base.columns if c not in ("pair_id", "row", "col")], ["pair_id"])
+    out = resample.nearest(high, slopes(spark, sf_dir), *at, "slope", keys=["pair_id"])
     names = {"vh_before_db": "june_vh_db", "vv_before_db": "june_vv_db", "vh_after_db": "july_vh_db", "vv_after_db": "july_vv_db", "vh_change": "delta_vh_db", "vv_change": "delta_vv_db", "elevation": "dsm_elevation_m"}
     return out.select("pair_id", "row", "col", "label", (F.col("pixels") >= LEAST).cast("int").alias("retained_after_cleanup"), "patch_id", *[F.col(a).alias(b) for a, b in names.items()], "slope", "occurrence")
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +66,9 @@ def read_scenes(spark: SparkSession, path: str, aoi_id: str = "aoi") -> DataFram
     return f.withColumns(box).withColumn("geometry", _geometry("c")).withColumn("start_time", F.to_timestamp("startTime")).withColumn("aoi_id", F.lit(aoi_id)).drop("c", "startTime").withColumnsRenamed(names)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header, nulls as empty fields; an existing output is an error."""
-    df.write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+def write_csv(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """CSV with header, nulls as empty fields, in a folder for each value of ``by``; an existing output is an error."""
+    df.write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").partitionBy(*(by or [])).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -98,10 +104,43 @@ def report(sections: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Size and digests of files, read as whole binaries (up to 2 GiB each)."""
+#: Files up to this size are hashed by Spark's functions, larger ones piece by piece.
+WHOLE_BYTES, PIECE_BYTES = 256 << 20, 8 << 20
+
+
+def file_inventory(spark: SparkSession, path: str, whole: int = WHOLE_BYTES) -> DataFrame:
+    """(path, bytes, sha256, md5) of all files below a path, of any size.
+
+    Listing reads no content.  Files of up to ``whole`` bytes are read as
+    binaries; larger ones are opened by the tasks through Arrow's file systems and hashed in
+    pieces of ``PIECE_BYTES``, so no task holds one.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    small = files.filter(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    large = files.filter(F.col("length") > whole).select("path", F.col("length").alias("bytes"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            found = [_digests(p) for p in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([f[k] for f in found], pa.string()) for k in (0, 1))], ["path", "bytes", "sha256", "md5"])
+
+    # one file is one task's work, and files are few beside tasks
+    pieces = large.repartition("path").mapInArrow(hashed, "path string, bytes long, sha256 string, md5 string")
+    return small.unionByName(pieces)
+
+
+def _digests(path: str) -> tuple[str, str]:
+    """SHA-256 and MD5 of a file, read in pieces."""
+    if path.startswith("file:") or "://" not in path:
+        store, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        store, name = fs.FileSystem.from_uri(quote(path, safe=":/"))
+    sha, md5 = hashlib.sha256(), hashlib.md5()
+    with store.open_input_stream(name, buffer_size=0) as stream:
+        while piece := stream.read(PIECE_BYTES):
+            sha.update(piece)
+            md5.update(piece)
+    return sha.hexdigest(), md5.hexdigest()
 
 
 def dem_tiles(bounds: DataFrame, *keys: str) -> DataFrame:

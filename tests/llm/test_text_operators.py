@@ -363,3 +363,10 @@ def test_long_labelled_texts_are_learned_from(spark, monkeypatch):
     model = toxicity.fit(df, labels)
     assert [r.predicted for r in toxicity.score(docs(spark, ["the villain here", passage(20, 7)]), model).orderBy("doc_id").collect()] == [1, 0]
     assert len(toxicity.choose(df, labels, 2)) == len(toxicity.TRIED)
+
+
+def test_texts_beyond_the_positions_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LARGEST", 400)
+    assert suffix_dedup.deduplicate(docs(spark, ["x" * 399, "x" * 150])).count() == 2
+    with pytest.raises(ValueError, match="400 bytes"):
+        suffix_dedup.deduplicate(docs(spark, ["é" * 200, "x"]))

@@ -3,8 +3,9 @@
 Every byte position belongs to the bucket of its q-gram.  Buckets are refined by
 the bucket identifiers of later offsets: the identifier at depth 2d is made of
 those at depth d, here and d bytes on, until depth 100 is reached.  Identifiers
-are 64-bit hashes of the bytes they stand for, so that all tasks agree on them;
-every round compares two of them.
+are 64-bit hashes of the bytes they stand for, so that all tasks agree on them.
+Single windows are compared in two independent ones; whole runs of windows in that of their anchor and
+one of all bytes that they cover.
 
 Only few positions travel.  In each window of 100 bytes one 32-gram, chosen by
 its bucket identifier alone, is the anchor; windows can only be equal if their
@@ -34,6 +35,8 @@ SLICE_BYTES = 2 << 20
 #: Rows of 32 bytes that one task of the settling rounds should hold, about.
 TASK_ROWS = 2_000_000
 
+#: Positions take 30 bits: texts of so many bytes are an error.
+LARGEST = 1 << 30
 #: Windows in a block of the second round.
 BLOCK = 8
 #: Row kinds: a run of repeated windows; windows that must be compared one by one; an anchor to compare; the same, of a bucket known to be mixed.
@@ -301,7 +304,9 @@ def _per_partition(df: DataFrame, settle: Callable, key: str, n: int) -> DataFra
 def repeated_runs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ord, runs): per row of ``rows`` (ord, text) the packed runs of repeated window starts; and the partitioned rows."""
     # a task holds the rows of its partition: about one for every 34 bytes of text in the first round, fewer later
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, longest = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first())
+    if longest >= LARGEST:
+        raise ValueError(f"a text has {longest} bytes; positions can tell {LARGEST - 1}")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (34 * TASK_ROWS))
     placed = rows.repartition(n, "ord")  # one exchange of the texts serves the joins of a query
     kind = F.col("packed").bitwiseAND(F.lit(3))
@@ -336,7 +341,9 @@ def deduplicate(docs: DataFrame, carry: list[str] | None = None, with_text: bool
     first, then by a hash of the text.  An empty table gives an empty result;
     carried columns with the name of a result are replaced.  ``with_text`` adds
     ``kept_text``: what is left, less characters of which any byte was removed.
-    Equality is that of two 64-bit identifiers in every round.
+    Equality is that of 64-bit identifiers: two independent ones for single
+    windows, that of the anchor and that of all covered bytes for whole runs.  A
+    text of ``LARGEST`` bytes or more is an error.
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
     carry = [c for c in (["doc_id"] if carry is None else carry) if c not in names]

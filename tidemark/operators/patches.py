@@ -3,25 +3,87 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import hectares, square_kilometres, square_metres
+from tidemark.sources.shared import settled, stored
 
 MEASURES = ("june_vh_db", "june_vv_db", "july_vh_db", "july_vv_db", "delta_vh_db", "delta_vv_db", "dsm_elevation_m", "slope")
 
 
-def zonal(points: DataFrame) -> DataFrame:
-    """Per patch: pixels, areas, medians of every measure (null if none), known slopes and share of falling VV."""
-    out = points.groupBy("pair_id", "patch_id").agg(
-        F.count("*").alias("pixels"),
-        *[F.median(m).alias(f"{m}_median") for m in MEASURES],
-        F.count("slope").alias("slope_known_pixels"),
-        (100.0 * F.avg((F.col("delta_vv_db") < 0).cast("double"))).alias("vv_decrease_pct"),
-    )
+#: Patches up to this many pixels have their medians taken by one task; the values of larger ones are counted in so many buckets each round.
+ONE_TASK, BUCKETS = 1_000_000, 4096
+#: Up to this many order statistics of large patches go to every task.
+BROADCAST_WANTED = 100_000
+
+
+def zonal(points: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """Per patch: pixels, areas, medians of every measure (null if none), known slopes and share of falling VV.
+
+    Medians are exact at any size: patches of more than ``one_task`` pixels take
+    theirs by ``order_statistics``, so no task holds one.
+    """
+    keys = ["pair_id", "patch_id"]
+    points = stored(points.select(*keys, *MEASURES))
+    counts = points.groupBy(*keys).agg(F.count("*").alias("pixels"), F.count("slope").alias("slope_known_pixels"), (100.0 * F.avg((F.col("delta_vv_db") < 0).cast("double"))).alias("vv_decrease_pct"))
+    middle = lambda df: df.groupBy(*keys).agg(*[F.median(m).alias(f"{m}_median") for m in MEASURES])
+    large = counts.filter(F.col("pixels") > one_task).select(*keys)
+    if large.limit(1).count() == 0:
+        medians = middle(points)
+    else:
+        large = settled(large)  # fewer than the pixels by ``one_task``
+        medians = middle(points.join(large, keys, "left_anti")).unionByName(_large_medians(points.join(large, keys, "left_semi"), keys, one_task))
+    out = counts.join(medians, keys)
     return out.withColumns({"area_m2": square_metres(F.col("pixels")), "area_ha": hectares(F.col("pixels")), "status": F.lit("unreviewed")})
 
 
+def _large_medians(points: DataFrame, keys: list[str], one_task: int) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in MEASURES])).alias("e")
+    values = points.select(*keys, each).select(*keys, "e.*")
+    held = settled(values.filter("v IS NOT NULL").groupBy(*keys, "measure").agg(F.count("*").alias("n")))
+    places = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+    found = order_statistics(values, held.select(*keys, "measure", F.explode(places).alias("place")), [*keys, "measure"], one_task)
+    met = found.groupBy(*keys, "measure").agg(F.avg("v").alias("median"))
+    # a patch without any known value still has its row
+    return points.select(*keys).distinct().join(met, keys, "left").groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"{m}_median") for m in MEASURES])
+
+
+def order_statistics(values: DataFrame, wanted: DataFrame, keys: list[str], one_task: int = ONE_TASK, buckets: int = BUCKETS) -> DataFrame:
+    """(keys, place, v): the value at every wanted place (from 0) in the ascending order of its group's known values.
+
+    Each round counts the values between bounds in equal buckets, with sums inside
+    tasks, and goes on with the bucket that holds the place, whose own extremes are
+    the next bounds; what at most ``one_task`` values are left of is sorted.
+    """
+    known = values.filter("v IS NOT NULL").select(*keys, "v")
+    bounds = known.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    state = stored(wanted.join(bounds, keys).withColumn("rest", F.col("place")))
+
+    def between(some: DataFrame) -> DataFrame:
+        few = F.broadcast(some) if some.count() <= BROADCAST_WANTED else some
+        return known.join(few, keys).filter(F.col("v").between(F.col("low"), F.col("high")))
+
+    out = []
+    while True:
+        out.append(state.filter("low = high").select(*keys, "place", F.col("low").alias("v")))
+        state = stored(state.filter("low < high"))
+        small = state.filter(F.col("n") <= one_task)
+        ordered = between(small).groupBy(*keys, "place", "rest").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+        out.append(ordered.select(*keys, "place", F.get("vs", F.col("rest").cast("int")).alias("v")))
+        state = stored(state.filter(F.col("n") > one_task))
+        if state.limit(1).count() == 0:
+            break
+        share = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))
+        sums = between(state).groupBy(*keys, "place", "rest", F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("bucket")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        past = F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        state = stored(sums.withColumn("past", past).filter("past <= rest AND rest < past + n").select(*keys, "place", "low", "high", "n", (F.col("rest") - F.col("past")).alias("rest")))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
 def boundary_edges(labels: DataFrame, keys: list[str]) -> DataFrame:
     """Directed cell edges (x1, y1) to (x2, y2) around every label, shared ones cancelled; the inside lies on the right (y down)."""
     r, c = F.col("row"), F.col("col")

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidemark import plans
@@ -13,7 +14,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def canonical(value):
-    if value is None or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NA or isinstance(value, float) and math.isnan(value):
         return ""
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return str(bool(value))

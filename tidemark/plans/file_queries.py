@@ -118,7 +118,7 @@ def s11_file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and digests of files written here, one for each supplier in a folder of its nation; the larger half is hashed in pieces."""
     said = F.concat("s_name", F.lit("\n"), F.repeat(F.concat("s_name", F.lit(" ")), 1 + F.col("s_suppkey") % 40))
     path = fresh_path(spark, "files")
-    fx.table(spark, sf_dir, "supplier").select("s_nationkey", said.alias("value")).write.mode("errorifexists").option("maxRecordsPerFile", 1).partitionBy("s_nationkey").text(path)
+    tables.write_documents(fx.table(spark, sf_dir, "supplier").select("s_nationkey", said.alias("value")), path, ["s_nationkey"])
     found = tables.file_inventory(spark, path, 500).withColumn("nation", F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("int"))
     joined = lambda c: F.array_join(F.sort_array(F.collect_list(c)), ",").alias(c)
     return found.filter(F.col("path").endswith(".txt")).groupBy("nation").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), joined("sha256"), joined("md5"))

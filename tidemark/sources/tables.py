@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import day_layer, dem_tile
 
+from .shared import spread
+
 RINGS = "array<array<array<double>>>"
 SCENE_FIELDS = (
     "sceneName string, startTime string, stopTime string, platform string, pathNumber int, flightDirection string, polarization string, beamModeType string, "
@@ -52,9 +56,54 @@ def feature_collections(features: DataFrame, keys: list[str]) -> DataFrame:
     return features.groupBy(*keys).agg(F.array_join(F.collect_list(one), ",").alias("f")).select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("f"), F.lit("]}")).alias("value"))
 
 
-def write_documents(texts: DataFrame, path: str) -> None:
-    """One file for each text of column ``value``; an existing output is an error."""
-    texts.write.mode("errorifexists").option("maxRecordsPerFile", 1).text(path)
+def write_documents(texts: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """One file for each text of column ``value``, in a folder for each value of ``by``; an existing output is an error.
+
+    Texts are dealt over all tasks, which write them through Arrow's file systems: for small
+    files Spark's writer takes longer to make, mark and move each than to write it.  A task's texts
+    are in order, so a second attempt writes the same files, and each gets its name when it is
+    whole.  Spark's writer serves file systems that Arrow does not know.
+    """
+    by = by or []
+    try:
+        store, folder = _store(path)
+    except (pa.ArrowException, OSError, ImportError):
+        spread(texts, "value").write.mode("errorifexists").option("maxRecordsPerFile", 1).partitionBy(*by).text(path)
+        return
+    if store.get_file_info(folder).type != fs.FileType.NotFound:
+        raise FileExistsError(f"path already exists: {path}")
+    store.create_dir(folder)
+    told = texts.select(*[F.col(c).cast("string").alias(c) for c in by], F.col("value"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(path)
+        task, made, n = TaskContext.get(), set(), 0
+        for part in batches:
+            for *values, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                place = "/".join([folder, *(f"{_escaped(c)}={_escaped(v)}" for c, v in zip(by, values, strict=True))])
+                if place not in made:
+                    store.create_dir(place)
+                    made.add(place)
+                name, draft = f"{place}/part-{task.partitionId():05d}-{n:06d}.txt", f"{place}/.part-{task.taskAttemptId()}-{n}"
+                with store.open_output_stream(draft) as stream:
+                    stream.write((text or "").encode() + b"\n")
+                store.move(draft, name)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["files"])
+
+    spread(told, *told.columns).sortWithinPartitions(*told.columns).mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
+def _escaped(value: str | None) -> str:
+    """A name or value as Spark writes it in the name of a folder."""
+    return re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and its name there."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/"))
 
 
 def read_scenes(spark: SparkSession, path: str, aoi_id: str = "aoi") -> DataFrame:
@@ -124,17 +173,14 @@ def file_inventory(spark: SparkSession, path: str, whole: int = WHOLE_BYTES) ->
             found = [_digests(p) for p in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([f[k] for f in found], pa.string()) for k in (0, 1))], ["path", "bytes", "sha256", "md5"])
 
-    # one file is one task's work, and files are few beside tasks
-    pieces = large.repartition("path").mapInArrow(hashed, "path string, bytes long, sha256 string, md5 string")
+    # a path is a short row, whatever its file's size
+    pieces = spread(large, "path").mapInArrow(hashed, "path string, bytes long, sha256 string, md5 string")
     return small.unionByName(pieces)
 
 
 def _digests(path: str) -> tuple[str, str]:
     """SHA-256 and MD5 of a file, read in pieces."""
-    if path.startswith("file:") or "://" not in path:
-        store, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    else:
-        store, name = fs.FileSystem.from_uri(quote(path, safe=":/"))
+    store, name = _store(path)
     sha, md5 = hashlib.sha256(), hashlib.md5()
     with store.open_input_stream(name, buffer_size=0) as stream:
         while piece := stream.read(PIECE_BYTES):

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import plans
 from tidemark.sources import tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -24,3 +25,8 @@ def test_documents_of_one_partition_are_written_and_hashed_by_many_tasks(spark,
     assert {r.sha256 for r in hashed.collect()} == {r[0] for r in texts.select(F.sha2(F.concat("value", F.lit("\n")), 256)).collect()}
     with pytest.raises(Exception, match="exists"):
         tables.write_documents(texts, path, ["k"])
+
+
+def test_scene_features_are_read_once(spark):
+    df = plans.QUERIES["s02_scene_features"](spark, SF)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1

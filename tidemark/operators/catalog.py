@@ -14,22 +14,26 @@ KEYS = ("platform", "path_number", "flight_direction", "polarization", "beam_mod
 
 def inventory(scenes: DataFrame, start: str = EVENT_START, end: str = EVENT_END) -> DataFrame:
     """The inventory columns of a scene table, in order of acquisition; a missing digest becomes empty."""
-    return scenes.select(
+    return scenes.select(*inventory_columns(start, end)).orderBy("acquisition_utc", "scene_id")
+
+
+def inventory_columns(start: str = EVENT_START, end: str = EVENT_END) -> list[Column]:
+    return [
         F.col("scene_name").alias("scene_id"),
         F.col("start_time").alias("acquisition_utc"),
         event_period(F.col("start_time"), start, end).alias("period"),
         F.col("orbit").alias("absolute_orbit"),
         F.col("path_number").alias("relative_orbit"),
         F.col("flight_direction").alias("pass_direction"),
-        "polarization",
+        F.col("polarization"),
         F.col("processing_level").alias("product"),
         F.col("beam_mode").alias("mode"),
         F.lit(10).alias("pixel_spacing_m"),
         F.lit("20 x 22 (IW GRD high resolution)").alias("nominal_resolution_m"),
-        "bytes",
-        "url",
+        F.col("bytes"),
+        F.col("url"),
         F.coalesce("md5sum", F.lit("")).alias("md5"),
-    ).orderBy("acquisition_utc", "scene_id")
+    ]
 
 
 def exact_footprints(scenes: DataFrame, areas: DataFrame, least: float = 1e-9) -> DataFrame:

@@ -64,8 +64,9 @@ def s02_scene_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     coordinates = F.to_json(F.array(F.transform(closed, lambda p: F.array(p["x"], p["y"]))))
     path = fresh_path(spark, "scenes")
     tables.write_documents(tables.feature_collections(s.select("aoi_id", properties.alias("properties"), F.lit("Polygon").alias("kind"), coordinates.alias("coordinates")), ["aoi_id"]), path)
-    read = tables.read_scenes(spark, path)
-    return catalog.inventory(read).select(F.col("scene_id").alias("scene_name"), F.col("acquisition_utc").alias("start_time"), F.col("relative_orbit").alias("path_number"), "polarization", "bytes", "md5").join(read.select("scene_name", *[F.round(c, 9).alias(c) for c in ("west", "south", "east", "north")]), "scene_name")
+    # the inventory and the boxes come from one reading of the files
+    read = tables.read_scenes(spark, path).select(*catalog.inventory_columns(), "west", "south", "east", "north")
+    return read.select(F.col("scene_id").alias("scene_name"), F.col("acquisition_utc").alias("start_time"), F.col("relative_orbit").alias("path_number"), "polarization", "bytes", "md5", *[F.round(c, 9).alias(c) for c in ("west", "south", "east", "north")])
 
 
 @query(f"WITH {fx.SQL} SELECT pair_id, row, col, common_mask, support, round(vh_change::DOUBLE, 5) AS vh_change FROM P WHERE row BETWEEN 3 AND 70")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
+from tidemark.operators import integrity
 from tidemark.sources import tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -30,3 +31,20 @@ def test_documents_of_one_partition_are_written_and_hashed_by_many_tasks(spark,
 def test_scene_features_are_read_once(spark):
     df = plans.QUERIES["s02_scene_features"](spark, SF)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_xml_is_parsed_once_for_all_names_and_in_many_tasks(spark):
+    found = plans.QUERIES["c06_xml_fields"](spark, SF)
+    assert "xpath" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert found.rdd.getNumPartitions() > 1
+
+
+def test_xml_texts_agree_with_xpath(spark):
+    texts = ["<r><n:a>1 <b> x </b>\n2<!-- c -->3<a>4</a></n:a><c a='no'/><a> </a>&lt;<b>&#233;<?i?>f</b></r>", "<a>top</a>", "<r><a><![CDATA[<q>]]></a><x:y:b>7</x:y:b></r>".replace("x:y:b", "y:b"), "<r/>", "", None, "<r><a>" + "w " * 9000 + "</a></r>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, xml string")
+    path = lambda n: F.filter(F.transform(F.xpath("xml", F.lit(f"//*[name()='{n}' or substring-after(name(), ':')='{n}']/text()")), lambda v: F.trim(v, F.lit(" \t\r\n"))), lambda v: v != "")
+    want = docs.select("k", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), path(n).alias("values")) for n in "abr"])).alias("f")).select("k", "f.*").filter(F.size("values") > 0)
+    rows = lambda df: sorted((r.k, r.name, tuple(r["values"])) for r in df.collect())
+    assert rows(integrity.xml_fields(docs, ["a", "b", "r"], ["k"])) == rows(want)
+    with pytest.raises(Exception, match="ExpatError"):
+        integrity.xml_fields(spark.createDataFrame([(1, "<a>")], "k int, xml string"), ["a"], ["k"]).collect()

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalar import near
 
@@ -61,9 +66,59 @@ def archive_failures(archives: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def xml_fields(documents: DataFrame, names: list[str], keys: list[str], xml: str = "xml") -> DataFrame:
-    """(keys, name, values): the trimmed texts of all elements of each name, in document order, whatever their namespace prefix; empty texts are left out."""
-    found = [F.struct(F.lit(n).alias("name"), F.filter(F.transform(F.xpath(F.col(xml), F.lit(f"//*[name()='{n}' or substring-after(name(), ':')='{n}']/text()")), lambda v: F.trim(v, F.lit(" \t\r\n"))), lambda v: v != "").alias("values")) for n in names]
-    return documents.select(*keys, F.explode(F.array(*found)).alias("f")).select(*keys, "f.name", "f.values").filter(F.size("values") > 0)
+    """(keys, name, values): the trimmed texts of all elements of each name, in document order, whatever their namespace prefix; empty texts are left out.
+
+    A document is parsed once for all names.  One that is not well-formed is an error; null and empty ones have no rows.
+    """
+    own = documents.select(*keys, xml)
+    schema = documents.select(*keys).schema.add("name", "string").add("values", T.ArrayType(T.StringType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
+        for part in batches:
+            rows, found, texts = [], [], []
+            for k, text in enumerate(part.column(len(keys)).to_pylist()):
+                values = _element_texts(text, names, known) if text else {}
+                rows += [k] * len(values)
+                found += values.keys()
+                texts += values.values()
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in part.columns[: len(keys)]), pa.array(found, pa.string()), pa.array(texts, pa.list_(pa.string()))], [*keys, "name", "values"])
+
+    return own.mapInArrow(run, schema)
+
+
+def _element_texts(xml: str, names: list[str], known: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Trimmed texts by name of one document; ``known`` holds which names a qualified name stands for."""
+    found: dict[str, list[str]] = {}
+    around: list[list[str]] = [[]]
+    pieces: list[str] = []
+
+    def done(*_: object) -> None:
+        if pieces:
+            if around[-1] and (text := "".join(pieces).strip(" \t\r\n")):
+                for n in around[-1]:
+                    found.setdefault(n, []).append(text)
+            pieces.clear()
+
+    def start(name: str, _: object) -> None:
+        done()
+        if name not in known:
+            known[name] = [n for n in names if n in (name, name.partition(":")[2])]
+        around.append(known[name])
+
+    def end(_: str) -> None:
+        done()
+        around.pop()
+
+    # without namespaces, so that names are as written and prefixes need no declaration
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, pieces.append
+    # a comment or an instruction ends a text, too
+    parser.CommentHandler = parser.ProcessingInstructionHandler = done
+    parser.Parse(xml, True)
+    return found
 
 
 def member_kind(name: Column) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.operators import integrity
+from tidemark.operators import integrity, polygons
 from tidemark.sources import tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -48,3 +48,22 @@ def test_xml_texts_agree_with_xpath(spark):
     assert rows(integrity.xml_fields(docs, ["a", "b", "r"], ["k"])) == rows(want)
     with pytest.raises(Exception, match="ExpatError"):
         integrity.xml_fields(spark.createDataFrame([(1, "<a>")], "k int, xml string"), ["a"], ["k"]).collect()
+
+
+def test_edges_of_rings_closed_unclosed_empty_and_null(spark):
+    p = lambda *points: [{"x": float(x), "y": float(y)} for x, y in points]
+    rings = [p((0, 0), (2, 0), (2, 1)), p((0, 0), (1, 0), (0, 1), (0, 0)), [], None, p((5, 5))]
+    shapes = spark.createDataFrame([([[r for r in rings]],), ([],), (None,)], "geometry array<array<array<struct<x:double,y:double>>>>")
+    got = [r[0] and [tuple(e) for e in r[0]] for r in shapes.select(polygons.flat_edges("geometry")).collect()]
+    assert got == [[(0, 0, 2, 0), (2, 0, 2, 1), (2, 1, 0, 0), (0, 0, 1, 0), (1, 0, 0, 1), (0, 1, 0, 0)], [], None]
+    plan = shapes.select(polygons.box_of("geometry"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
+def test_shapes_of_several_wholes_are_clipped_in_one_batch(spark):
+    square = lambda x, n: [(x, 0.0, x + n, 0.0), (x + n, 0.0, x + n, n), (x + n, n, x, n), (x, n, x, 0.0)]
+    edges = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+    wholes = spark.createDataFrame([(k, square(0.0, 4.0 + k)) for k in range(30)], f"k int, edges {edges}")
+    shapes = spark.createDataFrame([(k, i, square(2.0 + i, 3.0)) for k in range(30) for i in range(6)] + [(99, 0, square(0.0, 1.0))], f"k int, i int, edges {edges}").coalesce(1)
+    got = {(r.k, r.i): r.clip_area for r in polygons.clipped(shapes, wholes, "k").collect()}
+    assert got == {(k, i): pytest.approx(3.0 * max(0.0, min(3.0, 4.0 + k - 2.0 - i))) for k in range(30) for i in range(6)}

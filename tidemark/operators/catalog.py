@@ -71,7 +71,7 @@ def clipped_scenes(scenes: DataFrame, areas: DataFrame, least: float = 0.01) ->
     boxed = scenes.withColumn("box", polygons.box_of("geometry")).withColumn("edges", polygons.flat_edges("geometry")).withColumn("footprint", F.col("edges")).drop("geometry")
     near = boxed.join(area.drop("edges").join(whole, "aoi_id"), "aoi_id").filter(_reach("box", "area_box") >= least * F.col("area_size"))
     cut = polygons.clipped(near.drop("box", "area_box"), area.select("aoi_id", "edges"), "aoi_id").filter(F.col("clip_area") >= least * F.col("area_size") * (1 - 1e-9))
-    ends = lambda c: F.concat(F.transform("edges", lambda e: e[f"{c}1"]), F.transform("edges", lambda e: e[f"{c}2"]))
+    ends = lambda c: F.concat(F.col("edges")[f"{c}1"], F.col("edges")[f"{c}2"])
     box = F.struct(*[f(ends(c)).alias(n) for n, f, c in (("west", F.array_min, "x"), ("south", F.array_min, "y"), ("east", F.array_max, "x"), ("north", F.array_max, "y"))])
     return cut.withColumn("box", box)
 

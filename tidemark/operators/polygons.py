@@ -42,9 +42,11 @@ def flat_edges(geometry: str) -> Column:
     """All edges of a polygon column in one array of {x1, y1, x2, y2}; unclosed rings are closed."""
 
     def ring(points: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(points)), lambda k: F.struct(*_step(F.element_at(points, k), F.element_at(points, F.when(k < F.size(points), k + 1).otherwise(1)))))
+        after = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+        return F.arrays_zip(points["x"], points["y"], after["x"], after["y"]).cast(_EDGES)
 
-    edges = F.flatten(F.transform(F.flatten(F.col(geometry)), lambda r: F.when(F.size(r) > 0, ring(r)).otherwise(F.array().cast(_EDGES))))
+    # whole arrays, as a function of every point takes several times as long
+    edges = F.flatten(F.transform(F.flatten(F.col(geometry)), lambda r: F.coalesce(ring(r), F.array().cast(_EDGES))))
     # a closed ring's last point is its first one, which adds an edge without length
     return F.filter(edges, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
 
@@ -52,10 +54,6 @@ def flat_edges(geometry: str) -> Column:
 _EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 
-def _step(a: Column, b: Column) -> list[Column]:
-    return [a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")]
-
-
 def projected(geometry: str, zone: int = 31) -> Column:
     """A polygon column in longitude and latitude, in metres of a UTM zone."""
 
@@ -69,7 +67,7 @@ def projected(geometry: str, zone: int = 31) -> Column:
 def box_of(geometry: str) -> Column:
     """Bounds {west, south, east, north} of a polygon column."""
     points = F.flatten(F.flatten(F.col(geometry)))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    xs, ys = points["x"], points["y"]
     return F.struct(F.array_min(xs).alias("west"), F.array_min(ys).alias("south"), F.array_max(xs).alias("east"), F.array_max(ys).alias("north"))
 
 
@@ -195,26 +193,24 @@ def clipped(shapes: DataFrame, wholes: DataFrame, key: str, edges: str = "edges"
         held = np.zeros((0, 4))
         for part in batches:
             kinds, lists = part.column(2).to_numpy(zero_copy_only=False), _edge_arrays(part.column(3))
-            marks = np.flatnonzero(kinds == 0).tolist()
-            for at, end in zip([-1, *marks], [*marks, part.num_rows], strict=True):
-                if at >= 0:
-                    held = lists[at].copy()
-                n, own_edges = end - at - 1, lists[at + 1 : end]
-                if n == 0:
-                    continue
-                counts = np.array([len(x) for x in own_edges])
-                step = max(1, 200_000 // (len(held) + 8))
-                for k in range(0, n, step):
-                    m = min(step, n - k)
-                    edge = np.concatenate([*own_edges[k : k + m], np.tile(held, (m, 1))])
-                    place = np.concatenate([np.repeat(np.arange(m), counts[k : k + m]), np.repeat(np.arange(m), len(held))])
-                    shape = np.repeat([1, 0], [counts[k : k + m].sum(), m * len(held)])
-                    group, parts = sweep.regions(edge, place, shape, sweep.common(2))
-                    order = np.argsort(group, kind="stable")
-                    group, parts = group[order], parts[order]
-                    size = np.bincount(group, (parts[:, 1] - parts[:, 0]) * (parts[:, 4] - parts[:, 2] + parts[:, 5] - parts[:, 3]) / 2, m)
-                    got = _edge_lists(_sides(parts), np.repeat(group, 2), m)
-                    yield pa.RecordBatch.from_arrays([part.column(4).slice(at + 1 + k, m), got, pa.array(size.astype(float))], ["row", "edges", "clip_area"])
+            # shapes of all wholes are swept together; those before the first whole belong to the one held
+            wholes = [held, *(lists[i] for i in np.flatnonzero(kinds == 0))]
+            place, of = np.flatnonzero(kinds == 1), np.cumsum(kinds == 0)[kinds == 1]
+            held = wholes[-1].copy()
+            size = np.cumsum([len(lists[i]) + len(wholes[j]) for i, j in zip(place, of, strict=True)])
+            at = 0
+            while at < len(place):
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + 200_000, "right")))
+                inner, around = [lists[i] for i in place[at:end]], [wholes[j] for j in of[at:end]]
+                counts = [len(x) for x in (*inner, *around)]
+                row = np.tile(np.arange(end - at), 2)
+                group, parts = sweep.regions(np.concatenate([*inner, *around]), np.repeat(row, counts), np.repeat(np.repeat([1, 0], end - at), counts), sweep.common(2))
+                order = np.argsort(group, kind="stable")
+                group, parts = group[order], parts[order]
+                share = np.bincount(group, (parts[:, 1] - parts[:, 0]) * (parts[:, 4] - parts[:, 2] + parts[:, 5] - parts[:, 3]) / 2, end - at)
+                got = _edge_lists(_sides(parts), np.repeat(group, 2), end - at)
+                yield pa.RecordBatch.from_arrays([part.column(4).take(pa.array(place[at:end])), got, pa.array(share.astype(float))], ["row", "edges", "clip_area"])
+                at = end
 
     schema = T.StructType([T.StructField("row", own.schema["row"].dataType), T.StructField("edges", own.schema["edges"].dataType), T.StructField("clip_area", T.DoubleType())])
     met = first.unionByName(own).repartition("k", "salt").sortWithinPartitions("k", "salt", "kind").select("k", "salt", "kind", "edges", "row")

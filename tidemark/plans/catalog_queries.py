@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import event_period, known
 from tidemark.operators import backscatter, catalog, grid, integrity, polygons, projection, qa, resample
 from tidemark.sources import tables
-from tidemark.sources.shared import spread
+from tidemark.sources.shared import spread, stored
 
 from . import fixtures as fx
 
@@ -54,7 +54,8 @@ def _scene_columns(div: str) -> list[str]:
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes from events: one area per user, slanted footprints of 6 by 8 units."""
-    ev = fx.table(spark, sf_dir, "events")
+    ev = fx.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    ev = spread(ev, "user_id", "event_id")  # a row group of short rows makes many footprints
     named = ev.selectExpr(*_scene_columns("div")).withColumn("scene_name", F.format_string("S%07d", "k")).withColumn("url", F.concat(F.lit("https://example.org/"), "scene_name"))
     slant = F.col("slant").cast("double")
     corner = lambda x, y: F.struct((F.col("west") + x + slant * y).alias("x"), (F.col("south") + y).cast("double").alias("y"))
@@ -67,7 +68,7 @@ def box(west: float, south: float, east: float, north: float) -> Column:
 
 
 def areas(spark: SparkSession, sf_dir: str, bounds: tuple = AREA) -> DataFrame:
-    return scenes(spark, sf_dir).select("aoi_id").distinct().withColumn("geometry", box(*bounds))
+    return fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("aoi_id")).distinct().withColumn("geometry", box(*bounds))
 
 
 _SCENES = f"sc AS (SELECT *, printf('S%07d', k) AS scene_name, 'https://example.org/' || printf('S%07d', k) AS url FROM (SELECT {', '.join(_scene_columns('//'))} FROM events))"
@@ -149,7 +150,8 @@ def g09_unobserved_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def g09_unobserved_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The polygons that each area's best pair covers and leaves open: their areas, and the unit pixels whose centre they hold."""
-    shapes = catalog.unobserved_shapes(catalog.best(covered_pairs(spark, sf_dir)), scenes(spark, sf_dir), areas(spark, sf_dir))
+    # read for both polygons' areas and pixels; measured once
+    shapes = stored(catalog.unobserved_shapes(catalog.best(covered_pairs(spark, sf_dir)), scenes(spark, sf_dir), areas(spark, sf_dir)))
     rows = spark.range(int(_S), int(_N)).select(F.col("id").cast("int").alias("row"))
     out = shapes.select("aoi_id")
     for name, column in (("covered", "pair_coverage"), ("open", "not_observed_by_pair")):

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.operators import integrity, polygons
+from tidemark.operators import components, integrity, patches, polygons
+from tidemark.plans import fixtures as fx
 from tidemark.sources import tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -67,3 +68,12 @@ def test_shapes_of_several_wholes_are_clipped_in_one_batch(spark):
     shapes = spark.createDataFrame([(k, i, square(2.0 + i, 3.0)) for k in range(30) for i in range(6)] + [(99, 0, square(0.0, 1.0))], f"k int, i int, edges {edges}").coalesce(1)
     got = {(r.k, r.i): r.clip_area for r in polygons.clipped(shapes, wholes, "k").collect()}
     assert got == {(k, i): pytest.approx(3.0 * max(0.0, min(3.0, 4.0 + k - 2.0 - i))) for k in range(30) for i in range(6)}
+
+
+def test_few_bytes_of_outlines_tiles_and_orders_go_to_many_tasks(spark):
+    labels = spark.range(60).selectExpr("id AS k", "0 AS row", "cast(id * 3 AS int) AS col")
+    rings = patches.outlines(labels, ["k"])
+    assert rings.rdd.getNumPartitions() >= 4 and rings.count() == 60
+    cells = spark.range(60).selectExpr("1 AS pair_id", "cast(id * 600 AS int) AS row", "1 AS col")
+    assert components.labelled(cells).select("label").distinct().count() == 60
+    assert fx.raw_pixels(spark, SF).rdd.getNumPartitions() >= 4

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import patch_name
 
-from tidemark.sources.shared import settled
+from tidemark.sources.shared import settled, spread
 
 from .graph import components
 
@@ -56,7 +56,7 @@ def labelled(cells: DataFrame, tile: int = TILE, carry: list[str] | None = None)
     keyed = cells.select("pair_id", "row", "col", *carry).withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
     fields = ", ".join(f"{c} {t}" for c, t in keyed.dtypes)
     # read for both sides of the seams and for the result; labelled once
-    local = settled(keyed.groupBy("pair_id", "tr", "tc").applyInPandas(_label_tile, f"{fields}, local long"))
+    local = settled(spread(keyed, "pair_id", "tr", "tc").groupBy("pair_id", "tr", "tc").applyInPandas(_label_tile, f"{fields}, local long"))
     border = local.drop(*carry).filter((F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1))
     steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))])
     asked = border.withColumn("step", F.explode(steps)).select("pair_id", (F.col("row") + F.col("step.dr")).alias("row"), (F.col("col") + F.col("step.dc")).alias("col"), F.col("local").alias("from"), F.col("tr").alias("ftr"), F.col("tc").alias("ftc"))

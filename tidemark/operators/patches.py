@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import hectares, square_kilometres, square_metres
-from tidemark.sources.shared import settled, stored
+from tidemark.sources.shared import settled, spread, stored
 
 MEASURES = ("june_vh_db", "june_vv_db", "july_vh_db", "july_vv_db", "delta_vh_db", "delta_vv_db", "dsm_elevation_m", "slope")
 
@@ -128,7 +128,8 @@ def outlines(labels: DataFrame, keys: list[str]) -> DataFrame:
 
     Only the boundary reaches the tracing; its size is a patch's perimeter.
     """
-    edges = boundary_edges(labels, keys)
+    # tracing takes long for what few bytes its edges are
+    edges = spread(boundary_edges(labels, keys), *keys)
     types = dict(edges.dtypes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import backscatter, candidates, polygons
+from tidemark.sources.shared import spread
 
 WIDTH = 125
 WATER_SCALE, WATER_WIDTH = 3, 50
@@ -48,7 +49,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, row, col, four bands) of two pairs on one grid, with zeros, negatives, nodata marks, NaN and missing rows."""
     late = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("bigint").alias("q"), F.count("*").alias("n"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").alias("p"))
+    # a row group of short rows makes many pixels
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").alias("p")), "o_orderkey")
     keyed = orders.join(late, F.col("o_orderkey") == F.col("l_orderkey"), "left").selectExpr("o_orderkey AS k", f"o_orderkey div {2 * WIDTH} AS r", f"(o_orderkey div 2) % {WIDTH} AS c", "p", "q", "n")
     return keyed.selectExpr("CAST(1 + k % 2 AS INT) AS pair_id", "CAST(r AS INT) AS row", "CAST(c AS INT) AS col", *(f"{x} AS {n}" for n, x in _bands(" div ").items()))
 
